@@ -6,8 +6,9 @@ a query needs in front of its body.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from kgspark.operators.prepare import tokenize_spans
 from kgspark.vocab import (
     BASE, ENTITY_TYPES, PARENT_CLASSES, RDF_TYPE, RDFS_LABEL, RDFS_SUBCLASS, RELATIONS,
     RELATION_TYPES, SKOS_ALT, SKOS_PREF, TYPES,
@@ -240,6 +241,60 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumns({"labels": label, "sentence_id": F.floor(F.col("pos") / 20).cast("int")})
 
 
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pieces of the documents' tokens; tokens over seven characters are two pieces."""
+    n = F.length("token")
+    long = n > 7
+    piece = lambda i, a, b, gap, sub: F.struct(
+        (F.col("pos") * 2 + i).alias("idx"), a.alias("start"), b.alias("end"), gap.alias("gap"),
+        F.substring("token", a - F.col("start") + 1, b - a).alias("token"), F.lit(sub).alias("is_subword"))
+    s, e, cut = F.col("start"), F.col("end"), F.col("start") + 4
+    parts = F.when(long, F.array(piece(0, s, cut, F.col("gap"), False), piece(1, cut, e, F.lit(""), True))).otherwise(
+        F.array(piece(0, s, e, F.col("gap"), False)))
+    rows = tokenize_spans(docs(spark, sf_dir)).select("doc_id", "pos", F.explode(parts).alias("x")).select("doc_id", "pos", "x.*")
+    m = F.length("token")
+    kind = pick(ENTITY_TYPES, F.floor(m / 4) % 3)
+    label = F.when(m % 4 == 0, F.concat(F.lit("B-"), kind)).when(m % 4 == 1, F.concat(F.lit("I-"), kind)).otherwise(F.lit("O"))
+    return rows.withColumn("label", label)
+
+
+def token_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity spans laid over the tokens, some inside a token, some across several."""
+    t = tokenize_spans(docs(spark, sf_dir)).filter(F.length("token") % 5 == 0)
+    return t.select(
+        "doc_id", F.col("pos").alias("ord"), (F.col("start") + F.col("pos") % 2).alias("start"),
+        (F.col("end") + F.col("pos") % 3 * 3).alias("end"), pick(ENTITY_TYPES, F.col("pos") % 14).alias("entity_type"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model answer per mention: fenced, broken, wrapped in prose or garbage by its number."""
+    n_docs = table(spark, sf_dir, "documents").count()
+    m = mentions(spark, sf_dir)
+    i = F.col("mention_id")
+    text, kind = F.col("text"), F.col("entity_type")
+    entity = F.struct(text.alias("text"), kind.alias("entity_type"), F.struct("source").alias("attributes"))
+    form = F.struct(F.col("normalized_form").alias("text"), F.lit("substance").alias("entity_type"))
+    rel = F.struct(text.alias("source_entity"), kind.alias("source_type"), F.lit("treats").alias("relation_type"),
+                   F.col("normalized_form").alias("target_entity"), F.lit("disease").alias("target_type"), "context")
+    rel2 = F.struct(text.alias("source_entity"), F.lit("affects").alias("relation_type"), F.lit("kidney").alias("target_entity"))
+    first = F.to_json(entity)
+    first = F.when(i % 17 == 0, F.regexp_replace(first, '"entity_type":"[^"]*"', '"entity_type":{}')).otherwise(first)
+    body = F.concat(
+        F.lit('{"entities":['), first, F.lit(',{"text":"","entity_type":"finding"},'), F.to_json(form),
+        F.lit(',{"text":"chest pain","entity_type":5},{"text":"renal biopsy"}'),
+        F.when(i % 7 == 0, F.lit(",]")).otherwise(F.lit("]")),
+        F.lit(',"relations":['), F.to_json(rel), F.lit(","), F.to_json(rel2), F.lit("]}"))
+    fenced = F.when(i % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    prose = F.when(i % 11 == 0, F.concat(F.lit("Here it is: "), fenced, F.lit(" Done."))).otherwise(fenced)
+    raw = F.when(i % 13 == 0, F.lit("I found nothing { sorry")).otherwise(prose)
+    return m.select("doc_id", F.floor(i / n_docs).cast("int").alias("chunk_index"), raw.alias("raw"), "mention_id",
+                    F.col("context").alias("body"))
+
+
 def _array(names: list[str]) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
@@ -282,6 +337,15 @@ def _band(x: str, last: str) -> str:
     return f"CASE WHEN {x} >= 0.75 THEN 'passed' WHEN {x} >= 0.5 THEN 'needs_review' WHEN {x} >= 0.25 THEN 'failed' ELSE '{last}' END"
 
 
+def _cut(p: str) -> str:
+    """End of the chunk that starts at p: after the last sentence end, else after the last blank."""
+    e = f"least({p} + 2000, n)"
+    stop = f"length(regexp_extract(substr(text, {e} - 199, 200), '(?s)^.*[.!?][ \n]'))"
+    space = f"instr(reverse(substr(text, {e} - 49, 50)), ' ')"
+    return f"""CASE WHEN {e} >= n THEN n WHEN {stop} > 0 THEN {e} - 200 + {stop}
+  WHEN {space} BETWEEN 1 AND 49 THEN {e} - {space} + 1 ELSE {e} END"""
+
+
 CTE = {
     "triples": _sql_triples(),
     "mentions": f"""
@@ -345,8 +409,49 @@ SELECT doc_id, pos, words, CAST(pos // 20 AS INTEGER) AS sentence_id,
        ELSE 'O' END AS labels
 FROM (SELECT doc_id, unnest(w) AS words, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents) d) t""",
+    "toks": """
+SELECT doc_id, pos, CAST(sum(brk) OVER w AS INTEGER) AS sentence_id, CAST(e - length(token) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", gap, token,
+  lag(e) OVER w AS prev_end
+FROM (SELECT *, sum(length(gap) + length(token)) OVER w AS e,
+    CASE WHEN pos > 0 AND (contains(gap, chr(10)) OR lag(right(token, 1)) OVER w IN ('.', '!', '?')) THEN 1 ELSE 0 END AS brk
+  FROM (SELECT doc_id, unnest(w) AS token, unnest(g[1:len(w)]) AS gap, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
+    FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w,
+      regexp_split_to_array(text, '[^ \n]+') AS g FROM documents) d) t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) u
+WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
+    "preds": f"""
+SELECT doc_id, pos, idx, start, "end", gap, token, is_subword,
+  CASE WHEN length(token) % 4 = 0 THEN 'B-' || k WHEN length(token) % 4 = 1 THEN 'I-' || k ELSE 'O' END AS label
+FROM (SELECT *, {_array(ENTITY_TYPES)}[length(token) // 4 % 3 + 1] AS k FROM (
+  SELECT doc_id, pos, pos * 2 AS idx, start, CASE WHEN length(token) > 7 THEN start + 4 ELSE "end" END AS "end", gap,
+    CASE WHEN length(token) > 7 THEN substr(token, 1, 4) ELSE token END AS token, false AS is_subword FROM toks
+  UNION ALL SELECT doc_id, pos, pos * 2 + 1, start + 4, "end", '', substr(token, 5), true FROM toks WHERE length(token) > 7) p) q""",
+    "token_entities": f"""
+SELECT doc_id, pos AS ord, start + pos % 2 AS start, "end" + pos % 3 * 3 AS "end", {_array(ENTITY_TYPES)}[pos % 14 + 1] AS entity_type
+FROM toks WHERE length(token) % 5 = 0""",
+    "parsed": """
+SELECT * FROM (SELECT mention_id AS i, doc_id, CAST(mention_id // (SELECT count(*) FROM documents) AS INTEGER) AS chunk_index, pos, context,
+  CASE pos WHEN 0 THEN text WHEN 2 THEN normalized_form WHEN 3 THEN 'chest pain' ELSE 'renal biopsy' END AS text,
+  CASE pos WHEN 0 THEN CASE WHEN mention_id % 17 = 0 THEN NULL ELSE entity_type END WHEN 2 THEN 'substance' WHEN 3 THEN '5' END AS entity_type
+FROM mentions, (VALUES (0), (2), (3), (4)) v(pos) WHERE mention_id % 13 <> 0) x WHERE text IS NOT NULL""",
+    "parsed_relations": """
+SELECT * FROM (SELECT mention_id AS i, doc_id, CAST(mention_id // (SELECT count(*) FROM documents) AS INTEGER) AS chunk_index, pos, text AS source_entity,
+  CASE pos WHEN 0 THEN entity_type ELSE 'unknown' END AS source_type, CASE pos WHEN 0 THEN 'treats' ELSE 'affects' END AS relation_type,
+  CASE pos WHEN 0 THEN normalized_form ELSE 'kidney' END AS target_entity, CASE pos WHEN 0 THEN 'disease' ELSE 'unknown' END AS target_type,
+  CASE pos WHEN 0 THEN coalesce(context, '') ELSE '' END AS context
+FROM mentions, (VALUES (0), (1)) v(pos) WHERE mention_id % 13 <> 0 AND mention_id % 7 <> 0) x WHERE target_entity IS NOT NULL""",
+    "chunks": r"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_index,
+  CAST(start AS INTEGER) AS start_char, CAST(stop AS INTEGER) AS end_char, piece AS text
+FROM (SELECT doc_id, start, stop, CASE WHEN n <= 2000 THEN text ELSE trim(substr(text, start + 1, stop - start), ' ' || chr(10)) END AS piece
+  FROM cuts JOIN (SELECT doc_id, text, length(text) AS n FROM documents) d USING (doc_id)) c WHERE piece <> ''""",
+    "cuts": r"""
+SELECT doc_id, 0 AS start, """ + _cut("0") + r""" AS stop FROM (SELECT doc_id, text, length(text) AS n FROM documents) d WHERE n > 0
+UNION ALL
+SELECT doc_id, p, """ + _cut("p") + r""" FROM (SELECT doc_id, text, n, greatest(start + 1, stop - 200) AS p
+  FROM cuts JOIN (SELECT doc_id, text, length(text) AS n FROM documents) d USING (doc_id) WHERE stop < n) q""",
 }
 _NEEDS = {
+    "preds": ["toks"], "token_entities": ["toks"], "parsed": ["mentions"], "parsed_relations": ["mentions"], "chunks": ["cuts"],
     "pending_entities": ["mentions"], "entity_reviews": ["mentions"], "relation_reviews": ["relations"],
 }
 
@@ -359,4 +464,4 @@ def with_tables(*names: str, body: str, extra: dict[str, str] | None = None) ->
             if dep not in order:
                 order.append(dep)
     parts = [f"{n} AS ({CTE[n]})" for n in order] + [f"{k} AS ({v})" for k, v in (extra or {}).items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
