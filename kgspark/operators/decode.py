@@ -238,16 +238,24 @@ def merge_chunk_extractions(entities: DataFrame, relations: DataFrame) -> tuple[
     )
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _occurrences(body: pd.Series, needle: pd.Series) -> pd.Series:
-    """Every start of the needle, overlapping ones too, ignoring case."""
+def _starts(text: str, needle: str) -> list[int]:
+    """Every start of the needle, overlapping ones too."""
+    out, at = [], text.find(needle) if needle else -1
+    while at >= 0:
+        out.append(at)
+        at = text.find(needle, at + 1)
+    return out
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _occurrences(body: pd.Series, needles: pd.Series) -> pd.Series:
+    """For each text the starts of each of its needles, ignoring case."""
 
-    def one(text, word):
-        if not word:
-            return []
-        return [m.start() for m in re.finditer(f"(?={re.escape(word.lower())})", text.lower())]
+    def one(text, words):
+        low = text.lower()
+        return [_starts(low, w) for w in words]
 
-    return pd.Series([one(t, w) for t, w in zip(body, needle)])
+    return pd.Series([one(t, w) for t, w in zip(body, needles)])
 
 
 def _take_free(needles: pd.DataFrame) -> pd.DataFrame:
@@ -279,9 +287,11 @@ def assign_occurrences(extractions: DataFrame, texts: DataFrame) -> DataFrame:
     without entering that step, and are ranked out in salted parts first.
     """
     low = F.lower("text").alias("needle")
+    words = extractions.groupBy("doc_id").agg(F.collect_set(F.lower("text")).alias("needle"))
     places = (
-        extractions.select("doc_id", low).distinct().join(texts.select("doc_id", "body"), "doc_id")
+        words.join(texts.select("doc_id", "body"), "doc_id")
         .select("doc_id", "needle", _occurrences("body", "needle").alias("starts"))
+        .select("doc_id", F.explode(F.arrays_zip("needle", "starts")).alias("x")).select("doc_id", "x.*")
         .filter(F.size("starts") > 0)
     )
     able = extractions.select("doc_id", "ord", low).join(
