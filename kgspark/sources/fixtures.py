@@ -134,8 +134,10 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     j = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     rid = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    # Order and line number repeat in the data; part, supplier and quantity make rows unique.
+    unique = (rid * 100000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey") * 50 + F.col("l_quantity").cast("bigint")
     return j.select(
-        rid.alias("relation_id"),
+        unique.alias("relation_id"),
         F.col("l_orderkey").alias("doc_id"),
         F.col("p_name").alias("source_entity"),
         pick(ENTITY_TYPES, F.col("l_partkey") % 14).alias("source_type"),
@@ -367,7 +369,7 @@ SELECT i AS mention_id, i % nd AS doc_id,
 FROM (SELECT *, event_id AS i, (SELECT count(*) FROM documents) AS nd, event_id % (SELECT count(*) FROM part) AS k FROM events) e
 JOIN part ON p_partkey = k""",
     "relations": f"""
-SELECT rid AS relation_id, l_orderkey AS doc_id, p_name AS source_entity,
+SELECT (rid * 100000 + l_partkey) * 100000 + l_suppkey * 50 + CAST(l_quantity AS BIGINT) AS relation_id, l_orderkey AS doc_id, p_name AS source_entity,
   {_array(ENTITY_TYPES)}[l_partkey % 14 + 1] AS source_type,
   CASE WHEN rid % 101 = 0 THEN 'unknown_rel' ELSE {_array(RELATION_TYPES)}[(l_orderkey + l_linenumber) % 12 + 1] END AS relation_type,
   CASE WHEN rid % 97 = 0 THEN p_name ELSE s_name END AS target_entity,
