@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kgspark.functions.numbers import round_to
 from kgspark.operators.decode import first_of
 from kgspark.operators.scorecards import PARTS
 from kgspark.operators.staging import RELATION_KEY
@@ -116,7 +117,7 @@ def _cells(reviews: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 
 def _averages() -> list[Column]:
-    return [F.round(F.sum(f"sum_{s}") / F.sum(f"n_{s}"), 3).alias(s.removesuffix("_score")) for s in SCORES]
+    return [round_to(F.sum(f"sum_{s}") / F.sum(f"n_{s}"), 3).alias(s.removesuffix("_score")) for s in SCORES]
 
 
 def entity_review_stats(reviews: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark import vocab
 from kgspark.functions.labels import literal_map
+from kgspark.functions.numbers import round_to
 from kgspark.functions.text import contains_any, normalize_text, split_words, strip
 from kgspark.operators.linking import as_matches, score_candidates, top_k
 from kgspark.schemas import MATCHES
@@ -84,7 +85,7 @@ def _total(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     for name in PARTS:
         term = parts[name] * F.lit(weights[name])
         out = term if out is None else out + term
-    return F.round(out, 3)
+    return round_to(out, 3)
 
 
 def _subtract(rules: list[tuple[Column, Column | float]]) -> Column:
@@ -432,7 +433,7 @@ def relation_scorecard(relations: DataFrame, labels: DataFrame | None = None, cf
     scored = scored.withColumn("_d", relation_decision(c("overall_score"), c("_congruence"), c("_constraint"), cfg))
     return scored.withColumns(
         {
-            **{f"{n}_score": F.round(c(f"_{n}"), 3) for n in PARTS},
+            **{f"{n}_score": round_to(c(f"_{n}"), 3) for n in PARTS},
             "review_status": c("_d.review_status"),
             "recommendation": c("_d.recommendation"),
         }

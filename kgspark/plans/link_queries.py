@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kgspark.functions.numbers import round_to
 from kgspark.functions.text import normalize_text
 from kgspark.operators import dictionary as D, linking as K, similarity as S
 from kgspark.plans import sqlkit as Q
@@ -28,7 +29,7 @@ def flat(linked, *keys):
     """Matches as one row each, for comparison and reading."""
     rows = linked.select(*keys, F.posexplode("kg_matches").alias("rank", "m"))
     return rows.select(*keys, (F.col("rank") + 1).alias("rank"), "m.kg_uri", "m.kg_label", "m.kg_type",
-                       F.round("m.similarity_score", 6).alias("score"))
+                       round_to("m.similarity_score", 6).alias("score"))
 
 
 def entity_dict(spark, d):
@@ -47,7 +48,7 @@ def candidate_pairs(spark, d):
     q = _texts(spark, d).select(normalize_text(F.col("text")).alias("q")).distinct()
     pairs = S.best_pairs(q, groups, 5, 0.7)
     best = pairs.groupBy("q", "sig").agg(F.max("score").alias("score"))
-    return best.select("q", "sig", F.round("score", 6).alias("score"))
+    return best.select("q", "sig", round_to("score", 6).alias("score"))
 
 
 def score_pairs(spark, d):
@@ -68,13 +69,13 @@ def exact(spark, d):
 
 def contains(spark, d):
     r = K.contains_search(_texts(spark, d), X.triples(spark, d), min_score=0.7)
-    return r.select("text", "uri", "kg_label", F.get("type_names", F.lit(0)).alias("kg_type"), F.round("score", 6).alias("score"), "rank")
+    return r.select("text", "uri", "kg_label", F.get("type_names", F.lit(0)).alias("kg_type"), round_to("score", 6).alias("score"), "rank")
 
 
 def contains_typed(spark, d):
     texts = X.mentions(spark, d).select("text", "entity_type")
     r = K.contains_search(texts, X.triples(spark, d), min_score=0.7, typed=True)
-    return r.select("text", "entity_type", "uri", "kg_label", F.round("score", 6).alias("score"), "rank")
+    return r.select("text", "entity_type", "uri", "kg_label", round_to("score", 6).alias("score"), "rank")
 
 
 def merged(spark, d):
@@ -83,7 +84,7 @@ def merged(spark, d):
     cols = ["text", "uri", "kg_label", "type_names", "score", "rank"]
     external = K.contains_search(texts, X.triples(spark, d), min_score=0.7)
     r = K.merge_matches([local.select(cols), external.select(cols)], ["text"])
-    return r.select("text", "uri", F.round("score", 6).alias("score"), "rank")
+    return r.select("text", "uri", round_to("score", 6).alias("score"), "rank")
 
 
 def backends(spark, d):
@@ -136,13 +137,13 @@ def _queries(spark, d):
 
 def search_containment(spark, d):
     r = K.search_containment(_queries(spark, d), labels(spark, d))
-    return r.select("query", "uri", "kg_label", "type", F.round("score", 6).alias("score"))
+    return r.select("query", "uri", "kg_label", "type", round_to("score", 6).alias("score"))
 
 
 def search_fuzzy(spark, d):
     texts = X.mentions(spark, d).filter("kind IN ('error', 'signup')").select(F.col("text").alias("query"))
     r = K.search_entities(texts, part_labels(spark, d))
-    return r.select("query", "uri", "kg_label", "type", F.round("score", 6).alias("score"), "rank")
+    return r.select("query", "uri", "kg_label", "type", round_to("score", 6).alias("score"), "rank")
 
 
 def similar(spark, d):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from kgspark.functions.numbers import round_to
 from kgspark.operators.prepare import tokenize_spans
 from kgspark.vocab import (
     BASE, ENTITY_TYPES, PARENT_CLASSES, RDF_TYPE, RDFS_LABEL, RDFS_SUBCLASS, RELATIONS,
@@ -179,7 +180,7 @@ def pending_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored review for every click, view and signup; those of signups have no pending row."""
     m = mentions(spark, sf_dir).filter(F.col("kind").isin("click", "view", "signup"))
-    score = lambda d: F.round(F.least(F.lit(1.0), F.col("value") / d), 3)
+    score = lambda d: round_to(F.least(F.lit(1.0), F.col("value") / d), 3)
     overall = score(120)
     return m.select(
         (F.col("mention_id") + 1000000).alias("id"),
@@ -206,16 +207,16 @@ def relation_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored review for every returned line item."""
     r = relations(spark, sf_dir).filter("flag = 'R'")
     c = F.col("confidence")
-    overall = F.round(c * 0.9, 3)
+    overall = round_to(c * 0.9, 3)
     return r.select(
         (F.col("relation_id") + 1000000).alias("id"),
         F.col("relation_id").alias("pending_relation_id"),
         "source_entity", "source_type", "relation_type", "target_entity", "target_type",
-        F.round(c, 3).alias("congruence_score"),
-        F.round(c * 0.8, 3).alias("coverage_score"),
-        F.round(c * 0.7, 3).alias("constraint_score"),
-        F.round(c * 0.6, 3).alias("completeness_score"),
-        F.round(c * 0.5, 3).alias("consistency_score"),
+        round_to(c, 3).alias("congruence_score"),
+        round_to(c * 0.8, 3).alias("coverage_score"),
+        round_to(c * 0.7, 3).alias("constraint_score"),
+        round_to(c * 0.6, 3).alias("completeness_score"),
+        round_to(c * 0.5, 3).alias("consistency_score"),
         overall.alias("overall_score"),
         F.when(overall >= 0.75, F.lit("passed")).when(overall >= 0.5, F.lit("needs_review"))
         .when(overall >= 0.25, F.lit("failed")).otherwise(F.lit("pending")).alias("review_status"),
