@@ -7,7 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from kgspark.functions.labels import format_iob_type, infer_entity_type
 from kgspark.functions.text import first_position, strip, window_of
@@ -258,20 +258,22 @@ def _occurrences(body: pd.Series, needles: pd.Series) -> pd.Series:
     return pd.Series([one(t, w) for t, w in zip(body, needles)])
 
 
-def _take_free(needles: pd.DataFrame) -> pd.DataFrame:
+def _take_free(ords: list[list[int]], starts: list[list[int]]) -> list[dict]:
     """Hand out starts in order of ``ord``; a needle's starts are only ever tried once."""
-    turns = sorted((o, i) for i, ords in enumerate(needles["ords"]) for o in ords)
-    left = [iter(s) for s in needles["starts"]]
+    left = [iter(s) for s in starts]
     used: set[int] = set()
     out = []
-    for o, i in turns:
+    for o, i in sorted((o, i) for i, turn in enumerate(ords) for o in turn):
         at = next((p for p in left[i] if p not in used), None)
         if at is not None:
             used.add(at)
-        out.append((o, at))
-    made = pd.DataFrame(out, columns=["ord", "start"]).astype({"start": "Int32"})
-    made.insert(0, "doc_id", needles["doc_id"].iloc[0])
-    return made
+            out.append({"ord": o, "start": at})
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("ord", LongType()), StructField("start", IntegerType())])))
+def _assigned(ords: pd.Series, starts: pd.Series) -> pd.Series:
+    return pd.Series([_take_free(o, s) for o, s in zip(ords, starts)])
 
 
 SALTS = 64
@@ -300,11 +302,10 @@ def assign_occurrences(extractions: DataFrame, texts: DataFrame) -> DataFrame:
     for part in (["doc_id", "needle", "salt"], ["doc_id", "needle"]):
         turn = F.row_number().over(Window.partitionBy(*part).orderBy("ord"))
         able = able.withColumn("turn", turn).filter("turn <= n").drop("turn")
-    queue = able.groupBy("doc_id", "needle").agg(F.collect_list("ord").alias("ords"))
-    given = (
-        queue.join(places, ["doc_id", "needle"]).withColumn("head", F.substring("needle", 1, 1))
-        .groupBy("doc_id", "head").applyInPandas(_take_free, "doc_id bigint, ord bigint, start int")
-    )
+    queue = able.groupBy("doc_id", "needle").agg(F.collect_list("ord").alias("ords")).join(places, ["doc_id", "needle"])
+    rivals = queue.groupBy("doc_id", F.substring("needle", 1, 1).alias("head")).agg(
+        F.collect_list(F.struct("ords", "starts")).alias("x"))
+    given = rivals.select("doc_id", F.explode(_assigned("x.ords", "x.starts")).alias("a")).select("doc_id", "a.*")
     out = extractions.join(given, ["doc_id", "ord"], "left")
     return out.withColumn("end", F.col("start") + F.length("text"))
 

@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kgspark.functions.labels import allowed_kg_types, canonical_kg_type, type_compatible
 from kgspark.functions.text import normalize_text
-from kgspark.operators.similarity import best_pairs, contained_pairs, link_scores, score_pairs
+from kgspark.operators.similarity import LONG_LABEL, best_pairs, contained_pairs, link_scores, score_pairs
 from kgspark.schemas import MATCHES
 from kgspark.vocab import DEFAULT_ENTITY_TYPE, ENTITY_TYPES, EXACT_AT, LABEL_PREDICATES, LOW_AT, RDF_TYPE, SIMILAR_AT, TYPES
 
-LONG_LABEL = 200  # from this length on difflib drops characters that are too common
-
 
 def _signature(type_names: Column) -> Column:
     return F.array_join(type_names, "|")

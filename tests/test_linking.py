@@ -200,3 +200,15 @@ def test_bound_is_never_below_score():
         b = block.bounds(q)
         for i, lab in enumerate(labels):
             assert similarity.link_score(q, lab) <= b[i] + 1e-9
+
+
+def test_ratio_is_difflib():
+    rng = random.Random(23)
+    for _ in range(20000):
+        letters = rng.choice(["ab", "abc ", "abcdefgh 12"])
+        a, b = ("".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(2))
+        assert similarity.ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+    for n in (199, 200, 201, 300):
+        a, b = "".join(rng.choices("abc", k=n)), "".join(rng.choices("abc", k=n))
+        assert similarity.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+    assert similarity.ratio("abcd", "bcde") == 0.75
