@@ -108,28 +108,34 @@ class _Block:
         self.long = np.flatnonzero(self.lengths > WORD)
         self.long_counts = [Counter(labels[i]) for i in self.long]
         size = self.lengths[self.short]
+        # Half words are enough for blocks of shorter labels.
+        self.word = np.uint32 if size.max(initial=0) <= WORD // 2 else np.uint64
+        width = np.iinfo(self.word).bits
         codes = np.frombuffer("".join(labels[i] for i in self.short).encode("utf-32-le"), dtype=np.uint32)
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-        bit = np.uint64(1) << place.astype(np.uint64)
+        bit = self.word(1) << place.astype(self.word)
         self.masks = {}
         for ch in np.unique(codes):
             at = codes == ch
-            mask = np.zeros(len(size), dtype=np.uint64)
+            mask = np.zeros(len(size), dtype=self.word)
             np.bitwise_or.at(mask, row[at], bit[at])
             self.masks[chr(ch)] = mask
-        below = (np.uint64(1) << np.minimum(size, WORD - 1).astype(np.uint64)) - np.uint64(1)
-        self.used_bits = np.where(size == WORD, ~np.uint64(0), below)
+        below = (self.word(1) << np.minimum(size, width - 1).astype(self.word)) - self.word(1)
+        self.used_bits = np.where(size == width, ~self.word(0), below)
 
     def bounds(self, query: str) -> np.ndarray:
         """Upper bound of the score of every label: common subsequence, or common characters."""
         common = np.zeros(len(self.lengths), dtype=np.int64)
-        v = np.full(len(self.short), ~np.uint64(0))
+        v = np.full(len(self.short), ~self.word(0))
+        u, w = np.empty_like(v), np.empty_like(v)
         for ch in query:
             mask = self.masks.get(ch)
             if mask is not None:
-                u = v & mask
-                v = (v + u) | (v - u)
+                np.bitwise_and(v, mask, out=u)
+                np.add(v, u, out=w)
+                np.subtract(v, u, out=v)
+                np.bitwise_or(v, w, out=v)
         common[self.short] = np.bitwise_count(~v & self.used_bits)
         if len(self.long):
             counts = Counter(query)
@@ -138,39 +144,52 @@ class _Block:
         return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
 
 
+class _Best:
+    """Best k scores of one query and signature, per representative entity."""
+
+    def __init__(self, k: int):
+        self.k, self.scores, self.floor = k, {}, -1.0
+
+    def add(self, rep: int, score: float) -> None:
+        if score > self.scores.get(rep, -1.0):
+            self.scores[rep] = score
+            if len(self.scores) > self.k:
+                del self.scores[min(self.scores, key=self.scores.get)]
+            if len(self.scores) == self.k:
+                self.floor = min(self.scores.values())
+
+
+REMEMBERED = 200_000  # queries a task remembers at a time
+
+
 def _score_tiles(k: int, threshold: float, contain: bool):
     score = link_score if contain else (lambda a, b: 1.0 if a == b else ratio(a, b))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Best score per (query, signature) and representative entity seen by this task. Only
-        # used to skip pairs, so it may be forgotten at any time; that keeps it bounded.
-        best: dict[tuple[str, str], dict[int, float]] = {}
+        # What this task has found. It only serves to skip pairs, so it may be forgotten at any
+        # time; that keeps it bounded.
+        best: dict[str, dict[str, _Best]] = {}
         for batch in batches:
             for queries, norms, sigs, reps in zip(batch["queries"], batch["norm"], batch["sig"], batch["rep"]):
                 block = _Block(norms)
                 names, group = np.unique(np.asarray(sigs, dtype=object), return_inverse=True)
                 out: list[tuple[str, str, str, float]] = []
-                if len(best) > 200_000:
+                if len(best) > REMEMBERED:
                     best.clear()
                 for q in queries:
+                    known = best.setdefault(q, {})
+                    found = [known.setdefault(n, _Best(k)) for n in names]
                     bound = block.bounds(q)
-                    reach = np.flatnonzero(bound >= threshold - SLACK)
-                    order = reach[np.lexsort((-bound[reach], group[reach]))]
-                    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
-                    for lo, hi in zip(starts, [*starts[1:], len(order)]):
-                        sig = names[group[order[lo]]]
-                        seen = best.setdefault((q, sig), {})
-                        for i in order[lo:hi]:
-                            if len(seen) >= k and bound[i] + SLACK < min(seen.values()):
-                                break
-                            s = score(q, norms[i])
-                            if s < threshold:
-                                continue
-                            out.append((q, norms[i], sig, s))
-                            if s > seen.get(reps[i], -1.0):
-                                seen[reps[i]] = s
-                                if len(seen) > k:
-                                    del seen[min(seen, key=seen.get)]
+                    floors = np.maximum([f.floor for f in found], threshold) - SLACK
+                    reach = np.flatnonzero(bound >= floors[group])
+                    for i in reach[np.argsort(-bound[reach], kind="stable")]:
+                        mine = found[group[i]]
+                        if bound[i] + SLACK < mine.floor:
+                            continue
+                        s = score(q, norms[i])
+                        if s >= threshold:
+                            out.append((q, norms[i], sigs[i], s))
+                            mine.add(reps[i], s)
                 yield pd.DataFrame(out, columns=["q", "norm", "sig", "score"])
 
     return run
@@ -188,6 +207,16 @@ def _packed(rows: DataFrame, item, name: str, per_block: int, order: list[str])
     return blocked.groupBy("band", f"{name}_block").agg(F.collect_list(item).alias(name))
 
 
+def _packed_queries(queries: DataFrame, reached) -> DataFrame:
+    """(band, block, array of queries): a query is in the same block in every band it reaches."""
+    total = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK)).alias("n_blocks"))
+    blocked = queries.join(F.broadcast(total), F.lit(True)).withColumn(
+        "queries_block", F.pmod(F.xxhash64("q"), F.col("n_blocks"))
+    )
+    return blocked.select("q", "queries_block", "n_blocks", F.explode(reached).alias("band")).groupBy(
+        "band", "queries_block", "n_blocks").agg(F.collect_list("q").alias("queries"))
+
+
 def best_pairs(
     queries: DataFrame, labels: DataFrame, k: int, threshold: float, contain: bool = True, tasks: int | None = None
 ) -> DataFrame:
@@ -197,21 +226,21 @@ def best_pairs(
     (norm, sig), where ``rep`` is a number for one entity with that label.
     """
     spark = queries.sparkSession
-    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     label_blocks = _packed(
         labels.withColumn("band", _band(F.length("norm"))),
         F.struct("norm", "sig", "rep"), "labels", LABELS_PER_BLOCK, ["norm", "sig"],
     )
     n = F.length("q")
     low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
-    reached = F.sequence(_band(F.floor(low)), _band(F.ceil(high)))
-    query_blocks = _packed(
-        queries.select("q", F.explode(reached).alias("band")), F.col("q"), "queries", QUERIES_PER_BLOCK, ["q"]
-    )
-    tiles = query_blocks.join(label_blocks, "band").repartition(tasks, "band", "queries_block", "labels_block")
-    return tiles.select("queries", "labels.norm", "labels.sig", "labels.rep").mapInPandas(
-        _score_tiles(k, threshold, contain), "q string, norm string, sig string, score double"
-    )
+    query_blocks = _packed_queries(queries, F.sequence(_band(F.floor(low)), _band(F.ceil(high))))
+    # One task sees all tiles of a query block, so that what it learned about a query saves work in
+    # the next tile; with few query blocks and many labels they are spread over more tasks.
+    spread = F.ceil(F.lit(2 * tasks) / F.col("n_blocks"))
+    tiles = query_blocks.join(label_blocks, "band").withColumn("part", F.pmod(F.col("labels_block") + F.col("band"), spread))
+    return tiles.repartition(tasks, "queries_block", "part").select(
+        "queries", "labels.norm", "labels.sig", "labels.rep"
+    ).mapInPandas(_score_tiles(k, threshold, contain), "q string, norm string, sig string, score double")
 
 
 GRAM = 3
