@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from kgspark.vocab import BLANK
+from kgspark.vocab import BLANK, BLANK_CHARACTERS
 
 
 def strip(c: Column) -> Column:
     """Remove blanks (Unicode ones too) from both ends."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(c, F.lit(BLANK_CHARACTERS))
 
 
 def normalize_text(c: Column) -> Column:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from kgspark.functions.labels import canonical_kg_type, local_name
 from kgspark.functions.text import strip
-from kgspark.vocab import ENTITY_TYPES
+from kgspark.vocab import BLANK_CHARACTERS, ENTITY_TYPES
 
 # Sizes in characters.
 CHUNK_SIZE, CHUNK_LIMIT, OVERLAP = 2000, 4000, 200
@@ -20,7 +24,6 @@ CONTEXT_LIMIT, EXTRA_LIMIT = 500, 800
 # Patterns of a sentence end inside a chunk and between sentences.
 CHUNK_BOUNDARY = re.compile(r"[.!?]\s")
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+|\n+")
-TOKEN = re.compile(r"\S+")
 
 
 def clean_text(c: Column) -> Column:
@@ -147,25 +150,46 @@ def sentence_spans(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-_TOKEN_FIELDS = _spans(("sentence_id", IntegerType()), ("start", IntegerType()), ("end", IntegerType()),
-                       ("gap", StringType()), ("token", StringType()))
-
-
-@F.pandas_udf(_TOKEN_FIELDS)
-def token_spans(texts: pd.Series) -> pd.Series:
-    """Tokens with sentence number, offsets and the text between a token and the one before."""
-
-    def one(text):
-        out, last, sentence = [], 0, 0
-        for m in TOKEN.finditer(text or ""):
-            gap = text[last:m.start()]
-            if out and ("\n" in gap or out[-1]["token"][-1] in ".!?"):
-                sentence += 1
-            out.append({"sentence_id": sentence, "start": m.start(), "end": m.end(), "gap": gap, "token": m.group()})
-            last = m.end()
-        return out
-
-    return texts.map(one)
+# The blank characters for Arrow's regular expressions.
+_ARROW_BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in BLANK_CHARACTERS)
+TOKEN_COLUMNS = "doc_id bigint, pos int, sentence_id int, start int, end int, gap string, token string"
+
+
+def _restart(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums that start again at each document; ``first`` is the document's first row per row."""
+    total = np.cumsum(values)
+    return total - (total - values)[first]
+
+
+def _token_table(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Tokens of a batch of documents, computed on whole Arrow columns."""
+    text = pc.fill_null(batch.column("text"), "")
+    words = pc.split_pattern_regex(text, f"[{_ARROW_BLANK}]+")
+    gaps = pc.split_pattern_regex(text, f"[^{_ARROW_BLANK}]+")
+    token = words.flatten()
+    real = pc.not_equal(token, "")
+    doc = pc.list_parent_indices(words).filter(real).to_numpy()
+    token = token.filter(real)
+    # A text with n tokens has n + 1 gaps; the last one comes before no token.
+    sizes = pc.list_value_length(gaps).to_numpy()
+    before = np.ones(int(sizes.sum()), dtype=bool)
+    before[np.cumsum(sizes) - 1] = False
+    gap = gaps.flatten().filter(pa.array(before))
+    first = np.searchsorted(doc, doc, side="left")
+    pos = np.arange(len(doc)) - first
+    length = pc.utf8_length(token).to_numpy()
+    end = _restart(pc.utf8_length(gap).to_numpy() + length, first)
+    stop = pc.match_substring_regex(token, "[.!?]$").to_numpy(zero_copy_only=False)
+    opens = pc.match_substring(gap, "\n").to_numpy(zero_copy_only=False) | np.roll(stop, 1)
+    sentence = _restart((opens & (pos > 0)).astype(np.int64), first)
+    as_int = lambda x: pa.array(x, type=pa.int32())
+    return pa.record_batch({
+        "doc_id": batch.column("doc_id").take(pa.array(doc)), "pos": as_int(pos), "sentence_id": as_int(sentence),
+        "start": as_int(end - length), "end": as_int(end), "gap": gap, "token": token})
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (_token_table(b) for b in batches if b.num_rows)
 
 
 def split_sentences(docs: DataFrame) -> DataFrame:
@@ -174,8 +198,9 @@ def split_sentences(docs: DataFrame) -> DataFrame:
 
 
 def tokenize_spans(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(token_spans("text")).alias("pos", "x"))
-    return rows.select("doc_id", "pos", "x.*")
+    """Tokens of ``docs(doc_id, text)`` with sentence number, offsets, and the text between a token
+    and the one before. No shuffle."""
+    return docs.select("doc_id", "text").mapInArrow(_tokenize, TOKEN_COLUMNS)
 
 
 def truncate_context(c: Column) -> Column:

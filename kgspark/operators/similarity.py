@@ -210,7 +210,7 @@ def _packed(rows: DataFrame, item, name: str, per_block: int, order: list[str])
 def _packed_queries(queries: DataFrame, reached) -> DataFrame:
     """(band, block, array of queries): a query is in the same block in every band it reaches."""
     total = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK)).alias("n_blocks"))
-    blocked = queries.join(F.broadcast(total), F.lit(True)).withColumn(
+    blocked = queries.withColumn("n_blocks", total.scalar()).withColumn(
         "queries_block", F.pmod(F.xxhash64("q"), F.col("n_blocks"))
     )
     return blocked.select("q", "queries_block", "n_blocks", F.explode(reached).alias("band")).groupBy(

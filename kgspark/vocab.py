@@ -286,4 +286,8 @@ LOW_AT = 0.60
 # The characters that Python's str.strip, str.split and \s treat as blank,
 # as a regular-expression class for Java.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-NOT_BLANK = "[^" + BLANK[1:]
+BLANK_CHARACTERS = "".join(
+    chr(c) for lo, hi in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                          (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+    for c in range(lo, hi + 1)
+)
