@@ -31,9 +31,9 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return hit
 
 
-def first_position(text: Column, needle: Column) -> Column:
-    """0-based position of the first occurrence ignoring case, or null."""
-    at = F.position(F.lower(needle), F.lower(text))
+def first_position(low: Column, needle: Column) -> Column:
+    """0-based position of the first occurrence in a lower-case text ignoring case, or null."""
+    at = F.position(F.lower(needle), low)
     return F.when(at > 0, at - 1)
 
 

@@ -162,14 +162,19 @@ def select_json_object(raw: Column) -> Column:
 # Positions in the text
 
 
+def _lowered(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts with their lower-case form, made once per text and not once per needle."""
+    return texts.select(*keys, "body", F.lower("body").alias("low"))
+
+
 def locate_mentions(mentions: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """First occurrence ignoring case: ``start_position, end_position, context``; unchanged if absent.
 
     ``texts(keys, body)``. Each distinct text of a document is searched once.
     """
     needles = mentions.select(*keys, "text").distinct()
-    at = first_position(F.col("body"), F.col("text"))
-    found = needles.join(texts, keys).select(*keys, "text", "body", at.alias("at")).filter("at IS NOT NULL")
+    at = first_position(F.col("low"), F.col("text"))
+    found = needles.join(_lowered(texts, keys), keys).select(*keys, "text", "body", at.alias("at")).filter("at IS NOT NULL")
     end = F.col("at") + F.length("text")
     found = found.select(
         *keys, "text", F.col("at").alias("_start"), end.alias("_end"),
@@ -189,9 +194,9 @@ def locate_mentions(mentions: DataFrame, texts: DataFrame, keys: list[str]) -> D
 def locate_relations(relations: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """Context around both ends where both occur; otherwise the relation is unchanged."""
     ends = [*keys, "source_entity", "target_entity"]
-    a = first_position(F.col("body"), F.col("source_entity"))
-    b = first_position(F.col("body"), F.col("target_entity"))
-    found = relations.select(*ends).distinct().join(texts, keys).select(*ends, "body", a.alias("a"), b.alias("b")).dropna()
+    a = first_position(F.col("low"), F.col("source_entity"))
+    b = first_position(F.col("low"), F.col("target_entity"))
+    found = relations.select(*ends).distinct().join(_lowered(texts, keys), keys).select(*ends, "body", a.alias("a"), b.alias("b")).dropna()
     lo = F.least("a", "b")
     hi = F.greatest(F.col("a") + F.length("source_entity"), F.col("b") + F.length("target_entity"))
     found = found.select(*ends, window_of(F.col("body"), lo, hi, RELATION_MARGIN).alias("_context"))

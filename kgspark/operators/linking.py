@@ -127,8 +127,8 @@ def contains_search(
     best k entities are kept.
     """
     names = triples.filter(F.col("p").isin(LABEL_PREDICATES)).select(
-        F.col("s").alias("uri"), F.col("o").alias("label"), F.lower("o").alias("hay")
-    ).distinct()
+        F.col("s").alias("uri"), F.col("o").alias("label")
+    ).distinct().withColumns({"hay": F.lower("label"), "norm": normalize_text(F.col("label"))})
     keys = ["text", "entity_type"] if typed else ["text"]
     wanted = texts.select(*keys).distinct().withColumn("needle", F.lower("text")).withColumn(
         "q", normalize_text(F.col("text"))
@@ -136,7 +136,7 @@ def contains_search(
     pairs = contained_pairs(wanted.select("needle").distinct(), names.select("hay").distinct())
     hits = wanted.join(pairs, "needle").join(names, "hay")
     classes = triples.filter(F.col("p") == RDF_TYPE).select(F.col("s").alias("uri"), F.col("o").alias("class")).distinct()
-    hits = hits.withColumn("norm", normalize_text(F.col("label"))).withColumn("score", link_closed_form(F.col("q"), F.col("norm")))
+    hits = hits.withColumn("score", link_closed_form(F.col("q"), F.col("norm")))
     hits = hits.filter(F.col("score") >= min_score)
     if typed:
         allowed = F.transform(allowed_kg_types(F.col("entity_type")), lambda t: F.concat(F.lit(TYPES), t))

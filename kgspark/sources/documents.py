@@ -23,3 +23,12 @@ def _decode(content):
 
 def document_table(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select("doc_id", F.col(text).alias("text"), F.length(text).alias("total_chars"))
+
+
+def spread_small(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a table of fewer files than there are cores over all cores.
+
+    A small file is one task, whatever work follows. Tables of many files are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kgspark.functions.numbers import round_to
 from kgspark.operators.prepare import tokenize_spans
+from kgspark.sources.documents import spread_small
 from kgspark.vocab import (
     BASE, ENTITY_TYPES, PARENT_CLASSES, RDF_TYPE, RDFS_LABEL, RDFS_SUBCLASS, RELATIONS,
     RELATION_TYPES, SKOS_ALT, SKOS_PREF, TYPES,
@@ -22,8 +23,13 @@ PART_CLASSES = {
 }
 
 
+# Tables with much work per row, and the key they are spread by where they are one small file.
+FACTS = {"documents": "doc_id", "events": "event_id", "lineitem": "l_orderkey"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows, FACTS[name]) if name in FACTS else rows
 
 
 def pick(names: list[str], i: Column) -> Column:
@@ -40,6 +46,10 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def rows(df, src, subject, terms, graph=None):
         g = F.lit(graph).cast("string")
+        if len(terms) == 1:  # a plain projection, so that a filter on the predicate can drop the table
+            t = terms[0]
+            return df.select(subject.alias("s"), t["p"].alias("p"), t["o"].alias("o"), t["o_kind"].alias("o_kind"),
+                             g.alias("g"), F.lit(src).alias("src"))
         return df.select(subject.alias("s"), F.explode(F.array(*terms)).alias("t"), g.alias("g"),
                          F.lit(src).alias("src")).select("s", "t.p", "t.o", "t.o_kind", "g", "src")
 
