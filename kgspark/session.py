@@ -1,10 +1,8 @@
-"""Session settings and the shared folder for checkpoints."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -20,22 +18,3 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder named by ``spark.checkpoint.dir``.
-
-    The cluster's shared folder is used when the session names one. A local folder is only
-    set where nothing is configured and the master is local, as in tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", "")
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kgspark-"))
-    return df.checkpoint()
