@@ -171,7 +171,9 @@ def _score_tiles(k: int, threshold: float, contain: bool):
         best: dict[str, dict[str, _Best]] = {}
         for batch in batches:
             for queries, norms, sigs, reps in zip(batch["queries"], batch["norm"], batch["sig"], batch["rep"]):
-                block = _Block(norms)
+                # Labels of several signatures are bounded and scored once.
+                texts, text_no = np.unique(np.asarray(norms, dtype=object), return_inverse=True)
+                block = _Block(list(texts))
                 names, group = np.unique(np.asarray(sigs, dtype=object), return_inverse=True)
                 out: list[tuple[str, str, str, float]] = []
                 if len(best) > REMEMBERED:
@@ -179,14 +181,18 @@ def _score_tiles(k: int, threshold: float, contain: bool):
                 for q in queries:
                     known = best.setdefault(q, {})
                     found = [known.setdefault(n, _Best(k)) for n in names]
-                    bound = block.bounds(q)
+                    bound = block.bounds(q)[text_no]
+                    scored: dict[int, float] = {}
                     floors = np.maximum([f.floor for f in found], threshold) - SLACK
                     reach = np.flatnonzero(bound >= floors[group])
                     for i in reach[np.argsort(-bound[reach], kind="stable")]:
                         mine = found[group[i]]
                         if bound[i] + SLACK < mine.floor:
                             continue
-                        s = score(q, norms[i])
+                        t = text_no[i]
+                        if t not in scored:
+                            scored[t] = score(q, texts[t])
+                        s = scored[t]
                         if s >= threshold:
                             out.append((q, norms[i], sigs[i], s))
                             mine.add(reps[i], s)
@@ -229,7 +235,7 @@ def best_pairs(
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     label_blocks = _packed(
         labels.withColumn("band", _band(F.length("norm"))),
-        F.struct("norm", "sig", "rep"), "labels", LABELS_PER_BLOCK, ["norm", "sig"],
+        F.struct("norm", "sig", "rep"), "labels", LABELS_PER_BLOCK, ["norm"],
     )
     n = F.length("q")
     low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
