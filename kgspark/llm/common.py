@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder of spark.checkpoint.dir and cuts its lineage there.
-
-    Only a session on one machine without that setting (tests) gets a folder of its own.
-    """
+def _shared_folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir; only a session on one machine without it (tests) gets one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -29,9 +27,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and cuts its lineage there; Spark removes the files with the last use."""
+    _shared_folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like checkpoint, as a Parquet table: for results of which later steps read some columns only."""
+    path = f"{_shared_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def attach_groups(members: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """members joined to the one row that groups has for their key; groups[size] is the number of members.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import attach_groups, checkpoint
+from kgspark.llm.common import attach_groups, checkpoint, stored
 from kgspark.llm.components import components
 
 WORDS = 5
@@ -31,6 +31,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 SLICE = 1 << 20
 #: Shingles counted together when frequent ones are looked for, and the share of sets that makes one frequent.
 COUNTED, FREQUENT_SHARE = 1 << 21, 0.001
+#: Sets held against one copy of their centre when pairs are decided.
+MEMBERS = 4096
 #: Sets of one side of a tile that are compared at once.
 BLOCK = 1024
 #: Bits of a signature for every element of a set, as a power of two around it.
@@ -146,29 +148,31 @@ def _least(n: int) -> int:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0: id, set size, node) of every text, and (kind 1: shingle, sets of it here) of frequent shingles."""
-    shingler, held, sets = Shingler(), [], 0
+    """Rows (kind 0: id, set size, node, signature) of every text, and (kind 1: shingle, its sets here) of frequent shingles."""
+    shingler, held, sets, waiting = Shingler(), [], 0, 0
 
     def frequent() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held or [np.empty(0, U)]), return_counts=True)
         often = counts >= max(3, sets * FREQUENT_SHARE)
-        return _rows(1, values[often].astype(np.int64), counts[often], np.zeros(often.sum(), np.int64))
+        return _rows(1, values[often].astype(np.int64), counts[often], np.zeros(often.sum(), np.int64), [None] * often.sum())
 
-    def _rows(kind: int, *columns) -> pa.RecordBatch:
-        arrays = [pa.array(c, pa.int64()) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), kind, np.int32)), *arrays], ["kind", "a", "n", "node"])
+    def _rows(kind: int, a, n, node, bits) -> pa.RecordBatch:
+        arrays = [*(pa.array(c, pa.int64()) for c in (a, n, node)), pa.array(bits, pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), kind, np.int32)), *arrays], ["kind", "a", "n", "node", "signature"])
 
     for batch in batches:
-        sizes, nodes = [], []
+        sizes, nodes, bits = [], [], []
         for found in shingler.sets(batch.column("text")):
             sizes.append(len(found))
             nodes.append(_node(found) if len(found) else None)
+            bits.append(signature(found).tobytes() if len(found) else None)
             held.append(found)
             sets += 1
-            if sum(sizes[-1:]) and (sets & 63) == 0 and sum(map(len, held)) >= COUNTED:
+            waiting += len(found)
+            if waiting >= COUNTED:
                 yield frequent()
-                held, sets = [], 0
-        yield _rows(0, batch.column("doc_id").cast(pa.int64()), sizes, nodes)
+                held, sets, waiting = [], 0, 0
+        yield _rows(0, batch.column("doc_id").cast(pa.int64()), sizes, nodes, bits)
     yield frequent()
 
 
@@ -246,21 +250,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, elements, signature) of every text."""
-    shingler = Shingler()
-    for batch in batches:
-        nodes, elements, signatures = [], [], []
-        for found in shingler.sets(batch.column("text")):
-            if len(found):
-                nodes.append(_node(found))
-                elements.append(found.tobytes())
-                signatures.append(signature(found).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(elements, pa.binary()), pa.array(signatures, pa.binary())], ["node", "elements", "signature"]
-        )
-
-
 def signature(found: np.ndarray) -> np.ndarray:
     """A bitmap with one bit set for the low hash bits of each element; its width is a power of two."""
     width = 1 << max(6, (BITS_PER_ELEMENT * len(found) - 1).bit_length())
@@ -284,21 +273,46 @@ def _links(left: np.ndarray, right: np.ndarray) -> bool:
     return common * DENOMINATOR >= (len(left) + len(right) - common) * NUMERATOR
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) with both sets and signatures to those that link."""
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both signatures and sizes, those that may link by their bit counts.
+
+    Bits that differ are at most the elements that differ: common <= (total - differ) / 2, union = total - common.
+    """
     for batch in batches:
-        a, b, left, right, left_bits, right_bits = (batch.column(c) for c in ("a", "b", "left", "right", "left_bits", "right_bits"))
+        sizes = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
         kept = []
-        for i in range(len(batch)):
-            x, y = np.frombuffer(left_bits[i].as_buffer(), np.uint8), np.frombuffer(right_bits[i].as_buffer(), np.uint8)
+        for i, (left, right, total) in enumerate(zip(batch.column("bits_a"), batch.column("bits_b"), sizes, strict=True)):
+            x, y = np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8)
             size = min(len(x), len(y))
-            differ = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
-            total = (len(left[i].as_buffer()) + len(right[i].as_buffer())) // 8
-            # common <= (total - differ) / 2 and union = total - common
-            most = (total - differ) // 2
-            if most * DENOMINATOR >= (total - most) * NUMERATOR and _links(np.frombuffer(left[i].as_buffer(), U), np.frombuffer(right[i].as_buffer(), U)):
+            most = (total - int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())) // 2
+            kept.append(most * DENOMINATOR >= (total - most) * NUMERATOR)
+        yield batch.select(["a", "b", "first_a", "first_b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each row replaced by its sorted set; rows of another text with the same id go."""
+    shingler = Shingler()
+    for batch in batches:
+        found = list(shingler.sets(batch.column("text")))
+        asked = [b if a is None else a for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        right = pa.array([len(x) > 0 and _node(x) == node for x, node in zip(found, asked, strict=True)], pa.bool_())
+        rest = ["a", "b", "part"]
+        elements = pa.array([x.tobytes() for x in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], elements], [*rest, "elements"]).filter(right)
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (b, part, a), where the centre's row has no a: the pairs (a, b) that link."""
+    centre, held = None, None
+    for batch in batches:
+        kept = []
+        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            elements = np.frombuffer(batch.column("elements")[i].as_buffer(), U)
+            if a is None:
+                centre, held = b, elements.copy()
+            elif b == centre and _links(elements, held):
                 kept.append(i)
-        yield pa.RecordBatch.from_arrays([a.take(pa.array(kept, pa.int64())), b.take(pa.array(kept, pa.int64()))], ["a", "b"])
+        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,56 +355,71 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; each set is sent once for every pair it is in."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"), F.col("signature").alias("left_bits"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"), F.col("signature").alias("right_bits"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_decide, "a long, b long")
+def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link.
+
+    Only sets of pairs that the bit counts leave are made again from their texts. Each is sent once for every
+    pair, to its centre b, of which there is one copy for every MEMBERS pairs.
+    """
+    facts = nodes.select("node", "first", "n", "signature")
+    left = facts.toDF("a", "first_a", "n_a", "bits_a")
+    right = facts.toDF("b", "first_b", "n_b", "bits_b")
+    near = checkpoint(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "a long, b long, first_a long, first_b long"))
+    centres = near.groupBy("b").agg(F.min("first_b").alias("doc_id"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = attach_groups(near, near.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), F.count("*").alias("size")), "b", "size")
+    wanted = members.select(F.col("first_a").alias("doc_id"), "a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part")).unionByName(
+        centres.select("doc_id", F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    )
+    return (
+        texts.join(wanted, "doc_id")
+        .select("a", "b", "part", "text")
+        .mapInArrow(_sets, "a long, b long, part int, elements binary")
+        .repartition("b", "part")
+        .sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+        .mapInArrow(_decide, "a long, b long")
+    )
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for every row of docs (doc_id, text)."""
     texts = docs.select("doc_id", "text")
-    told = checkpoint(texts.mapInArrow(_summaries, "kind int, a long, n long, node long"))
+    told = stored(texts.mapInArrow(_summaries, "kind int, a long, n long, node long, signature binary"))
     rows = told.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "node")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
+    nodes = stored(
+        told.where("kind = 0 and node is not null")
+        .groupBy("node")
+        .agg(F.min("a").alias("first"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("signature").alias("signature"))
+    )
 
     # At most average set size / FREQUENT_SHARE shingles are frequent, whatever the number of texts.
     total = rows.count()
     often = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, total * FREQUENT_SHARE)).select("a").collect()
     often = np.sort(np.array([r[0] for r in often], np.int64).astype(U))
 
-    tiles = checkpoint(
+    tiles = stored(
         texts.mapInArrow(_prefixes(often), "shingle long, node long, n int")
         .repartition("shingle")
         .sortWithinPartitions("shingle", "n", "node")
         .mapInArrow(_shared, "shingle long, part int, stored boolean, node long, n int, centre long")
     )
-    wanted = tiles.select("node").distinct().join(nodes, "node").select(F.col("first").alias("doc_id")).distinct()
-    sets = checkpoint(
-        texts.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_full_sets, "node long, elements binary, signature binary")
-        .dropDuplicates(["node"])
-    )
-
     stars = tiles.where("stored and node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    first_links = checkpoint(_decided(stars, sets))
+    first_links = checkpoint(_decided(stars, nodes, texts))
     first = components(first_links)
 
-    classed = tiles.join(first.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = tiles.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tiles = classed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     pairs = (
         classed.join(open_tiles.select("shingle"), "shingle")
-        .join(sets.select("node", "signature"), "node")
+        .join(nodes.select("node", "signature"), "node")
         .repartition("shingle", "part")
         .sortWithinPartitions("shingle", "part", "n", "node")
         .mapInArrow(_tile_pairs, "a long, b long")
         .distinct()
     )
-    second_links = checkpoint(_decided(pairs, sets))
+    second_links = checkpoint(_decided(pairs, nodes, texts))
     final = components(first_links.unionByName(second_links))
 
-    named = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "first", "size").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("size").alias("members"))
     groups = attach_groups(named.select("node", "size", "component"), least, "component", "members").select("node", "size", "component_id")
     linked = attach_groups(rows.where("node is not null"), groups, "node", "size")
