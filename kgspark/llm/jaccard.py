@@ -4,8 +4,9 @@ Method: distinct sets meet in tiles (a prefix shingle, then size bands inside it
 the overlap of two sets of a tile from above by their bit counts; pairs that the bound leaves are decided by
 intersecting the sorted sets. Two rounds keep large groups of near copies linear: first every set of a tile is
 held against the band's first set, and those links give components; then only pairs of a tile that are still in
-different components are bounded and decided. No link between components is lost, because every pair that can
-reach the threshold shares a prefix shingle, and pairs inside a component cannot change it.
+different components are bounded and decided. No link between components is lost: prefixes are so long that two
+sets that link share at least _needed() of their shingles there, so sets that share fewer with all others together
+leave before any tile is worked on, and pairs inside a component cannot change it.
 
 Shingles and sets are known by 64-bit hashes. Rules for input: null text is empty; a text without words has an
 empty set and links with nothing; rows with equal sets are one node, whatever their ids; every input row gives
@@ -31,6 +32,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 SLICE = 1 << 20
 #: Shingles counted together when frequent ones are looked for, and the share of sets that makes one frequent.
 COUNTED, FREQUENT_SHARE = 1 << 21, 0.001
+#: A prefix is longer than one shared shingle asks for by this part of the set.
+EXTRA = 12
 #: Sets held against one copy of their centre when pairs are decided.
 MEMBERS = 4096
 #: Sets of one side of a tile that are compared at once.
@@ -147,6 +150,15 @@ def _least(n: int) -> int:
     return -(-n * NUMERATOR // DENOMINATOR)
 
 
+def _needed(n: int) -> int:
+    """Prefix shingles that a set of n elements shares with every set it links with.
+
+    Prefixes of a - least + k and b - least + k elements of two sets that link share k; the smaller of two that link
+    has at least _least(n) elements, and k follows from the smaller set.
+    """
+    return 1 + _least(n) // EXTRA
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0: id, set size, node, signature) of every text, and (kind 1: shingle, its sets here) of frequent shingles."""
     shingler, held, sets, waiting = Shingler(), [], 0, 0
@@ -191,7 +203,7 @@ def _prefixes(often: np.ndarray):
                     seen.clear()
                 seen.add(node)
                 late = often[np.minimum(np.searchsorted(often, found), len(often) - 1)] == found if len(often) else np.zeros(n, bool)
-                kept = np.concatenate((found[~late], found[late]))[: n - _least(n) + 1]
+                kept = np.concatenate((found[~late], found[late]))[: n - _least(n) + 1 + n // EXTRA]
                 keys.append(kept)
                 nodes.append((node, len(kept)))
                 sizes.append(n)
@@ -402,6 +414,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("shingle", "n", "node")
         .mapInArrow(_shared, "shingle long, part int, stored boolean, node long, n int, centre long")
     )
+    least = f"((n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    enough = tiles.where("stored").groupBy("node", "n").count().where(f"count >= 1 + {least} div {EXTRA}").select("node")
+    tiles = stored(tiles.join(enough, "node", "left_semi"))
     stars = tiles.where("stored and node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first_links = checkpoint(_decided(stars, nodes, texts))
     first = components(first_links)
