@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import jaccard
+from kgspark.llm import exact_dedup, jaccard, secrets
 from kgspark.llm.common import table
 
 
@@ -14,7 +14,50 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+
+
+def _secret_sql() -> str:
+    """Every kind's matches with their places: lengths of the pieces between matches, summed up to each match."""
+    kinds = []
+    for rank, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(f"""
+        SELECT doc_id, k, {rank} AS rank, '{rule.kind}' AS kind,
+               list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS first,
+               length(found[k]) AS size, length(groups[k]) AS value, {rule.least} AS least, {rule.base} AS base
+        FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS found,
+                     regexp_extract_all(t, '{pattern}', {rule.group}) AS groups, unnest(range(1, len(found) + 1)) AS k
+              FROM texts)""")
+    told = "kind || ':' || first::BIGINT || ':' || (first + size)::BIGINT"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.RULES if r.base)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.RULES if r.base)
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    spans AS (SELECT * FROM ({" UNION ALL ".join(kinds)}) WHERE value >= least),
+    per AS (SELECT doc_id, {counts}, string_agg({told}, ',' ORDER BY first, rank) FILTER (base) AS b,
+                   string_agg({told}, ',' ORDER BY first, rank) AS spans
+            FROM spans GROUP BY doc_id)
+    SELECT doc_id, {zeros}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM texts LEFT JOIN per USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op7_secret_scan": _secret_sql(),
+    "op9_exact_dedup": r"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+    g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
 }
-ORACLES: dict[str, str] = {}
