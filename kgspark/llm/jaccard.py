@@ -3,7 +3,7 @@
 Method: distinct sets meet in tiles (a prefix shingle, then size bands inside it). Hashed bitmap signatures bound
 the overlap of two sets of a tile from above by their bit counts; pairs that the bound leaves are decided by
 intersecting the sorted sets. Two rounds keep large groups of near copies linear: first every set of a tile is
-held against the band's first set, and those links give components; then only pairs of a tile that are still in
+held against the tile's most central sets, and those links give components; then only pairs that are still in
 different components are bounded and decided. No link between components is lost: prefixes are so long that two
 sets that link share at least _needed() of their shingles there, so sets that share fewer with all others together
 leave before any tile is worked on, and pairs inside a component cannot change it.
@@ -36,10 +36,14 @@ COUNTED, FREQUENT_SHARE = 1 << 21, 0.001
 EXTRA = 12
 #: Sets held against one copy of their centre when pairs are decided.
 MEMBERS = 4096
+#: Bits of the map that keeps most other texts from being sent when a few are picked (1 MB).
+PICK_BITS = 1 << 23
+#: Centres of a tile in the first round.
+CENTRES = 3
 #: Sets of one side of a tile that are compared at once.
 BLOCK = 1024
 #: Bits of a signature for every element of a set, as a power of two around it.
-BITS_PER_ELEMENT = 4
+BITS_PER_ELEMENT = 2
 U = np.uint64
 
 
@@ -160,31 +164,30 @@ def _needed(n: int) -> int:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0: id, set size, node, signature) of every text, and (kind 1: shingle, its sets here) of frequent shingles."""
+    """Rows (kind 0: id, set size, node) of every text, and (kind 1: shingle, its sets here) of frequent shingles."""
     shingler, held, sets, waiting = Shingler(), [], 0, 0
 
     def frequent() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held or [np.empty(0, U)]), return_counts=True)
         often = counts >= max(3, sets * FREQUENT_SHARE)
-        return _rows(1, values[often].astype(np.int64), counts[often], np.zeros(often.sum(), np.int64), [None] * often.sum())
+        return _rows(1, values[often].astype(np.int64), counts[often], np.zeros(often.sum(), np.int64))
 
-    def _rows(kind: int, a, n, node, bits) -> pa.RecordBatch:
-        arrays = [*(pa.array(c, pa.int64()) for c in (a, n, node)), pa.array(bits, pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), kind, np.int32)), *arrays], ["kind", "a", "n", "node", "signature"])
+    def _rows(kind: int, *columns) -> pa.RecordBatch:
+        arrays = [pa.array(c, pa.int64()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), kind, np.int32)), *arrays], ["kind", "a", "n", "node"])
 
     for batch in batches:
-        sizes, nodes, bits = [], [], []
+        sizes, nodes = [], []
         for found in shingler.sets(batch.column("text")):
             sizes.append(len(found))
             nodes.append(_node(found) if len(found) else None)
-            bits.append(signature(found).tobytes() if len(found) else None)
             held.append(found)
             sets += 1
             waiting += len(found)
             if waiting >= COUNTED:
                 yield frequent()
                 held, sets, waiting = [], 0, 0
-        yield _rows(0, batch.column("doc_id").cast(pa.int64()), sizes, nodes, bits)
+        yield _rows(0, batch.column("doc_id").cast(pa.int64()), sizes, nodes)
     yield frequent()
 
 
@@ -220,46 +223,53 @@ def _prefixes(often: np.ndarray):
     return run
 
 
+TILE_ROWS = "shingle long, part int, stored boolean, node long, n int, met int"
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of (shingle, n, node): the tiles of shingles that more than one set has.
 
-    A shingle's sets are cut in that order into parts of BLOCK sets. A set comes back once as stored in its own
-    part, and once more for every earlier part that holds sets large enough to link with it. centre is the first
-    set of the size band; a band ends where a set is too large to link with its centre. Between batches only the
-    row before, the centre and one (part, largest size) for each part within reach are held.
+    A shingle's sets are cut in that order into parts of at most BLOCK sets. A set comes back once as stored in its
+    own part (met: the sets of the part), and once more for every earlier part that holds sets large enough to link
+    with it. Between batches one part is held, and (part, largest size) of each part within reach.
     """
-    now = before = None
+    now, held, part, reach, out = None, [], 0, [], []
+
+    def flush() -> None:
+        if part or len(held) > 1:
+            out.extend((now, part, True, x, m, len(held)) for x, m in held)
+
+    def told() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shingle", "part", "stored", "node", "n", "met"])
+
     for batch in batches:
         key, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(key):
             continue
-        out: list[tuple] = []
         same = np.append(now is not None and now == key[0], key[1:] == key[:-1])
-        follows = np.append(same[1:], True)
-        for i in np.flatnonzero(same | follows).tolist():
-            k, x, m = int(key[i]), int(node[i]), int(n[i])
+        for i in np.flatnonzero(same | np.append(same[1:], True)).tolist():
+            x, m = int(node[i]), int(n[i])
             if not same[i]:
-                now, before, count, told = k, (x, m), 1, False
-                centre, size, parts = x, m, [[0, m]]
+                flush()
+                now, held, part, reach = int(key[i]), [(x, m)], 0, []
                 continue
-            if x == before[0]:
+            if x == held[-1][0]:
                 continue  # the same set from another task
-            if not told:
-                out.append((k, 0, True, before[0], before[1], centre))
-                told = True
-            if _least(m) > size:
-                centre, size = x, m
-            part = count // BLOCK
-            count += 1
-            before = (x, m)
-            parts = [p for p in parts if p[1] >= _least(m) and p[0] < part] + [[part, m]]
-            out.extend((k, p[0], p[0] == part, x, m, centre) for p in parts)
-        now = int(key[-1])
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shingle", "part", "stored", "node", "n", "centre"]
-        )
+            if len(held) == BLOCK:
+                flush()
+                reach, held, part = [*reach, (part, held[-1][1])], [], part + 1
+            reach = [p for p in reach if p[1] >= _least(m)]
+            out.extend((now, p, False, x, m, 0) for p, _ in reach)
+            held.append((x, m))
+        if not same[-1] and now != key[-1]:
+            flush()
+            now, held, part, reach = int(key[-1]), [(int(node[-1]), int(n[-1]))], 0, []
+        yield told()
+    flush()
+    yield told()
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -285,6 +295,17 @@ def _links(left: np.ndarray, right: np.ndarray) -> bool:
     return common * DENOMINATOR >= (len(left) + len(right) - common) * NUMERATOR
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, node, n, signature) of texts."""
+    shingler = Shingler()
+    for batch in batches:
+        found = list(shingler.sets(batch.column("text")))
+        nodes = pa.array([_node(x) if len(x) else None for x in found], pa.int64())
+        bits = pa.array([signature(x).tobytes() if len(x) else None for x in found], pa.binary())
+        sizes = pa.array([len(x) for x in found], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), nodes, sizes, bits], ["doc_id", "node", "n", "signature"])
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both signatures and sizes, those that may link by their bit counts.
 
@@ -293,7 +314,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
         kept = []
-        for i, (left, right, total) in enumerate(zip(batch.column("bits_a"), batch.column("bits_b"), sizes, strict=True)):
+        for left, right, total in zip(batch.column("bits_a"), batch.column("bits_b"), sizes, strict=True):
             x, y = np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8)
             size = min(len(x), len(y))
             most = (total - int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())) // 2
@@ -301,6 +322,27 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "first_a", "first_b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts with an id of ids (doc_id), and a few more: an exact join follows and ships little.
+
+    The ids set bits of a map of PICK_BITS bits, whatever their number; a row whose bit is not set is left out.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(PICK_BITS))
+    words = ids.select(place.alias("p")).select(F.expr("p div 64").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
+    held = np.zeros(PICK_BITS // 64, np.int64)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        held[row["word"]] = row["bits"]
+    held = held.view(U)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("place").to_numpy(zero_copy_only=False)
+            kept = (held[p // 64] >> (p % 64).astype(U)) & U(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(kept.astype(bool)))
+
+    return texts.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each row replaced by its sorted set; rows of another text with the same id go."""
     shingler = Shingler()
@@ -327,63 +369,91 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile in different components that the bit counts leave.
+def _told(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _centre_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From tiles in order of (shingle, part): pairs of a set and one of its tile's CENTRES sets of the highest score."""
+    now, nodes, sizes, scores = None, [], [], []
+
+    def centred() -> list[np.ndarray]:
+        x, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
+        out = []
+        for c in np.argsort(-np.array(scores), kind="stable")[:CENTRES].tolist():
+            fit = (np.minimum(n, n[c]) * DENOMINATOR >= np.maximum(n, n[c]) * NUMERATOR) & (x != x[c])
+            out.append(np.stack((x[fit], np.full(fit.sum(), x[c])), axis=1))
+        return out
+
+    for batch in batches:
+        found = []
+        for shingle, part, node, n, score in zip(*(batch.column(c).to_pylist() for c in ("shingle", "part", "node", "n", "score")), strict=True):
+            if (shingle, part) != now:
+                found += centred()
+                now, nodes, sizes, scores = (shingle, part), [], [], []
+            nodes.append(node)
+            sizes.append(n)
+            scores.append(score)
+        yield _told(found)
+    yield _told(centred())
 
-    Rows come in order of (shingle, part, n, node). At most BLOCK stored sets of one tile are held, by width of
-    their signatures; every set is held against those before it.
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From tiles in order of (shingle, part, n, node): pairs in different components that the bit counts leave.
+
+    The at most BLOCK stored sets of one tile are held, by width of their signatures; every set is held against
+    those before it. A pair comes once a batch.
     """
     now, held = None, {}
     for batch in batches:
-        columns = [batch.column(c) for c in ("shingle", "part", "node", "n", "component", "stored")]
-        found_a, found_b = [], []
-        for (shingle, part, node, n, component, stored), bits in zip(zip(*(c.to_pylist() for c in columns), strict=True), batch.column("signature"), strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("shingle", "part", "node", "n", "component", "stored")]
+        found = []
+        for (shingle, part, node, n, component, stored_here), bits in zip(zip(*columns, strict=True), batch.column("signature"), strict=True):
             if (shingle, part) != now:
                 now, held = (shingle, part), {}
             bitmap = np.frombuffer(bits.as_buffer(), np.uint8)
             for width, (facts, theirs, count) in held.items():
                 size = min(width, len(bitmap))
-                facts, theirs = facts[:count], theirs[:count]
+                facts = facts[:count]
                 near = np.flatnonzero((facts[:, 1] >= _least(n)) & (facts[:, 2] != component) & (facts[:, 0] != node))
                 if not len(near):
                     continue
-                theirs = theirs[near]
-                while theirs.shape[1] > size:
-                    half = theirs.shape[1] // 2
-                    theirs = theirs[:, :half] | theirs[:, half:]
-                differ = np.bitwise_count(theirs ^ _folded(bitmap, size)).sum(axis=1, dtype=np.int64)
+                others = theirs[near]
+                while others.shape[1] > size:
+                    half = others.shape[1] // 2
+                    others = others[:, :half] | others[:, half:]
+                differ = np.bitwise_count(others ^ _folded(bitmap, size)).sum(axis=1, dtype=np.int64)
                 total = facts[near, 1] + n
                 most = (total - differ) // 2
-                left = near[most * DENOMINATOR >= (total - most) * NUMERATOR]
-                found_a.extend([node] * len(left))
-                found_b.extend(facts[left, 0].tolist())
-            if stored:
+                left = facts[near[most * DENOMINATOR >= (total - most) * NUMERATOR], 0]
+                found.append(np.stack((np.maximum(left, node), np.minimum(left, node)), axis=1))
+            if stored_here:
                 facts, theirs, count = held.get(len(bitmap)) or (np.empty((16, 3), np.int64), np.empty((16, len(bitmap)), np.uint8), 0)
                 if count == len(facts):
                     facts, theirs = np.concatenate((facts, np.empty_like(facts))), np.concatenate((theirs, np.empty_like(theirs)))
                 facts[count], theirs[count] = (node, n, component), bitmap
                 held[len(bitmap)] = (facts, theirs, count + 1)
-        a, b = np.maximum(found_a, found_b).astype(np.int64), np.minimum(found_a, found_b).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield _told(found)
 
 
-def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link.
+def _decided(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link; facts are (node, doc_id, n, signature).
 
     Only sets of pairs that the bit counts leave are made again from their texts. Each is sent once for every
     pair, to its centre b, of which there is one copy for every MEMBERS pairs.
     """
-    facts = nodes.select("node", "first", "n", "signature")
-    left = facts.toDF("a", "first_a", "n_a", "bits_a")
-    right = facts.toDF("b", "first_b", "n_b", "bits_b")
+    left, right = facts.toDF("a", "first_a", "n_a", "bits_a"), facts.toDF("b", "first_b", "n_b", "bits_b")
     near = checkpoint(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "a long, b long, first_a long, first_b long"))
-    centres = near.groupBy("b").agg(F.min("first_b").alias("doc_id"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    members = attach_groups(near, near.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), F.count("*").alias("size")), "b", "size")
+    parts = F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")
+    centres = near.groupBy("b").agg(F.min("first_b").alias("doc_id"), parts)
+    members = attach_groups(near, near.groupBy("b").agg(parts, F.count("*").alias("size")), "b", "size")
     wanted = members.select(F.col("first_a").alias("doc_id"), "a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part")).unionByName(
         centres.select("doc_id", F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     )
     return (
-        texts.join(wanted, "doc_id")
+        _picked(texts, wanted.select("doc_id"))
+        .join(wanted, "doc_id")
         .select("a", "b", "part", "text")
         .mapInArrow(_sets, "a long, b long, part int, elements binary")
         .repartition("b", "part")
@@ -392,49 +462,69 @@ def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _sharing(tiles: DataFrame, *sums) -> DataFrame:
+    """(node, n, ...) of the sets that are stored in enough of the tiles to link with another set."""
+    least = f"((n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    held = tiles.where("stored").groupBy("node", "n").agg(F.count("*").alias("shared"), *sums)
+    return held.where(f"shared >= 1 + {least} div {EXTRA}").drop("shared")
+
+
+def _tiles(texts: DataFrame, often: np.ndarray) -> DataFrame:
+    """The rows of all tiles, of sets that share enough prefix shingles with others; score: how central a set is."""
+    tiles = stored(
+        texts.mapInArrow(_prefixes(often), "shingle long, node long, n int")
+        .repartition("shingle")
+        .sortWithinPartitions("shingle", "n", "node")
+        .mapInArrow(_shared, TILE_ROWS)
+    )
+    enough = _sharing(tiles, F.sum("met").alias("met")).select("node", (F.col("met") / F.col("n")).alias("score"))
+    return stored(tiles.drop("met").join(enough, "node"))
+
+
+def _centred(tiles: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets with the centres of their tiles."""
+    rows = tiles.where("stored").select("shingle", "part", "node", "n", "score")
+    return rows.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "node").mapInArrow(_centre_pairs, "a long, b long").distinct()
+
+
+def _still_open(tiles: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the components (node, component) leave open.
+
+    A set that links with another component shares enough shingles with it, so it is in enough mixed tiles.
+    """
+    rows = tiles.drop("score").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    rows = stored(rows.join(mixed.select("shingle"), "shingle"))
+    rows = rows.join(_sharing(rows).select("node"), "node").join(facts.select("node", "signature"), "node")
+    ordered = rows.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "node")
+    return ordered.mapInArrow(_open_pairs, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for every row of docs (doc_id, text)."""
     texts = docs.select("doc_id", "text")
-    told = stored(texts.mapInArrow(_summaries, "kind int, a long, n long, node long, signature binary"))
+    told = stored(texts.mapInArrow(_summaries, "kind int, a long, n long, node long"))
     rows = told.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "node")
-    nodes = stored(
-        told.where("kind = 0 and node is not null")
-        .groupBy("node")
-        .agg(F.min("a").alias("first"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("signature").alias("signature"))
-    )
+    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")))
 
     # At most average set size / FREQUENT_SHARE shingles are frequent, whatever the number of texts.
     total = rows.count()
     often = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, total * FREQUENT_SHARE)).select("a").collect()
     often = np.sort(np.array([r[0] for r in often], np.int64).astype(U))
 
-    tiles = stored(
-        texts.mapInArrow(_prefixes(often), "shingle long, node long, n int")
-        .repartition("shingle")
-        .sortWithinPartitions("shingle", "n", "node")
-        .mapInArrow(_shared, "shingle long, part int, stored boolean, node long, n int, centre long")
-    )
-    least = f"((n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR})"
-    enough = tiles.where("stored").groupBy("node", "n").count().where(f"count >= 1 + {least} div {EXTRA}").select("node")
-    tiles = stored(tiles.join(enough, "node", "left_semi"))
-    stars = tiles.where("stored and node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    first_links = checkpoint(_decided(stars, nodes, texts))
-    first = components(first_links)
-
-    classed = tiles.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_tiles = classed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    pairs = (
-        classed.join(open_tiles.select("shingle"), "shingle")
-        .join(nodes.select("node", "signature"), "node")
-        .repartition("shingle", "part")
-        .sortWithinPartitions("shingle", "part", "n", "node")
-        .mapInArrow(_tile_pairs, "a long, b long")
-        .distinct()
+    tiles = _tiles(texts, often)
+    wanted = checkpoint(tiles.select("node").distinct().join(nodes.select("node", F.col("first").alias("doc_id")), "node"))
+    facts = stored(
+        _picked(texts, wanted.select("doc_id"))
+        .mapInArrow(_signatures, "doc_id long, node long, n int, signature binary")
+        .join(wanted, ["node", "doc_id"])
+        .dropDuplicates(["node"])
+        .select("node", "doc_id", "n", "signature")
     )
-    second_links = checkpoint(_decided(pairs, nodes, texts))
-    final = components(first_links.unionByName(second_links))
+    links = checkpoint(_decided(_centred(tiles), facts, texts))
+    links = links.unionByName(checkpoint(_decided(_still_open(tiles, facts, components(links)), facts, texts)))
 
-    named = nodes.select("node", "first", "size").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("size").alias("members"))
     groups = attach_groups(named.select("node", "size", "component"), least, "component", "members").select("node", "size", "component_id")
     linked = attach_groups(rows.where("node is not null"), groups, "node", "size")
