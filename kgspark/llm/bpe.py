@@ -14,6 +14,7 @@ one output row with its columns and the new one (which replaces a column of the
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,14 +44,17 @@ class ByteBpe:
 
     def _merged(self, data: bytes) -> list[int]:
         """Merges by rank, lowest first and leftmost among equals, until none is left."""
+        rank_of, never = self.ranks.get, 1 << 40
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranks = [self.ranks.get(parts[i] + parts[i + 1], 1 << 40) for i in range(len(parts) - 1)]
-            least = min(ranks)
-            if least == 1 << 40:
-                break
+        ranks = [rank_of(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) < never:
             at = ranks.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of(parts[at - 1] + parts[at], never)
+            if at < len(ranks):
+                ranks[at] = rank_of(parts[at] + parts[at + 1], never)
         return [self.ranks[p] for p in parts]
 
     def _stable(self, left: int, right: int) -> bool:
@@ -75,7 +79,7 @@ class ByteBpe:
     def _code(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
         ids = [self.ranks[data]] if data in self.ranks else self._halved(data)
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     # Between pieces
 
@@ -84,10 +88,12 @@ class ByteBpe:
         if None in codes:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            for piece in {p for p, c in zip(pieces, codes, strict=True) if c is None}:
-                self.known[piece] = self._code(piece)
-            missing = {p: self._code(p) for p in set(pieces) - self.known.keys()}
-            codes = [self.known.get(p) or missing[p] for p in pieces]
+            for i, code in enumerate(codes):
+                if code is None:
+                    piece = pieces[i]
+                    if (code := self.known.get(piece)) is None:
+                        code = self.known[piece] = self._code(piece)
+                    codes[i] = code
         return codes
 
     def _join(self, left: tuple[list[str], list[bytes]], right: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:

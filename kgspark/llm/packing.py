@@ -29,7 +29,7 @@ END_ID = 0
 #: Parts that the pieces of one length are ranked in.
 SALTS = 256
 #: Words whose ids a task remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 class WordIds:
@@ -51,7 +51,7 @@ class WordIds:
             if len(self.known) > REMEMBERED:
                 self.known = {"": b""}
             new = list({w for w in words if w not in self.known})
-            for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(code.ids, "<u4").tobytes()
             codes = list(map(self.known.get, words))
         codes.append(END_ID.to_bytes(4, "little"))
