@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(df: DataFrame) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_shared_folder(df)}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like checkpoint, as a Parquet table: for results of which later steps read some columns only."""
-    path = f"{_shared_folder(df)}/{uuid.uuid4().hex}"
+    path = new_folder(df)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: Bytes of one column that a Python task works on at once; one longer value is taken alone.
+WORKED = 8 << 20
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut into portions of about WORKED bytes of a string or binary column."""
+    for batch in batches:
+        at = 0
+        while at < len(batch):
+            rest = batch.column(column)[at:]
+            size = max(1, rest.nbytes)
+            rows = len(rest) if size <= WORKED else max(1, len(rest) * WORKED // size)
+            while rows > 1 and rest[:rows].nbytes > 2 * WORKED:
+                rows //= 2
+            yield batch.slice(at, rows)
+            at += rows
+
+
 def attach_groups(members: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """members joined to the one row that groups has for their key; groups[size] is the number of members.
 

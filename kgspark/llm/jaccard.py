@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import attach_groups, checkpoint, stored
+from kgspark.llm.common import attach_groups, checkpoint, portions, stored
 from kgspark.llm.components import components
 
 WORDS = 5
@@ -40,6 +40,8 @@ MEMBERS = 4096
 PICK_BITS = 1 << 23
 #: Centres of a tile in the first round.
 CENTRES = 3
+#: Bytes of signatures that are compared at once.
+PORTION = 4 << 20
 #: Sets of one side of a tile that are compared at once.
 BLOCK = 1024
 #: Bits of a signature for every element of a set, as a power of two around it.
@@ -176,7 +178,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(c, pa.int64()) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), kind, np.int32)), *arrays], ["kind", "a", "n", "node"])
 
-    for batch in batches:
+    for batch in portions(batches, "text"):
         sizes, nodes = [], []
         for found in shingler.sets(batch.column("text")):
             sizes.append(len(found))
@@ -196,7 +198,7 @@ def _prefixes(often: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             keys, nodes, sizes = [np.empty(0, U)], [], []
             for found in shingler.sets(batch.column("text")):
                 n = len(found)
@@ -280,11 +282,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _folded(bitmap: np.ndarray, size: int) -> np.ndarray:
-    """The bitmap of the same set at a smaller width."""
-    while len(bitmap) > size:
-        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
-    return bitmap
+def _folded(bitmaps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps of the same sets at a smaller width."""
+    while (width := bitmaps.shape[1]) > size:
+        bitmaps = bitmaps[:, : width // 2] | bitmaps[:, width // 2 :]
+    return bitmaps
 
 
 def _links(left: np.ndarray, right: np.ndarray) -> bool:
@@ -298,7 +300,7 @@ def _links(left: np.ndarray, right: np.ndarray) -> bool:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, node, n, signature) of texts."""
     shingler = Shingler()
-    for batch in batches:
+    for batch in portions(batches, "text"):
         found = list(shingler.sets(batch.column("text")))
         nodes = pa.array([_node(x) if len(x) else None for x in found], pa.int64())
         bits = pa.array([signature(x).tobytes() if len(x) else None for x in found], pa.binary())
@@ -306,24 +308,44 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), nodes, sizes, bits], ["doc_id", "node", "n", "signature"])
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both signatures and sizes, those that may link by their bit counts.
+def _may_link(bits: list[pa.Array], sizes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the sets at rows left of the first and right of the second side may link by their bit counts.
 
     Bits that differ are at most the elements that differ: common <= (total - differ) / 2, union = total - common.
     """
+    total = sizes[0][left] + sizes[1][right]
+    differ = np.empty(len(left), np.int64)
+    widths, packed, raw = [], [], []
+    for side in bits:
+        offsets = np.frombuffer(side.buffers()[1], np.int32)[side.offset : side.offset + len(side) + 1].astype(np.int64)
+        widths.append(np.diff(offsets))
+        packed.append(offsets[:-1])
+        raw.append(np.frombuffer(side.buffers()[2] or b"", np.uint8))
+    a, b = widths[0][left], widths[1][right]
+    for x, y in np.unique(np.stack((a, b), axis=1), axis=0).tolist():
+        rows = np.flatnonzero((a == x) & (b == y))
+        step = max(1, PORTION // max(x, y))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            first = raw[0][packed[0][left[some]][:, None] + np.arange(x)]
+            second = raw[1][packed[1][right[some]][:, None] + np.arange(y)]
+            size = min(x, y)
+            differ[some] = np.bitwise_count(_folded(first, size) ^ _folded(second, size)).sum(axis=1, dtype=np.int64)
+    most = (total - differ) // 2
+    return most * DENOMINATOR >= (total - most) * NUMERATOR
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both signatures and sizes, those that may link by their bit counts."""
     for batch in batches:
-        sizes = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
-        kept = []
-        for left, right, total in zip(batch.column("bits_a"), batch.column("bits_b"), sizes, strict=True):
-            x, y = np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8)
-            size = min(len(x), len(y))
-            most = (total - int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())) // 2
-            kept.append(most * DENOMINATOR >= (total - most) * NUMERATOR)
+        rows = np.arange(len(batch))
+        sizes = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
+        kept = _may_link([batch.column("bits_a"), batch.column("bits_b")], sizes, rows, rows)
         yield batch.select(["a", "b", "first_a", "first_b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts with an id of ids (doc_id), and a few more: an exact join follows and ships little.
+def _picked(texts: DataFrame, ids: DataFrame, then=iter, schema: str = "doc_id long, text string") -> DataFrame:
+    """The rows of texts with an id of ids (doc_id), and a few more, mapped by then: an exact join follows and ships little.
 
     The ids set bits of a map of PICK_BITS bits, whatever their number; a row whose bit is not set is left out.
     """
@@ -334,19 +356,20 @@ def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
         held[row["word"]] = row["bits"]
     held = held.view(U)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("place").to_numpy(zero_copy_only=False)
             kept = (held[p // 64] >> (p % 64).astype(U)) & U(1)
             yield batch.select(["doc_id", "text"]).filter(pa.array(kept.astype(bool)))
 
-    return texts.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
+    rows = texts.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place"))
+    return rows.mapInArrow(lambda batches: then(pick(batches)), schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each row replaced by its sorted set; rows of another text with the same id go."""
     shingler = Shingler()
-    for batch in batches:
+    for batch in portions(batches, "text"):
         found = list(shingler.sets(batch.column("text")))
         asked = [b if a is None else a for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
         right = pa.array([len(x) > 0 and _node(x) == node for x, node in zip(found, asked, strict=True)], pa.bool_())
@@ -369,72 +392,70 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def _told(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+def _pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, the larger node first where they are not centres."""
+    pairs = np.unique(np.stack((left, right), axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _centre_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From tiles in order of (shingle, part): pairs of a set and one of its tile's CENTRES sets of the highest score."""
-    now, nodes, sizes, scores = None, [], [], []
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches in order of (shingle, part) cut so that no tile is in two, each with the starts of its tiles."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None and len(held):
+            batch = pa.concat_batches([held, batch])
+        if not len(batch):
+            continue
+        shingle, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "part"))
+        starts = np.append(0, np.flatnonzero((shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])) + 1)
+        held = batch.slice(int(starts[-1]))
+        if len(starts) > 1:
+            yield batch.slice(0, int(starts[-1])), starts[:-1]
+    if held is not None and len(held):
+        yield held, np.zeros(1, np.int64)
 
-    def centred() -> list[np.ndarray]:
-        x, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
-        out = []
-        for c in np.argsort(-np.array(scores), kind="stable")[:CENTRES].tolist():
-            fit = (np.minimum(n, n[c]) * DENOMINATOR >= np.maximum(n, n[c]) * NUMERATOR) & (x != x[c])
-            out.append(np.stack((x[fit], np.full(fit.sum(), x[c])), axis=1))
-        return out
 
-    for batch in batches:
-        found = []
-        for shingle, part, node, n, score in zip(*(batch.column(c).to_pylist() for c in ("shingle", "part", "node", "n", "score")), strict=True):
-            if (shingle, part) != now:
-                found += centred()
-                now, nodes, sizes, scores = (shingle, part), [], [], []
-            nodes.append(node)
-            sizes.append(n)
-            scores.append(score)
-        yield _told(found)
-    yield _told(centred())
+def _centre_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From tiles in order of (shingle, part): pairs of a set and one of its tile's CENTRES sets of the highest score."""
+    for batch, starts in _whole_tiles(batches):
+        node, n, score = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "score"))
+        sizes = np.diff(np.append(starts, len(batch)))
+        order = np.lexsort((node, -score, np.repeat(np.arange(len(starts)), sizes)))
+        node, n = node[order], n[order].astype(np.int64)
+        left, right = [], []
+        for c in range(CENTRES):
+            centre = np.repeat(np.where(sizes > c, starts + c, starts), sizes)
+            fit = (np.minimum(n, n[centre]) * DENOMINATOR >= np.maximum(n, n[centre]) * NUMERATOR) & (node != node[centre])
+            left.append(node[fit])
+            right.append(node[centre[fit]])
+        yield _pairs(np.concatenate(left), np.concatenate(right))
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From tiles in order of (shingle, part, n, node): pairs in different components that the bit counts leave.
 
-    The at most BLOCK stored sets of one tile are held, by width of their signatures; every set is held against
-    those before it. A pair comes once a batch.
+    A tile's at most BLOCK stored sets are held against all sets of the tile after them; a pair comes once a batch.
     """
-    now, held = None, {}
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("shingle", "part", "node", "n", "component", "stored")]
-        found = []
-        for (shingle, part, node, n, component, stored_here), bits in zip(zip(*columns, strict=True), batch.column("signature"), strict=True):
-            if (shingle, part) != now:
-                now, held = (shingle, part), {}
-            bitmap = np.frombuffer(bits.as_buffer(), np.uint8)
-            for width, (facts, theirs, count) in held.items():
-                size = min(width, len(bitmap))
-                facts = facts[:count]
-                near = np.flatnonzero((facts[:, 1] >= _least(n)) & (facts[:, 2] != component) & (facts[:, 0] != node))
-                if not len(near):
-                    continue
-                others = theirs[near]
-                while others.shape[1] > size:
-                    half = others.shape[1] // 2
-                    others = others[:, :half] | others[:, half:]
-                differ = np.bitwise_count(others ^ _folded(bitmap, size)).sum(axis=1, dtype=np.int64)
-                total = facts[near, 1] + n
-                most = (total - differ) // 2
-                left = facts[near[most * DENOMINATOR >= (total - most) * NUMERATOR], 0]
-                found.append(np.stack((np.maximum(left, node), np.minimum(left, node)), axis=1))
-            if stored_here:
-                facts, theirs, count = held.get(len(bitmap)) or (np.empty((16, 3), np.int64), np.empty((16, len(bitmap)), np.uint8), 0)
-                if count == len(facts):
-                    facts, theirs = np.concatenate((facts, np.empty_like(facts))), np.concatenate((theirs, np.empty_like(theirs)))
-                facts[count], theirs[count] = (node, n, component), bitmap
-                held[len(bitmap)] = (facts, theirs, count + 1)
-        yield _told(found)
+    for batch, starts in _whole_tiles(batches):
+        node, n, component, stored_here = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component", "stored"))
+        n = n.astype(np.int64)
+        tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(batch))))
+        found = [np.empty((0, 2), np.int64)]
+        rows = np.flatnonzero(stored_here.astype(bool))
+        step = 1
+        while len(rows):
+            rows = rows[rows + step < len(batch)]
+            rows = rows[(tile[rows + step] == tile[rows]) & (n[rows] * DENOMINATOR >= n[rows + step] * NUMERATOR)]
+            other = rows[(component[rows + step] != component[rows]) & (node[rows + step] != node[rows])]
+            found.append(np.stack((other, other + step), axis=1))
+            step += 1
+        pairs = np.concatenate(found)
+        named = np.sort(np.stack((node[pairs[:, 0]], node[pairs[:, 1]]), axis=1), axis=1)
+        pairs = pairs[np.unique(named, axis=0, return_index=True)[1]]
+        bits = batch.column("signature")
+        kept = pairs[_may_link([bits, bits], [n, n], pairs[:, 0], pairs[:, 1])]
+        a, b = node[kept[:, 0]], node[kept[:, 1]]
+        yield _pairs(np.maximum(a, b), np.minimum(a, b))
 
 
 def _decided(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -515,8 +536,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tiles = _tiles(texts, often)
     wanted = checkpoint(tiles.select("node").distinct().join(nodes.select("node", F.col("first").alias("doc_id")), "node"))
     facts = stored(
-        _picked(texts, wanted.select("doc_id"))
-        .mapInArrow(_signatures, "doc_id long, node long, n int, signature binary")
+        _picked(texts, wanted.select("doc_id"), _signatures, "doc_id long, node long, n int, signature binary")
         .join(wanted, ["node", "doc_id"])
         .dropDuplicates(["node"])
         .select("node", "doc_id", "n", "signature")
