@@ -16,13 +16,14 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import checkpoint
+from kgspark.llm.common import checkpoint, portions
 
 CAPACITY = 2048
 END_ID = 0
@@ -43,6 +44,13 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _core(word: str) -> tuple[str, str]:
+        """Two parts with the word's ids: a stop or comma after a letter or digit is a token of its own, case goes."""
+        mark = word[-1] if word[-1] in ".," and word[-2:-1].isalnum() else ""
+        core = word[: len(word) - len(mark)]
+        return core.lower() if core.isascii() else core, mark
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, followed by END_ID."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -50,20 +58,29 @@ class WordIds:
         if None in codes:
             if len(self.known) > REMEMBERED:
                 self.known = {"": b""}
-            new = list({w for w in words if w not in self.known})
-            for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
+            new = {w: self._core(w) for w in words if w not in self.known}
+            cores = list({core for core, _ in new.values() if core not in self.known} | {mark for _, mark in new.values() if mark not in self.known})
+            for core, code in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True):
+                self.known[core] = np.array(code.ids, "<u4").tobytes()
+            for word, (core, mark) in new.items():
+                self.known[word] = self.known[core] + self.known[mark]
             codes = list(map(self.known.get, words))
         codes.append(END_ID.to_bytes(4, "little"))
         return b"".join(codes)
 
 
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that its words are remembered from task to task."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every document's ids, cut every capacity tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        for batch in batches:
+        words = _word_ids(path)
+        for batch in portions(batches, "text"):
             rows: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = words.ids(text.as_py() or "")
