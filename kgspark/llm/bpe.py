@@ -16,12 +16,15 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.common import portions
+
 #: Characters of a text that are encoded without being halved, and bytes of a piece likewise.
 LEAF_CHARS, LEAF_BYTES = 4096, 32
 #: No match of the pattern depends on more than so many characters after its end: a contraction has three
@@ -144,6 +147,12 @@ class ByteBpe:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+@lru_cache(maxsize=1)
+def _bpe(path: str, pattern: str) -> ByteBpe:
+    """One for each Python worker, so that its pieces are remembered from task to task."""
+    return ByteBpe(path, pattern)
+
+
 def _mapped(df: DataFrame, name: str, source: str, make) -> DataFrame:
     """df with binary column name, made from the column source by make() of each task."""
     rest = [c for c in df.columns if c != name]
@@ -151,7 +160,7 @@ def _mapped(df: DataFrame, name: str, source: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
-        for batch in batches:
+        for batch in portions(batches, "__source"):
             values = batch.column("__source")
             made = pa.array([convert(v) for v in values], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], made], [*rest, name])
@@ -163,7 +172,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str =
     """df with the ids of column text as binary column to (little-endian unsigned 32-bit integers)."""
 
     def make():
-        bpe = ByteBpe(path, pattern)
+        bpe = _bpe(path, pattern)
         return lambda value: bpe.encode(value.as_py() or "")
 
     return _mapped(df, to, text, make)
@@ -173,7 +182,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "
     """df with the bytes that column ids stands for as binary column to; null ids give no bytes."""
 
     def make():
-        bpe = ByteBpe(path, pattern)
+        bpe = _bpe(path, pattern)
         return lambda value: bpe.decode(value.as_py() or b"")
 
     return _mapped(df, to, ids, make)
