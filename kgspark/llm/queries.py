@@ -8,14 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import bpe, embeddings, exact_dedup, jaccard, packing, secrets, toxicity
-from kgspark.llm.common import table
+from kgspark.llm import bpe, chat, embeddings, exact_dedup, html, jaccard, packing, secrets, token_rollup, toxicity
+from kgspark.llm.common import new_folder, table
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_conversations(chat.canonical_turns(chat.table_records(rows))))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter under one version, are then revised to two, empty ones are deleted; a replay changes nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    ledger = token_rollup.Ledger(spark, new_folder(docs))
+    first = {"words-v1": token_rollup.VERSIONS["words-v1"]}
+    ledger.apply("insert", docs, first)
+    ledger.apply("revise", docs)
+    ledger.apply("delete", docs.where("coalesce(text, '') = ''"), delete=True)
+    ledger.apply("insert", docs, first)
+    return ledger.totals()
+
+
 def op5_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.linked(table(spark, sf_dir, "embeddings"))
 
@@ -58,7 +81,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_main_text": op3_main_text,
+    "op4_token_rollup": op4_token_rollup,
     "op5_embedding_caps": op5_embedding_caps,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
@@ -94,6 +120,20 @@ def _secret_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": r"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+                 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                 sum(length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + length('### :  </turn>') + 1) AS size
+          FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, size::BIGINT AS formatted_chars FROM c""",
+    "op4_token_rollup": r"""
+    WITH n AS (SELECT source, lang, length(text) AS chars, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS v1,
+                      len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')) AS v2
+               FROM documents WHERE coalesce(text, '') <> ''),
+    v AS (SELECT source, lang, 'words-v1' AS tokenizer, v1 AS tokens, chars FROM n UNION ALL SELECT source, lang, 'words-v2', v2, chars FROM n)
+    SELECT source, lang, tokenizer, count(*) AS docs, sum(tokens)::BIGINT AS tokens, sum(chars)::BIGINT AS chars FROM v GROUP BY ALL""",
     "op7_secret_scan": _secret_sql(),
     "op9_exact_dedup": r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
