@@ -5,7 +5,7 @@ parts. Each part has a random code of unit vectors; a filter is one code word fr
 words ** BLOCKS filters. List decoding finds all filters whose direction exceeds the cap's threshold. Vectors of one
 label meet under their common filters, and every pair that meets is decided by its cosine in double precision.
 The number of filters follows the number of vectors, so the expected size of a bucket of unrelated vectors does not
-grow; the cap is as wide as gives EXPECTED filters to a vector.
+grow; the cap is as wide as gives EXPECTED filters to a vector on average, and no vector gets fewer than LEAST.
 
 A bucket of more than TILE vectors is cut into tiles of two chunks. A pair that meets under several filters counts
 under the smallest common one. Each tile returns only a number of links and one star edge for each vector.
@@ -30,7 +30,9 @@ from kgspark.llm.common import attach_groups, checkpoint, stored
 from kgspark.llm.components import components
 
 THRESHOLD = 0.98
-BLOCKS, EXPECTED, TILE, SEED = 4, 24, 512, 20240229
+BLOCKS, EXPECTED, TILE, SEED = 4, 40, 512, 20240229
+#: Filters that a vector gets at least: its best ones, where fewer exceed the cap.
+LEAST = 16
 #: Filters for each emitted (vector, filter) row.
 FILTERS_PER_ROW = 4
 
@@ -72,6 +74,10 @@ class CapCode:
             # halves that can reach the threshold with the best of the other half
             a, b = np.flatnonzero(left + right.max() >= self.least), np.flatnonzero(right + left.max() >= self.least)
             i, j = np.nonzero(left[a][:, None] + right[b] >= self.least)
+            if len(i) < LEAST:  # the best LEAST pairs are among the best LEAST of both halves
+                a, b = np.argsort(-left)[:LEAST], np.argsort(-right)[:LEAST]
+                sums = left[a][:, None] + right[b]
+                i, j = np.unravel_index(np.argsort(-sums, axis=None)[:LEAST], sums.shape)
             out.append(np.sort(a[i].astype(np.int64) * self.words**2 + b[j]))
         return out
 
