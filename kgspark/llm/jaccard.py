@@ -42,6 +42,8 @@ PICK_BITS = 1 << 23
 CENTRES = 3
 #: Bytes of signatures that are compared at once.
 PORTION = 4 << 20
+#: Pairs of sets that are compared at once; pairs that a task remembers to send once; tile rows of one cluster to a task.
+COMPARED, REMEMBERED, CLUSTER_ROWS = 1 << 18, 400_000, 50_000
 #: Sets of one side of a tile that are compared at once.
 BLOCK = 1024
 #: Bits of a signature for every element of a set, as a power of two around it.
@@ -432,30 +434,49 @@ def _centre_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From tiles in order of (shingle, part, n, node): pairs in different components that the bit counts leave.
+    """From whole tiles, rows in order of (shingle, part, n, node): pairs in different components that the bit counts leave.
 
-    A tile's at most BLOCK stored sets are held against all sets of the tile after them; a pair comes once a batch.
+    A tile's at most BLOCK stored sets are held against all sets of the tile after them. Tiles of the same sets
+    come one after another, so a pair is sent once for as long as it is remembered.
     """
+    seen: set[tuple[int, int]] = set()
     for batch, starts in _whole_tiles(batches):
         node, n, component, stored_here = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component", "stored"))
-        n = n.astype(np.int64)
+        n, bits = n.astype(np.int64), batch.column("signature")
+        names, number = np.unique(node, return_inverse=True)
         tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(batch))))
-        found = [np.empty((0, 2), np.int64)]
-        rows = np.flatnonzero(stored_here.astype(bool))
-        step = 1
+        left, right, waiting, found = [], [], 0, []
+
+        def decide() -> None:
+            a, b = np.concatenate(left), np.concatenate(right)
+            key = np.minimum(number[a], number[b]) * len(names) + np.maximum(number[a], number[b])
+            once = np.unique(key, return_index=True)[1]
+            a, b = a[once], b[once]
+            kept = _may_link([bits, bits], [n, n], a, b)
+            found.extend(zip(np.maximum(node[a], node[b])[kept].tolist(), np.minimum(node[a], node[b])[kept].tolist(), strict=True))
+            left.clear()
+            right.clear()
+
+        rows, step = np.flatnonzero(stored_here.astype(bool)), 1
         while len(rows):
             rows = rows[rows + step < len(batch)]
             rows = rows[(tile[rows + step] == tile[rows]) & (n[rows] * DENOMINATOR >= n[rows + step] * NUMERATOR)]
             other = rows[(component[rows + step] != component[rows]) & (node[rows + step] != node[rows])]
-            found.append(np.stack((other, other + step), axis=1))
+            left.append(other)
+            right.append(other + step)
+            waiting += len(other)
+            if waiting >= COMPARED:
+                decide()
+                waiting = 0
             step += 1
-        pairs = np.concatenate(found)
-        named = np.sort(np.stack((node[pairs[:, 0]], node[pairs[:, 1]]), axis=1), axis=1)
-        pairs = pairs[np.unique(named, axis=0, return_index=True)[1]]
-        bits = batch.column("signature")
-        kept = pairs[_may_link([bits, bits], [n, n], pairs[:, 0], pairs[:, 1])]
-        a, b = node[kept[:, 0]], node[kept[:, 1]]
-        yield _pairs(np.maximum(a, b), np.minimum(a, b))
+        if waiting:
+            decide()
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        new = sorted(set(found) - seen)
+        seen.update(new)
+        pairs = np.array(new, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _decided(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -514,11 +535,21 @@ def _still_open(tiles: DataFrame, facts: DataFrame, classes: DataFrame) -> DataF
     A set that links with another component shares enough shingles with it, so it is in enough mixed tiles.
     """
     rows = tiles.drop("score").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rows = stored(rows.join(mixed.select("shingle"), "shingle"))
-    rows = rows.join(_sharing(rows).select("node"), "node").join(facts.select("node", "signature"), "node")
-    ordered = rows.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "node")
-    return ordered.mapInArrow(_open_pairs, "a long, b long").distinct()
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("shingle").agg(F.min("component").alias("cluster"), F.max("component").alias("hi"), F.count("*").alias("rows"))
+        return held.where("cluster != hi").drop("hi")
+
+    rows = stored(rows.join(mixed(rows).select("shingle"), "shingle"))
+    rows = stored(rows.join(_sharing(rows).select("node"), "node"))
+    # Tiles with the same smallest component are mostly the same sets: they go to one task, in shares if they are many.
+    clusters = checkpoint(mixed(rows))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.ceil(F.sum("rows") / CLUSTER_ROWS).cast("int").alias("shares"))
+    placed = attach_groups(clusters.select("shingle", "cluster"), sizes, "cluster", "size").drop("size")
+    rows = rows.join(placed, "shingle").withColumn("share", F.pmod(F.xxhash64("shingle", "part"), "shares").cast("int"))
+    rows = rows.join(facts.select("node", "signature"), "node")
+    order = ["cluster", "share", "shingle", "part", "n", "node"]
+    return rows.repartition("cluster", "share").sortWithinPartitions(*order).drop("cluster", "share", "shares").mapInArrow(_open_pairs, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
