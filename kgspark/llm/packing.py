@@ -29,8 +29,9 @@ CAPACITY = 2048
 END_ID = 0
 #: Parts that the pieces of one length are ranked in.
 SALTS = 256
-#: Words whose ids a task remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 800_000
+#: Words as they stand, and words without marks and case, whose ids a task remembers; emptied when full, which
+#: changes no result.
+REMEMBERED, REMEMBERED_CORES = 300_000, 1_000_000
 
 
 class WordIds:
@@ -43,28 +44,37 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
-        """Two parts with the word's ids: a stop or comma after a letter or digit is a token of its own, case goes."""
-        mark = word[-1] if word[-1] in ".," and word[-2:-1].isalnum() else ""
+        """Two parts with the word's ids: marks after a letter or digit are tokens of their own, and case goes.
+
+        Only plain marks are cut off and only Latin letters lowered, where neither meets Unicode composition.
+        """
+        end = len(word)
+        while end and not word[end - 1].isalnum():
+            end -= 1
+        mark = word[end:] if end and word[end:].isascii() else ""
         core = word[: len(word) - len(mark)]
-        return core.lower() if core.isascii() else core, mark
+        return core.lower() if core and max(core) < "\u0250" else core, mark
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, followed by END_ID."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         codes = list(map(self.known.get, words))
-        if None in codes:
+        missing = [i for i, code in enumerate(codes) if code is None]
+        if missing:
             if len(self.known) > REMEMBERED:
                 self.known = {"": b""}
-            new = {w: self._core(w) for w in words if w not in self.known}
-            cores = list({core for core, _ in new.values() if core not in self.known} | {mark for _, mark in new.values() if mark not in self.known})
-            for core, code in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True):
-                self.known[core] = np.array(code.ids, "<u4").tobytes()
-            for word, (core, mark) in new.items():
-                self.known[word] = self.known[core] + self.known[mark]
-            codes = list(map(self.known.get, words))
+            if len(self.cores) > REMEMBERED_CORES:
+                self.cores = {"": b""}
+            halves = [self._core(words[i]) for i in missing]
+            new = list({half for both in halves for half in both if half not in self.cores})
+            for half, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.cores[half] = np.array(code.ids, "<u4").tobytes()
+            for i, (core, mark) in zip(missing, halves, strict=True):
+                codes[i] = self.known[words[i]] = self.cores[core] + self.cores[mark] if mark else self.cores[core]
         codes.append(END_ID.to_bytes(4, "little"))
         return b"".join(codes)
 
