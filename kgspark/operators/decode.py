@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from kgspark.functions.labels import format_iob_type, infer_entity_type
-from kgspark.functions.text import first_position, strip, window_of
+from kgspark.functions.text import strip
 from kgspark.vocab import BLANK, IGNORED_LABEL_ID
 
 # Patterns of code fences and of the outermost object in an answer.
@@ -113,42 +116,43 @@ def repaired_entities(responses: DataFrame, keys: list[str], raw: str = "raw") -
     )
 
 
-def _objects(text: str) -> list[str]:
-    """Balanced top-level {...} pieces of a text."""
-    out, depth, start = [], 0, None
-    for m in re.finditer("[{}]", text):
-        if m.group() == "{":
-            if depth == 0:
-                start = m.start()
-            depth += 1
-        else:
-            depth -= 1
-            if depth == 0 and start is not None:
-                out.append(text[start:m.end()])
-                start = None
-    return out
-
+def _answers(text: str) -> Iterator[tuple[str, dict | None]]:
+    """Outermost objects of a text from left to right, each with its value if it is valid JSON.
 
-def _has_data(piece: str) -> bool:
-    try:
-        value = json.loads(piece)
-    except json.JSONDecodeError:
-        return False
-    return isinstance(value, dict) and not {"entities", "relations"}.isdisjoint(value)
+    A valid object is read by the JSON decoder itself; a broken one reaches as far as its brackets balance, and
+    what it holds is passed over. One that never closes ends the reading.
+    """
+    read, at = json.JSONDecoder().raw_decode, text.find("{")
+    while at >= 0:
+        try:
+            value, end = read(text, at)
+        except json.JSONDecodeError:
+            value = None
+            level = list(accumulate((c == "{") - (c == "}") for c in text[at:]))
+            if 0 not in level:
+                return
+            end = at + level.index(0) + 1
+        yield text[at:end], value
+        at = text.find("{", end)
 
 
 def _choose(text: str | None) -> str | None:
+    """The first object that has data, else the last object, else from the first bracket to the last."""
     if text is None:
         return None
-    pieces = _objects(text)
-    if not pieces:
-        outer = re.search(OUTER_OBJECT, text)
-        return outer.group() if outer else None
-    return next((p for p in pieces if _has_data(p)), pieces[-1])
+    last = None
+    for last, value in _answers(text):
+        if value is not None and value.keys() & {"entities", "relations"}:
+            return last
+    outer = re.search(OUTER_OBJECT, text)
+    return last or (outer.group() if outer else None)
 
 
 def select_json_object(raw: Column) -> Column:
-    """A fenced block, else the first top-level object with data, else the last object."""
+    """A fenced block, else the first top-level object with data, else the last object.
+
+    Answers that are one JSON object as they stand do not go to Python.
+    """
 
     @F.pandas_udf(StringType())
     def choose(texts: pd.Series) -> pd.Series:
@@ -156,30 +160,80 @@ def select_json_object(raw: Column) -> Column:
 
     bare = strip(raw)
     fenced = bare.rlike(FENCED_BLOCK)
-    return F.when(fenced, strip(F.regexp_extract(bare, FENCED_BLOCK, 1))).otherwise(choose(F.when(~fenced, bare)))
+    plain = bare.startswith("{") & _one_json(bare)
+    return (
+        F.when(fenced, strip(F.regexp_extract(bare, FENCED_BLOCK, 1)))
+        .when(plain, bare)
+        .otherwise(choose(F.when(~fenced & ~plain, bare)))
+    )
 
 
 # Positions in the text
 
 
-def _lowered(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts with their lower-case form, made once per text and not once per needle."""
-    return texts.select(*keys, "body", F.lower("body").alias("low"))
+def _finder(needles: Iterable[str]):
+    """All needles in one automaton, so that a text is read once whatever their number."""
+    held = ahocorasick.Automaton()
+    for needle in needles:
+        if needle:
+            held.add_word(needle, needle)
+    held.make_automaton()
+    return held
+
+
+def _first_places(low: str, needles: set[str]) -> dict[str, int]:
+    """The first start of each needle that a text has; an empty needle is at the start."""
+    out = {"": 0} if "" in needles else {}
+    finder = _finder(needles)
+    for end, needle in finder.iter(low) if len(finder) else ():
+        out.setdefault(needle, end + 1 - len(needle))
+    return out
+
+
+def _window(body: str, lo: int, hi: int, margin: int) -> str:
+    lo, hi = max(0, lo - margin), min(len(body), hi + margin)
+    return ("..." if lo > 0 else "") + body[lo:hi] + ("..." if hi < len(body) else "")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("context", StringType())])))
+def _located(body: pd.Series, low: pd.Series, asked: pd.Series) -> pd.Series:
+    """For each text the place and context of each asked (lower-case needle, length), null where it is absent."""
+
+    def one(text: str, lowered: str, needles: list) -> list:
+        at = _first_places(lowered, {x["low"] for x in needles})
+        return [None if (a := at.get(x["low"])) is None else {"at": a, "context": _window(text, a, a + x["size"], MENTION_MARGIN)} for x in needles]
+
+    return pd.Series([one(*row) for row in zip(body, low, asked)])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _related(body: pd.Series, low: pd.Series, asked: pd.Series) -> pd.Series:
+    """For each text the context of each asked pair of ends, null where one is absent."""
+
+    def one(text: str, lowered: str, pairs: list) -> list:
+        at = _first_places(lowered, {x[end] for x in pairs for end in ("source", "target")})
+        out = []
+        for x in pairs:
+            a, b = at.get(x["source"]), at.get(x["target"])
+            both = None not in (a, b)
+            out.append(_window(text, min(a, b), max(a + x["source_size"], b + x["target_size"]), RELATION_MARGIN) if both else None)
+        return out
+
+    return pd.Series([one(*row) for row in zip(body, low, asked)])
 
 
 def locate_mentions(mentions: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """First occurrence ignoring case: ``start_position, end_position, context``; unchanged if absent.
 
-    ``texts(keys, body)``. Each distinct text of a document is searched once.
+    ``texts(keys, body)``. The distinct texts of a document's mentions, at most as many as its mentions, go to its
+    body, which is read once and stays where it is.
     """
-    needles = mentions.select(*keys, "text").distinct()
-    at = first_position(F.col("low"), F.col("text"))
-    found = needles.join(_lowered(texts, keys), keys).select(*keys, "text", "body", at.alias("at")).filter("at IS NOT NULL")
-    end = F.col("at") + F.length("text")
-    found = found.select(
-        *keys, "text", F.col("at").alias("_start"), end.alias("_end"),
-        window_of(F.col("body"), F.col("at"), end, MENTION_MARGIN).alias("_context"),
-    )
+    asked = mentions.where("text IS NOT NULL").groupBy(*keys).agg(F.collect_set(F.struct("text", F.lower("text").alias("low"), F.length("text").alias("size"))).alias("asked"))
+    places = asked.join(texts.select(*keys, "body").where("body IS NOT NULL"), keys).select(
+        *keys, "asked", _located("body", F.lower("body"), "asked").alias("place"))
+    found = places.select(*keys, F.explode(F.arrays_zip("asked", "place")).alias("x")).where("x.place IS NOT NULL").select(
+        *keys, F.col("x.asked.text").alias("text"), F.col("x.place.at").alias("_start"),
+        (F.col("x.place.at") + F.col("x.asked.size")).alias("_end"), F.col("x.place.context").alias("_context"))
     old = lambda c, t: F.col(c) if c in mentions.columns else F.lit(None).cast(t)
     out = mentions.join(found, [*keys, "text"], "left").withColumns(
         {
@@ -192,16 +246,17 @@ def locate_mentions(mentions: DataFrame, texts: DataFrame, keys: list[str]) -> D
 
 
 def locate_relations(relations: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Context around both ends where both occur; otherwise the relation is unchanged."""
-    ends = [*keys, "source_entity", "target_entity"]
-    a = first_position(F.col("low"), F.col("source_entity"))
-    b = first_position(F.col("low"), F.col("target_entity"))
-    found = relations.select(*ends).distinct().join(_lowered(texts, keys), keys).select(*ends, "body", a.alias("a"), b.alias("b")).dropna()
-    lo = F.least("a", "b")
-    hi = F.greatest(F.col("a") + F.length("source_entity"), F.col("b") + F.length("target_entity"))
-    found = found.select(*ends, window_of(F.col("body"), lo, hi, RELATION_MARGIN).alias("_context"))
+    """Context around both ends where both occur; otherwise the relation is unchanged. One pass per text."""
+    ends = ["source_entity", "target_entity"]
+    asked = relations.dropna(subset=ends).groupBy(*keys).agg(F.collect_set(F.struct(
+        *ends, F.lower("source_entity").alias("source"), F.lower("target_entity").alias("target"),
+        F.length("source_entity").alias("source_size"), F.length("target_entity").alias("target_size"))).alias("asked"))
+    places = asked.join(texts.select(*keys, "body").where("body IS NOT NULL"), keys).select(
+        *keys, "asked", _related("body", F.lower("body"), "asked").alias("place"))
+    found = places.select(*keys, F.explode(F.arrays_zip("asked", "place")).alias("x")).where("x.place IS NOT NULL").select(
+        *keys, "x.asked.source_entity", "x.asked.target_entity", F.col("x.place").alias("_context"))
     old = F.col("context") if "context" in relations.columns else F.lit(None).cast("string")
-    return relations.join(found, ends, "left").withColumn("context", F.coalesce("_context", old)).drop("_context")
+    return relations.join(found, [*keys, *ends], "left").withColumn("context", F.coalesce("_context", old)).drop("_context")
 
 
 def first_of(rows: DataFrame, keys: dict[str, Column], order: list[str]) -> DataFrame:
@@ -243,74 +298,42 @@ def merge_chunk_extractions(entities: DataFrame, relations: DataFrame) -> tuple[
     )
 
 
-def _starts(text: str, needle: str) -> list[int]:
-    """Every start of the needle, overlapping ones too."""
-    out, at = [], text.find(needle) if needle else -1
-    while at >= 0:
-        out.append(at)
-        at = text.find(needle, at + 1)
-    return out
-
-
-@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def _occurrences(body: pd.Series, needles: pd.Series) -> pd.Series:
-    """For each text the starts of each of its needles, ignoring case."""
-
-    def one(text, words):
-        low = text.lower()
-        return [_starts(low, w) for w in words]
-
-    return pd.Series([one(t, w) for t, w in zip(body, needles)])
+def _handed_out(low: str, turns: list) -> list[dict]:
+    """Starts for extractions in order of ``ord``: each takes its needle's first start that no other has taken.
 
-
-def _take_free(ords: list[list[int]], starts: list[list[int]]) -> list[dict]:
-    """Hand out starts in order of ``ord``; a needle's starts are only ever tried once."""
-    left = [iter(s) for s in starts]
+    The text is read once for all needles; a needle's starts come in order and are tried once.
+    """
+    starts: dict[str, list[int]] = {}
+    finder = _finder({t["needle"] for t in turns})
+    for end, needle in finder.iter(low) if len(finder) else ():
+        starts.setdefault(needle, []).append(end + 1 - len(needle))
+    left = {needle: iter(places) for needle, places in starts.items()}
     used: set[int] = set()
     out = []
-    for o, i in sorted((o, i) for i, turn in enumerate(ords) for o in turn):
-        at = next((p for p in left[i] if p not in used), None)
+    for turn in sorted(turns, key=lambda t: t["ord"]):
+        at = next((p for p in left.get(turn["needle"], ()) if p not in used), None)
         if at is not None:
             used.add(at)
-            out.append({"ord": o, "start": at})
+            out.append({"ord": turn["ord"], "start": at})
     return out
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("ord", LongType()), StructField("start", IntegerType())])))
-def _assigned(ords: pd.Series, starts: pd.Series) -> pd.Series:
-    return pd.Series([_take_free(o, s) for o, s in zip(ords, starts)])
-
-
-SALTS = 64
+def _assigned(low: pd.Series, turns: pd.Series) -> pd.Series:
+    return pd.Series([_handed_out(text, asked) for text, asked in zip(low, turns)])
 
 
 def assign_occurrences(extractions: DataFrame, texts: DataFrame) -> DataFrame:
     """Each extraction takes the first occurrence whose start is still free in its document.
 
-    ``extractions(doc_id, ord, text)``, in order of ``ord``; result adds ``start, end``. Two
-    texts can only compete for a start if they begin with the same character, so the
-    ordered step runs per document and first character, with one row per distinct text. A text
-    with n occurrences can serve at most its first n extractions; the others get null
-    without entering that step, and are ranked out in salted parts first.
+    ``extractions(doc_id, ord, text)``, in order of ``ord``; result adds ``start, end``. A document's extractions go
+    to its text, which is read once; their number is bounded by what one answer on one document holds.
     """
-    low = F.lower("text").alias("needle")
-    words = extractions.groupBy("doc_id").agg(F.collect_set(F.lower("text")).alias("needle"))
-    places = (
-        words.join(texts.select("doc_id", "body"), "doc_id")
-        .select("doc_id", "needle", _occurrences("body", "needle").alias("starts"))
-        .select("doc_id", F.explode(F.arrays_zip("needle", "starts")).alias("x")).select("doc_id", "x.*")
-        .filter(F.size("starts") > 0)
+    turns = extractions.where("text IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("ord", F.lower("text").alias("needle"))).alias("turns"))
+    given = (
+        turns.join(texts.select("doc_id", "body").where("body IS NOT NULL"), "doc_id")
+        .select("doc_id", F.explode(_assigned(F.lower("body"), "turns")).alias("a")).select("doc_id", "a.*")
     )
-    able = extractions.select("doc_id", "ord", low).join(
-        places.select("doc_id", "needle", F.size("starts").alias("n")), ["doc_id", "needle"]
-    ).withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
-    for part in (["doc_id", "needle", "salt"], ["doc_id", "needle"]):
-        turn = F.row_number().over(Window.partitionBy(*part).orderBy("ord"))
-        able = able.withColumn("turn", turn).filter("turn <= n").drop("turn")
-    queue = able.groupBy("doc_id", "needle").agg(F.collect_list("ord").alias("ords")).join(places, ["doc_id", "needle"])
-    rivals = queue.groupBy("doc_id", F.substring("needle", 1, 1).alias("head")).agg(
-        F.collect_list(F.struct("ords", "starts")).alias("x"))
-    given = rivals.select("doc_id", F.explode(_assigned("x.ords", "x.starts")).alias("a")).select("doc_id", "a.*")
     out = extractions.join(given, ["doc_id", "ord"], "left")
     return out.withColumn("end", F.col("start") + F.length("text"))
 

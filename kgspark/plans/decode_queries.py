@@ -38,8 +38,8 @@ def _bodies(spark, d):
 
 
 def _needles(spark, d):
-    """Long words of each document, plain ASCII ones in capitals, and a text that is not there."""
-    t = X.tokens(spark, d).filter(F.length("words") >= 10)
+    """The words of each document, plain ASCII ones in capitals, and a text that is not there."""
+    t = X.tokens(spark, d)
     word = F.when(F.col("words").rlike("^[a-zA-Z]+$") & (F.col("pos") % 2 == 0), F.upper("words")).otherwise(F.col("words"))
     text = F.when(F.col("pos") % 10 == 3, F.concat(F.lit("zz-"), F.col("words"))).otherwise(word)
     return t.select("doc_id", "pos", text.alias("text"))
@@ -59,7 +59,7 @@ def locate_relations(spark, d):
 def _chunk_entities(spark, d):
     chunks = P.chunk_text(X.docs(spark, d))
     words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    e = chunks.select(*KEYS, F.posexplode(words).alias("pos", "text")).filter(F.length("text") >= 10)
+    e = chunks.select(*KEYS, F.posexplode(words).alias("pos", "text"))
     e = e.withColumn("entity_type", X.pick(ENTITY_TYPES, F.length("text") % 14))
     bodies = chunks.select(*KEYS, F.col("text").alias("body"))
     return C.locate_mentions(e, bodies, KEYS), chunks
@@ -81,8 +81,7 @@ def merge_extractions(spark, d):
 
 
 def occurrences(spark, d):
-    t = X.tokens(spark, d).filter(F.length("words") <= 4)
-    ex = t.select("doc_id", F.col("pos").cast("bigint").alias("ord"), F.col("words").alias("text"))
+    ex = X.tokens(spark, d).select("doc_id", F.col("pos").cast("bigint").alias("ord"), F.col("words").alias("text"))
     return C.assign_occurrences(ex, _bodies(spark, d))
 
 
@@ -157,7 +156,7 @@ QUERIES = {
 }
 
 _words = """SELECT doc_id, pos, CASE WHEN pos % 10 = 3 THEN 'zz-' || words WHEN regexp_full_match(words, '[a-zA-Z]+') AND pos % 2 = 0 THEN upper(words) ELSE words END AS text
-FROM tokens WHERE length(words) >= 10"""
+FROM tokens"""
 _id = lambda x: f"CAST(coalesce(list_position({Q.array(TOKEN_LABELS)}, {x}), 1) - 1 AS INTEGER)"
 
 
@@ -185,7 +184,7 @@ _bio = {
 }
 _chunk_words = f"""SELECT doc_id, chunk_index, pos, word AS text, {Q.array(ENTITY_TYPES)}[length(word) % 14 + 1] AS entity_type,
   instr(lower(body), lower(word)) - 1 AS loc, start_char FROM (SELECT doc_id, chunk_index, start_char, text AS body, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos
-  FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM chunks) c) e WHERE length(word) >= 10"""
+  FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM chunks) c) e"""
 _rank = "row_number() OVER (PARTITION BY {} ORDER BY chunk_index, pos) = 1"
 
 ORACLES = {

@@ -19,12 +19,6 @@ def labels(spark, d):
     return D.label_table(D.build_entity_dict(X.triples(spark, d)))
 
 
-def part_labels(spark, d):
-    """Labels of the graph that mentions are linked to: everything but customers and suppliers,
-    whose names differ in digits only."""
-    return D.label_table(D.build_entity_dict(K.backend_filter(X.triples(spark, d), INTERNAL, "internal")))
-
-
 def flat(linked, *keys):
     """Matches as one row each, for comparison and reading."""
     rows = linked.select(*keys, F.posexplode("kg_matches").alias("rank", "m"))
@@ -43,7 +37,7 @@ def _texts(spark, d):
 
 def candidate_pairs(spark, d):
     """Best text pairs per class signature, before they are tied to entities."""
-    lab = part_labels(spark, d)
+    lab = labels(spark, d)
     groups = K._label_groups(lab, 5).groupBy("norm", "sig").agg(F.xxhash64(F.min("uri")).alias("rep"))
     q = _texts(spark, d).select(normalize_text(F.col("text")).alias("q")).distinct()
     pairs = S.best_pairs(q, groups, 5, 0.7)
@@ -59,7 +53,7 @@ def score_pairs(spark, d):
 
 
 def find_matches(spark, d):
-    return flat(K.find_matches(_texts(spark, d), part_labels(spark, d)), "text")
+    return flat(K.find_matches(_texts(spark, d), labels(spark, d)), "text")
 
 
 def exact(spark, d):
@@ -95,12 +89,12 @@ def backends(spark, d):
 
 
 def linked(spark, d):
-    return K.validate_status(K.link_typed_fallback(X.mentions(spark, d), part_labels(spark, d)))
+    return K.validate_status(K.link_typed_fallback(X.mentions(spark, d), labels(spark, d)))
 
 
 def typed_fallback(spark, d):
     m = X.mentions(spark, d).select("text", "entity_type").distinct()
-    return flat(K.link_typed_fallback(m, part_labels(spark, d)), "text", "entity_type")
+    return flat(K.link_typed_fallback(m, labels(spark, d)), "text", "entity_type")
 
 
 def _scored(spark, d):
@@ -127,7 +121,7 @@ def best_columns(spark, d):
 
 
 def untyped(spark, d):
-    v = K.validate_untyped(_texts(spark, d), part_labels(spark, d))
+    v = K.validate_untyped(_texts(spark, d), labels(spark, d))
     return v.select("text", "validation_status", "is_validated", "validation_notes")
 
 
@@ -141,18 +135,18 @@ def search_containment(spark, d):
 
 
 def search_fuzzy(spark, d):
-    texts = X.mentions(spark, d).filter("kind IN ('error', 'signup')").select(F.col("text").alias("query"))
-    r = K.search_entities(texts, part_labels(spark, d))
+    texts = X.mentions(spark, d).select(F.col("text").alias("query"))
+    r = K.search_entities(texts, labels(spark, d))
     return r.select("query", "uri", "kg_label", "type", round_to("score", 6).alias("score"), "rank")
 
 
 def similar(spark, d):
-    return flat(K.find_similar(_texts(spark, d), part_labels(spark, d)), "text")
+    return flat(K.find_similar(_texts(spark, d), labels(spark, d)), "text")
 
 
 def joint(spark, d):
     m = X.mentions(spark, d).select("text", "entity_type", F.when(F.col("source") != "llm", F.col("confidence")).alias("confidence")).distinct()
-    v = K.link_joint_extract(m, part_labels(spark, d))
+    v = K.link_joint_extract(m, labels(spark, d))
     return v.select("text", "entity_type", "confidence", "validation_status", F.size("kg_matches").alias("n_matches"))
 
 

@@ -41,7 +41,7 @@ def _second(spark, d):
 
 def evidence(spark, d):
     e = pending(spark, d).select("text").distinct()
-    return K.flat(C.kg_evidence(e, K.part_labels(spark, d)), "text")
+    return K.flat(C.kg_evidence(e, K.labels(spark, d)), "text")
 
 
 def congruence(spark, d):
@@ -97,7 +97,7 @@ def decision(spark, d):
 
 def scorecard_kg(spark, d):
     """Scored against the graph itself."""
-    return C.entity_scorecard(_plain(spark, d), K.part_labels(spark, d), _second(spark, d)).select(*flat_scores())
+    return C.entity_scorecard(_plain(spark, d), K.labels(spark, d), _second(spark, d)).select(*flat_scores())
 
 
 def _rel(spark, d):
@@ -128,7 +128,7 @@ def rel_consistency(spark, d):
 
 
 def rel_coverage(spark, d):
-    ends = C.relation_ends(_rel(spark, d), K.part_labels(spark, d))
+    ends = C.relation_ends(_rel(spark, d), K.labels(spark, d))
     return ends.select("id", "n_source", "n_target", r6(C.relation_coverage(F.col("n_source"), F.col("n_target"), L)).alias("score"))
 
 
@@ -144,7 +144,7 @@ def rel_scorecard(spark, d):
 
 
 def rel_scorecard_kg(spark, d):
-    return C.relation_scorecard(_rel(spark, d), K.part_labels(spark, d)).select(*RFLAT)
+    return C.relation_scorecard(_rel(spark, d), K.labels(spark, d)).select(*RFLAT)
 
 
 def bulk_entities(spark, d):

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; bytes that are not UTF-8 are dropped."""
     raw = spark.read.format("binaryFile").load(path)
-    decoded = F.regexp_replace(F.decode("content", "UTF-8"), "�", "") if False else _decode(F.col("content"))
     return raw.select(
         F.col("_metadata.file_name").alias("name"),
         F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"\.([^.]*)$", 1)).alias("file_type"),
@@ -23,12 +22,3 @@ def _decode(content):
 
 def document_table(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select("doc_id", F.col(text).alias("text"), F.length(text).alias("total_chars"))
-
-
-def spread_small(rows: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer files than there are cores over all cores.
-
-    A small file is one task, whatever work follows. Tables of many files are left as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kgspark.functions.numbers import round_to
 from kgspark.operators.prepare import tokenize_spans
-from kgspark.sources.documents import spread_small
 from kgspark.vocab import (
     BASE, ENTITY_TYPES, PARENT_CLASSES, RDF_TYPE, RDFS_LABEL, RDFS_SUBCLASS, RELATIONS,
     RELATION_TYPES, SKOS_ALT, SKOS_PREF, TYPES,
@@ -23,13 +22,18 @@ PART_CLASSES = {
 }
 
 
-# Tables with much work per row, and the key they are spread by where they are one small file.
+# Tables with much work per row; their key is also what most later steps group and join by.
 FACTS = {"documents": "doc_id", "events": "event_id", "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(rows, FACTS[name]) if name in FACTS else rows
+    return rows.repartition(FACTS[name]) if name in FACTS else rows
+
+
+def _rows(table: DataFrame) -> Column:
+    """The number of rows, as a scalar subquery of the plan."""
+    return table.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def pick(names: list[str], i: Column) -> Column:
@@ -96,8 +100,7 @@ def _class_rows(region: DataFrame) -> DataFrame:
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mention per event. Every 97th carries one of nine odd texts for the scorecard rules."""
     part = table(spark, sf_dir, "part")
-    n_parts = part.count()
-    n_docs = table(spark, sf_dir, "documents").count()
+    n_parts, n_docs = _rows(part), _rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     e = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % n_parts)
     j = e.join(part.select("p_partkey", "p_name", "p_type", "p_size"), F.col("k") == F.col("p_partkey"))
     size_name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
@@ -277,7 +280,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity spans laid over the tokens, some inside a token, some across several."""
-    t = tokenize_spans(docs(spark, sf_dir)).filter(F.length("token") % 5 == 0)
+    t = tokenize_spans(docs(spark, sf_dir))
     return t.select(
         "doc_id", F.col("pos").alias("ord"), (F.col("start") + F.col("pos") % 2).alias("start"),
         (F.col("end") + F.col("pos") % 3 * 3).alias("end"), pick(ENTITY_TYPES, F.col("pos") % 14).alias("entity_type"))
@@ -285,7 +288,7 @@ def token_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model answer per mention: fenced, broken, wrapped in prose or garbage by its number."""
-    n_docs = table(spark, sf_dir, "documents").count()
+    n_docs = _rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     m = mentions(spark, sf_dir)
     i = F.col("mention_id")
     text, kind = F.col("text"), F.col("entity_type")
@@ -440,7 +443,7 @@ FROM (SELECT *, {_array(ENTITY_TYPES)}[length(token) // 4 % 3 + 1] AS k FROM (
   UNION ALL SELECT doc_id, pos, pos * 2 + 1, start + 4, "end", '', substr(token, 5), true FROM toks WHERE length(token) > 7) p) q""",
     "token_entities": f"""
 SELECT doc_id, pos AS ord, start + pos % 2 AS start, "end" + pos % 3 * 3 AS "end", {_array(ENTITY_TYPES)}[pos % 14 + 1] AS entity_type
-FROM toks WHERE length(token) % 5 = 0""",
+FROM toks""",
     "parsed": """
 SELECT * FROM (SELECT mention_id AS i, doc_id, CAST(mention_id // (SELECT count(*) FROM documents) AS INTEGER) AS chunk_index, pos, context,
   CASE pos WHEN 0 THEN text WHEN 2 THEN normalized_form WHEN 3 THEN 'chest pain' ELSE 'renal biopsy' END AS text,
