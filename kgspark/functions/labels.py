@@ -103,10 +103,16 @@ def infer_entity_type(text: Column) -> Column:
     return out.otherwise(F.lit(vocab.DEFAULT_ENTITY_TYPE))
 
 
-def mint_uri(text: Column, stamp_ms: int) -> Column:
-    """A new URI for a text. The run's time stamp is an argument, so a rerun mints the same URI."""
+def mint_uri(text: Column, stamp_ms: int, entity_type: Column | None = None) -> Column:
+    """A new URI for a text, or for a text of a type.
+
+    The run's time stamp is an argument, so a rerun mints the same URI; the hash of type and full text keeps apart
+    what is equal once unsafe characters are replaced.
+    """
     safe = F.regexp_replace(text, "[^a-zA-Z0-9]", "_")
-    return F.concat(F.lit(vocab.BASE), safe, F.lit(f"_{stamp_ms}"))
+    kind = F.lit("") if entity_type is None else F.coalesce(entity_type, F.lit(""))
+    own = F.substring(F.md5(F.concat(kind, F.lit("|"), text).cast("binary")), 1, 12)
+    return F.concat(F.lit(vocab.BASE), safe, F.lit(f"_{stamp_ms}_"), own)
 
 
 def link_predicate(link_type: Column) -> Column:

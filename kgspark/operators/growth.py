@@ -34,7 +34,7 @@ def emit_entity_triples(entities: DataFrame, stamp_ms: int) -> DataFrame:
     """
     has = lambda c: F.col(c) if c in entities.columns else F.lit(None).cast("string")
     given = has("uri")
-    uri = F.when(given != "", given).otherwise(mint_uri(F.col("text"), stamp_ms))
+    uri = F.when(given != "", given).otherwise(mint_uri(F.col("text"), stamp_ms, F.col("entity_type")))
     form = F.when(has("normalized_form") != "", has("normalized_form"))
     linked = F.when((has("link_to_uri") != "") & (has("link_type") != ""), has("link_to_uri"))
     return _emit(entities, [
@@ -76,10 +76,14 @@ def emit_relation_triples(relations: DataFrame, triples: DataFrame, stamp_ms: in
 def approve_entities(
     pending: DataFrame, reviews: DataFrame, approved: DataFrame, stamp_ms: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Triples of ``approved(id[, link_to_uri, link_type])``, and both tables without those rows."""
+    """Triples of ``approved(id[, link_to_uri, link_type])``, and both tables without those rows.
+
+    An id that is approved more than once takes the smallest link and link type given.
+    """
     ids = approved.select("id").distinct()
     extra = [c for c in ("link_to_uri", "link_type") if c in approved.columns]
-    rows = pending.join(approved.select("id", *extra).dropDuplicates(["id"]), "id")
+    links = approved.groupBy("id").agg(*[F.min(F.struct(F.col(c).isNull().alias("none"), c)).getField(c).alias(c) for c in extra]) if extra else ids
+    rows = pending.join(links, "id")
     form = F.coalesce(F.when(F.col("normalized_text") != "", F.col("normalized_text")), F.col("text"))
     made = emit_entity_triples(rows.withColumn("normalized_form", form), stamp_ms)
     left = pending.join(ids, "id", "left_anti")

@@ -244,11 +244,11 @@ def few_shot_sample(entities: DataFrame, n: int = 8, seed: int = 0, stratified:
     return eligible.select("uri", "label", "type").limit(n)
 
 
-def few_shot_block(sampled: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+def few_shot_block(sampled: DataFrame, custom: DataFrame | None = None, most: int = 200) -> DataFrame:
     """One row with the example text for a prompt.
 
     ``custom(text, entity_type)`` comes first; sampled entities whose lower-case label is
-    among the custom texts are left out. Both inputs are prompt-sized.
+    among the custom texts are left out. A prompt holds at most ``most`` examples; more raise an error.
     """
     rows = sampled.select(F.lit(1).alias("part"), F.col("label").alias("text"), F.col("type").alias("entity_type"),
                           F.lit("knowledge_graph").alias("origin"))
@@ -256,10 +256,12 @@ def few_shot_block(sampled: DataFrame, custom: DataFrame | None = None) -> DataF
         known = custom.select(F.lower("text").alias("low")).distinct()
         rows = rows.join(known, F.lower("text") == F.col("low"), "left_anti").unionByName(
             custom.select(F.lit(0).alias("part"), "text", "entity_type", F.lit(None).cast("string").alias("origin")))
+    held = rows.orderBy("part", "text", "entity_type", "origin").limit(most + 1)
     ordered = F.array_sort(F.collect_list(F.struct("part", "text", "entity_type", "origin")))
     entity = lambda r: F.struct(r["text"].alias("text"), r["entity_type"].alias("entity_type"),
                                 F.struct(r["origin"].alias("source")).alias("attributes"))
-    made = rows.agg(F.transform(ordered, entity).alias("entities"))
+    made = held.agg(F.transform(ordered, entity).alias("entities"))
+    made = made.withColumn("entities", F.when(F.size("entities") > most, F.raise_error(F.lit(f"more than {most} examples"))).otherwise(F.col("entities")))
     body = F.to_json(F.struct("entities", F.array().cast("array<string>").alias("relations")))
     sentence = F.concat(F.lit("Clinical findings include: "), F.array_join("entities.text", ", "), F.lit("."))
     return made.select(

@@ -203,7 +203,7 @@ def apply_edits(pending: DataFrame, reviews: DataFrame, edits: DataFrame) -> tup
 
     ``edits(id, text, entity_type, normalized_text, status)``, null where nothing changes, at most
     one per id. An edit of text or type is rejected when another pending row or another row's
-    review has the new pair. All edits are judged against the tables as they are.
+    review has the new pair, or an accepted edit of a smaller id takes it.
     """
     e = edits.select("id", *[F.col(c).alias(f"new_{c}") for c in ("text", "entity_type", "normalized_text", "status")])
     joined = pending.join(e.withColumn("edited", F.lit(True)), "id", "left")
@@ -217,7 +217,9 @@ def apply_edits(pending: DataFrame, reviews: DataFrame, edits: DataFrame) -> tup
             F.col("entity_text").alias("k_text"), F.col("entity_type").alias("k_type"), F.col("pending_entity_id").alias("id")))
         .groupBy("k_text", "k_type").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     )
-    conflicts = wanted.join(holders, ["k_text", "k_type"]).filter("lo <> id OR hi <> id").select("id")
+    judged = wanted.join(holders, ["k_text", "k_type"], "left").withColumn("taken", F.expr("coalesce(lo <> id OR hi <> id, false)"))
+    first = judged.filter("NOT taken").groupBy("k_text", "k_type").agg(F.min("id").alias("winner"))
+    conflicts = judged.join(first, ["k_text", "k_type"], "left").filter("taken OR id <> winner").select("id")
     ok = joined.join(conflicts.withColumn("conflict", F.lit(True)), "id", "left")
     free = F.col("conflict").isNull()
     changed = ok.withColumns({c: F.when(free, value(c)).otherwise(F.col(c)) for c in ("text", "entity_type", "normalized_text", "status")})

@@ -155,7 +155,7 @@ GROUP BY 1, 2"""),
 FROM (SELECT CAST(coalesce(list_position({Q.array(TOKEN_LABELS)}, CASE WHEN pos % 50 = 0 THEN 'X-odd' ELSE labels END), 1) - 1 AS INTEGER) AS label_id FROM tokens) t GROUP BY 1, 2"""),
     "infer_entity_type": X.with_tables("mentions", body=f"""SELECT id, {_hints} AS entity_type
 FROM (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'm' || mention_id, text FROM mentions) x"""),
-    "mint_uri": X.with_tables("mentions", body=f"SELECT DISTINCT text, '{BASE}' || regexp_replace(text, '[^a-zA-Z0-9]', '_', 'g') || '_{STAMP}' AS uri FROM mentions"),
+    "mint_uri": X.with_tables("mentions", body=f"SELECT DISTINCT text, '{BASE}' || regexp_replace(text, '[^a-zA-Z0-9]', '_', 'g') || '_{STAMP}_' || substr(md5('|' || text), 1, 12) AS uri FROM mentions"),
     "confidence_filter": X.with_tables("mentions", body="SELECT mention_id, confidence FROM mentions WHERE confidence >= 0.5"),
     "type_compatible": f"""SELECT p_partkey, entity_type, list_contains({_allowed}, class) AS ok FROM (SELECT p_partkey,
 {Q.array(ENTITY_TYPES)}[p_partkey % 14 + 1] AS entity_type, {Q.mapping(X.PART_CLASSES)}[p_type] AS class FROM part) p""",

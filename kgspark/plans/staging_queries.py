@@ -100,12 +100,13 @@ def bulk_delete(spark, d):
 
 
 def _edits(spark, d):
-    """Views get a new text, clicks a new type, signups a new status."""
+    """Views get a new text, clicks a new type, signups a new status; every fifth error gets one text and type for all."""
     p = X.pending_entities(spark, d)
     k = F.col("kind")
-    return p.filter(k.isin("view", "click", "signup")).select(
-        "id", F.when(k == "view", F.replace("text", F.lit(" scan test"), F.lit(""))).alias("text"),
-        F.when(k == "click", F.lit("organ")).alias("entity_type"), F.when(k == "view", F.col("text")).alias("normalized_text"),
+    same = (k == "error") & (F.col("id") % 5 == 0)
+    return p.filter(k.isin("view", "click", "signup") | same).select(
+        "id", F.when(k == "view", F.replace("text", F.lit(" scan test"), F.lit(""))).when(same, F.concat(F.lit("same "), (F.col("id") % 10).cast("string"))).alias("text"),
+        F.when((k == "click") | same, F.lit("organ")).alias("entity_type"), F.when(k == "view", F.col("text")).alias("normalized_text"),
         F.when(k == "signup", F.lit("rejected")).alias("status"))
 
 
@@ -204,7 +205,7 @@ _newest = f"SELECT * FROM pending_entities WHERE status = 'pending' AND {_ent('r
 _relpage = f"SELECT * FROM staged WHERE relation_type = 'treats' AND {_rel('BOLT')}"
 _rev = lambda link, t: f"SELECT {link} AS id, arg_max(review_status, id) AS review_status, arg_max(overall_score, id) AS overall_score FROM {t} WHERE {link} IS NOT NULL GROUP BY {link}"
 _class = f"coalesce({Q.mapping(CLASS_NAMES)}[lower(entity_type)], 'Finding')"
-_mint = lambda x: f"'{BASE}' || regexp_replace({x}, '[^a-zA-Z0-9]', '_', 'g') || '_{STAMP}'"
+_mint = lambda x, kind="''": f"'{BASE}' || regexp_replace({x}, '[^a-zA-Z0-9]', '_', 'g') || '_{STAMP}_' || substr(md5({kind} || '|' || {x}), 1, 12)"
 _ids = "SELECT id FROM pending_entities WHERE kind IN ('click', 'error', 'purchase')"
 
 
@@ -263,11 +264,13 @@ UNION ALL SELECT 'approve', 'affected', count(*) FROM pending_entities WHERE sta
     "bulk_delete": X.with_tables("relations", extra=STAGED, body="""SELECT status, count(*) AS n FROM staged WHERE status <> 'rejected' GROUP BY status
 UNION ALL SELECT 'deleted', count(*) FROM staged WHERE status = 'rejected'"""),
     "apply_edits": X.with_tables("pending_entities", "entity_reviews", extra={
-        "edits": """SELECT id, CASE WHEN kind = 'view' THEN replace(text, ' scan test', '') END AS t, CASE WHEN kind = 'click' THEN 'organ' END AS k,
-  CASE WHEN kind = 'view' THEN text END AS n, CASE WHEN kind = 'signup' THEN 'rejected' END AS s FROM pending_entities WHERE kind IN ('view', 'click', 'signup')""",
+        "edits": """SELECT id, CASE WHEN kind = 'view' THEN replace(text, ' scan test', '') WHEN kind = 'error' THEN 'same ' || (id % 10) END AS t, CASE WHEN kind IN ('click', 'error') THEN 'organ' END AS k,
+  CASE WHEN kind = 'view' THEN text END AS n, CASE WHEN kind = 'signup' THEN 'rejected' END AS s FROM pending_entities WHERE kind IN ('view', 'click', 'signup') OR kind = 'error' AND id % 5 = 0""",
         "wanted": "SELECT id, coalesce(t, text) AS kt, coalesce(k, entity_type) AS kk FROM edits JOIN pending_entities USING (id) WHERE t IS NOT NULL OR k IS NOT NULL",
-        "conflicts": """SELECT id FROM wanted w WHERE EXISTS (SELECT 1 FROM pending_entities p WHERE p.text = kt AND p.entity_type = kk AND p.id <> w.id)
+        "taken": """SELECT id FROM wanted w WHERE EXISTS (SELECT 1 FROM pending_entities p WHERE p.text = kt AND p.entity_type = kk AND p.id <> w.id)
   OR EXISTS (SELECT 1 FROM entity_reviews r WHERE r.entity_text = kt AND r.entity_type = kk AND r.pending_entity_id <> w.id)""",
+        "conflicts": """SELECT id FROM taken UNION ALL SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY kt, kk ORDER BY id) AS turn
+  FROM wanted WHERE id NOT IN (SELECT id FROM taken)) t WHERE turn > 1""",
         "applied": "SELECT * FROM edits WHERE id NOT IN (SELECT id FROM conflicts)"}, body="""
 SELECT 'pending' AS part, p.id, coalesce(t, text) AS text, coalesce(k, entity_type) AS entity_type, coalesce(n, normalized_text) AS normalized_text, coalesce(s, status) AS status
 FROM pending_entities p LEFT JOIN applied a ON a.id = p.id
@@ -275,7 +278,7 @@ UNION ALL SELECT 'review', r.id, coalesce(t, entity_text), coalesce(k, entity_ty
 UNION ALL SELECT 'conflict', id, NULL, NULL, NULL, NULL FROM conflicts"""),
     "apply_relation_edits": X.with_tables("relations", extra=STAGED, body="""SELECT id, CASE WHEN source = 'both' THEN upper(target_entity) ELSE target_entity END AS target_entity,
 CASE WHEN source = 'both' THEN 'affects' ELSE relation_type END AS relation_type FROM staged"""),
-    "emit_entity_triples": X.with_tables("pending_entities", extra={"e": f"SELECT *, {_mint('text')} AS uri, {Q.array(LINKS)}[id % 7 + 1] AS link_type FROM pending_entities"}, body=f"""
+    "emit_entity_triples": X.with_tables("pending_entities", extra={"e": f"SELECT *, {_mint('text', 'entity_type')} AS uri, {Q.array(LINKS)}[id % 7 + 1] AS link_type FROM pending_entities"}, body=f"""
 SELECT uri AS s, '{RDFS_LABEL}' AS p, text AS o, 'literal' AS o_kind FROM e UNION {_class_sql('e')}
 UNION SELECT uri, '{SKOS_PREF}', normalized_text, 'literal' FROM e WHERE normalized_text IS NOT NULL
 UNION SELECT uri, coalesce({Q.mapping(LINK_PREDICATES)}[link_type], '{DEFAULT_LINK_PREDICATE}'), '{BASE}part/' || (id % 50), 'uri' FROM e WHERE kind = 'click'"""),
@@ -286,7 +289,7 @@ FROM (SELECT {Q.array(LINKS)}[mention_id % 7 + 1] AS l FROM mentions) m GROUP BY
 LEFT JOIN (SELECT o AS text, min(s) AS known FROM triples WHERE p = '{RDFS_LABEL}' GROUP BY o) k USING (text)"""),
     "emit_relation_triples": X.with_tables("triples", "relations", extra={**STAGED, **_relation_sql("staged")}, body="SELECT DISTINCT s, p, o, o_kind FROM made"),
     "approve_entities": X.with_tables("pending_entities", "entity_reviews", extra={
-        "ok": "SELECT * FROM pending_entities WHERE status = 'approved' OR kind = 'click'", "e": f"SELECT *, {_mint('text')} AS uri FROM ok",
+        "ok": "SELECT * FROM pending_entities WHERE status = 'approved' OR kind = 'click'", "e": f"SELECT *, {_mint('text', 'entity_type')} AS uri FROM ok",
         "made": f"SELECT uri AS s, '{RDFS_LABEL}' AS p, text AS o, 'literal' AS o_kind FROM e UNION {_class_sql('e')} UNION SELECT uri, '{SKOS_PREF}', coalesce(normalized_text, text), 'literal' FROM e"}, body="""
 SELECT 'triples' AS part, count(*) AS n, count(DISTINCT s) AS k FROM (SELECT DISTINCT s, p, o FROM made) m
 UNION ALL SELECT 'pending', count(*), count(DISTINCT id) FROM pending_entities WHERE id NOT IN (SELECT id FROM ok)

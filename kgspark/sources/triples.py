@@ -1,26 +1,49 @@
 """Reading, writing and comparing triple tables.
 
-A triple table is ``s, p, o, o_kind, g, src`` (see ``schemas.TRIPLES``). Text files hold
-N-Triples lines; parquet is the format for anything large.
+A triple table is ``s, p, o, o_kind, g, src`` (see ``schemas.TRIPLES``) and may carry ``lang`` and ``datatype`` of
+literals and ``s_kind``. Kinds are ``uri``, ``blank`` and ``literal``. Text files hold N-Triples lines; parquet is the
+format for anything large.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
-KEY = ["s", "p", "o"]
+KEY = ["s", "p", "o", "o_kind"]
+TERM = ["s_kind", "lang", "datatype"]
 # One N-Triples (or N-Quads) line: subject, predicate, object, optional graph, dot.
-_TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
-_LINE = rf"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+{_TERM}(?:\s+(<[^>]*>))?\s*\.\s*(?:#.*)?$"
+_IRI, _BLANK = r"<[^\x00-\x20<>]*>", r"_:[^\s<>\"]*[^\s<>\".]"
+_LITERAL = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^' + _IRI + ")?"
+_LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
+_MARK = "\u0001"  # no term but a literal can hold it, and the literal comes last
+
+
+def term_key(triples: DataFrame) -> list[str]:
+    """The columns that make a triple: two literals of different language or type are different."""
+    return [*[c for c in KEY if c in triples.columns], *[c for c in TERM if c in triples.columns]]
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    """The string escapes of N-Triples undone, in one pass from left to right."""
+    plain = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
 
+    def one(m: re.Match) -> str:
+        code = m[1]
+        return plain.get(code, code) if len(code) == 1 else chr(min(int(code[1:], 16), 0x10FFFF))
 
-def _unescape(c: Column) -> Column:
-    """Undo the string escapes of N-Triples that ``write_ntriples`` makes."""
-    mark = "\u0001"
-    out = F.replace(c, F.lit("\\\\"), F.lit(mark))
-    for esc, ch in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        out = F.replace(out, F.lit(esc), F.lit(ch))
-    return F.replace(out, F.lit(mark), F.lit("\\"))
+    pattern = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
+    return texts.map(lambda t: None if t is None else pattern.sub(one, t))
+
+
+def _plain(c: Column) -> Column:
+    """Only texts that hold an escape go to Python."""
+    escaped = F.contains(c, F.lit("\\"))
+    return F.when(escaped, _unescaped(F.when(escaped, c))).otherwise(c)
 
 
 def _escape(c: Column) -> Column:
@@ -30,40 +53,62 @@ def _escape(c: Column) -> Column:
     return out
 
 
+def _kind(c: Column) -> Column:
+    return F.when(c.startswith('"'), F.lit("literal")).when(c.startswith("_:"), F.lit("blank")).otherwise(F.lit("uri"))
+
+
 def parse_ntriples(lines: DataFrame, text: str = "value", src: Column | None = None) -> DataFrame:
-    """Lines to triples plus ``ok``: false for lines that are neither triple, comment nor blank."""
+    """Lines to triples plus ``ok``: false for lines that are neither triple, comment nor blank.
+
+    The line's pattern is evaluated once; its groups are cut from the result, the object last.
+    """
     c = F.col(text)
-    part = lambda i: F.regexp_extract(c, _LINE, i)
-    obj = part(3)
-    literal = obj.startswith('"')
-    body = _unescape(F.regexp_extract(obj, r'(?s)^"((?:[^"\\]|\\.)*)"', 1))
+    cut = F.split(F.regexp_replace(c, _LINE, f"{_MARK}$1{_MARK}$2{_MARK}$4{_MARK}$3"), _MARK, 5)
+    held = lines.filter(~c.rlike(r"^\s*(#.*)?$")).select(
+        cut.alias("t"), (src if src is not None else F.col("src")).alias("src"), c.alias("line"))
+    held = held.withColumn("ok", (F.size("t") == 5) & (F.get("t", F.lit(0)) == "") & ~F.col("line").startswith(_MARK))
+    part = lambda i: F.when(F.col("ok"), F.get("t", F.lit(i))).otherwise(F.lit(""))
+    held = held.withColumns({"a": part(1), "b": part(2), "c": part(3), "d": part(4)})
+    close = F.length("d") - F.position(F.lit('"'), F.reverse("d")) + 1
+    literal = F.col("d").startswith('"')
+    tail = F.when(literal, F.expr("substring(d, length(d) - position('\"', reverse(d)) + 2)"))
+    held = held.withColumns({"body": F.when(literal, F.substring("d", F.lit(2), close - 2)), "tail": tail})
     bare = lambda x: F.regexp_replace(x, "^<|>$", "")
-    return (
-        lines.filter(~c.rlike(r"^\s*(#.*)?$"))
-        .select(
-            bare(part(1)).alias("s"),
-            bare(part(2)).alias("p"),
-            F.when(literal, body).otherwise(bare(obj)).alias("o"),
-            F.when(literal, F.lit("literal")).otherwise(F.lit("uri")).alias("o_kind"),
-            F.when(part(4) != "", bare(part(4))).alias("g"),
-            (src if src is not None else F.col("src")).alias("src"),
-            c.rlike(_LINE).alias("ok"),
-            c.alias("line"),
-        )
+    return held.select(
+        _plain(bare(F.col("a"))).alias("s"),
+        _plain(bare(F.col("b"))).alias("p"),
+        _plain(F.when(literal, F.col("body")).otherwise(bare(F.col("d")))).alias("o"),
+        _kind(F.col("d")).alias("o_kind"),
+        F.when(F.col("c") != "", _plain(bare(F.col("c")))).alias("g"),
+        "src",
+        "ok",
+        "line",
+        _kind(F.col("a")).alias("s_kind"),
+        F.when(F.col("tail").startswith("@"), F.lower(F.substring("tail", 2, 1000))).alias("lang"),
+        F.when(F.col("tail").startswith("^^"), _plain(F.regexp_replace("tail", r"^\^\^<|>$", ""))).alias("datatype"),
     )
 
 
 def scan_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """All files under a path as one triple set, and the rejected lines with their file."""
+    """All files under a path as one triple set, and the rejected lines with their file.
+
+    Blank nodes are named after their file, so equal names in two files stay two nodes; names that a scan has given
+    before are kept.
+    """
     lines = spark.read.text(path).withColumn("src", F.col("_metadata.file_name"))
     parsed = parse_ntriples(lines)
-    good = parsed.filter("ok").drop("ok", "line").dropDuplicates(["s", "p", "o", "g", "src"])
+    own = lambda c: F.when(F.col(c).startswith("_:") & ~F.col(c).rlike("^_:f[0-9a-f]{8}x"), F.concat(
+        F.lit("_:f"), F.substring(F.md5(F.col("src").cast("binary")), 1, 8), F.lit("x"), F.substring(c, 3, 2**30))).otherwise(F.col(c))
+    named = parsed.filter("ok").withColumns({
+        "s": F.when(F.col("s_kind") == "blank", own("s")).otherwise(F.col("s")),
+        "o": F.when(F.col("o_kind") == "blank", own("o")).otherwise(F.col("o"))})
+    good = named.drop("ok", "line").dropDuplicates([*KEY, *TERM, "g", "src"])
     return good, parsed.filter("NOT ok").select("src", "line")
 
 
 def distinct_triples(triples: DataFrame) -> DataFrame:
-    """Set semantics: one row per (s, p, o)."""
-    return triples.select("s", "p", "o", "o_kind").dropDuplicates(KEY)
+    """Set semantics: one row per triple, whole terms compared."""
+    return triples.select(*term_key(triples)).distinct()
 
 
 def skip_disabled(triples: DataFrame, disabled: DataFrame) -> DataFrame:
@@ -80,7 +125,8 @@ def toggle_disabled(disabled: DataFrame, toggles: DataFrame) -> DataFrame:
 def snapshot_fingerprint(files: DataFrame) -> DataFrame:
     """md5 over the sorted ``name:size:mtime`` of a listing ``(name, size, mtime)``.
 
-    A listing has one short row per file and the result is one value over all of them.
+    A listing has one short row per file and the result is one value over all of them: one task holds the
+    listing, about 100 MB for a million files.
     """
     entry = F.concat_ws(":", "name", F.col("size").cast("string"), F.col("mtime").cast("string"))
     return files.agg(
@@ -102,8 +148,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_triples(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming triples that the set does not have yet, each once."""
-    return incoming.dropDuplicates(KEY).join(existing.select(*KEY), KEY, "left_anti")
+    """Incoming triples that the set does not have yet, each once: of copies the one with the smallest source."""
+    key = term_key(incoming)
+    rest = [c for c in ("src", "g") if c in incoming.columns] + [c for c in incoming.columns if c not in (*key, "src", "g")]
+    once = incoming.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*key, "r.*") if rest else incoming.distinct()
+    known = existing.select(*[(F.col(c) if c in existing.columns else F.lit(None).cast("string")).alias(f"_{c}") for c in key]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c in TERM else F.col(c) == F.col(f"_{c}") for c in key]
+    return once.join(known, same, "left_anti").select(*incoming.columns)
 
 
 def append_triples(incoming: DataFrame, path: str, existing: DataFrame) -> None:
@@ -116,17 +167,20 @@ def drop_graph(triples: DataFrame, graph: str | None = None) -> DataFrame:
     return triples.filter(keep)
 
 
-def ntriples_line(named: bool = False) -> Column:
-    obj = F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(
-        F.concat(F.lit('"'), _escape(F.col("o")), F.lit('"'))
-    )
-    graph = F.when(F.col("g").isNotNull(), F.concat(F.lit("<"), F.col("g"), F.lit("> "))).otherwise("")
-    head = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), obj, F.lit(" "))
+def ntriples_line(named: bool = False, terms: bool = False) -> Column:
+    """A line; terms: the table has ``lang`` and ``datatype``. Blank nodes are known by their ``_:``."""
+    iri = lambda c: F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
+    tail = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(
+        F.col("datatype").isNotNull(), F.concat(F.lit("^^<"), F.col("datatype"), F.lit(">"))).otherwise("") if terms else F.lit("")
+    obj = F.when(F.col("o_kind") != "literal", iri("o")).otherwise(F.concat(F.lit('"'), _escape(F.col("o")), F.lit('"'), tail))
+    graph = F.when(F.col("g").isNotNull(), F.concat(iri("g"), F.lit(" "))).otherwise("")
+    head = F.concat(iri("s"), F.lit(" <"), F.col("p"), F.lit("> "), obj, F.lit(" "))
     return F.concat(head, graph if named else F.lit(""), F.lit("."))
 
 
 def write_ntriples(triples: DataFrame, path: str, named: bool = False) -> None:
-    triples.select(ntriples_line(named).alias("value")).write.mode("overwrite").text(path)
+    terms = {"lang", "datatype"} <= set(triples.columns)
+    triples.select(ntriples_line(named, terms).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_snapshot(triples: DataFrame, path: str) -> None:

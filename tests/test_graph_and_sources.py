@@ -32,11 +32,31 @@ def test_round_trip_through_files(spark, graph, tmp_path):
     assert T.distinct_triples(good).count() == 5
 
 
-def test_language_tags_and_types_are_dropped(spark):
-    lines = ['<s> <p> "x"@en .', '<s> <p> "4"^^<http://int> .', "_:b1 <p> _:b2 <g> ."]
+def test_terms_keep_their_identity(spark):
+    lines = ['<s> <p> "x"@en .', '<s> <p> "4"^^<http://int> .', "_:b1 <p> _:b2 <g> .", r"""<s> <p> "caf\u00e9 \U0001F600 \t\b\f\' \\n" .""",
+             '<s> <p> "http://x" .', "<s> <p> <http://x> .", '<s> <p> "x"@de .', '<s> <p> "a@b^^c" . # "no"', "<s> <p> .", '<s> <p> "\u0001" .']
     df = spark.createDataFrame([(x, "f") for x in lines], "value string, src string")
-    assert rows(T.parse_ntriples(df).select("s", "o", "o_kind", "g", "ok")) == sorted(
-        [("s", "x", "literal", None, True), ("s", "4", "literal", None, True), ("_:b1", "_:b2", "uri", "g", True)], key=repr)
+    got = T.parse_ntriples(df)
+    assert [tuple(r) for r in got.select("s", "o", "o_kind", "lang", "datatype", "g", "ok").collect()] == [
+        ("s", "x", "literal", "en", None, None, True), ("s", "4", "literal", None, "http://int", None, True), ("_:b1", "_:b2", "blank", None, None, "g", True),
+        ("s", "café 😀 \t\b\f' \\n", "literal", None, None, None, True), ("s", "http://x", "literal", None, None, None, True),
+        ("s", "http://x", "uri", None, None, None, True), ("s", "x", "literal", "de", None, None, True), ("s", "a@b^^c", "literal", None, None, None, True),
+        ("", "", "uri", None, None, None, False), ("s", "\x01", "literal", None, None, None, True)]
+    good = got.filter("ok").drop("ok", "line")
+    assert T.distinct_triples(good).count() == 9
+    assert T.new_triples(good.filter("lang IS NULL OR lang <> 'de'"), good).select("o", "lang").collect() == [("x", "de")]
+
+
+def test_files_with_all_terms_read_equal_after_writing(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.nt").write_text('<s> <p> "x\\"\\n\\u00e9"@en .\n_:b0 <p> "1"^^<int> .\n<s> <p> _:b0 <g> .\n')
+    (tmp_path / "one" / "b.nt").write_text("_:b0 <p> <o> .\n")
+    columns = ["s", "p", "o", "o_kind", "s_kind", "lang", "datatype", "g"]
+    first, bad = T.scan_ntriples(spark, str(tmp_path / "one"))
+    assert bad.count() == 0 and len({r.s for r in first.filter("s_kind = 'blank'").collect()}) == 2
+    T.write_ntriples(first, str(tmp_path / "two"), named=True)
+    again, _ = T.scan_ntriples(spark, str(tmp_path / "two"))
+    assert rows(again.select(*columns)) == rows(first.select(*columns))
 
 
 def test_append_snapshot_and_fingerprint(spark, graph, tmp_path):
