@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import portions
+from kgspark.llm.common import portions, small_batches
 
 #: Characters of a text that are encoded without being halved, and bytes of a piece likewise.
 LEAF_CHARS, LEAF_BYTES = 4096, 32
@@ -31,7 +31,7 @@ LEAF_CHARS, LEAF_BYTES = 4096, 32
 #: characters, the white-space rule looks one past a run.
 LOOKAHEAD = 3
 #: Pieces whose ids are remembered; the memory is emptied when full, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class ByteBpe:
@@ -165,7 +165,7 @@ def _mapped(df: DataFrame, name: str, source: str, make) -> DataFrame:
             made = pa.array([convert(v) for v in values], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], made], [*rest, name])
 
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(source).alias("__source")).mapInArrow(run, f"{schema}, `{name}` binary")
+    return small_batches(df).select(*[F.col(f"`{c}`") for c in rest], F.col(source).alias("__source")).mapInArrow(run, f"{schema}, `{name}` binary")
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:

@@ -50,6 +50,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Bytes of one Arrow batch between Spark and its Python workers; rows of texts are wide.
+ARROW_BATCH = "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session told to send batches of ARROW_BATCH, so that a task's memory doesn't hang on the texts' sizes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return df
+
+
 #: Bytes of one column that a Python task works on at once; one longer value is taken alone.
 WORKED = 8 << 20
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import attach_groups, checkpoint
+from kgspark.llm.common import attach_groups, checkpoint, small_batches
 
 HOST_PAGES, CLASS_TOKENS, SUPPORT = 8, 2, 0.5
 #: Share of a page's free text that an element must hold to be its article where the template has none.
@@ -248,7 +248,7 @@ def templates(hosted: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
-    hosted = with_host(pages.select("page_id", "url", "html"))
+    hosted = with_host(small_batches(pages).select("page_id", "url", "html"))
     ready = attach_groups(hosted, checkpoint(templates(hosted)), "host", "host_pages").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

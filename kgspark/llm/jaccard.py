@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import attach_groups, checkpoint, portions, stored
+from kgspark.llm.common import attach_groups, checkpoint, portions, small_batches, stored
 from kgspark.llm.components import components
 
 WORDS = 5
@@ -554,7 +554,7 @@ def _still_open(tiles: DataFrame, facts: DataFrame, classes: DataFrame) -> DataF
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for every row of docs (doc_id, text)."""
-    texts = docs.select("doc_id", "text")
+    texts = small_batches(docs.select("doc_id", "text"))
     told = stored(texts.mapInArrow(_summaries, "kind int, a long, n long, node long"))
     rows = told.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "node")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")))

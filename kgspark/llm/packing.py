@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import checkpoint, portions
+from kgspark.llm.common import checkpoint, portions, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,7 +31,7 @@ END_ID = 0
 SALTS = 256
 #: Words as they stand, and words without marks and case, whose ids a task remembers; emptied when full, which
 #: changes no result.
-REMEMBERED, REMEMBERED_CORES = 300_000, 1_000_000
+REMEMBERED, REMEMBERED_CORES = 200_000, 500_000
 
 
 class WordIds:
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 class Plan:

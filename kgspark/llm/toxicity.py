@@ -21,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.common import portions, small_batches
+
 #: Labelled documents that the model is fitted on, at most, and features that get a weight.
-SAMPLE, FEATURES = 16000, 2000
+SAMPLE, FEATURES = 12000, 2000
 THRESHOLD = 0.7
 PREFIXES = range(3, 8)
 #: Documents of the sample that have a feature, at least.
 SEEN = 4
 STEPS, RATE, DECAY, PRIOR = 400, 0.1, 5e-6, -6.0
 #: Words whose weights a task remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic) that are not held out."""
     # At most SAMPLE rows, so they can be broadcast.
     asked = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(asked), "doc_id")
+    sample = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(asked), "doc_id")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +173,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             rows: list[tuple] = []
             for value in batch.column("text"):
                 text = value.as_py() or ""
@@ -181,4 +183,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             made = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *made], [*rest, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, f"{schema}, score double, sentence_start long, sentence_end long, sentence_score double")
+    return small_batches(docs).select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, f"{schema}, score double, sentence_start long, sentence_end long, sentence_score double")
