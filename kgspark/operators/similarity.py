@@ -159,25 +159,22 @@ class _Best:
                 self.floor = min(self.scores.values())
 
 
-REMEMBERED = 200_000  # queries a task remembers at a time
-
-
 def _score_tiles(k: int, threshold: float, contain: bool):
     score = link_score if contain else (lambda a, b: 1.0 if a == b else ratio(a, b))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # What this task has found. It only serves to skip pairs, so it may be forgotten at any
-        # time; that keeps it bounded.
-        best: dict[str, dict[str, _Best]] = {}
+        # What was found for the queries of one block. It only serves to skip pairs; tiles come in order of
+        # query blocks, and it goes with the block, so it holds at most one block's queries.
+        now, best = None, {}
         for batch in batches:
-            for queries, norms, sigs, reps in zip(batch["queries"], batch["norm"], batch["sig"], batch["rep"]):
+            for number, queries, norms, sigs, reps in zip(batch["queries_block"], batch["queries"], batch["norm"], batch["sig"], batch["rep"]):
+                if number != now:
+                    now, best = number, {}
                 # Labels of several signatures are bounded and scored once.
                 texts, text_no = np.unique(np.asarray(norms, dtype=object), return_inverse=True)
                 block = _Block(list(texts))
                 names, group = np.unique(np.asarray(sigs, dtype=object), return_inverse=True)
                 out: list[tuple[str, str, str, float]] = []
-                if len(best) > REMEMBERED:
-                    best.clear()
                 for q in queries:
                     known = best.setdefault(q, {})
                     found = [known.setdefault(n, _Best(k)) for n in names]
@@ -244,8 +241,8 @@ def best_pairs(
     # the next tile; with few query blocks and many labels they are spread over more tasks.
     spread = F.ceil(F.lit(2 * tasks) / F.col("n_blocks"))
     tiles = query_blocks.join(label_blocks, "band").withColumn("part", F.pmod(F.col("labels_block") + F.col("band"), spread))
-    return tiles.repartition(tasks, "queries_block", "part").select(
-        "queries", "labels.norm", "labels.sig", "labels.rep"
+    return tiles.repartition(tasks, "queries_block", "part").sortWithinPartitions("queries_block").select(
+        "queries_block", "queries", "labels.norm", "labels.sig", "labels.rep"
     ).mapInPandas(_score_tiles(k, threshold, contain), "q string, norm string, sig string, score double")
 
 
