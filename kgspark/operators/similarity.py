@@ -247,6 +247,7 @@ def best_pairs(
 
 
 GRAM = 3
+SHARES = 16
 
 
 def _grams(text, n):
@@ -261,10 +262,13 @@ def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
 
     Every hay is indexed by its character 1-, 2- and 3-grams; a needle is looked up under the
     one of its grams that the fewest hays have. That turns the containment test into an equi
-    join whose residual check is ``contains``.
+    join whose residual check is ``contains``. The index holds the number of a hay, not its text,
+    which joins the pairs that are left; a gram that most hays have is in SHARES parts, each
+    needle in all of them. Two hays of one number would both be checked.
     """
     every = F.flatten(F.array(*[F.coalesce(_grams(F.col("hay"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
-    index = hays.select("hay", F.explode(every).alias("gram"))
+    number = F.xxhash64("hay").alias("hay_no")
+    index = hays.select(number, F.explode(every).alias("gram")).withColumn("share", F.pmod("hay_no", F.lit(SHARES)))
     frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     probe_size = F.least(F.length("needle"), F.lit(GRAM))
     probes = needles.select("needle", F.explode(_grams(F.col("needle"), probe_size)).alias("gram"))
@@ -273,4 +277,6 @@ def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
         .filter("g.df > 0").select("needle", F.col("g.gram").alias("gram"))
     )
-    return rarest.join(index, "gram").filter(F.contains("hay", "needle")).select("needle", "hay")
+    wanted = rarest.select("needle", "gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))).alias("share"))
+    pairs = wanted.join(index, ["gram", "share"]).select("needle", "hay_no")
+    return pairs.join(hays.select("hay", number), "hay_no").filter(F.contains("hay", "needle")).select("needle", "hay")

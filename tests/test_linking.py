@@ -212,3 +212,10 @@ def test_ratio_is_difflib():
         a, b = "".join(rng.choices("abc", k=n)), "".join(rng.choices("abc", k=n))
         assert similarity.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
     assert similarity.ratio("abcd", "bcde") == 0.75
+
+
+def test_contained_pairs_with_a_needle_in_every_hay(spark):
+    hays = [f"r{i} text{i % 7}" for i in range(300)]
+    needles = ["r", "t", "xt3", "r29", "zz", "r1 text1", "é"]
+    got = similarity.contained_pairs(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(h,) for h in hays], "hay string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((n, h) for n in needles for h in hays if n in h)
