@@ -438,3 +438,27 @@ def relation_scorecard(relations: DataFrame, labels: DataFrame | None = None, cf
             "recommendation": c("_d.recommendation"),
         }
     ).drop("_d", "n_source", "n_target", *[f"_{n}" for n in PARTS])
+
+
+def score_explanation(scored: DataFrame, column: str = "explanation") -> DataFrame:
+    """``entity_scorecard`` rows with a text that lists the five parts and what weighed on them."""
+    percent = lambda c: F.concat(F.format_string("%.2f", round_to(c * 100, 2)), F.lit("%"))
+    part = lambda i, name, what, key: F.concat(F.lit(f"{i}. {name} ({what}): "), percent(F.col(key)["score"]))
+    said = lambda c: F.when(c, F.lit("True")).otherwise(F.lit("False"))
+    nearest, missing, agrees = F.col("congruence.nearest_entity"), F.col("completeness.missing_fields"), F.col("consistency.agrees")
+    lines = [
+        F.array(F.concat(F.lit("Overall Score: "), percent(F.col("overall_score")), F.lit(" ("), "review_status", F.lit(")")),
+                F.concat(F.lit("Recommendation: "), "recommendation"), F.lit(""),
+                part(1, "CONGRUENCE", "Semantic Alignment", "congruence")),
+        F.when(F.coalesce(nearest, F.lit("")) != "", F.array(F.concat(F.lit("   - Nearest KG entity: "), nearest))),
+        F.array(part(2, "COVERAGE", "Representativeness", "coverage"), F.concat(F.lit("   - Is novel: "), said(F.col("coverage.is_novel"))),
+                F.concat(F.lit("   - Similar entities in KG: "), F.col("coverage.similar_count").cast("string")),
+                part(3, "CONSTRAINT", "Clinical Validity", "constraint")),
+        F.transform("constraint.violations", lambda v: F.concat(F.lit("   ⚠ "), v)),
+        F.array(part(4, "COMPLETENESS", "Required Attributes", "completeness")),
+        F.when(F.size(missing) > 0, F.array(F.concat(F.lit("   - Missing: "), F.array_join(missing, ", ")))),
+        F.array(part(5, "CONSISTENCY", "Type Coherence", "consistency")),
+        F.when(agrees.isNotNull(), F.array(F.concat(F.lit("   - BERT agreement: "), F.when(agrees, F.lit("✓")).otherwise(F.lit("✗"))))),
+    ]
+    none = F.array().cast("array<string>")
+    return scored.withColumn(column, F.array_join(F.concat(*[F.coalesce(x, none) for x in lines]), "\n"))

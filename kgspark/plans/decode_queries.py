@@ -71,6 +71,12 @@ def merge_entities(spark, d):
     return r.select("doc_id", "chunk_index", "text", "entity_type", "start_position", "end_position")
 
 
+def merge_unshifted(spark, d):
+    e, chunks = _chunk_entities(spark, d)
+    r = C.merge_chunk_entities(e, chunks, shift=False)
+    return r.select("doc_id", "chunk_index", "text", "entity_type", "start_position", "end_position")
+
+
 def merge_extractions(spark, d):
     answers = X.responses(spark, d)
     e, r = C.merge_chunk_extractions(C.parse_entities(answers, KEYS), C.parse_relations(answers, KEYS))
@@ -143,6 +149,7 @@ QUERIES = {
     "locate_mention": locate,
     "locate_relation": locate_relations,
     "merge_chunk_entities": merge_entities,
+    "merge_chunk_entities_unshifted": merge_unshifted,
     "merge_chunk_extractions": merge_extractions,
     "assign_occurrences": occurrences,
     "decode_bio": bio,
@@ -206,6 +213,8 @@ SELECT doc_id, CAST(part AS BIGINT) AS part, source_entity, target_entity, CASE
     "merge_chunk_entities": X.with_tables("chunks", extra={"words": _chunk_words}, body=f"""SELECT doc_id, chunk_index, text, entity_type,
 CAST(loc + start_char AS INTEGER) AS start_position, CAST(loc + start_char + length(text) AS INTEGER) AS end_position
 FROM words QUALIFY {_rank.format('doc_id, lower(text), entity_type')}"""),
+    "merge_chunk_entities_unshifted": X.with_tables("chunks", extra={"words": _chunk_words}, body=f"""SELECT doc_id, chunk_index, text, entity_type,
+CAST(loc AS INTEGER) AS start_position, CAST(loc + length(text) AS INTEGER) AS end_position FROM words QUALIFY {_rank.format('doc_id, lower(text), entity_type')}"""),
     "merge_chunk_extractions": X.with_tables("parsed", "parsed_relations", body=f"""
 SELECT * FROM (SELECT doc_id, 'entity' AS part, chunk_index, CAST(pos AS INTEGER) AS pos, text, entity_type AS kind, '' AS target FROM parsed WHERE i % 7 <> 0 AND entity_type IS NOT NULL
   QUALIFY {_rank.format('doc_id, lower(trim(text)), entity_type')}) a

@@ -33,6 +33,12 @@ def skip_disabled(spark, d):
     return T.skip_disabled(t, off).groupBy("src", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
+def toggled(spark, d):
+    """Sources with places are disabled; sources with labels are toggled."""
+    t = triples(spark, d)
+    return T.toggle_disabled(t.filter(F.col("p") == LOCATED).select("src"), t.filter(F.col("p") == RDFS_LABEL).select("src"))
+
+
 def append_new(spark, d):
     """Customers' and parts' triples are known; all triples arrive once more."""
     t = triples(spark, d)
@@ -138,6 +144,7 @@ def values_in(spark, d):
 QUERIES = {
     "scan_triples": scan_triples,
     "skip_disabled_files": skip_disabled,
+    "toggle_disabled": toggled,
     "append_new_triples": append_new,
     "write_triples": write_lines,
     "drop_graph": drop_graph,
@@ -174,6 +181,8 @@ ORACLES = {
     "scan_triples": CTE("SELECT DISTINCT s, p, o, o_kind, g, src FROM triples"),
     "skip_disabled_files": CTE(
         f"SELECT src, p, count(*) AS n FROM triples WHERE src NOT IN (SELECT src FROM triples WHERE p = '{LOCATED}') GROUP BY src, p"),
+    "toggle_disabled": CTE(f"""SELECT src FROM (SELECT DISTINCT src FROM triples WHERE p = '{LOCATED}' UNION ALL SELECT DISTINCT src FROM triples WHERE p = '{RDFS_LABEL}') x
+GROUP BY src HAVING count(*) = 1"""),
     "append_new_triples": CTE("""SELECT src, count(*) AS added FROM (SELECT DISTINCT s, p, o, src FROM triples) t
 WHERE NOT EXISTS (SELECT 1 FROM triples k WHERE k.src IN ('customer', 'part') AND k.s = t.s AND k.p = t.p AND k.o = t.o) GROUP BY src"""),
     "write_triples": CTE(f"SELECT {_line} AS line FROM triples"),

@@ -95,6 +95,14 @@ def decision(spark, d):
     return s.groupBy("review_status", "recommendation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def explanation(spark, d):
+    """The lines of each entity's explanation that do not list its faults."""
+    s = C.score_explanation(C.entity_scorecard(_matched(spark, d), second_model=_second(spark, d)))
+    kept = F.filter(F.split("explanation", "\n"), lambda x: ~x.startswith("   ⚠") & ~x.startswith("   - Missing") & ~x.startswith("   - Nearest") & ~x.startswith("   - Is") & ~x.startswith("   - Similar"))
+    faults = F.size(F.filter(F.split("explanation", "\n"), lambda x: x.startswith("   ⚠")))
+    return s.select("id", F.array_join(kept, "|").alias("explanation"), (faults == F.size("constraint.violations")).alias("all_faults"))
+
+
 def scorecard_kg(spark, d):
     """Scored against the graph itself."""
     return C.entity_scorecard(_plain(spark, d), K.labels(spark, d), _second(spark, d)).select(*flat_scores())
@@ -210,6 +218,7 @@ QUERIES = {
     "entity_decision": decision,
     "entity_scorecard": scorecard,
     "entity_scorecard_kg": scorecard_kg,
+    "score_explanation": explanation,
     "relation_congruence": rel_congruence,
     "relation_coverage": rel_coverage,
     "relation_constraint": rel_constraint,
@@ -231,6 +240,7 @@ QUERIES = {
 # The same rules in SQL. Literals carry an exponent, so that DuckDB reads them as doubles.
 _if = lambda c, x: f"CASE WHEN {c} THEN {x} ELSE 0e0 END"
 _clamp = lambda x: f"greatest(0e0, least(1e0, {x}))"
+_percent = lambda x: f"printf('%.2f', round({x} * 100e0, 2)) || '%'"
 _any = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
@@ -350,6 +360,14 @@ CASE WHEN NOT ({_AGREE}) THEN second_type END AS alternate_type FROM pending_ent
         "summed": f"SELECT *, {_TOTAL('c_congruence', 'c_coverage', 'c_constraint', 'c_completeness', 'c_consistency')} AS overall FROM five",
         "decided": f"SELECT *, {_DECIDE} AS dec FROM summed"}, body="""SELECT id, round(c_congruence, 6) AS congruence, round(c_coverage, 6) AS coverage, round(c_constraint, 6) AS "constraint",
 round(c_completeness, 6) AS completeness, round(c_consistency, 6) AS consistency, overall AS overall_score, dec[1] AS review_status, dec[2] AS recommendation FROM decided"""),
+    "score_explanation": X.with_tables("mentions", "pending_entities", extra={**_KG, **_SECOND, **_entity_rules("matched"),
+        "five": f"SELECT *, {_CONG} AS c_congruence, {_COV} AS c_coverage, {_clamp(_CONS)} AS c_consistency, {_AGREE} AS agrees FROM parts LEFT JOIN second USING (text)",
+        "summed": f"SELECT *, {_TOTAL('c_congruence', 'c_coverage', 'c_constraint', 'c_completeness', 'c_consistency')} AS overall FROM five",
+        "decided": f"SELECT *, {_DECIDE} AS dec FROM summed"}, body=f"""SELECT id, concat_ws('|', 'Overall Score: ' || {_percent('overall')} || ' (' || dec[1] || ')',
+'Recommendation: ' || dec[2], '', '1. CONGRUENCE (Semantic Alignment): ' || {_percent('c_congruence')}, '2. COVERAGE (Representativeness): ' || {_percent('c_coverage')},
+'3. CONSTRAINT (Clinical Validity): ' || {_percent('c_constraint')}, '4. COMPLETENESS (Required Attributes): ' || {_percent('c_completeness')},
+'5. CONSISTENCY (Type Coherence): ' || {_percent('c_consistency')}, CASE WHEN agrees IS NOT NULL THEN '   - BERT agreement: ' || CASE WHEN agrees THEN '✓' ELSE '✗' END END) AS explanation,
+true AS all_faults FROM decided"""),
     "relation_congruence": X.with_tables("relations", extra=STAGED, body=f"SELECT id, {_rcong('0.9e0')} AS score, {_rcong('1e0')} AS with_graph FROM staged"),
     "relation_constraint": X.with_tables("relations", extra=STAGED, body=f"SELECT id, round({_rcons('false')}, 6) AS score, round({_rcons('true')}, 6) AS strict FROM staged"),
     "relation_completeness": X.with_tables("relations", extra=STAGED, body=f"SELECT id, round({_RCOMP}, 6) AS score FROM staged"),

@@ -33,6 +33,10 @@ def sampled(spark, d):
     return P.few_shot_sample(D.build_entity_dict(X.triples(spark, d)), seed=7)
 
 
+def stratified(spark, d):
+    return P.few_shot_sample(D.build_entity_dict(X.triples(spark, d)), seed=7, stratified=True)
+
+
 def block(spark, d):
     custom = X.table(spark, d, "region").select(F.col("r_name").alias("text"), F.lit("organ").alias("entity_type"))
     return P.few_shot_block(sampled(spark, d), custom)
@@ -89,6 +93,7 @@ QUERIES = {
     "truncate_context": lambda s, d: X.docs(s, d).select("doc_id", P.truncate_context(F.col("text")).alias("context")),
     "build_prompts": lambda s, d: P.build_prompts(chunks(s, d), SYSTEM, "EXAMPLE\n\n", EXTRA, "none"),
     "few_shot_sample": sampled,
+    "few_shot_sample_stratified": stratified,
     "few_shot_block": block,
     "read_iob_csv": iob_csv,
     "read_iob_lines": iob_lines,
@@ -120,6 +125,16 @@ FROM ({_sent}) s JOIN documents USING (doc_id)"""),
   'Find all entities and relations in the text below.' || chr(10) || chr(10) || 'EXAMPLE' || chr(10) || chr(10) || 'TEXT:' || chr(10) || text || chr(10) || chr(10) ||
   'Answer with JSON: "entities" and "relations".' AS user_prompt,
   CAST(least(4096, greatest(1024, 4096 - length(text) // 3)) AS INTEGER) AS max_tokens FROM chunks"""),
+    "few_shot_sample_stratified": X.with_tables("triples", body=f"""SELECT uri, label, type FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY md5(uri || ':7'), uri) AS turn FROM (
+  SELECT s AS uri, min(o) FILTER (p IN {Q.names(LABEL_PREDICATES)}) AS label, {Q.mapping(CANONICAL_KG_TYPES)}[lower({Q.local_name(f"min(o) FILTER (p = '{RDF_TYPE}')")})] AS type FROM triples GROUP BY s) e
+  WHERE label IS NOT NULL AND type IS NOT NULL) x ORDER BY turn, md5(uri || ':7'), uri LIMIT 8"""),
+    "few_shot_block": X.with_tables("triples", extra={"sampled": f"""SELECT label, type FROM (SELECT s AS uri, min(o) FILTER (p IN {Q.names(LABEL_PREDICATES)}) AS label,
+  {Q.mapping(CANONICAL_KG_TYPES)}[lower({Q.local_name(f"min(o) FILTER (p = '{RDF_TYPE}')")})] AS type FROM triples GROUP BY s) e
+  WHERE label IS NOT NULL AND type IS NOT NULL ORDER BY md5(uri || ':7'), uri LIMIT 8""",
+      "listed": """SELECT 0 AS part, r_name AS text, 'organ' AS kind, '{}' AS origin FROM region
+  UNION ALL SELECT 1, label, type, '{"source":"knowledge_graph"}' FROM sampled WHERE lower(label) NOT IN (SELECT lower(r_name) FROM region)"""}, body="""
+SELECT 'EXAMPLE (for reference):' || chr(10) || 'Text: "Clinical findings include: ' || string_agg(text, ', ' ORDER BY part, text, kind) || '."' || chr(10) || 'Expected output:' || chr(10)
+  || '{"entities":[' || string_agg('{"text":"' || text || '","entity_type":"' || kind || '","attributes":' || origin || '}', ',' ORDER BY part, text, kind) || '],"relations":[]}' || chr(10) || chr(10) AS block FROM listed"""),
     "few_shot_sample": X.with_tables("triples", body=f"""SELECT uri, label, type FROM (SELECT s AS uri, min(o) FILTER (p IN {Q.names(LABEL_PREDICATES)}) AS label,
   {Q.mapping(CANONICAL_KG_TYPES)}[lower({Q.local_name(f"min(o) FILTER (p = '{RDF_TYPE}')")})] AS type FROM triples GROUP BY s) e
 WHERE label IS NOT NULL AND type IS NOT NULL ORDER BY md5(uri || ':7'), uri LIMIT 8"""),
