@@ -71,14 +71,15 @@ def _chunker(size: int, overlap: int):
     return long_chunks
 
 
-def chunk_text(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunk_text(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, limit: int = CHUNK_LIMIT) -> DataFrame:
     """``doc_id, chunk_index, start_char, end_char, text`` of ``docs(doc_id, text)``.
 
     Texts that fit in one chunk never leave the JVM. For longer ones the next start depends on
     the previous end, so a vectorised function walks each text once. Every document is
     chunked where it lies: no shuffle. Offsets belong to the slice before it is stripped.
     """
-    size = min(size, CHUNK_LIMIT)
+    if not (1 <= size <= limit and 0 <= overlap < size):
+        raise ValueError(f"size must be 1..{limit}, overlap smaller than it")
     n = F.length("text")
     whole = F.array(F.struct(F.lit(0).alias("start_char"), n.alias("end_char"), F.col("text").alias("text")))
     parts = F.when(n <= size, whole).otherwise(_chunker(size, overlap)(F.when(n > size, F.col("text"))))
@@ -113,19 +114,22 @@ def _halves(text: str) -> list[str]:
     return parts if all(parts) else [text]
 
 
-def _pieces(text: str, limit: int, depth: int = 0) -> list[str]:
-    if len(text) <= max(limit, 2 * MIN_PIECE) or depth == MAX_DEPTH:
+def _pieces(text: str, limit: int, times: int) -> list[str]:
+    if len(text) <= limit or not times:
         return [text]
     parts = _halves(text)
-    return parts if len(parts) == 1 else [p for half in parts for p in _pieces(half, limit, depth + 1)]
+    return parts if len(parts) == 1 else [p for half in parts for p in _pieces(half, limit, times - 1)]
 
 
-def split_oversize(chunks: DataFrame, limit: int) -> DataFrame:
-    """Chunks longer than the limit are halved up to three times; others stay as they are."""
+def split_oversize(chunks: DataFrame, limit: int, min_piece: int = MIN_PIECE, times: int = MAX_DEPTH) -> DataFrame:
+    """Chunks longer than the limit are halved up to ``times`` times; others stay as they are.
+
+    A text of less than two ``min_piece`` is not halved, so pieces may stay longer than a small limit.
+    """
 
     @F.pandas_udf(ArrayType(StringType()))
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _pieces(t, limit))
+        return texts.map(lambda t: None if t is None else _pieces(t, max(limit, 2 * min_piece), times))
 
     big = F.length("text") > limit
     parts = F.when(big, pieces(F.when(big, F.col("text")))).otherwise(F.array("text"))
@@ -203,8 +207,8 @@ def tokenize_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_tokenize, TOKEN_COLUMNS)
 
 
-def truncate_context(c: Column) -> Column:
-    return F.substring(c, 1, CONTEXT_LIMIT)
+def truncate_context(c: Column, limit: int = CONTEXT_LIMIT) -> Column:
+    return F.substring(c, 1, limit)
 
 
 PROMPT = "Find all entities and relations in the text below.\n\n%sTEXT:\n%s\n\nAnswer with JSON: \"entities\" and \"relations\"."
@@ -212,10 +216,10 @@ PROMPT = "Find all entities and relations in the text below.\n\n%sTEXT:\n%s\n\nA
 
 def build_prompts(
     chunks: DataFrame, system: str, examples: str = "", entity_extra: str | None = None,
-    relation_extra: str | None = None, template: str = PROMPT,
+    relation_extra: str | None = None, template: str = PROMPT, extra_limit: int = EXTRA_LIMIT,
 ) -> DataFrame:
     """A request table: system prompt, user prompt and output budget per chunk. No model is called."""
-    extras = [f"\nAdditional {kind} extraction instructions:\n{text[:EXTRA_LIMIT]}"
+    extras = [f"\nAdditional {kind} extraction instructions:\n{text[:extra_limit]}"
               for kind, text in (("entity", entity_extra), ("relation", relation_extra)) if text]
     whole_system = system + ("\n" + "\n".join(extras) if extras else "")
     budget = F.least(F.lit(4096), F.greatest(F.lit(1024), 4096 - F.floor(F.length("text") / 3)))

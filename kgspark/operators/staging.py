@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark.functions.text import strip
 from kgspark.operators.decode import first_of
-from kgspark.operators.prepare import truncate_context
+from kgspark.operators.prepare import CONTEXT_LIMIT, truncate_context
 
 MAX_PAGE = 200
 
@@ -23,14 +23,14 @@ def _new_only(rows: DataFrame, keys: list[str], present: DataFrame, order: list[
     return once.join(present.select(*keys), keys, "left_anti")
 
 
-def stage_entities(incoming: DataFrame, pending: DataFrame, order: list[str]) -> DataFrame:
+def stage_entities(incoming: DataFrame, pending: DataFrame, order: list[str], context_limit: int = CONTEXT_LIMIT) -> DataFrame:
     """Entities that are not exact matches and not already pending under the same text and type."""
     found = incoming.filter(~F.col("validation_status").eqNullSafe("exact_match"))
     rows = _new_only(found, ["text", "entity_type"], pending.filter("status = 'pending'"), order)
-    return rows.withColumns({"context": truncate_context(F.col("context")), "status": F.lit("pending")})
+    return rows.withColumns({"context": truncate_context(F.col("context"), context_limit), "status": F.lit("pending")})
 
 
-def stage_joint_entities(incoming: DataFrame, pending: DataFrame, order: list[str]) -> DataFrame:
+def stage_joint_entities(incoming: DataFrame, pending: DataFrame, order: list[str], context_limit: int = CONTEXT_LIMIT) -> DataFrame:
     """The same for joint extraction: texts are stripped, blank ones dropped, nothing is linked yet."""
     bare = incoming.withColumns({c: strip(F.coalesce(c, F.lit(""))) for c in ("text", "entity_type")})
     rows = _new_only(bare.filter("text <> '' AND entity_type <> ''"), ["text", "entity_type"], pending.filter("status = 'pending'"), order)
@@ -39,7 +39,7 @@ def stage_joint_entities(incoming: DataFrame, pending: DataFrame, order: list[st
             "validation_status": F.lit("not_found"),
             "source": F.lit("langextract"),
             "confidence": F.lit(None).cast("double"),
-            "context": truncate_context(F.col("context")),
+            "context": truncate_context(F.col("context"), context_limit),
             "status": F.lit("pending"),
         }
     )
@@ -48,7 +48,7 @@ def stage_joint_entities(incoming: DataFrame, pending: DataFrame, order: list[st
 RELATION_KEY = ["source_entity", "relation_type", "target_entity"]
 
 
-def stage_relations(incoming: DataFrame, pending: DataFrame, order: list[str]) -> DataFrame:
+def stage_relations(incoming: DataFrame, pending: DataFrame, order: list[str], context_limit: int = CONTEXT_LIMIT) -> DataFrame:
     """Relations that are in the table under no status; a missing context becomes the document's.
 
     ``incoming`` may carry ``document_text`` for that.
@@ -58,7 +58,7 @@ def stage_relations(incoming: DataFrame, pending: DataFrame, order: list[str]) -
     rows = _new_only(full, RELATION_KEY, pending, order)
     own = F.when(F.col("context") != "", F.col("context"))
     whole = F.col("document_text") if "document_text" in incoming.columns else F.lit(None).cast("string")
-    context = truncate_context(F.coalesce(own, whole, F.lit("")))
+    context = truncate_context(F.coalesce(own, whole, F.lit("")), context_limit)
     return rows.withColumns({"context": context, "status": F.lit("pending")}).drop("document_text")
 
 
@@ -130,6 +130,24 @@ def list_page(rows: DataFrame, listing: Listing, sortable: list[str]) -> DataFra
     )
 
 
+def list_after(rows: DataFrame, listing: Listing, sortable: list[str], value, last_id) -> DataFrame:
+    """The page that follows the row with sort value ``value`` and id ``last_id``.
+
+    A range on the sort key: a task keeps one page of rows, however deep the page is.
+    """
+    by = listing.sort_by if listing.sort_by in sortable else "created_at"
+    down = listing.descending if listing.sort_by in sortable else True
+    c, later = F.col(by), F.col("id") > F.lit(last_id)
+    if value is None:
+        rest = c.isNull() & later if down else c.isNotNull() | later
+    else:
+        v = F.lit(value)
+        rest = (c == v) & later
+        rest = rest | ((c < v) | c.isNull() if down else c > v)
+    order = c.desc_nulls_last() if down else c.asc_nulls_first()
+    return matching(rows, listing).filter(rest).orderBy(order, "id").limit(listing.page_size)
+
+
 def list_total(rows: DataFrame, listing: Listing) -> DataFrame:
     return matching(rows, listing).agg(F.count(F.lit(1)).alias("total"))
 

@@ -63,6 +63,16 @@ def test_staging_is_first_wins(spark):
         S.list_page(new, S.Listing(page_size=201), [])
 
 
+@pytest.mark.parametrize("down", [True, False])
+def test_pages_by_key_range_are_the_pages_by_number(spark, down):
+    rows = spark.createDataFrame([(i, [None, 1.0, 2.0][i % 3]) for i in range(50)], "id int, score double")
+    first = S.list_page(rows, S.Listing(sort_by="score", descending=down, page_size=7), ["score"]).collect()
+    for page in range(2, 9):
+        want = S.list_page(rows, S.Listing(sort_by="score", descending=down, page=page, page_size=7), ["score"]).collect()
+        first = S.list_after(rows, S.Listing(sort_by="score", descending=down, page_size=7), ["score"], first[-1].score, first[-1].id).collect()
+        assert first == want
+
+
 def test_uris_are_reused(spark):
     t = spark.createDataFrame([("http://b", "http://www.w3.org/2000/01/rdf-schema#label", "Asthma", "literal"), ("http://a", "http://www.w3.org/2000/01/rdf-schema#label", "Asthma", "literal")], "s string, p string, o string, o_kind string")
     rel = spark.createDataFrame([(1, "Asthma", "disease", "affects", "left lung", "organ"), (2, "left lung", "score", "affects", "Asthma", "organ")],
