@@ -104,7 +104,22 @@ QUERIES = {
 _id = lambda x: f"CAST(coalesce(list_position({Q.array(TOKEN_LABELS)}, {x}), 1) - 1 AS INTEGER)"
 _sent = """SELECT doc_id, sentence_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end" FROM toks GROUP BY doc_id, sentence_id"""
 
+# A piece of more than 900 characters is cut at the sentence end nearest the middle, else at a line end, else there.
+_near = "flatten(list_transform(range(least(500, length(text) // 4)), lambda i: [length(text) // 2 - i, length(text) // 2 + i]))"
+_blank = "' ' || chr(10) || chr(9) || chr(13)"
+_halved = f"""SELECT doc_id, chunk_index, '' AS path, text, 0 AS depth FROM chunks
+UNION ALL SELECT doc_id, chunk_index, path || k, CASE k WHEN 0 THEN a ELSE b END, depth + 1 FROM (
+  SELECT *, unnest([0, 1]) AS k FROM (SELECT *, trim(substr(text, 1, cut + 1), {_blank}) AS a, trim(substr(text, cut + 2), {_blank}) AS b FROM (
+    SELECT *, CASE WHEN stop IS NULL OR stop + 1 = length(text) // 2 THEN coalesce(line, stop, length(text) // 2 - 1) ELSE stop END AS cut FROM (
+      SELECT *, list_filter(near, lambda p: substr(text, p + 1, 1) IN ('.', '!', '?') AND substr(text, p + 2, 1) IN (' ', chr(10), chr(9)))[1] AS stop,
+        list_filter(near, lambda p: substr(text, p + 1, 1) = chr(10))[1] AS line FROM (
+        SELECT *, list_filter({_near}, lambda p: p > 0 AND p < length(text) - 1) AS near FROM halved WHERE length(text) > 900 AND depth < 3) n) s) c) t
+  WHERE a <> '' AND b <> '') u"""
+
 ORACLES = {
+    "halve_text": X.with_tables("chunks", extra={"halved": _halved}, body="""SELECT doc_id, chunk_index,
+CAST(row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY path) - 1 AS INTEGER) AS piece, text
+FROM halved h WHERE NOT EXISTS (SELECT 1 FROM halved c WHERE c.doc_id = h.doc_id AND c.chunk_index = h.chunk_index AND c.path = h.path || '0')"""),
     "scan_documents": "SELECT doc_id, CAST(length(text) AS INTEGER) AS total_chars FROM documents",
     "snapshot_fingerprint": X.with_tables("triples", body="""SELECT md5(string_agg(e, '|' ORDER BY e)) AS fingerprint, count(*) AS n_files
 FROM (SELECT src || ':' || sum(length(o)) || ':' || count(*) AS e FROM triples GROUP BY src) x"""),
