@@ -50,8 +50,11 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 OTHER_NAMES = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?|sidebar|side-bar|menu|nav|navbar|navigation|"
     r"breadcrumbs?|masthead|header|topbar|footer|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|"
-    r"social|related|recommended|recommendations|comments?|commentlist|disqus|respond|replies|reply|widget|toolbar|pagination|pager|skip|search|form|hidden)(?:$|[\s_-])"
+    r"social|related|recommended|recommendations|comments?|commentlist|disqus|respond|replies|reply|widget|toolbar|pagination|pager|skip|search|form|hidden|disclaimer|copyright|trending|popular)(?:$|[\s_\d-])"
 )
+COMMENT_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|commentlist|repl(?:y|ies))(?:$|[\s_\d-])")
+#: Names that tell what a wrapper has beside the article, not what it is.
+STATES = re.compile(r"(?i)(?:^|(?<=\s))(?:has|with|no|without|is|show|hide)[-_][\w-]+")
 ARTICLE = frozenset(["article", "main"])
 CONTAINERS = frozenset("html body div section center td blockquote pre fieldset details".split())
 
@@ -73,7 +76,8 @@ class Element:
         within = parent is not None and parent.article
         role = held.get("role", "").lower()
         own = name in OTHER_ELEMENTS or role in OTHER_ROLES or "hidden" in held or (name == "header" and not within)
-        marked = name not in ("html", "body") and bool(names) and bool(OTHER_NAMES.search(names))
+        said = STATES.sub("", re.sub(r"([a-z])([A-Z])", r"\1-\2", names)) if name not in ("html", "body") else ""
+        marked = bool(said) and bool((COMMENT_NAMES if name in ARTICLE else OTHER_NAMES).search(said))
         self.other = (parent is not None and parent.other) or own or marked
         self.article = within or ((name in ARTICLE or role == "main") and not self.other)
 

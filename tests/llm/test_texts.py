@@ -224,6 +224,16 @@ def test_main_text_of_articles_and_others(spark):
     assert html.extract(table).count() == len(pages) and html.extract(table.limit(0)).count() == 0
 
 
+def test_names_of_other_parts():
+    def text(inner):
+        return html.text_of(f"<body class='has-sidebar'><div class='layout with-comments'><main class='post has-ads'><p>Kept</p>{inner}</main></div></body>", frozenset())
+
+    for tag in ("div class='cookieBanner'", "div id='ad1'", "section class='user-comments'", "div class=\"newsletter_box\"", "form", "aside", "article class='comment'", "div role='dialog'", "footer", "nav", "div hidden"):
+        assert text(f"<{tag}><p>gone</p></{tag.split()[0]}>") == "Kept", tag
+    for tag in ("section class='body'", "div class='address'", "article", "blockquote", "div class='adagio'", "header"):
+        assert text(f"<{tag}><p>also</p></{tag.split()[0]}>") == "Kept\nalso", tag
+
+
 def test_rollups_equal_a_recount(spark, tmp_path):
     ledger = token_rollup.Ledger(spark, str(tmp_path))
     columns = "doc_id long, source string, lang string, text string, tokens int"
