@@ -51,7 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of one Arrow batch between Spark and its Python workers; rows of texts are wide.
-ARROW_BATCH = "8m"
+ARROW_BATCH = "4m"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of one column that a Python task works on at once; one longer value is taken alone.
-WORKED = 8 << 20
+WORKED = 4 << 20
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -76,6 +76,7 @@ def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Reco
                 rows //= 2
             yield batch.slice(at, rows)
             at += rows
+        pa.default_memory_pool().release_unused()
 
 
 def attach_groups(members: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:

@@ -29,9 +29,9 @@ WORDS = 5
 #: Links need NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bytes of text that are hashed at once; bounds the memory of a task, not the text.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Shingles counted together when frequent ones are looked for, and the share of sets that makes one frequent.
-COUNTED, FREQUENT_SHARE = 1 << 21, 0.001
+COUNTED, FREQUENT_SHARE = 1 << 20, 0.001
 #: A prefix is longer than one shared shingle asks for by this part of the set.
 EXTRA = 12
 #: Sets held against one copy of their centre when pairs are decided.

@@ -31,7 +31,7 @@ END_ID = 0
 SALTS = 256
 #: Words as they stand, and words without marks and case, whose ids a task remembers; emptied when full, which
 #: changes no result.
-REMEMBERED, REMEMBERED_CORES = 200_000, 500_000
+REMEMBERED, REMEMBERED_CORES = 100_000, 300_000
 
 
 class WordIds:

@@ -31,7 +31,7 @@ PREFIXES = range(3, 8)
 SEEN = 4
 STEPS, RATE, DECAY, PRIOR = 400, 0.1, 5e-6, -6.0
 #: Words whose weights a task remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 
