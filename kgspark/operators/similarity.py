@@ -5,8 +5,9 @@
 
 1. texts are grouped into length bands; a ratio of at least t needs
    ``min_len >= max_len * t / (2 - t)``, so a query meets only some bands (equi join on band);
-2. queries and labels of a band are packed into blocks of bounded size, and the join is on
-   (band, label block): a hot band is many small tiles, spread evenly over the tasks;
+2. queries and labels of a band are packed into blocks of bounded size; a label block goes once to
+   each of a few tasks, and the texts of the band's query blocks pass it there: a hot band is many
+   small tiles, spread evenly over the tasks;
 3. inside a tile one numpy pass computes the longest common subsequence of a query with all
    labels of the block (bit-parallel, one machine word per label). ``2 * lcs / (l1 + l2)``
    bounds both the ratio and the containment score from above;
@@ -25,11 +26,11 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 BAND_BASE = 1.5
-LABELS_PER_BLOCK = 2048
+LABELS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 256
 WORD = 64
 LONG_LABEL = 200  # from this length on difflib drops characters that are too common
@@ -163,25 +164,26 @@ def _score_tiles(k: int, threshold: float, contain: bool):
     score = link_score if contain else (lambda a, b: 1.0 if a == b else ratio(a, b))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # What was found for the queries of one block. It only serves to skip pairs; tiles come in order of
-        # query blocks, and it goes with the block, so it holds at most one block's queries.
-        now, best = None, {}
+        # Rows come in order of label block; its labels come first and are held while its query blocks pass.
+        at = block = texts = text_no = sigs = norms = reps = names = group = None
         for batch in batches:
-            for number, queries, norms, sigs, reps in zip(batch["queries_block"], batch["queries"], batch["norm"], batch["sig"], batch["rep"]):
-                if number != now:
-                    now, best = number, {}
-                # Labels of several signatures are bounded and scored once.
-                texts, text_no = np.unique(np.asarray(norms, dtype=object), return_inverse=True)
-                block = _Block(list(texts))
-                names, group = np.unique(np.asarray(sigs, dtype=object), return_inverse=True)
+            for place, labels, queries in zip(zip(batch["band"], batch["block"], batch["share"]), batch["labels"], batch["queries"]):
+                if labels is not None:
+                    at = place
+                    norms, sigs, reps = ([x[f] for x in labels] for f in ("norm", "sig", "rep"))
+                    # Labels of several signatures are bounded and scored once.
+                    texts, text_no = np.unique(np.asarray(norms, dtype=object), return_inverse=True)
+                    block = _Block(list(texts))
+                    names, group = np.unique(np.asarray(sigs, dtype=object), return_inverse=True)
+                    continue
+                if place != at:  # a block number that no label has
+                    continue
                 out: list[tuple[str, str, str, float]] = []
                 for q in queries:
-                    known = best.setdefault(q, {})
-                    found = [known.setdefault(n, _Best(k)) for n in names]
+                    found = [_Best(k) for _ in names]
                     bound = block.bounds(q)[text_no]
                     scored: dict[int, float] = {}
-                    floors = np.maximum([f.floor for f in found], threshold) - SLACK
-                    reach = np.flatnonzero(bound >= floors[group])
+                    reach = np.flatnonzero(bound >= threshold - SLACK)
                     for i in reach[np.argsort(-bound[reach], kind="stable")]:
                         mine = found[group[i]]
                         if bound[i] + SLACK < mine.floor:
@@ -203,21 +205,11 @@ def _packed(rows: DataFrame, item, name: str, per_block: int, order: list[str])
 
     The number of bands is logarithmic in the longest text, so the table of counts is small.
     """
-    counts = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("n_blocks"))
+    counts = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / per_block).alias(f"{name}_blocks"))
     blocked = rows.join(F.broadcast(counts), "band").withColumn(
-        f"{name}_block", F.pmod(F.xxhash64(*order), F.col("n_blocks"))
+        f"{name}_block", F.pmod(F.xxhash64(*order), F.col(f"{name}_blocks"))
     )
-    return blocked.groupBy("band", f"{name}_block").agg(F.collect_list(item).alias(name))
-
-
-def _packed_queries(queries: DataFrame, reached) -> DataFrame:
-    """(band, block, array of queries): a query is in the same block in every band it reaches."""
-    total = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK)).alias("n_blocks"))
-    blocked = queries.withColumn("n_blocks", total.scalar()).withColumn(
-        "queries_block", F.pmod(F.xxhash64("q"), F.col("n_blocks"))
-    )
-    return blocked.select("q", "queries_block", "n_blocks", F.explode(reached).alias("band")).groupBy(
-        "band", "queries_block", "n_blocks").agg(F.collect_list("q").alias("queries"))
+    return blocked.groupBy("band", f"{name}_block", f"{name}_blocks").agg(F.collect_list(item).alias(name))
 
 
 def best_pairs(
@@ -226,7 +218,8 @@ def best_pairs(
     """Pairs ``q, norm, sig, score`` that hold the best k of every query and signature.
 
     ``queries(q)`` are distinct normalised texts; ``labels(norm, sig, rep)`` are distinct in
-    (norm, sig), where ``rep`` is a number for one entity with that label.
+    (norm, sig), where ``rep`` is a number for one entity with that label. A label block is sent
+    once to each of a few tasks, and only the texts of the query blocks go to all blocks of their bands.
     """
     spark = queries.sparkSession
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
@@ -236,14 +229,24 @@ def best_pairs(
     )
     n = F.length("q")
     low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
-    query_blocks = _packed_queries(queries, F.sequence(_band(F.floor(low)), _band(F.ceil(high))))
-    # One task sees all tiles of a query block, so that what it learned about a query saves work in
-    # the next tile; with few query blocks and many labels they are spread over more tasks.
-    spread = F.ceil(F.lit(2 * tasks) / F.col("n_blocks"))
-    tiles = query_blocks.join(label_blocks, "band").withColumn("part", F.pmod(F.col("labels_block") + F.col("band"), spread))
-    return tiles.repartition(tasks, "queries_block", "part").sortWithinPartitions("queries_block").select(
-        "queries_block", "queries", "labels.norm", "labels.sig", "labels.rep"
-    ).mapInPandas(_score_tiles(k, threshold, contain), "q string, norm string, sig string, score double")
+    reached = F.sequence(_band(F.floor(low)), _band(F.ceil(high)))
+    query_blocks = _packed(queries.select("q", F.explode(reached).alias("band")), F.col("q"), "queries", QUERIES_PER_BLOCK, ["q"])
+    # One row for each band: how many label blocks it has, and among how many tasks each is shared.
+    bands = label_blocks.groupBy("band").agg(F.max("labels_blocks").cast("bigint").alias("n"))
+    shares = F.ceil(F.lit(2 * tasks) / F.sum("n").over(Window.partitionBy())).cast("bigint").alias("shares")
+    bands = F.broadcast(bands.select("band", "n", shares))
+    no_labels = F.lit(None).cast("array<struct<norm:string,sig:string,rep:bigint>>")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    sent = label_blocks.join(bands, "band").select(
+        "band", F.col("labels_block").alias("block"), every("shares").alias("share"), F.lit(-1).cast("bigint").alias("turn"),
+        F.col("labels").cast("array<struct<norm:string,sig:string,rep:bigint>>").alias("labels"), F.lit(None).cast("array<string>").alias("queries"))
+    asked = query_blocks.join(bands, "band").select("band", every("n").alias("block"), "shares", "queries_block", "queries").select(
+        "band", "block", F.pmod("queries_block", "shares").alias("share"), F.col("queries_block").alias("turn"), no_labels.alias("labels"), "queries")
+    place = ["band", "block", "share"]
+    return (
+        sent.unionByName(asked).repartition(tasks, *place).sortWithinPartitions(*place, "turn")
+        .select(*place, "labels", "queries").mapInPandas(_score_tiles(k, threshold, contain), "q string, norm string, sig string, score double")
+    )
 
 
 GRAM = 3
