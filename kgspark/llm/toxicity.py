@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import portions, small_batches
 
 #: Labelled documents that the model is fitted on, at most, and features that get a weight.
-SAMPLE, FEATURES = 12000, 2000
+SAMPLE, FEATURES = 8000, 2000
 THRESHOLD = 0.7
 PREFIXES = range(3, 8)
 #: Documents of the sample that have a feature, at least.
@@ -88,17 +88,23 @@ class Model:
         return 0, len(text)
 
 
-def _fit(bags: list[tuple[int, int, list[list[int]]]], size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on the noisy-or likelihood; bags are (label, sentences, marked sentences)."""
-    labels = np.array([b[0] for b in bags], float)
-    sentence = np.array([s for s, (_, _, marked) in enumerate(bags) for _ in marked], np.int64)
-    plain = np.array([n - len(marked) for _, n, marked in bags], float)
-    flat = [ids for _, _, marked in bags for ids in marked]
-    row = np.repeat(np.arange(len(flat)), [len(x) for x in flat]).astype(np.int64)
-    column = np.concatenate([np.array(x, np.int64) for x in flat]) if flat else np.empty(0, np.int64)
+def _fit(bags: pa.Table, size: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on the noisy-or likelihood.
+
+    bags holds (toxic, sentences, marked): a document's label, its number of sentences, and the features of those
+    that have any; it stays in flat arrays.
+    """
+    labels = bags.column("toxic").to_numpy().astype(float)
+    marked = pa.concat_arrays(bags.column("marked").chunks)
+    each_marked = marked.value_lengths().to_numpy()
+    inner = marked.flatten()
+    sentence = np.repeat(np.arange(len(labels)), each_marked)
+    plain = bags.column("sentences").to_numpy().astype(float) - each_marked
+    row = np.repeat(np.arange(len(inner)), inner.value_lengths().to_numpy())
+    column = inner.flatten().to_numpy()
     theta, first, second = np.append(np.zeros(size), PRIOR), np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, theta[column], len(flat)) + theta[-1]
+        z = np.bincount(row, theta[column], len(inner)) + theta[-1]
         sigma, sigma0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
         clean = np.bincount(sentence, -np.logaddexp(0, z), len(bags)) - plain * np.logaddexp(0, theta[-1])
         p = np.clip(-np.expm1(clean), 1e-9, 1)
@@ -160,9 +166,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 ["doc_id", "toxic", "sentences", "marked"],
             )
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, sentences int, marked array<array<int>>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["sentences"]))
-    weights, bias = _fit([(r["toxic"], r["sentences"], r["marked"]) for r in rows], len(number))
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, sentences int, marked array<array<int>>").toArrow()
+    weights, bias = _fit(rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("sentences", "ascending")]), len(number))
     return Model({f: float(weights[i]) for f, i in number.items()}, bias)
 
 
