@@ -3,12 +3,13 @@
 A sentence's score is the logistic function of a bias and the weights of its words, where a word's weight is the sum
 over its features (the word and its prefixes). A document is toxic unless none of its sentences is:
 1 - product(1 - sentence score). Training sees document labels only and pushes the blame to sentences; the sentence
-of the highest score locates the offence.
+of the highest score locates the offence. Scoring takes the background off every sentence's evidence -log(1 - score):
+what a sentence of the bias alone, or of BACKGROUND if that is more, has. Plain prose so adds none, however long it is.
 
 The model is fitted on at most SAMPLE labelled documents (those with the smallest hash of their id, so the same ones
 in every run); feature counts and the fit use the whole texts of that sample, and every document is scored whole.
 Labels, language, source and id never enter a score. Rules for input: null text is empty and scores 0; every row
-gives one row with its columns and the new ones; without labels of both kinds every sentence gets the prior's score.
+gives one row with its columns and the new ones; without labels of both kinds no sentence has evidence.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from kgspark.llm.common import portions, small_batches
 #: Labelled documents that the model is fitted on, at most, and features that get a weight.
 SAMPLE, FEATURES = 8000, 2000
 THRESHOLD = 0.7
+#: Logit of the sentence score (1.8 %) that counts as background, at least.
+BACKGROUND = -4.0
 PREFIXES = range(3, 8)
 #: Documents of the sample that have a feature, at least.
 SEEN = 4
@@ -72,8 +75,8 @@ class Model:
         full = np.bincount(place[~end], minlength=place[-1] + 1) > 0
         if not full.any():
             return 0.0, 0, 0.0
-        # log(1 - score) of every sentence that has words
-        clean = -np.logaddexp(0.0, logits + self.bias)
+        # log(1 - score) of every sentence over the background
+        clean = np.minimum(0.0, np.logaddexp(0.0, max(self.bias, BACKGROUND)) - np.logaddexp(0.0, logits + self.bias))
         worst = int(np.argmax(np.where(full, logits, -np.inf)))
         return float(-np.expm1(clean[full].sum())), worst, float(-np.expm1(clean[worst]))
 

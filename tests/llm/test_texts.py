@@ -163,6 +163,16 @@ def test_toxicity_learns_words_from_document_labels(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_clean_text_does_not_grow_with_its_length():
+    model = toxicity.Model({"vile": 11.0, "some*": 0.4, "plain": -0.5}, -9.4)
+    clean = "This is plain prose. Nothing here is said of anyone.\nSomething else follows! " * 60_000
+    assert len(clean) > 4_000_000
+    assert model.score(clean)[0] < 0.01
+    total, worst, most = model.score(clean + "A vile sentence.")
+    assert total >= toxicity.THRESHOLD and most <= total + 1e-9
+    assert "vile" in (clean + "A vile sentence.")[slice(*toxicity.Model.span(clean + "A vile sentence.", worst))]
+
+
 def test_layouts_become_turns():
     chat_turns = [("user", "q"), ("assistant", "a")]
     for record in (
