@@ -94,17 +94,24 @@ class Shingler:
         return _mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(U)), starts
 
     def _cuts(self, raw: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Slices of about SLICE bytes that end between two words."""
+        """Slices that end between two words: at most SLICE bytes of whole words and white space, or one longer word."""
         at = 0
         while at < len(raw):
             end = min(at + SLICE, len(raw))
-            while end < len(raw):
-                step = min(end + SLICE, len(raw))
-                free = np.flatnonzero(self.space[raw[end:step]] | first[end:step])
-                if len(free):
-                    end += int(free[0])
-                    break
-                end = step
+            if end < len(raw):
+                free = np.flatnonzero(self.space[raw[at : end + 1]] | first[at : end + 1])
+                if len(free) and free[-1]:
+                    end = at + int(free[-1])
+                elif len(free) and self.space[raw[at]]:
+                    end = at + 1
+                else:
+                    while end < len(raw):
+                        step = min(end + SLICE, len(raw))
+                        free = np.flatnonzero(self.space[raw[end:step]] | first[end:step])
+                        if len(free):
+                            end += int(free[0])
+                            break
+                        end = step
             yield at, end
             at = end
 

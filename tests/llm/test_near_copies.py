@@ -81,6 +81,15 @@ def test_shingles_do_not_depend_on_slices(monkeypatch):
     assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
 
 
+def test_a_word_longer_than_two_slices_leaves_the_words_around_it(monkeypatch):
+    short = " ".join(f"w{i}" for i in range(40))
+    texts = [f"{a}{x}{b}{y}{c}" for x in ("q" * 130, "q" * 700) for y in ("z" * 129, "z" * 400) for a in ("", " ", "\n \t", short + " ", short + "  ") for b in (" ", f" {short} ", "\t\t") for c in ("", " ", " " + short)]
+    whole = [s.tolist() for s in jaccard.Shingler().sets(pa.array(texts))]
+    assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
+    monkeypatch.setattr(jaccard, "SLICE", 64)
+    assert [s.tolist() for s in jaccard.Shingler().sets(pa.array(texts))] == whole
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
