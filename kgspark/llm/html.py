@@ -1,12 +1,16 @@
-"""Main text of web pages by template deduction over the pages of a host.
+"""Main text of web pages: what the pages of a host don't repeat, by page parts whose ordered tokens are alike.
 
-Each page is read as tokens: tags with their role (the path of open elements, names and classes) and, outside the
-article, words with theirs. A token's occurrence vector is its number on each page of the host; tokens with equal
-vectors are an equivalence class. A class is valid if at least CLASS_TOKENS tokens share it and it occurs on a share
-of SUPPORT of the host's pages; valid classes are nested by the paths of their tags into the host's template. What
-lies between template tokens are slots; slots in the template's article are the text, slots under menus, headers,
-footers, notices and the like are not. Hosts with fewer than HOST_PAGES pages share one template, deduced from all
-of them. Words of the article are never taken for template, so a passage that all pages of a host repeat stays.
+Each page is read as tokens, tags and words in page order. The tokens of a structural element (a block with a name, or
+a plain container) are one class: they are known by one hash of their order and nesting and of the path of open
+elements, names and classes. A class is template if it occurs on a share of SUPPORT of the host's pages, and on at
+least SUPPORT * HOST_PAGES. Everything else lies in slots, whose words and plain paragraphs are never template, so a
+passage that all pages of a host repeat stays. Hosts
+with fewer than HOST_PAGES pages share one template. An element with most of its page's free text (HOLDS, and
+LONG characters) is text even where others repeat it.
+
+The text is what lies in no template element, inside and around an article, and in no part that by its element, role
+or name is a menu, header, footer, notice or the like; around an article, an element of links only is a menu too.
+Without an own template, a page that has an article has its text there alone.
 
 Text rules: character references are decoded, white space inside a block is one space, blocks are trimmed and joined
 by one line feed, empty ones go. Rules for input: null html is empty and gives an empty text; null urls are one host;
@@ -17,7 +21,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import attach_groups, checkpoint, small_batches
 
-HOST_PAGES, CLASS_TOKENS, SUPPORT = 8, 2, 0.5
-#: Share of a page's free text that an element must hold to be its article where the template has none.
-HOLDS = 0.6
+HOST_PAGES, SUPPORT = 8, 0.5
+#: Share and characters of a page's free text with which an element is never template.
+HOLDS, LONG = 0.5, 200
 
 # Element names of the HTML standard by how they are read, and names that mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,7 +59,10 @@ COMMENT_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|commentlist|repl(?:y|i
 #: Names that tell what a wrapper has beside the article, not what it is.
 STATES = re.compile(r"(?i)(?:^|(?<=\s))(?:has|with|no|without|is|show|hide)[-_][\w-]+")
 ARTICLE = frozenset(["article", "main"])
-CONTAINERS = frozenset("html body div section center td blockquote pre fieldset details".split())
+#: Blocks without names that can be template: anywhere, and outside articles.
+CONTAINERS = frozenset("div section center".split())
+LISTS = frozenset("ul ol dl table figure address details fieldset".split())
+PAGE = frozenset("html body head".split()) | ARTICLE
 
 MARKUP = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?](?:[^>]*>|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -66,7 +72,7 @@ WORD = re.compile(r"[^\s<>]+")
 
 
 class Element:
-    __slots__ = ("name", "role", "other", "article", "hidden_header")
+    __slots__ = ("name", "role", "other", "article", "parent", "structural", "order", "size", "linked", "links", "out")
 
     def __init__(self, name: str, attributes: str, parent: Element | None) -> None:
         held = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
@@ -80,6 +86,13 @@ class Element:
         marked = bool(said) and bool((COMMENT_NAMES if name in ARTICLE else OTHER_NAMES).search(said))
         self.other = (parent is not None and parent.other) or own or marked
         self.article = within or ((name in ARTICLE or role == "main") and not self.other)
+        block = name in BLOCK or "-" in name
+        plain = name in CONTAINERS or "-" in name or (name in LISTS and not within)
+        self.parent = parent
+        self.structural = block and name not in PAGE and role != "main" and not self.other and (bool(names) or plain)
+        # hash of the tokens so far; characters of free text, those of them in links, and number of links
+        self.order, self.size, self.linked, self.links = xxhash.xxh64(), 0, 0, 0
+        self.out = self.other
 
 
 def parts(page: str) -> Iterator[tuple[str, Element | None, str]]:
@@ -135,30 +148,60 @@ def parts(page: str) -> Iterator[tuple[str, Element | None, str]]:
     yield from close(0)
 
 
-def _key(role: str, word: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{role}\0{word}") >> 1
-
+def _measured(page: str) -> tuple[list[tuple[str, Element | None, str]], list[Element], int, int]:
+    """The parts of a page, its elements that hold free text, and size and hash of that text.
 
-def tokens(page: str) -> Counter:
-    """How often each token (a 63-bit hash of role and word) occurs."""
-    out: Counter = Counter()
-    for kind, element, raw in parts(page):
-        role = element.role if element else ""
+    Free text lies in no other part; an element's hash covers its tags and words in their order.
+    """
+    read, held, size, whole, anchors = list(parts(page)), [], 0, xxhash.xxh64(), 0
+    for kind, element, raw in read:
         if kind == "text":
-            if not (element and (element.article or element.name in RAW)):
-                out.update(_key(role, w) for w in WORD.findall(raw))
+            if (element is None or not element.other) and (words := " ".join(raw.split())):
+                size += len(words)
+                whole.update(f"{words} ")
+                if element is not None:
+                    element.order.update(f"{words} ")
+                    element.size += len(words)
+                    element.linked += len(words) if anchors else 0
+        elif kind == "open":
+            anchors += element.name == "a"
         else:
-            out[_key(role, f"<{kind}>")] += 1
-    return out
+            anchors -= element.name == "a"
+            above = element.parent
+            if not element.other and element.size:
+                held.append(element)
+            if above is not None and not element.other:
+                above.order.update(f"<{element.name} {element.order.intdigest()}>")
+                above.size += element.size
+                above.linked += element.linked
+                above.links += element.links + (element.name == "a")
+    return read, held, size, whole.intdigest() >> 1
+
+
+def _key(element: Element) -> int:
+    return xxhash.xxh64_intdigest(f"{element.role}\0{element.order.intdigest()}") >> 1
+
+
+def _may_be_template(element: Element, size: int) -> bool:
+    return element.structural and not (element.size >= LONG and element.size > HOLDS * size)
 
 
-def text_of(page: str, template: frozenset[int]) -> str:
-    """The blocks of the slots that are the page's article."""
-    read = list(parts(page))
-    articles = [e for k, e, _ in read if k == "open" and e.article]
-    known = any(_key(e.role, "<open>") in template for e in articles) or bool(articles)
-    inside = None if known else _largest(read, template)
-    blocks, held, depth = [], [], 0
+def classes_of(page: str) -> tuple[set[int], int]:
+    """The classes (63-bit hashes) that can be template, and the hash of the free text."""
+    _, held, size, whole = _measured(page)
+    return {_key(e) for e in held if _may_be_template(e, size)}, whole
+
+
+def text_of(page: str, template: frozenset[int], own: bool = False) -> str:
+    """The blocks of the slots that are the page's text; own says that the template is the host's own."""
+    read, held_by, size, _ = _measured(page)
+    articles = any(k == "open" and e.article for k, e, _ in read)
+    for e in held_by:
+        if e.structural and not e.out:
+            menu = articles and not e.article and e.links > 1 and e.linked == e.size
+            e.out = menu or (_may_be_template(e, size) and _key(e) in template)
+    only_articles = articles and not own
+    blocks, held = [], []
 
     def end() -> None:
         block = " ".join(entities.unescape("".join(held)).split())
@@ -168,64 +211,28 @@ def text_of(page: str, template: frozenset[int]) -> str:
 
     for kind, element, raw in read:
         if kind == "text":
-            if element is not None and element.other:
-                continue
-            if known:
-                held.append(raw if element is not None and element.article else "")
-            elif depth or inside is None:
-                held.append(_slot(element.role if element else "", raw, template))
+            if element is None or not element.out:
+                held.append(raw if not only_articles or (element is not None and element.article) else "")
         else:
+            if kind == "open" and element.parent is not None and element.parent.out:
+                element.out = True
             if element.name in BLOCK:
                 end()
             elif element.name == "br":
                 held.append(" ")
-            if element is inside:
-                depth += 1 if kind == "open" else -1
     end()
     return "\n".join(blocks)
 
 
-def _slot(role: str, raw: str, template: frozenset[int]) -> str:
-    """A text outside any article without the words of the template."""
-    return re.sub(WORD, lambda w: "" if _key(role, w[0]) in template else w[0], raw)
-
-
-def _largest(read: list, template: frozenset[int]) -> Element | None:
-    """The innermost element that holds HOLDS of the page's text outside links, template words and other parts."""
-    sizes: dict[int, int] = Counter()
-    stack, opened, total, links = [], [], 0, 0
-    for kind, element, raw in read:
-        if kind == "open":
-            stack.append(element)
-            opened.append(element)
-            links += element.name == "a"
-        elif kind == "close":
-            while stack and stack.pop() is not element:
-                pass
-            links -= element.name == "a"
-        elif links <= 0 and not (element and element.other):
-            size = len(_slot(element.role if element else "", raw, template).strip())
-            total += size
-            for e in stack:
-                sizes[id(e)] += size
-    inner = [e for e in opened if total and e.name in CONTAINERS and sizes[id(e)] >= HOLDS * total]
-    return inner[-1] if inner else None
-
-
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, vector, pages): a sum over pages of a hash of page and number, which names the occurrence vector."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, content, class): every page's free text with each of its classes, and once without one."""
     for batch in batches:
-        held: dict[tuple[str, int], list[int]] = {}
-        for page_id, host, page in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            for token, n in tokens(page.as_py() or "").items():
-                mark = xxhash.xxh64_intdigest(f"{page_id} {n}") >> 24
-                if (sums := held.get((host, token))) is None:
-                    held[host, token] = [mark, 1]
-                else:
-                    sums[0] += mark
-                    sums[1] += 1
-        columns = [[k[0] for k in held], [k[1] for k in held], [v[0] for v in held.values()], [v[1] for v in held.values()]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "token", "vector", "pages"])
+        held = set()
+        for content, host, page in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            classes, _ = classes_of(page.as_py() or "")
+            held.update((host, content, c) for c in (None, *classes))
+        columns = list(zip(*held, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "content", "class"])
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -233,37 +240,39 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(hosted: DataFrame) -> DataFrame:
-    """(host, host_pages, template): the tokens of the valid classes, for every host of hosted (page_id, host, html)."""
-    sizes = checkpoint(hosted.groupBy("host").agg(F.count("*").alias("host_pages")))
-    vectors = hosted.select("page_id", "host", "html").mapInArrow(_vectors, "host string, token long, vector long, pages long")
-    summed = vectors.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("pages").alias("pages"))
-    own = F.col("host_pages") >= HOST_PAGES
-    named = summed.join(sizes, "host").withColumn("owner", F.when(own, F.col("host")))
-    small = named.where("owner is null").groupBy("token").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"))
-    small_pages = sizes.where(~own).agg(F.coalesce(F.sum("host_pages"), F.lit(0)).alias("host_pages"))
-    every = named.where("owner is not null").select("owner", "token", "vector", "pages", "host_pages").unionByName(
-        small.select(F.lit(None).cast("string").alias("owner"), "token", "vector", "pages").join(F.broadcast(small_pages))
+    """(host, host_pages, own, template): the classes of every host's template, for hosted (host, html)."""
+    rows = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
+    contents = checkpoint(hosted.select("page_id", "host", "html").mapInArrow(_contents, "host string, content long, class long").distinct())
+    sizes = contents.where("class is null").groupBy("host").agg(F.count("*").alias("n"))
+    sizes = checkpoint(rows.join(sizes, "host").withColumn("own", F.col("n") >= HOST_PAGES))
+    by_class = contents.where("class is not null").groupBy("host", "class").agg(F.count("*").alias("pages")).where(F.col("pages") >= HOST_PAGES * SUPPORT)
+    owned = by_class.join(sizes.where("own").select("host", "n"), "host")
+    pooled = attach_groups(contents, sizes.select("host", "host_pages", "own"), "host", "host_pages").where("not own").select("content", "class").distinct()
+    small = pooled.groupBy("class").agg(F.count("*").alias("pages"))
+    small = checkpoint(small.where(F.col("pages") >= HOST_PAGES * SUPPORT))
+    small_pages = small.where("class is null").select(F.col("pages").alias("n"))
+    every = owned.select("host", "class", "pages", "n").unionByName(
+        small.where("class is not null").select(F.lit(None).cast("string").alias("host"), "class", "pages").join(F.broadcast(small_pages))
     )
-    classes = every.where(F.col("pages") >= F.col("host_pages") * SUPPORT).groupBy("owner", "vector", "pages").agg(F.collect_list("token").alias("tokens"))
-    valid = classes.where(F.size("tokens") >= CLASS_TOKENS).groupBy("owner").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-    owned = sizes.withColumn("owner", F.when(own, F.col("host"))).alias("s").join(valid.alias("v"), F.expr("s.owner <=> v.owner"), "left")
-    return owned.select("s.host", "s.host_pages", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+    valid = every.where(F.col("pages") >= F.col("n") * SUPPORT).groupBy("host").agg(F.array_sort(F.collect_list("class")).alias("template"))
+    joined = sizes.withColumn("owner", F.when(F.col("own"), F.col("host"))).alias("s").join(valid.alias("v"), F.expr("s.owner <=> v.host"), "left")
+    return joined.select("s.host", "s.host_pages", "s.own", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
     hosted = with_host(small_batches(pages).select("page_id", "url", "html"))
-    ready = attach_groups(hosted, checkpoint(templates(hosted)), "host", "host_pages").select("page_id", "url", "html", "template")
+    ready = attach_groups(hosted, checkpoint(templates(hosted)), "host", "host_pages").select("page_id", "url", "html", "template", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, template = None, frozenset()
         for batch in batches:
             made = []
-            for page, tokens_here in zip(batch.column("html"), batch.column("template"), strict=True):
-                here = tokens_here.values.to_numpy().tobytes()
+            for page, classes, own in zip(batch.column("html"), batch.column("template"), batch.column("own"), strict=True):
+                here = classes.values.to_numpy().tobytes()
                 if here != last:
                     last, template = here, frozenset(np.frombuffer(here, np.int64).tolist())
-                made.append(text_of(page.as_py() or "", template))
+                made.append(text_of(page.as_py() or "", template, own.as_py()))
             arrays = [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 

@@ -234,6 +234,21 @@ def test_main_text_of_articles_and_others(spark):
     assert html.extract(table).count() == len(pages) and html.extract(table.limit(0)).count() == 0
 
 
+def texts_of(spark, pages):
+    table = spark.createDataFrame([(k, f"http://{host}/{k}", page) for k, (host, page) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html.extract(table).collect(), key=lambda r: r.page_id)]
+
+
+def test_template_decides_inside_and_around_articles(spark):
+    page = (
+        "<body><div class='zq1'>All of our towns</div><h1>Title {k}</h1><article><p>Story {k}</p><p>Same words</p><div class='kx'><p>Hand it on</p></div><p>End</p></article>"
+        "<div>See <i>also</i></div><div class='list'><a href=1>A {k}</a> <a href=2>B {k}</a></div><div class='more'><p>Box {k}</p></div></body>"
+    )
+    got = texts_of(spark, [("a", page.replace("{k}", str(k))) for k in range(10)] + [("b", page.replace("{k}", "x"))])
+    assert got[:10] == [f"Title {k}\nStory {k}\nSame words\nEnd\nBox {k}" for k in range(10)]
+    assert got[10] == "Story x\nSame words\nHand it on\nEnd"
+
+
 def test_names_of_other_parts():
     def text(inner):
         return html.text_of(f"<body class='has-sidebar'><div class='layout with-comments'><main class='post has-ads'><p>Kept</p>{inner}</main></div></body>", frozenset())
