@@ -249,6 +249,12 @@ def test_template_decides_inside_and_around_articles(spark):
     assert got[10] == "Story x\nSame words\nHand it on\nEnd"
 
 
+def test_all_slots_of_pages_without_article(spark):
+    page = "<body><nav>Menu</nav><div><p>{lead}</p></div><div><p>{rest}</p></div><div class='zq'>Our towns</div><footer>End</footer></body>"
+    got = texts_of(spark, [("a", page.replace("{lead}", f"Lead {k} " * 35).replace("{rest}", f"Rest {k} " * 65)) for k in range(10)])
+    assert got == [f"{' '.join([f'Lead {k}'] * 35)}\n{' '.join([f'Rest {k}'] * 65)}" for k in range(10)]
+
+
 def test_names_of_other_parts():
     def text(inner):
         return html.text_of(f"<body class='has-sidebar'><div class='layout with-comments'><main class='post has-ads'><p>Kept</p>{inner}</main></div></body>", frozenset())
