@@ -4,8 +4,8 @@ Each page is read as tokens, tags and words in page order. The tokens of a struc
 a plain container) are one class: they are known by one hash of their order and nesting and of the path of open
 elements, names and classes. A class is template if it occurs on a share of SUPPORT of the host's pages, and on at
 least SUPPORT * HOST_PAGES. Everything else lies in slots, whose words and plain paragraphs are never template, so a
-passage that all pages of a host repeat stays. Hosts
-with fewer than HOST_PAGES pages share one template. An element with most of its page's free text (HOLDS, and
+passage that all pages of a host repeat stays. Pages of one host with equal free text are copies and count once. Hosts
+with fewer than HOST_PAGES distinct pages share one template. An element with most of its page's free text (HOLDS, and
 LONG characters) is text even where others repeat it.
 
 The text is what lies in no template element, inside and around an article, and in no part that by its element, role
@@ -228,8 +228,8 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, content, class): every page's free text with each of its classes, and once without one."""
     for batch in batches:
         held = set()
-        for content, host, page in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            classes, _ = classes_of(page.as_py() or "")
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            classes, content = classes_of(page.as_py() or "")
             held.update((host, content, c) for c in (None, *classes))
         columns = list(zip(*held, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "content", "class"])
@@ -242,7 +242,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 def templates(hosted: DataFrame) -> DataFrame:
     """(host, host_pages, own, template): the classes of every host's template, for hosted (host, html)."""
     rows = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
-    contents = checkpoint(hosted.select("page_id", "host", "html").mapInArrow(_contents, "host string, content long, class long").distinct())
+    contents = checkpoint(hosted.select("host", "html").mapInArrow(_contents, "host string, content long, class long").distinct())
     sizes = contents.where("class is null").groupBy("host").agg(F.count("*").alias("n"))
     sizes = checkpoint(rows.join(sizes, "host").withColumn("own", F.col("n") >= HOST_PAGES))
     by_class = contents.where("class is not null").groupBy("host", "class").agg(F.count("*").alias("pages")).where(F.col("pages") >= HOST_PAGES * SUPPORT)

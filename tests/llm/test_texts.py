@@ -255,6 +255,16 @@ def test_all_slots_of_pages_without_article(spark):
     assert got == [f"{' '.join([f'Lead {k}'] * 35)}\n{' '.join([f'Rest {k}'] * 65)}" for k in range(10)]
 
 
+def test_copies_and_near_copies_of_a_page_keep_their_words(spark):
+    page = "<body><nav>Menu</nav><div id='content'><p>Long text {k} that fills the page with its words.</p><p>Shared words</p></div><div class='zq'>Our towns</div></body>"
+    whole = "Long text {k} that fills the page with its words.\nShared words"
+    ks = ["same"] * 12 + [f"n{k}" for k in range(8)]
+    assert texts_of(spark, [("a", page.replace("{k}", k)) for k in ks]) == [whole.replace("{k}", k) for k in ks]
+    copied = "<body><div class='text'>All of this text is one page that was fetched often</div></body>"
+    pages = [("a", copied)] * 12 + [("a", f"<body><div class='text'>Other page {k}</div></body>") for k in range(8)]
+    assert texts_of(spark, pages) == ["All of this text is one page that was fetched often"] * 12 + [f"Other page {k}" for k in range(8)]
+
+
 def test_names_of_other_parts():
     def text(inner):
         return html.text_of(f"<body class='has-sidebar'><div class='layout with-comments'><main class='post has-ads'><p>Kept</p>{inner}</main></div></body>", frozenset())
