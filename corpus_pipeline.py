@@ -29,9 +29,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.jaccard_components(docs)
-    dropped = checkpoint(classes.where("doc_id != component_id").select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    classes = jaccard.marked_components(docs)
+    dropped = checkpoint(classes.where("not doc_id <=> component_id").select("doc_id", "mark").distinct())
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (jaccard.mark("d.text") == F.col("x.mark"))
+    return docs.alias("d").join(dropped.alias("x"), same, "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,5 +189,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     dropped = told.where("not kept").select("doc_id", "digest").distinct()
     repeated = told.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
     rows = docs.withColumn("digest", digest())
-    single = rows.join(dropped.unionByName(repeated), ["doc_id", "digest"], "left_anti")
-    return single.unionByName(rows.join(repeated, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(*rows.columns)).drop("digest")
+    same = F.expr("r.doc_id <=> t.doc_id and r.digest = t.digest")
+    single = rows.alias("r").join(dropped.unionByName(repeated).alias("t"), same, "left_anti")
+    again = rows.alias("r").join(repeated.alias("t"), same, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return single.unionByName(again).drop("digest")

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import attach_groups, checkpoint, portions, small_batches, stored
@@ -175,17 +175,17 @@ def _needed(n: int) -> int:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0: id, set size, node) of every text, and (kind 1: shingle, its sets here) of frequent shingles."""
+    """Rows (kind 0: id, set size, node, mark) of every text, and (kind 1: shingle, its sets here) of frequent shingles."""
     shingler, held, sets, waiting = Shingler(), [], 0, 0
 
     def frequent() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held or [np.empty(0, U)]), return_counts=True)
         often = counts >= max(3, sets * FREQUENT_SHARE)
-        return _rows(1, values[often].astype(np.int64), counts[often], np.zeros(often.sum(), np.int64))
+        return _rows(1, values[often].astype(np.int64), counts[often], *np.zeros((2, often.sum()), np.int64))
 
     def _rows(kind: int, *columns) -> pa.RecordBatch:
         arrays = [pa.array(c, pa.int64()) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), kind, np.int32)), *arrays], ["kind", "a", "n", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), kind, np.int32)), *arrays], ["kind", "a", "n", "node", "mark"])
 
     for batch in portions(batches, "text"):
         sizes, nodes = [], []
@@ -198,7 +198,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if waiting >= COUNTED:
                 yield frequent()
                 held, sets, waiting = [], 0, 0
-        yield _rows(0, batch.column("doc_id").cast(pa.int64()), sizes, nodes)
+        yield _rows(0, batch.column("doc_id").cast(pa.int64()), sizes, nodes, batch.column("mark"))
     yield frequent()
 
 
@@ -559,11 +559,21 @@ def _still_open(tiles: DataFrame, facts: DataFrame, classes: DataFrame) -> DataF
     return rows.repartition("cluster", "share").sortWithinPartitions(*order).drop("cluster", "share", "shares").mapInArrow(_open_pairs, "a long, b long").distinct()
 
 
+def mark(text: str = "text") -> Column:
+    """Tells apart texts of rows that share an id."""
+    return F.xxhash64(text)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for every row of docs (doc_id, text)."""
+    return marked_components(docs).drop("mark")
+
+
+def marked_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id), a row for every row of docs (doc_id, text)."""
     texts = small_batches(docs.select("doc_id", "text"))
-    told = stored(texts.mapInArrow(_summaries, "kind int, a long, n long, node long"))
-    rows = told.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "node")
+    told = stored(texts.withColumn("mark", mark()).mapInArrow(_summaries, "kind int, a long, n long, node long, mark long"))
+    rows = told.where("kind = 0").select(F.col("a").alias("doc_id"), "mark", "n", "node")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")))
 
     # At most average set size / FREQUENT_SHARE shingles are frequent, whatever the number of texts.
@@ -587,5 +597,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     groups = attach_groups(named.select("node", "size", "component"), least, "component", "members").select("node", "size", "component_id")
     linked = attach_groups(rows.where("node is not null"), groups, "node", "size")
     alone = rows.where("node is null").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    columns = ["doc_id", "mark", F.col("n").alias("n_shingles"), "component_id"]
     return linked.select(*columns).unionByName(alone.select(*columns))

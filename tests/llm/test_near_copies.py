@@ -120,6 +120,12 @@ def test_exact_dedup_ties_and_empty_table(spark):
     assert exact_dedup.groups_of(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_are_dropped_as_copies(spark):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (5, "b"), (None, "c"), (None, "d"), (None, "d"), (6, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.kept_rows(docs).collect()) == [(0, "a"), (0, "c"), (5, "b"), (6, "d")]
+
+
 def test_digest_collisions_are_split_by_bytes(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -54,6 +54,15 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == last
 
 
+def test_near_copies_go_by_id_and_text(spark, tmp_path):
+    random.seed(3)
+    one, other, third = (" ".join(random.choices([f"w{i}" for i in range(300)], k=200)) for _ in range(3))
+    rows = [(1, one), (7, one + " more"), (7, other), (None, one.upper()), (None, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.without_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, third), (1, one), (7, other)])
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
