@@ -190,7 +190,7 @@ class Plan:
                 each = min(room // length, count)
                 used = min(number, count // each)
                 self._place(length, used * each, first, self.capacity - room, each)
-                rooms.setdefault(room - used and room - each * length, []).append((first, used))
+                rooms.setdefault(room - each * length, []).append((first, used))
                 if used < number:
                     rooms.setdefault(room, []).append((first + used, number - used))
         self.rooms = rooms

@@ -86,6 +86,12 @@ def test_plans_are_complete_and_no_worse_than_best_fit(capacity):
         assert len(ends) <= len(rooms)
 
 
+def test_sequences_as_many_as_their_room_keep_their_residual():
+    plan = packing.Plan({3: 30, 1: 10}, 10)
+    assert plan.sequences == 10 and plan.reduced == 0
+    assert packing.Plan({700: 4096, 1: 2048 * 648}).sequences == 2048
+
+
 def test_packed_documents_hold_every_token(spark):
     rows = [(1, "word " * 5000), (2, None), (2, None), (3, ""), (None, "x"), *[(k, "a b c d " * (k % 90)) for k in range(10, 200)]]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
