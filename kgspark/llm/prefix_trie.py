@@ -47,7 +47,7 @@ class SpillingQueue:
     """A priority queue of rows of four integers; beyond `limit` rows they go to sorted runs in the task's scratch file."""
 
     def __init__(self, limit: int) -> None:
-        self.limit, self.heap, self.file, self.runs = limit, [], None, []
+        self.limit, self.heap, self.file, self.runs, self.made = limit, [], None, [], 0
 
     def push(self, row: tuple[int, int, int, int]) -> None:
         heapq.heappush(self.heap, row)
@@ -63,7 +63,8 @@ class SpillingQueue:
         self.file.write(rows.tobytes())
         self.heap = []
         run = self._read(start, len(rows))
-        heapq.heappush(self.runs, (next(run), len(self.runs), run))
+        self.made += 1
+        heapq.heappush(self.runs, (next(run), self.made, run))
 
     def _read(self, start: int, rows: int, block: int = 1024) -> Iterator[tuple[int, int, int, int]]:
         for at in range(0, rows, block):
