@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark.functions.labels import canonical_kg_type, local_name_slash_first
+from kgspark.operators.grams import GramIndex
 from kgspark.vocab import LABEL_PREDICATES, RDF_TYPE, RDFS_LABEL, RELATIONS
 
 
@@ -118,9 +119,17 @@ def relation_edges(triples: DataFrame, namespace: str = RELATIONS) -> DataFrame:
     return optional(out, pattern(triples, "?target", RDFS_LABEL, "?target_label"))
 
 
-def label_search(triples: DataFrame, token: str) -> DataFrame:
-    """Labels that contain a lower-case token, with the entity's types where it has any."""
-    hits = pattern(triples, "?entity", RDFS_LABEL, "?label").filter(F.lower("label").contains(token))
+def label_search(triples: DataFrame, token: str, index: GramIndex | None = None) -> DataFrame:
+    """Labels that contain a lower-case token, with the entity's types where it has any.
+
+    With a maintained index of the lower-case labels only the labels that it finds are joined.
+    """
+    names = pattern(triples, "?entity", RDFS_LABEL, "?label")
+    if index and token:
+        found = index.contained_pairs(triples.sparkSession.createDataFrame([(token,)], "needle string")).select("hay").distinct()
+        hits = names.join(found, F.lower("label") == F.col("hay"), "left_semi")
+    else:
+        hits = names.filter(F.lower("label").contains(token))
     return optional(hits, pattern(triples, "?entity", RDF_TYPE, "?type"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kgspark.functions.labels import allowed_kg_types, canonical_kg_type, type_compatible
 from kgspark.functions.text import normalize_text
+from kgspark.operators.grams import GramIndex
 from kgspark.operators.similarity import LONG_LABEL, best_pairs, contained_pairs, link_scores, score_pairs
 from kgspark.schemas import MATCHES
 from kgspark.vocab import DEFAULT_ENTITY_TYPE, ENTITY_TYPES, EXACT_AT, LABEL_PREDICATES, LOW_AT, RDF_TYPE, SIMILAR_AT, TYPES
@@ -26,16 +27,20 @@ def _label_groups(labels: DataFrame, k: int) -> DataFrame:
     return each.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
 
 
-def score_candidates(texts: DataFrame, labels: DataFrame, k: int, threshold: float, contain: bool = True) -> DataFrame:
+def score_candidates(
+    texts: DataFrame, labels: DataFrame, k: int, threshold: float, contain: bool = True,
+    filed: DataFrame | None = None, asked: DataFrame | None = None,
+) -> DataFrame:
     """``q, uri, kg_label, type_names, score``: every entity that can be among the best k of a text.
 
     ``texts(q)`` are normalised; ``labels`` is a label table. A text is scored once, whatever
     number of mentions carry it and whatever entity types they have: the best k are kept per
-    class signature, which covers any later filter on classes.
+    class signature, which covers any later filter on classes. ``filed`` and ``asked`` are entries of
+    a stored index.
     """
     groups = _label_groups(labels, k)
     heads = groups.groupBy("norm", "sig").agg(F.xxhash64(F.min("uri")).alias("rep"))
-    pairs = best_pairs(texts.select("q").distinct(), heads, k, threshold, contain)
+    pairs = best_pairs(texts.select("q").distinct(), heads, k, threshold, contain, filed=filed, asked=asked)
     found = pairs.join(groups, ["norm", "sig"])
     best = F.min_by(F.struct("label", "score"), F.struct((-F.col("score")).alias("a"), F.col("label").alias("b")))
     return found.groupBy("q", "uri").agg(best.alias("b"), F.first("type_names").alias("type_names")).select(
@@ -62,7 +67,7 @@ def as_matches(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(plain.cast(MATCHES).alias("kg_matches"))
 
 
-def _attach(mentions: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+def attach(mentions: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
     none = F.array().cast(MATCHES)
     return mentions.join(matches, keys, "left").withColumn("kg_matches", F.coalesce("kg_matches", none)).drop("q")
 
@@ -74,11 +79,11 @@ def find_matches(
     m = mentions.withColumn("q", normalize_text(F.col("text")))
     candidates = score_candidates(m.select("q"), labels, k, min_score)
     if not typed:
-        return _attach(m, as_matches(top_k(candidates, ["q"], k), ["q"]), ["q"])
+        return attach(m, as_matches(top_k(candidates, ["q"], k), ["q"]), ["q"])
     wanted = m.select("q", "entity_type").distinct().join(candidates, "q")
     fits = wanted.filter(type_compatible(F.col("type_names"), F.col("entity_type")))
     keys = ["q", "entity_type"]
-    return _attach(m, as_matches(top_k(fits, keys, k), keys), keys)
+    return attach(m, as_matches(top_k(fits, keys, k), keys), keys)
 
 
 def link_typed_fallback(mentions: DataFrame, labels: DataFrame, k: int = 5, min_score: float = LOW_AT) -> DataFrame:
@@ -93,7 +98,7 @@ def link_typed_fallback(mentions: DataFrame, labels: DataFrame, k: int = 5, min_
     ranked = wanted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     typed = F.max("fits").over(Window.partitionBy(*keys))
     kept = ranked.withColumn("typed", typed).filter(F.col("fits") | ~F.col("typed"))
-    return _attach(m, as_matches(kept, keys), keys)
+    return attach(m, as_matches(kept, keys), keys)
 
 
 def link_joint_extract(entities: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,12 +124,13 @@ def find_matches_exact(mentions: DataFrame, labels: DataFrame, k: int = 5) -> Da
 
 
 def contains_search(
-    texts: DataFrame, triples: DataFrame, k: int = 5, min_score: float = SIMILAR_AT, typed: bool = False
+    texts: DataFrame, triples: DataFrame, k: int = 5, min_score: float = SIMILAR_AT, typed: bool = False,
+    index: GramIndex | None = None,
 ) -> DataFrame:
     """Search of an external source: labels whose lower-case form contains the lower-case text.
 
     ``texts(text[, entity_type])``. Every hit is scored, then the best label per entity and the
-    best k entities are kept.
+    best k entities are kept. ``index`` is a maintained index of the lower-case labels.
     """
     names = triples.filter(F.col("p").isin(LABEL_PREDICATES)).select(
         F.col("s").alias("uri"), F.col("o").alias("label")
@@ -133,7 +139,8 @@ def contains_search(
     wanted = texts.select(*keys).distinct().withColumn("needle", F.lower("text")).withColumn(
         "q", normalize_text(F.col("text"))
     ).filter("q <> ''")
-    pairs = contained_pairs(wanted.select("needle").distinct(), names.select("hay").distinct())
+    needles = wanted.select("needle").distinct()
+    pairs = index.contained_pairs(needles) if index else contained_pairs(needles, names.select("hay").distinct())
     hits = wanted.join(pairs, "needle").join(names, "hay")
     classes = triples.filter(F.col("p") == RDF_TYPE).select(F.col("s").alias("uri"), F.col("o").alias("class")).distinct()
     hits = hits.withColumn("score", link_closed_form(F.col("q"), F.col("norm")))
@@ -234,15 +241,17 @@ def _search_type(type_names: Column) -> Column:
     return F.coalesce(F.get(known, F.lit(0)), F.lit("unknown"))
 
 
-def search_containment(queries: DataFrame, labels: DataFrame) -> DataFrame:
+def search_containment(queries: DataFrame, labels: DataFrame, index: GramIndex | None = None) -> DataFrame:
     """Entities with a label that contains the query or lies inside it: first such label by name.
 
-    ``queries(query)``; texts that are empty once normalised find nothing.
+    ``queries(query)``; texts that are empty once normalised find nothing. ``index`` is a maintained index of
+    the normalised labels; labels inside a query are looked up in the grams of the queries, which are the batch.
     """
     wanted = queries.select("query").distinct().withColumn("q", normalize_text(F.col("query"))).filter("q <> ''")
     texts = wanted.select("q").distinct()
     norms = labels.select("norm").filter("norm <> ''").distinct()
-    inside = contained_pairs(texts.withColumnRenamed("q", "needle"), norms.withColumnRenamed("norm", "hay"))
+    needles = texts.withColumnRenamed("q", "needle")
+    inside = index.contained_pairs(needles) if index else contained_pairs(needles, norms.withColumnRenamed("norm", "hay"))
     around = contained_pairs(norms.withColumnRenamed("norm", "needle"), texts.withColumnRenamed("q", "hay"))
     pairs = inside.select(F.col("needle").alias("q"), F.col("hay").alias("norm")).unionByName(
         around.select(F.col("hay").alias("q"), F.col("needle").alias("norm"))

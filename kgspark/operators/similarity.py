@@ -1,40 +1,59 @@
 """Exact similarity join of short texts, and containment join.
 
 ``best_pairs`` finds, for every query text, the labels that can be among its best k, with
-``difflib`` ratios, without comparing every query with every label in Python:
-
-1. texts are grouped into length bands; a ratio of at least t needs
-   ``min_len >= max_len * t / (2 - t)``, so a query meets only some bands (equi join on band);
-2. queries and labels of a band are packed into blocks of bounded size; a label block goes once to
-   each of a few tasks, and the texts of the band's query blocks pass it there: a hot band is many
-   small tiles, spread evenly over the tasks;
-3. inside a tile one numpy pass computes the longest common subsequence of a query with all
-   labels of the block (bit-parallel, one machine word per label). ``2 * lcs / (l1 + l2)``
-   bounds both the ratio and the containment score from above;
-4. labels at or above the threshold are scored in falling order of the bound, until the bound
-   is below the k-th best score already found for that query and class signature.
+``difflib`` ratios, without comparing every query with every label:
+
+1. characters are numbered by occurrence (the second ``a`` of a text is another item than the
+   first), so texts are sets. A score of at least t needs ``t * (l1 + l2) / 2`` common items, so with
+   items ordered from rare to frequent a pair that can match shares an item among the first few of both
+   (``l - needed + 1``). That is an inverted index: labels are filed under (class of lengths, item), and
+   a query text is sent only to the items of its own beginning, for the lengths that it can match;
+2. an item that many labels begin with is several blocks of bounded size, and so are its queries; a block
+   of labels is sent once to each task that works on it, and the query blocks pass it there;
+3. in a block one numpy pass computes the longest common subsequence of a query with the labels
+   that hold the item early enough (bit-parallel, one machine word per label).
+   ``2 * lcs / (l1 + l2)`` bounds both the ratio and the containment score from above. A pair is taken
+   under the first item it shares only;
+4. pairs whose bound reaches the threshold are sorted by text and falling bound and scored until the
+   bound is below the k-th best score of that text and class signature.
 
 Nothing is sampled or cut: a pair is only skipped when k better ones exist or it cannot reach
-the threshold.
+the threshold. Labels of more than WORD characters are filed under their class of lengths alone:
+their characters tell little and their beginnings are long.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-BAND_BASE = 1.5
 LABELS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 256
+BLOCKS_PER_TASK = 64  # query blocks that pass one copy of a label block
 WORD = 64
 LONG_LABEL = 200  # from this length on difflib drops characters that are too common
 SLACK = 1e-9  # bounds are compared with scores computed in another order
+ORDERED = 4096  # items whose frequency is known; all others count as rarer
+EXACT_LENGTHS = 32  # up to here every length is a class of its own, above classes grow by a tenth
+NO_ITEM = -(1 << 62)
+
+
+def _class_starts() -> np.ndarray:
+    starts = list(range(EXACT_LENGTHS + 1))
+    while starts[-1] < 1 << 31:
+        after = max(starts[-1] + 1, starts[-1] * 11 // 10)
+        starts.append(WORD + 1 if starts[-1] <= WORD < after else after)
+    return np.array(starts, dtype=np.int64)
+
+
+CLASS_STARTS = _class_starts()
 
 
 def _matched(a: str, b: str) -> int:
@@ -96,8 +115,25 @@ def link_scores(query: pd.Series, label: pd.Series) -> pd.Series:
     return _each(link_score, query, label)
 
 
-def _band(length):
-    return F.floor(F.log(BAND_BASE, F.greatest(length, F.lit(1)) + F.lit(0.5))).cast("int")
+def needed(a: int, b: int, threshold: float) -> int:
+    """Common characters that texts of these lengths need for the threshold."""
+    return math.ceil(threshold * (a + b) / 2 - SLACK)
+
+
+def _reach(n: int, threshold: float) -> tuple[int, int]:
+    """Shortest and longest text that a text of n characters can match."""
+    return math.ceil(n * threshold / (2 - threshold) - SLACK), math.floor(n * (2 - threshold) / threshold + SLACK)
+
+
+def items(text: str, ranks: dict[tuple[str, int], int]) -> list[int]:
+    """The numbered characters of a text from rare to frequent; any fixed order is right."""
+    seen: Counter = Counter()
+    out = []
+    for ch in text:
+        seen[ch] += 1
+        rank = ranks.get((ch, seen[ch]))
+        out.append(-(ord(ch) << 32 | seen[ch]) if rank is None else rank)
+    return sorted(out)
 
 
 class _Block:
@@ -116,32 +152,54 @@ class _Block:
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
         bit = self.word(1) << place.astype(self.word)
+        # By character and label; a character of few labels keeps only their rows.
+        order = np.lexsort((row, codes))
+        codes, row, bit = codes[order], row[order], bit[order]
         self.masks = {}
-        for ch in np.unique(codes):
-            at = codes == ch
-            mask = np.zeros(len(size), dtype=self.word)
-            np.bitwise_or.at(mask, row[at], bit[at])
-            self.masks[chr(ch)] = mask
+        edges = np.flatnonzero(np.diff(codes, prepend=codes[:1] + 1, append=codes[-1:] + 1)) if len(codes) else []
+        for start, end in zip(edges[:-1], edges[1:]):
+            firsts = start + np.flatnonzero(np.diff(row[start:end], prepend=-1))
+            rows, bits = row[firsts], np.bitwise_or.reduceat(bit, np.append(firsts, end) if end < len(bit) else firsts)[:len(firsts)]
+            if 4 * len(rows) >= len(size):
+                mask = np.zeros(len(size), dtype=self.word)
+                mask[rows] = bits
+                rows, bits = None, mask
+            self.masks[chr(codes[start])] = rows, bits
         below = (self.word(1) << np.minimum(size, width - 1).astype(self.word)) - self.word(1)
         self.used_bits = np.where(size == width, ~self.word(0), below)
 
-    def bounds(self, query: str) -> np.ndarray:
-        """Upper bound of the score of every label: common subsequence, or common characters."""
-        common = np.zeros(len(self.lengths), dtype=np.int64)
-        v = np.full(len(self.short), ~self.word(0))
-        u, w = np.empty_like(v), np.empty_like(v)
+    def bounds(self, query: str, some: np.ndarray | None = None) -> np.ndarray:
+        """Upper bound of the score of every label: common subsequence, or common characters.
+
+        ``some`` asks for these places only, in a block without long labels.
+        """
+        n = len(self.short) if some is None else len(some)
+        v = np.full(n, ~self.word(0))
         for ch in query:
-            mask = self.masks.get(ch)
-            if mask is not None:
-                np.bitwise_and(v, mask, out=u)
-                np.add(v, u, out=w)
-                np.subtract(v, u, out=v)
-                np.bitwise_or(v, w, out=v)
-        common[self.short] = np.bitwise_count(~v & self.used_bits)
-        if len(self.long):
-            counts = Counter(query)
-            common[self.long] = [sum(min(n, c[ch]) for ch, n in counts.items()) for c in self.long_counts]
-        total = self.lengths + len(query)
+            rows, mask = self.masks.get(ch, (None, None))
+            if mask is None:
+                continue
+            if rows is None:
+                both = v & (mask if some is None else mask[some])
+                v = (v + both) | (v - both)
+                continue
+            if some is not None:
+                at = np.minimum(np.searchsorted(some, rows), n - 1)
+                held = some[at] == rows
+                rows, mask = at[held], mask[held]
+            old = v[rows]
+            both = old & mask
+            v[rows] = (old + both) | (old - both)
+        matched = np.bitwise_count(~v & (self.used_bits if some is None else self.used_bits[some]))
+        if some is None:
+            lengths, common = self.lengths, np.zeros(len(self.lengths), dtype=np.int64)
+            common[self.short] = matched
+            if len(self.long):
+                counts = Counter(query)
+                common[self.long] = [sum(min(n, c[ch]) for ch, n in counts.items()) for c in self.long_counts]
+        else:
+            lengths, common = self.lengths[some], matched
+        total = lengths + len(query)
         return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
 
 
@@ -160,97 +218,227 @@ class _Best:
                 self.floor = min(self.scores.values())
 
 
-def _score_tiles(k: int, threshold: float, contain: bool):
-    score = link_score if contain else (lambda a, b: 1.0 if a == b else ratio(a, b))
+LABEL_ROWS = "part int, item bigint, pos int, norm string, head array<bigint>"
+QUERY_ROWS = "part int, item bigint, pos int, q string, head array<bigint>"
+
+
+def _label_rows(ranks: dict, threshold: float):
+    """The index entries of a label: one for each item that a matching text can share first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for norm in batch["norm"]:
+                m = len(norm)
+                part = int(np.searchsorted(CLASS_STARTS, m, side="right")) - 1
+                if m == 0 or m > WORD:
+                    out.append((part, NO_ITEM, 0, norm, []))
+                    continue
+                head = items(norm, ranks)[:m - needed(_reach(m, threshold)[0], m, threshold) + 1]
+                out += [(part, item, pos, norm, head) for pos, item in enumerate(head)]
+            yield pd.DataFrame(out, columns=["part", "item", "pos", "norm", "head"])
+
+    return run
+
+
+def _query_rows(ranks: dict, threshold: float):
+    """Where a text is looked up: for each class of lengths, the items of its beginning."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for q in batch["q"]:
+                n = len(q)
+                low, high = _reach(n, threshold)
+                every = items(q, ranks)
+                first, last = (int(np.searchsorted(CLASS_STARTS, x, side="right")) - 1 for x in (low, high))
+                for part in range(first, last + 1):
+                    start = int(CLASS_STARTS[part])
+                    if start == 0 or start > WORD:
+                        out.append((part, NO_ITEM, 0, q, []))
+                        continue
+                    head = every[:n - needed(n, max(start, low), threshold) + 1]
+                    out += [(part, item, pos, q, head[:pos]) for pos, item in enumerate(head)]
+            yield pd.DataFrame(out, columns=["part", "item", "pos", "q", "head"])
+
+    return run
+
+
+class _Held:
+    """A block of labels filed under one item, those that hold it earliest first."""
+
+    def __init__(self, labels: list):
+        labels = sorted(labels, key=lambda x: (x["pos"], x["norm"]))
+        self.norms = np.array([x["norm"] for x in labels], dtype=object)
+        self.pos = np.array([x["pos"] for x in labels], dtype=np.int64)
+        self.block = _Block(list(self.norms))
+        # For each item, the labels that hold it before the one they are filed under.
+        heads = [x["head"][:x["pos"]] for x in labels]
+        every = np.concatenate([*heads, np.empty(0)]).astype(np.int64)
+        places = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+        order = np.argsort(every, kind="stable")
+        kinds, starts = np.unique(every[order], return_index=True)
+        self.earlier = dict(zip(kinds.tolist(), np.split(places[order], starts[1:])))
+
+    def reached(self, q: str, head: list[int], item: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Labels whose bound reaches the threshold, their bounds, and how many were bounded: those that hold the
+        item early enough and share no earlier item with q."""
+        n, some = len(q), None
+        if item != NO_ITEM:
+            # Items of a label after this place can't be the first one shared: its own beginning is shorter.
+            longest = int(self.block.lengths.max())
+            fresh = np.ones(int(np.searchsorted(self.pos, longest - needed(n, longest, threshold) + 1)), dtype=bool)
+            for x in head:
+                if (at := self.earlier.get(int(x))) is not None:
+                    fresh[at[:np.searchsorted(at, len(fresh))]] = False
+            some = np.flatnonzero(fresh)
+            if not len(some):
+                return some, np.empty(0), 0
+        bound = self.block.bounds(q, some)
+        found = np.flatnonzero(bound >= threshold - SLACK)
+        return found if some is None else some[found], bound[found], len(bound)
+
+
+def _bound_tiles(threshold: float, counted: bool):
+    """Pairs (q, norm, bound) of the tiles that pass by; or, counted, how many pairs were bounded and kept."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come in order of label block; its labels come first and are held while its query blocks pass.
-        at = block = texts = text_no = sigs = norms = reps = names = group = None
+        at = held = None
         for batch in batches:
-            for place, labels, queries in zip(zip(batch["band"], batch["block"], batch["share"]), batch["labels"], batch["queries"]):
+            qs, norms, bounds, tried = [], [], [], 0
+            for place, labels, queries in zip(zip(batch["part"], batch["item"], batch["block"], batch["share"]), batch["labels"], batch["queries"]):
                 if labels is not None:
-                    at = place
-                    norms, sigs, reps = ([x[f] for x in labels] for f in ("norm", "sig", "rep"))
-                    # Labels of several signatures are bounded and scored once.
-                    texts, text_no = np.unique(np.asarray(norms, dtype=object), return_inverse=True)
-                    block = _Block(list(texts))
-                    names, group = np.unique(np.asarray(sigs, dtype=object), return_inverse=True)
+                    at, held = place, _Held(list(labels))
                     continue
                 if place != at:  # a block number that no label has
                     continue
-                out: list[tuple[str, str, str, float]] = []
-                for q in queries:
-                    found = [_Best(k) for _ in names]
-                    bound = block.bounds(q)[text_no]
-                    scored: dict[int, float] = {}
-                    reach = np.flatnonzero(bound >= threshold - SLACK)
-                    for i in reach[np.argsort(-bound[reach], kind="stable")]:
-                        mine = found[group[i]]
-                        if bound[i] + SLACK < mine.floor:
-                            continue
-                        t = text_no[i]
-                        if t not in scored:
-                            scored[t] = score(q, texts[t])
-                        s = scored[t]
-                        if s >= threshold:
-                            out.append((q, norms[i], sigs[i], s))
-                            mine.add(reps[i], s)
-                yield pd.DataFrame(out, columns=["q", "norm", "sig", "score"])
+                for x in queries:
+                    found, bound, n = held.reached(x["q"], x["head"], place[1], threshold)
+                    tried += n
+                    if len(found):
+                        qs += [x["q"]] * len(found)
+                        norms.append(held.norms[found])
+                        bounds.append(bound)
+            if counted:
+                yield pd.DataFrame({"bounded": [tried], "kept": [len(qs)]})
+            elif qs:
+                yield pd.DataFrame({"q": qs, "norm": np.concatenate(norms), "bound": np.concatenate(bounds)})
 
     return run
 
 
-def _packed(rows: DataFrame, item, name: str, per_block: int, order: list[str]) -> DataFrame:
-    """(band, block, array of items) with about ``per_block`` items in each array.
+def _score_sorted(k: int, threshold: float, contain: bool):
+    """Scores the pairs of a text in falling order of bound, as long as one of its signatures needs them."""
+    score = link_score if contain else (lambda a, b: 1.0 if a == b else ratio(a, b))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, found = None, {}
+        for batch in batches:
+            out: list[tuple[str, str, str, float]] = []
+            for q, norm, bound, groups in zip(batch["q"], batch["norm"], batch["bound"], batch["groups"]):
+                if q != at:
+                    at, found = q, {}
+                value = None
+                for group in groups:
+                    mine = found.setdefault(group["sig"], _Best(k))
+                    if bound + SLACK < mine.floor:
+                        continue
+                    value = score(q, norm) if value is None else value
+                    if value >= threshold:
+                        out.append((q, norm, group["sig"], value))
+                        mine.add(group["rep"], value)
+            yield pd.DataFrame(out, columns=["q", "norm", "sig", "score"])
+
+    return run
 
-    The number of bands is logarithmic in the longest text, so the table of counts is small.
-    """
-    counts = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / per_block).alias(f"{name}_blocks"))
-    blocked = rows.join(F.broadcast(counts), "band").withColumn(
-        f"{name}_block", F.pmod(F.xxhash64(*order), F.col(f"{name}_blocks"))
-    )
-    return blocked.groupBy("band", f"{name}_block", f"{name}_blocks").agg(F.collect_list(item).alias(name))
+
+def item_ranks(labels: DataFrame) -> dict[tuple[str, int], int]:
+    """Ranks of the ORDERED most frequent numbered characters, the rarest of them first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for batch in batches:
+            for norm in batch["norm"]:
+                for ch, n in Counter(norm[:WORD]).items():
+                    found.update((ch, i) for i in range(1, n + 1))
+        yield pd.DataFrame([(ch, i, n) for (ch, i), n in found.items()], columns=["ch", "i", "n"])
+
+    totals = labels.select("norm").mapInPandas(count, "ch string, i int, n bigint").groupBy("ch", "i").agg(F.sum("n").alias("n"))
+    top = totals.orderBy(F.desc("n"), "ch", "i").limit(ORDERED).collect()  # at most ORDERED rows
+    return {(r["ch"], r["i"]): rank for rank, r in enumerate(reversed(top))}
+
+
+def file_labels(labels: DataFrame, ranks: dict, threshold: float) -> DataFrame:
+    """Index entries (LABEL_ROWS) of distinct label texts (norm)."""
+    return labels.select("norm").mapInPandas(_label_rows(ranks, threshold), LABEL_ROWS)
+
+
+def ask_texts(queries: DataFrame, ranks: dict, threshold: float) -> DataFrame:
+    """Where distinct texts (q) are looked up (QUERY_ROWS); of the same ranks and threshold as the index."""
+    return queries.select("q").mapInPandas(_query_rows(ranks, threshold), QUERY_ROWS)
+
+
+def _tiles(filed: DataFrame, asked: DataFrame, threshold: float, tasks: int | None) -> DataFrame:
+    """Label blocks, and behind each the query blocks that share its class of lengths and its item."""
+    spark = filed.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    key = ["part", "item"]
+    # One row for each class and item, however many texts there are.
+    size = lambda rows, per, name: rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / per).alias(name))
+    keys = size(filed, LABELS_PER_BLOCK, "label_blocks").join(size(asked, QUERIES_PER_BLOCK, "query_blocks"), key)
+    keys = keys.withColumn("shares", F.ceil(F.col("query_blocks") / BLOCKS_PER_TASK))
+    block = lambda rows, text, n: F.pmod(F.xxhash64(text), F.col(n))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    packed = filed.join(keys, key).withColumn("block", block(filed, "norm", "label_blocks")).groupBy(*key, "block", "shares").agg(
+        F.collect_list(F.struct("norm", "pos", "head")).alias("labels"))
+    sent = packed.select(*key, "block", every("shares").alias("share"), F.lit(-1).cast("bigint").alias("turn"), "labels",
+                         F.lit(None).cast("array<struct<q:string,head:array<bigint>>>").alias("queries"))
+    passing = asked.join(keys, key).withColumn("turn", block(asked, "q", "query_blocks")).groupBy(*key, "turn", "label_blocks", "shares").agg(
+        F.collect_list(F.struct("q", "head")).alias("queries"))
+    passing = passing.select(*key, every("label_blocks").alias("block"), F.pmod("turn", "shares").alias("share"), "turn",
+                             F.lit(None).cast("array<struct<norm:string,pos:int,head:array<bigint>>>").alias("labels"), "queries")
+    place = [*key, "block", "share"]
+    return sent.unionByName(passing).repartition(tasks, *place).sortWithinPartitions(*place, "turn").select(*place, "labels", "queries")
+
+
+def _indexed(queries: DataFrame, labels: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and at most 1")
+    ranks = item_ranks(labels)
+    return file_labels(labels, ranks, threshold), ask_texts(queries, ranks, threshold)
 
 
 def best_pairs(
-    queries: DataFrame, labels: DataFrame, k: int, threshold: float, contain: bool = True, tasks: int | None = None
+    queries: DataFrame, labels: DataFrame, k: int, threshold: float, contain: bool = True, tasks: int | None = None,
+    filed: DataFrame | None = None, asked: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs ``q, norm, sig, score`` that hold the best k of every query and signature.
 
     ``queries(q)`` are distinct normalised texts; ``labels(norm, sig, rep)`` are distinct in
-    (norm, sig), where ``rep`` is a number for one entity with that label. A label block is sent
-    once to each of a few tasks, and only the texts of the query blocks go to all blocks of their bands.
+    (norm, sig), where ``rep`` is a number for one entity with that label. ``filed`` and ``asked`` are
+    entries of a stored index for (at least) these labels and these queries.
     """
-    spark = queries.sparkSession
-    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    label_blocks = _packed(
-        labels.withColumn("band", _band(F.length("norm"))),
-        F.struct("norm", "sig", "rep"), "labels", LABELS_PER_BLOCK, ["norm"],
-    )
-    n = F.length("q")
-    low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
-    reached = F.sequence(_band(F.floor(low)), _band(F.ceil(high)))
-    query_blocks = _packed(queries.select("q", F.explode(reached).alias("band")), F.col("q"), "queries", QUERIES_PER_BLOCK, ["q"])
-    # One row for each band: how many label blocks it has, and among how many tasks each is shared.
-    bands = label_blocks.groupBy("band").agg(F.max("labels_blocks").cast("bigint").alias("n"))
-    shares = F.ceil(F.lit(2 * tasks) / F.sum("n").over(Window.partitionBy())).cast("bigint").alias("shares")
-    bands = F.broadcast(bands.select("band", "n", shares))
-    no_labels = F.lit(None).cast("array<struct<norm:string,sig:string,rep:bigint>>")
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    sent = label_blocks.join(bands, "band").select(
-        "band", F.col("labels_block").alias("block"), every("shares").alias("share"), F.lit(-1).cast("bigint").alias("turn"),
-        F.col("labels").cast("array<struct<norm:string,sig:string,rep:bigint>>").alias("labels"), F.lit(None).cast("array<string>").alias("queries"))
-    asked = query_blocks.join(bands, "band").select("band", every("n").alias("block"), "shares", "queries_block", "queries").select(
-        "band", "block", F.pmod("queries_block", "shares").alias("share"), F.col("queries_block").alias("turn"), no_labels.alias("labels"), "queries")
-    place = ["band", "block", "share"]
-    return (
-        sent.unionByName(asked).repartition(tasks, *place).sortWithinPartitions(*place, "turn")
-        .select(*place, "labels", "queries").mapInPandas(_score_tiles(k, threshold, contain), "q string, norm string, sig string, score double")
-    )
+    groups = labels.groupBy("norm").agg(F.collect_list(F.struct("sig", "rep")).alias("groups"))
+    if filed is None or asked is None:
+        filed, asked = _indexed(queries, groups, threshold)
+    tiles = _tiles(filed, asked, threshold, tasks)
+    pairs = tiles.mapInPandas(_bound_tiles(threshold, False), "q string, norm string, bound double").join(groups, "norm")
+    ordered = pairs.repartition("q").sortWithinPartitions("q", F.desc("bound"), "norm").select("q", "norm", "bound", "groups")
+    return ordered.mapInPandas(_score_sorted(k, threshold, contain), "q string, norm string, sig string, score double")
+
+
+def pair_report(queries: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """One row: pairs possible, pairs that the index brought together and that were bounded, and pairs kept for scoring."""
+    texts, names = queries.select("q").distinct(), labels.select("norm").distinct()
+    done = _tiles(*_indexed(texts, names, threshold), threshold, None).mapInPandas(_bound_tiles(threshold, True), "bounded bigint, kept bigint")
+    sums = done.agg(F.coalesce(F.sum("bounded"), F.lit(0)).alias("bounded"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+    return sums.select(F.lit(texts.count() * names.count()).alias("possible"), "bounded", "kept")
 
 
 GRAM = 3
-SHARES = 16
+GRAM_ROWS = 50_000  # entries of one part of a gram; a gram of more entries is in several parts
+POSTINGS = "gram string, hay_no bigint"
 
 
 def _grams(text, n):
@@ -260,26 +448,46 @@ def _grams(text, n):
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(positions, lambda i: F.substring(text, i, n))))
 
 
+def gram_postings(hays: DataFrame) -> DataFrame:
+    """(gram, hay_no) for every character 1-, 2- and 3-gram of distinct texts (hay)."""
+    every = F.flatten(F.array(*[F.coalesce(_grams(F.col("hay"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
+    return hays.select(hay_number().alias("hay_no"), F.explode(every).alias("gram")).select("gram", "hay_no")
+
+
+def hay_number():
+    return F.xxhash64("hay")
+
+
+def rarest_grams(needles: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(needle, gram, df): the gram of each needle that the fewest hays have; needles with a gram that none has are left out."""
+    probe_size = F.least(F.length("needle"), F.lit(GRAM))
+    probes = needles.select("needle", F.explode(_grams(F.col("needle"), probe_size)).alias("gram"))
+    rarest = probes.join(frequency, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
+    return rarest.filter("g.df > 0").select("needle", "g.gram", "g.df")
+
+
+def looked_up(rarest: DataFrame, postings: DataFrame, hays: DataFrame) -> DataFrame:
+    """(needle, hay) for needles filed under a gram, postings of (at least) these grams, and hays (hay_no, hay).
+
+    A gram is in as many parts as its measured frequency asks for, so each needle is sent to one part of a rare
+    gram and to all parts of a frequent one; parts are of bounded size. Two hays of one number would both be checked.
+    """
+    parts = F.ceil(F.col("df") / GRAM_ROWS)
+    wanted = rarest.select("needle", "gram", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("share"))
+    # At most one row for each GRAM_ROWS entries of the index.
+    hot = rarest.filter(F.col("df") > GRAM_ROWS).select("gram", parts.alias("parts")).distinct()
+    filed = postings.join(F.broadcast(hot), "gram", "left").select("gram", "hay_no", F.pmod("hay_no", F.coalesce("parts", F.lit(1))).alias("share"))
+    pairs = wanted.join(filed, ["gram", "share"]).select("needle", "hay_no")
+    return pairs.join(hays, "hay_no").filter(F.contains("hay", "needle")).select("needle", "hay")
+
+
 def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """``needle, hay`` for every hay that contains the needle; inputs are distinct, non-empty texts.
 
-    Every hay is indexed by its character 1-, 2- and 3-grams; a needle is looked up under the
-    one of its grams that the fewest hays have. That turns the containment test into an equi
-    join whose residual check is ``contains``. The index holds the number of a hay, not its text,
-    which joins the pairs that are left; a gram that most hays have is in SHARES parts, each
-    needle in all of them. Two hays of one number would both be checked.
+    Every hay is indexed by its grams; a needle is looked up under its rarest one. That turns the containment
+    test into an equi join whose residual check is ``contains``. The index holds the number of a hay, not
+    its text, which joins the pairs that are left. ``grams.GramIndex`` keeps such an index between searches.
     """
-    every = F.flatten(F.array(*[F.coalesce(_grams(F.col("hay"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
-    number = F.xxhash64("hay").alias("hay_no")
-    index = hays.select(number, F.explode(every).alias("gram")).withColumn("share", F.pmod("hay_no", F.lit(SHARES)))
+    index = gram_postings(hays)
     frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    probe_size = F.least(F.length("needle"), F.lit(GRAM))
-    probes = needles.select("needle", F.explode(_grams(F.col("needle"), probe_size)).alias("gram"))
-    rarest = (
-        probes.join(frequency, "gram", "left").groupBy("needle")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
-        .filter("g.df > 0").select("needle", F.col("g.gram").alias("gram"))
-    )
-    wanted = rarest.select("needle", "gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))).alias("share"))
-    pairs = wanted.join(index, ["gram", "share"]).select("needle", "hay_no")
-    return pairs.join(hays.select("hay", number), "hay_no").filter(F.contains("hay", "needle")).select("needle", "hay")
+    return looked_up(rarest_grams(needles, frequency), index, hays.select("hay", hay_number().alias("hay_no")))

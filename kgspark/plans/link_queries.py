@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.numbers import round_to
 from kgspark.functions.text import normalize_text
-from kgspark.operators import dictionary as D, linking as K, similarity as S
+from kgspark.operators import dictionary as D, graph as G, linking as K, similarity as S
+from kgspark.operators.grams import GramIndex
+from kgspark.operators.incremental import MatchStore
 from kgspark.plans import sqlkit as Q
 from kgspark.schemas import MATCHES
 from kgspark.sources import fixtures as X
-from kgspark.vocab import ALLOWED_KG_TYPES, CANONICAL_KG_TYPES, LABEL_PREDICATES, RDF_TYPE
+from kgspark.sources.versions import shared_folder
+from kgspark.vocab import ALLOWED_KG_TYPES, CANONICAL_KG_TYPES, LABEL_PREDICATES, RDF_TYPE, RDFS_LABEL
 
 INTERNAL = ["region", "nation", "part", "classes"]
 
@@ -72,6 +75,54 @@ def contains_typed(spark, d):
     return r.select("text", "entity_type", "uri", "kg_label", round_to("score", 6).alias("score"), "rank")
 
 
+def _maintained(spark, hays, early, withdrawn):
+    """An index of all of hays, after batches: those of one kind, all, some withdrawn, one batch repeated, some back."""
+    index = GramIndex(spark, shared_folder(spark))
+    index.apply("early", hays.filter(early).select("hay"))
+    index.apply("all", hays.select("hay"))
+    index.apply("withdrawn", hays.limit(0).select("hay"), hays.filter(withdrawn).select("hay"))
+    index.apply("all", hays.select("hay"))
+    index.apply("back", hays.filter(withdrawn).select("hay"))
+    return index
+
+
+def _lower_labels(spark, d):
+    t = X.triples(spark, d).filter(F.col("p").isin(LABEL_PREDICATES))
+    return t.select("src", F.lower("o").alias("hay")).distinct()
+
+
+def contains_indexed(spark, d):
+    """The search of ``contains`` in a maintained index."""
+    index = _maintained(spark, _lower_labels(spark, d), "src = 'part'", "src in ('nation', 'supplier')")
+    r = K.contains_search(_texts(spark, d), X.triples(spark, d), min_score=0.7, index=index)
+    return r.select("text", "uri", "kg_label", F.get("type_names", F.lit(0)).alias("kg_type"), round_to("score", 6).alias("score"), "rank")
+
+
+def label_search_indexed(spark, d):
+    index = _maintained(spark, _lower_labels(spark, d), "src = 'nation'", "hay like '%bolt%'")
+    return G.label_search(X.triples(spark, d), "ring", index)
+
+
+def search_containment_indexed(spark, d):
+    hays = labels(spark, d).select(F.col("norm").alias("hay"), "type_names").distinct()
+    index = _maintained(spark, hays, "array_contains(type_names, 'Finding')", "length(hay) % 3 = 0")
+    r = K.search_containment(_queries(spark, d), labels(spark, d), index)
+    return r.select("query", "uri", "kg_label", "type", round_to("score", 6).alias("score"))
+
+
+def find_matches_incremental(spark, d):
+    """The matches of ``find_matches`` after four batches of texts and labels, one of them with labels withdrawn."""
+    store = MatchStore(spark, shared_folder(spark))
+    texts, names = _texts(spark, d), labels(spark, d)
+    old = F.length("text") % 2 == 0
+    parts = F.col("uri").contains("/part/")
+    store.apply("parts", texts.filter(old), names.filter(parts))
+    store.apply("rest", texts.limit(0), names)
+    store.apply("withdrawn", texts.limit(0), names.limit(0), names.filter(parts & (F.length("label") % 4 == 0)))
+    store.apply("texts", texts, names)
+    return flat(store.find_matches(texts), "text")
+
+
 def merged(spark, d):
     texts = _texts(spark, d)
     local = K.find_matches_exact(texts, labels(spark, d))
@@ -158,6 +209,10 @@ QUERIES = {
     "find_matches_exact": exact,
     "contains_search": contains,
     "contains_search_typed": contains_typed,
+    "contains_search_indexed": contains_indexed,
+    "label_search_indexed": label_search_indexed,
+    "search_containment_indexed": search_containment_indexed,
+    "find_matches_incremental": find_matches_incremental,
     "merge_matches": merged,
     "backend_filter": backends,
     "link_typed_fallback": typed_fallback,
@@ -220,6 +275,10 @@ count(*) FILTER (v = 'not_found') AS not_found FROM (SELECT {_status} AS v FROM
 JOIN lab ON norm <> '' AND (contains(norm, q) OR contains(q, norm)) GROUP BY query, q, uri"""}, body=f"""
 SELECT query, uri, kg_label, coalesce(type, 'unknown') AS type, round({_closed}, 6) AS score
 FROM (SELECT *, {Q.normalized('kg_label')} AS norm FROM hits) h LEFT JOIN cls USING (uri)"""),
+    "label_search_indexed": X.with_tables("triples", body=f"""SELECT a.s AS entity, a.o AS label, b.o AS type FROM triples a
+LEFT JOIN triples b ON a.s = b.s AND b.p = '{RDF_TYPE}' WHERE a.p = '{RDFS_LABEL}' AND contains(lower(a.o), 'ring')"""),
     "best_match_columns": X.with_tables("pending_entities", body=f"""SELECT id, x AS similarity_score, CASE WHEN x IS NOT NULL THEN text END AS matched_kg_label,
 CASE WHEN x IS NOT NULL THEN 'u:' || text END AS matched_kg_uri FROM ({_scores}) s WHERE x IS NULL OR x < 0.95"""),
 }
+ORACLES["contains_search_indexed"] = ORACLES["contains_search"]
+ORACLES["search_containment_indexed"] = ORACLES["search_containment"]
