@@ -37,6 +37,7 @@ from pyspark.sql.types import DoubleType
 LABELS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 256
 BLOCKS_PER_TASK = 64  # query blocks that pass one copy of a label block
+CELLS = 1 << 17  # pairs that are bounded at once
 WORD = 64
 LONG_LABEL = 200  # from this length on difflib drops characters that are too common
 SLACK = 1e-9  # bounds are compared with scores computed in another order
@@ -168,40 +169,45 @@ class _Block:
         below = (self.word(1) << np.minimum(size, width - 1).astype(self.word)) - self.word(1)
         self.used_bits = np.where(size == width, ~self.word(0), below)
 
-    def bounds(self, query: str, some: np.ndarray | None = None) -> np.ndarray:
-        """Upper bound of the score of every label: common subsequence, or common characters.
-
-        ``some`` asks for these places only, in a block without long labels.
-        """
-        n = len(self.short) if some is None else len(some)
-        v = np.full(n, ~self.word(0))
-        for ch in query:
-            rows, mask = self.masks.get(ch, (None, None))
-            if mask is None:
-                continue
-            if rows is None:
-                both = v & (mask if some is None else mask[some])
-                v = (v + both) | (v - both)
-                continue
-            if some is not None:
-                at = np.minimum(np.searchsorted(some, rows), n - 1)
-                held = some[at] == rows
-                rows, mask = at[held], mask[held]
-            old = v[rows]
-            both = old & mask
-            v[rows] = (old + both) | (old - both)
-        matched = np.bitwise_count(~v & (self.used_bits if some is None else self.used_bits[some]))
-        if some is None:
-            lengths, common = self.lengths, np.zeros(len(self.lengths), dtype=np.int64)
-            common[self.short] = matched
-            if len(self.long):
-                counts = Counter(query)
-                common[self.long] = [sum(min(n, c[ch]) for ch, n in counts.items()) for c in self.long_counts]
-        else:
-            lengths, common = self.lengths[some], matched
-        total = lengths + len(query)
+    def bounds(self, query: str) -> np.ndarray:
+        """Upper bound of the score of every label: common subsequence, or common characters."""
+        common = np.zeros(len(self.lengths), dtype=np.int64)
+        common[self.short] = self._matched([query], len(self.short))[0]
+        if len(self.long):
+            counts = Counter(query)
+            common[self.long] = [sum(min(n, c[ch]) for ch, n in counts.items()) for c in self.long_counts]
+        total = self.lengths + len(query)
         return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
 
+    def bounds_of(self, queries: list[str], first: int) -> np.ndarray:
+        """Bounds of several queries with the first labels, in a block without long ones."""
+        total = np.array([len(q) for q in queries])[:, None] + self.lengths[:first]
+        return 2.0 * self._matched(queries, first) / np.maximum(total, 1)
+
+    def _matched(self, queries: list[str], n: int) -> np.ndarray:
+        """Longest common subsequence of each query with each of the first n short labels."""
+        used = sorted(set().union(*queries) & self.masks.keys())
+        number = {ch: i + 1 for i, ch in enumerate(used)}
+        table = np.zeros((len(used) + 1, n), dtype=self.word)  # its first row is of characters that no label has
+        for ch, i in number.items():
+            rows, mask = self.masks[ch]
+            if rows is None:
+                table[i] = mask[:n]
+            else:
+                table[i, rows[:np.searchsorted(rows, n)]] = mask[:np.searchsorted(rows, n)]
+        codes = np.zeros((max(map(len, queries)), len(queries)), dtype=np.int64)
+        for i, q in enumerate(queries):
+            codes[:len(q), i] = [number.get(ch, 0) for ch in q]
+        v = np.full((len(queries), n), ~self.word(0))
+        w = np.empty_like(v)
+        for code in codes:
+            both = table[code]
+            both &= v
+            np.add(v, both, out=w)
+            v -= both
+            v |= w
+        return np.bitwise_count(~v & self.used_bits[:n])
+
 
 class _Best:
     """Best k scores of one query and signature, per representative entity."""
@@ -264,6 +270,13 @@ def _query_rows(ranks: dict, threshold: float):
     return run
 
 
+def _padded(lists: list, blank: int) -> np.ndarray:
+    out = np.full((len(lists), max(map(len, lists), default=0)), blank, dtype=np.int64)
+    for i, x in enumerate(lists):
+        out[i, :len(x)] = x
+    return out
+
+
 class _Held:
     """A block of labels filed under one item, those that hold it earliest first."""
 
@@ -272,31 +285,35 @@ class _Held:
         self.norms = np.array([x["norm"] for x in labels], dtype=object)
         self.pos = np.array([x["pos"] for x in labels], dtype=np.int64)
         self.block = _Block(list(self.norms))
-        # For each item, the labels that hold it before the one they are filed under.
-        heads = [x["head"][:x["pos"]] for x in labels]
-        every = np.concatenate([*heads, np.empty(0)]).astype(np.int64)
-        places = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-        order = np.argsort(every, kind="stable")
-        kinds, starts = np.unique(every[order], return_index=True)
-        self.earlier = dict(zip(kinds.tolist(), np.split(places[order], starts[1:])))
-
-    def reached(self, q: str, head: list[int], item: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Labels whose bound reaches the threshold, their bounds, and how many were bounded: those that hold the
-        item early enough and share no earlier item with q."""
-        n, some = len(q), None
-        if item != NO_ITEM:
-            # Items of a label after this place can't be the first one shared: its own beginning is shorter.
-            longest = int(self.block.lengths.max())
-            fresh = np.ones(int(np.searchsorted(self.pos, longest - needed(n, longest, threshold) + 1)), dtype=bool)
-            for x in head:
-                if (at := self.earlier.get(int(x))) is not None:
-                    fresh[at[:np.searchsorted(at, len(fresh))]] = False
-            some = np.flatnonzero(fresh)
-            if not len(some):
-                return some, np.empty(0), 0
-        bound = self.block.bounds(q, some)
-        found = np.flatnonzero(bound >= threshold - SLACK)
-        return found if some is None else some[found], bound[found], len(bound)
+        self.earlier = _padded([x["head"][:x["pos"]] for x in labels], NO_ITEM)
+
+    def reached(self, queries: list, item: int, threshold: float) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, int]]:
+        """For some queries at a time: query and label of the pairs whose bound reaches the threshold and that share
+        no earlier item, their bounds, and how many pairs were bounded."""
+        if item == NO_ITEM:
+            for x in queries:
+                bound = self.block.bounds(x["q"])
+                found = np.flatnonzero(bound >= threshold - SLACK)
+                yield [x["q"]] * len(found), self.norms[found], bound[found], len(bound)
+            return
+        longest = int(self.block.lengths.max())
+        # The beginning of a label of this length, among texts of n characters, ends here.
+        ends = lambda x: longest - needed(len(x["q"]), longest, threshold) + 1
+        queries = sorted(queries, key=lambda x: len(x["q"]))  # the shortest have the longest beginnings
+        at = 0
+        while at < len(queries):
+            first = int(np.searchsorted(self.pos, ends(queries[at])))
+            if not first:
+                return
+            some = queries[at:at + max(1, CELLS // first)]
+            at += len(some)
+            bound = self.block.bounds_of([x["q"] for x in some], first)
+            asking, found = np.nonzero(bound >= threshold - SLACK)
+            if len(found):
+                heads = _padded([x["head"] for x in some], NO_ITEM + 1)
+                again = (self.earlier[found][:, :, None] == heads[asking][:, None, :]).any(axis=(1, 2))
+                asking, found = asking[~again], found[~again]
+            yield [some[i]["q"] for i in asking], self.norms[found], bound[asking, found], bound.size
 
 
 def _bound_tiles(threshold: float, counted: bool):
@@ -313,12 +330,11 @@ def _bound_tiles(threshold: float, counted: bool):
                     continue
                 if place != at:  # a block number that no label has
                     continue
-                for x in queries:
-                    found, bound, n = held.reached(x["q"], x["head"], place[1], threshold)
+                for asking, found, bound, n in held.reached(list(queries), place[1], threshold):
                     tried += n
                     if len(found):
-                        qs += [x["q"]] * len(found)
-                        norms.append(held.norms[found])
+                        qs += asking
+                        norms.append(found)
                         bounds.append(bound)
             if counted:
                 yield pd.DataFrame({"bounded": [tried], "kept": [len(qs)]})
