@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -119,23 +118,35 @@ def repaired_entities(responses: DataFrame, keys: list[str], raw: str = "raw") -
 def _answers(text: str) -> Iterator[tuple[str, dict | None]]:
     """Outermost objects of a text from left to right, each with its value if it is valid JSON.
 
-    A valid object is read by the JSON decoder itself; a broken one reaches as far as its brackets balance, and
-    what it holds is passed over. One that never closes ends the reading.
+    A valid object is read by the JSON decoder itself; a broken one, or one nested too deeply for it, reaches as
+    far as its brackets balance, and what it holds is passed over. One that never closes ends the reading. The
+    brackets of a text are balanced once, when its first broken object is met.
     """
-    read, at = json.JSONDecoder().raw_decode, text.find("{")
+    read, at, closes = json.JSONDecoder().raw_decode, text.find("{"), None
     while at >= 0:
         try:
             value, end = read(text, at)
-        except json.JSONDecodeError:
+        except (json.JSONDecodeError, RecursionError):
             value = None
-            level = list(accumulate((c == "{") - (c == "}") for c in text[at:]))
-            if 0 not in level:
+            closes = _closes(text) if closes is None else closes
+            if at not in closes:
                 return
-            end = at + level.index(0) + 1
+            end = closes[at] + 1
         yield text[at:end], value
         at = text.find("{", end)
 
 
+def _closes(text: str) -> dict[int, int]:
+    """For each opening bracket that is closed, where."""
+    out, opened = {}, []
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.start()
+    return out
+
+
 def _choose(text: str | None) -> str | None:
     """The first object that has data, else the last object, else from the first bracket to the last."""
     if text is None:

@@ -24,7 +24,7 @@ def _class_triples(uri: Column, entity_type: Column) -> list[Column]:
 
 
 def _emit(rows: DataFrame, made: list[Column]) -> DataFrame:
-    return rows.select(F.explode(F.array(*made)).alias("t")).select("t.*").dropna().dropDuplicates(["s", "p", "o"])
+    return rows.select(F.explode(F.array(*made)).alias("t")).select("t.*").dropna().dropDuplicates(["s", "p", "o", "o_kind"])
 
 
 def emit_entity_triples(entities: DataFrame, stamp_ms: int) -> DataFrame:
@@ -70,7 +70,7 @@ def emit_relation_triples(relations: DataFrame, triples: DataFrame, stamp_ms: in
     named = distinct.join(uris.select(F.col("text").alias("source_entity"), F.col("uri").alias("s")), "source_entity").join(
         uris.select(F.col("text").alias("target_entity"), F.col("uri").alias("o")), "target_entity")
     edges = named.select("s", F.concat(F.lit(RELATIONS), F.col("relation_type")).alias("p"), "o", F.lit("uri").alias("o_kind"))
-    return edges.unionByName(new).dropDuplicates(["s", "p", "o"])
+    return edges.unionByName(new).dropDuplicates(["s", "p", "o", "o_kind"])
 
 
 def approve_entities(
@@ -78,11 +78,13 @@ def approve_entities(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Triples of ``approved(id[, link_to_uri, link_type])``, and both tables without those rows.
 
-    An id that is approved more than once takes the smallest link and link type given.
+    An id that is approved more than once takes one of its approvals: the one with the smallest link, then link type;
+    given ones come before missing ones.
     """
     ids = approved.select("id").distinct()
     extra = [c for c in ("link_to_uri", "link_type") if c in approved.columns]
-    links = approved.groupBy("id").agg(*[F.min(F.struct(F.col(c).isNull().alias("none"), c)).getField(c).alias(c) for c in extra]) if extra else ids
+    order = [f for c in extra for f in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    links = approved.groupBy("id").agg(F.min(F.struct(*order)).alias("x")).select("id", *[f"x.{c}" for c in extra]) if extra else ids
     rows = pending.join(links, "id")
     form = F.coalesce(F.when(F.col("normalized_text") != "", F.col("normalized_text")), F.col("text"))
     made = emit_entity_triples(rows.withColumn("normalized_form", form), stamp_ms)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kgspark.functions.text import strip
 from kgspark.operators.decode import first_of
 from kgspark.operators.prepare import CONTEXT_LIMIT, truncate_context
+from kgspark.sources.versions import written
 
 MAX_PAGE = 200
 
@@ -216,28 +217,69 @@ def bulk_delete(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(listed, "id", "left_anti"), found.agg(F.count(F.lit(1)).alias("affected_count"))
 
 
+def _decide(wanted: DataFrame, held: DataFrame, states: DataFrame | None) -> DataFrame:
+    """(id, accepted) of the edits that can be decided now.
+
+    ``wanted(id, k_text, k_type)`` are the edits that want a pair; ``held`` are the rows that have a pair or would take
+    one: (k_text, k_type, owner, moves, takes). ``states(id, accepted)`` are earlier decisions. Everything about a
+    pair is one row of minima and maxima, whatever the number of edits that want it.
+    """
+    key = ["k_text", "k_type"]
+    if states is None:
+        rows, todo = held.withColumn("accepted", F.lit(None).cast("boolean")), wanted
+    else:
+        told = states.select(F.col("id").alias("owner"), "accepted")
+        rows, todo = held.join(told, "owner", "left"), wanted.join(states, "id", "left_anti")
+    accepted, open_ = F.col("accepted"), F.col("accepted").isNull()
+    stays = ~F.col("takes") & (~F.col("moves") | F.coalesce(~accepted, F.lit(False)))
+    leaves = ~F.col("takes") & F.col("moves")
+    ends = lambda c, name: [F.min(F.when(c, F.col("owner"))).alias(f"{name}_lo"), F.max(F.when(c, F.col("owner"))).alias(f"{name}_hi")]
+    pairs = rows.groupBy(*key).agg(
+        *ends(stays, "stay"), *ends(leaves, "leave"), *ends(leaves & open_, "open"),
+        F.min(F.when(F.col("takes") & accepted, F.col("owner"))).alias("taken"),
+        F.min(F.when(F.col("takes") & open_, F.col("owner"))).alias("next"),
+    )
+    me = F.col("id")
+    # Held by a row that stays, or by one whose edit comes later; or taken by an accepted edit before.
+    lost = (F.col("stay_lo") != me) | (F.col("stay_hi") != me) | (F.col("leave_hi") > me) | (F.col("taken") < me)
+    # Another edit before this one is still open, and would release the pair or take it.
+    waits = (F.col("open_lo") < me) | (F.col("next") < me)
+    judged = todo.join(pairs, key, "left").withColumns({"lost": F.coalesce(lost, F.lit(False)), "waits": F.coalesce(waits, F.lit(False))})
+    return judged.filter("lost OR NOT waits").select("id", (~F.col("lost")).alias("accepted"))
+
+
 def apply_edits(pending: DataFrame, reviews: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edited pending rows and reviews, and the ids of rejected edits.
 
     ``edits(id, text, entity_type, normalized_text, status)``, null where nothing changes, at most
-    one per id. An edit of text or type is rejected when another pending row or another row's
-    review has the new pair, or an accepted edit of a smaller id takes it.
+    one per id. The result is that of applying them one by one in order of id: an edit of text or type is rejected
+    when at its turn another pending row or another row's review has the new pair. So an edit can take a pair that an
+    earlier accepted one released. Edits are decided in rounds, all at once that wait for no other; as many rounds
+    as the longest chain of edits that wait for each other. Decisions of a round are written to the shared folder.
     """
     e = edits.select("id", *[F.col(c).alias(f"new_{c}") for c in ("text", "entity_type", "normalized_text", "status")])
     joined = pending.join(e.withColumn("edited", F.lit(True)), "id", "left")
     value = lambda c: F.coalesce(f"new_{c}", c)
-    wanted = joined.filter("new_text IS NOT NULL OR new_entity_type IS NOT NULL").select(
-        "id", value("text").alias("k_text"), value("entity_type").alias("k_type"))
-    # Another id holds a key exactly if the smallest or the largest holder is another one.
-    holders = (
-        pending.select(F.col("text").alias("k_text"), F.col("entity_type").alias("k_type"), "id")
-        .unionByName(reviews.filter("pending_entity_id IS NOT NULL").select(
-            F.col("entity_text").alias("k_text"), F.col("entity_type").alias("k_type"), F.col("pending_entity_id").alias("id")))
-        .groupBy("k_text", "k_type").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    )
-    judged = wanted.join(holders, ["k_text", "k_type"], "left").withColumn("taken", F.expr("coalesce(lo <> id OR hi <> id, false)"))
-    first = judged.filter("NOT taken").groupBy("k_text", "k_type").agg(F.min("id").alias("winner"))
-    conflicts = judged.join(first, ["k_text", "k_type"], "left").filter("taken OR id <> winner").select("id")
+    changes = "new_text IS NOT NULL OR new_entity_type IS NOT NULL"
+    wanted = joined.filter(changes).select("id", value("text").alias("k_text"), value("entity_type").alias("k_type"))
+    linked = reviews.filter("pending_entity_id IS NOT NULL").select(
+        F.col("pending_entity_id").alias("id"), F.col("entity_text").alias("text"), "entity_type")
+    linked = linked.join(joined.filter(changes).select("id", "new_text", "new_entity_type"), "id", "left")
+    holders = joined.select("id", "text", "entity_type", "new_text", "new_entity_type").unionByName(linked)
+    moves = F.coalesce((value("text") != F.col("text")) | (value("entity_type") != F.col("entity_type")), F.lit(False))
+    row = lambda text, kind, m, takes: F.struct(text.alias("k_text"), kind.alias("k_type"), F.col("id").alias("owner"), m.alias("moves"), F.lit(takes).alias("takes"))
+    old = row(F.col("text"), F.col("entity_type"), moves, False)
+    # A row without text or type has no pair that can be the same as another's, but its edit may give it one.
+    fresh = moves | F.col("text").isNull() | F.col("entity_type").isNull()
+    new = F.when(fresh & F.expr(changes), row(value("text"), value("entity_type"), F.lit(True), True))
+    held = holders.select(F.explode(F.array_compact(F.array(old, new))).alias("h")).select("h.*")
+    held = held.join(wanted.select("k_text", "k_type").distinct(), ["k_text", "k_type"], "left_semi")
+    wanted, held = written(wanted), written(held)
+    total, states = wanted.count(), None
+    while states is None or states.count() < total:
+        now = _decide(wanted, held, states)
+        states = written(now if states is None else states.unionByName(now))
+    conflicts = states.filter("NOT accepted").select("id")
     ok = joined.join(conflicts.withColumn("conflict", F.lit(True)), "id", "left")
     free = F.col("conflict").isNull()
     changed = ok.withColumns({c: F.when(free, value(c)).otherwise(F.col(c)) for c in ("text", "entity_type", "normalized_text", "status")})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -11,13 +13,20 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_name").alias("name"),
         F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"\.([^.]*)$", 1)).alias("file_type"),
-        _decode(F.col("content")).alias("text"),
+        decoded(F.col("content")).alias("text"),
     )
 
 
-def _decode(content):
-    """UTF-8 with invalid bytes left out."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+@F.pandas_udf(StringType())
+def _without_bad_bytes(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda c: None if c is None else bytes(c).decode("utf-8", "ignore"))
+
+
+def decoded(content: Column) -> Column:
+    """UTF-8 with invalid bytes left out; only contents that hold some go to Python."""
+    text = content.cast("string")
+    bad = ~F.is_valid_utf8(text)
+    return F.when(bad, _without_bad_bytes(F.when(bad, content))).otherwise(text)
 
 
 def document_table(documents: DataFrame, text: str = "text") -> DataFrame:

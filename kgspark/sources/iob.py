@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kgspark.functions.labels import label_id, normalize_iob_label
 from kgspark.functions.text import split_words, strip
@@ -24,16 +24,36 @@ def clean_tokens(tokens: DataFrame) -> DataFrame:
     )
 
 
-def read_iob_csv(spark: SparkSession, path: str) -> DataFrame:
+PLACE = ["file", "start", "row"]
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with file, start of their split in the file, and a number that grows inside a split."""
+    return rows.withColumns({"file": F.col("_metadata.file_name"), "start": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()})
+
+
+def numbered(rows: DataFrame, name: str = "pos") -> DataFrame:
+    """Rows with their number in the file, from 0, however the file was split.
+
+    A split's rows are counted, and the counts of the splits before it are added to the number inside the split:
+    one short row per split is all that is compared across splits.
+    """
+    splits = rows.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("row")) - 1
+    return rows.withColumn("inside", inside).join(splits, ["file", "start"]).withColumn(name, F.col("before") + F.col("inside")).drop("first", "before", "inside")
+
+
+def read_iob_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with header ``words,sentence_id,labels[,pos]``, one row per token.
 
-    Rows keep ``file`` and, where the file has no ``pos`` column, a ``pos`` that follows the
-    order of lines inside the file's splits.
+    Rows keep ``file`` and, where the file has no ``pos`` column, get the number of the row in the file,
+    the same for any number of splits. ``multi_line`` allows line ends inside quotes; such a file is one split.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    if "pos" not in raw.columns:
-        raw = raw.withColumn("pos", F.monotonically_increasing_id())
-    return clean_tokens(raw.withColumn("file", F.col("_metadata.file_name")))
+    raw = _placed(spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path))
+    rows = raw if "pos" in raw.columns else numbered(raw)
+    return clean_tokens(rows.drop("start", "row"))
 
 
 def sentences(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,13 +67,22 @@ def sentences(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_iob_lines(spark: SparkSession, path: str) -> DataFrame:
-    """CoNLL-style files. Records end at an empty line, so a long file is split over tasks."""
-    records = (
-        spark.read.option("lineSep", "\n\n").text(path)
-        .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"),
-                F.monotonically_increasing_id().alias("record"))
-    )
-    return parse_iob_lines(records, ["file", "record"])
+    """CoNLL-style files to ``file, sentence_no, pos, words, labels, label_id``.
+
+    Lines end in LF or CRLF. A line's sentence is the number of blank lines before it in the file: those of earlier
+    splits, counted per split, and those before it in its own split. ``pos`` is its number in the file.
+    """
+    lines = _placed(spark.read.text(path)).withColumn("blank", F.size(split_words(F.col("value"))) == 0)
+    splits = lines.groupBy("file", "start").agg(F.count_if("blank").alias("blanks"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("earlier", F.coalesce(F.sum("blanks").over(before), F.lit(0))).drop("blanks")
+    inside = F.count_if("blank").over(Window.partitionBy("file", "start").orderBy("row"))
+    counted = numbered(lines.withColumn("inside_blanks", inside)).join(splits, ["file", "start"])
+    rows = counted.withColumn("sentence_no", F.col("earlier") + F.col("inside_blanks"))
+    fields = split_words(F.col("value"))
+    label = normalize_iob_label(F.element_at(fields, -1))
+    return rows.filter(F.size(fields) >= 2).select(
+        "file", "sentence_no", "pos", F.element_at(fields, 1).alias("words"), label.alias("labels"), label_id(label).alias("label_id"))
 
 
 def parse_iob_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

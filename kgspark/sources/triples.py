@@ -29,15 +29,31 @@ def term_key(triples: DataFrame) -> list[str]:
 
 @F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
-    """The string escapes of N-Triples undone, in one pass from left to right."""
+    """The string escapes of N-Triples undone, in one pass from left to right; null where one names no character.
+
+    Two escapes that are the halves of one UTF-16 pair are one character; a half alone is none.
+    """
     plain = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+    pattern = re.compile(r"\\(u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
 
-    def one(m: re.Match) -> str:
+    def char(m: re.Match) -> str:
         code = m[1]
-        return plain.get(code, code) if len(code) == 1 else chr(min(int(code[1:], 16), 0x10FFFF))
+        if len(code) == 1:
+            return plain.get(code, code)
+        value = int(code[1:5], 16) if code[0] == "u" else int(code[1:], 16)
+        if len(code) == 11:
+            value = 0x10000 + ((value - 0xD800) << 10) + int(code[7:], 16) - 0xDC00
+        if value > 0x10FFFF or 0xD800 <= value < 0xE000:
+            raise ValueError(code)
+        return chr(value)
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else pattern.sub(char, text)
+        except ValueError:
+            return None
 
-    pattern = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
-    return texts.map(lambda t: None if t is None else pattern.sub(one, t))
+    return texts.map(one)
 
 
 def _plain(c: Column) -> Column:
@@ -74,18 +90,25 @@ def parse_ntriples(lines: DataFrame, text: str = "value", src: Column | None = N
     tail = F.when(literal, F.expr("substring(d, length(d) - position('\"', reverse(d)) + 2)"))
     held = held.withColumns({"body": F.when(literal, F.substring("d", F.lit(2), close - 2)), "tail": tail})
     bare = lambda x: F.regexp_replace(x, "^<|>$", "")
+    held = held.withColumns({
+        "s": _plain(bare(F.col("a"))),
+        "p": _plain(bare(F.col("b"))),
+        "o": _plain(F.when(literal, F.col("body")).otherwise(bare(F.col("d")))),
+        "g": F.when(F.col("c") != "", _plain(bare(F.col("c")))),
+        "datatype": F.when(F.col("tail").startswith("^^"), _plain(F.regexp_replace("tail", r"^\^\^<|>$", ""))),
+    })
+    # A term with an escape that names no character is null, and its line is rejected.
+    whole = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()
+    whole = whole & ((F.col("c") == "") | F.col("g").isNotNull()) & (~F.coalesce(F.col("tail"), F.lit("")).startswith("^^") | F.col("datatype").isNotNull())
     return held.select(
-        _plain(bare(F.col("a"))).alias("s"),
-        _plain(bare(F.col("b"))).alias("p"),
-        _plain(F.when(literal, F.col("body")).otherwise(bare(F.col("d")))).alias("o"),
+        "s", "p", "o",
         _kind(F.col("d")).alias("o_kind"),
-        F.when(F.col("c") != "", _plain(bare(F.col("c")))).alias("g"),
-        "src",
-        "ok",
+        "g", "src",
+        (F.col("ok") & whole).alias("ok"),
         "line",
         _kind(F.col("a")).alias("s_kind"),
         F.when(F.col("tail").startswith("@"), F.lower(F.substring("tail", 2, 1000))).alias("lang"),
-        F.when(F.col("tail").startswith("^^"), _plain(F.regexp_replace("tail", r"^\^\^<|>$", ""))).alias("datatype"),
+        "datatype",
     )
 
 

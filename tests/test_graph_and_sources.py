@@ -109,16 +109,16 @@ def test_bindings(spark, tmp_path):
 
 def test_documents_and_token_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "a.TXT").write_bytes("héllo".encode() + b"\xff\xfe!")
+    (tmp_path / "d" / "a.TXT").write_bytes("héllo".encode() + b"\xff\xfe!" + "\ufffd".encode() + b"\xe2\x82")
     (tmp_path / "d" / "b.odd").write_bytes(b"x")
     got = {r.name: (r.file_type, r.text) for r in documents.scan_documents(spark, str(tmp_path / "d")).collect()}
-    assert got == {"a.TXT": ("txt", "héllo!"), "b.odd": ("odd", "x")}
+    assert got == {"a.TXT": ("txt", "héllo!\ufffd"), "b.odd": ("odd", "x")}
 
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "x.conll").write_text("The O\npatient x O\nalone\n\ndiabetes B-Disease\n \n\nmellitus I-Drug\n")
-    lines = iob.read_iob_lines(spark, str(tmp_path / "t")).orderBy("record", "sentence_no", "pos").collect()
+    lines = iob.read_iob_lines(spark, str(tmp_path / "t")).orderBy("file", "pos").collect()
     assert [(r.words, r.labels) for r in lines] == [("The", "O"), ("patient", "O"), ("diabetes", "B-disease"), ("mellitus", "I-substance")]
-    assert len({(r.record, r.sentence_no) for r in lines}) == 3
+    assert len({(r.file, r.sentence_no) for r in lines}) == 3
 
     csv = "words,sentence_id,labels\nThe,0,O\ndiabetes,0,B-Disease\nmellitus,0,I-Disease\n\"a,b\",1,\ninsulin,1,B-Substance\n"
     (tmp_path / "c").mkdir()
@@ -130,3 +130,37 @@ def test_documents_and_token_files(spark, tmp_path):
     assert iob.read_iob_csv(spark, str(tmp_path / "o")).select("words").count() == 2
     line = toks.select(iob.iob_csv_line(F.col("words"), F.col("sentence_id"), F.col("labels"))).collect()
     assert [x[0] for x in line] == ['"a"b",0,O', "c,1,B-Organ"]
+
+
+def test_positions_do_not_depend_on_splits(spark, tmp_path):
+    """A file of several splits gives the same rows as one split, with LF and with CRLF."""
+    for end in ("\n", "\r\n"):
+        folder = tmp_path / f"lines{len(end)}"
+        (folder / "t").mkdir(parents=True)
+        (folder / "c").mkdir()
+        for name in ("a", "b"):
+            body = [f"{name}word{i} {'B-Disease' if i % 5 == 0 else 'O'}" if i % 7 else "" for i in range(1, 400)]
+            (folder / "t" / f"{name}.conll").write_bytes(end.join(body).encode())
+            rows = ["words,sentence_id,labels", *[f"{name}word{i},{i // 7},O" for i in range(300)]]
+            (folder / "c" / f"{name}.csv").write_bytes(end.join(rows).encode())
+        got = []
+        for size in ("64m", "900b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "100b")
+            try:
+                lines, table = iob.read_iob_lines(spark, str(folder / "t")), iob.read_iob_csv(spark, str(folder / "c"))
+                got.append((sorted(map(tuple, lines.collect())), sorted((r.file, r.pos, r.words, r.sentence_id, r.labels) for r in table.collect())))
+                parts = spark.read.text(str(folder / "t")).rdd.getNumPartitions()
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert parts > 4 and got[0] == got[1]
+        assert [r[2] for r in got[0][0] if r[0] == "a.conll"] == [i - 1 for i in range(1, 400) if i % 7]
+        assert [(p, w) for f, p, w, *_ in got[0][1] if f == "b.csv"] == [(i, f"bword{i}") for i in range(300)]
+
+
+def test_escapes_that_name_no_character_reject_their_line(spark):
+    text = ['<s> <p> "\\uD83D\\uDE00 \\U0001F600 \\\\uD83D" .', '<s> <p> "\\uD83D" .', '<s> <p> "\\uDE00\\uD83D" .', '<s> <p> "\\U00110000" .', '<s> <p> "x"^^<t\\uD800> .', '<s\\u0041> <p> <o> .']
+    got = T.parse_ntriples(spark.createDataFrame([(t, "f") for t in text], "value string, src string")).collect()
+    assert [r.ok for r in got] == [True, False, False, False, False, True]
+    assert got[0].o == "\U0001F600 \U0001F600 \\uD83D" and got[5].s == "sA"

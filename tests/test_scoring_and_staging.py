@@ -1,5 +1,7 @@
 """Scorecard thresholds, batch rules of the staging tables, and the registry."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,8 +99,61 @@ def test_edits_of_one_batch_see_each_other(spark):
     r = spark.createDataFrame([], "pending_entity_id int, entity_text string, entity_type string")
     e = spark.createDataFrame([(1, "z", None, None, None), (2, "z", None, None, None), (3, "a", "x", None, None)], p.schema)
     got, _, conflicts = S.apply_edits(p, r, e)
-    assert sorted((x.id, x.text) for x in got.collect()) == [(1, "z"), (2, "b"), (3, "c")]
-    assert sorted(x.id for x in conflicts.collect()) == [2, 3]
+    assert sorted((x.id, x.text, x.entity_type) for x in got.collect()) == [(1, "z", "x"), (2, "b", "x"), (3, "a", "x")]
+    assert sorted(x.id for x in conflicts.collect()) == [2]
+
+
+def one_by_one(pending, reviews, edits):
+    """The edits as a loop over rows."""
+    pending, reviews, rejected = {i: [t, k] for i, t, k in pending}, [list(r) for r in reviews], set()
+    same = lambda a, b: None not in (*a, *b) and list(a) == list(b)
+    for i, text, kind in sorted(edits):
+        if i not in pending:
+            continue
+        pair = [text if text is not None else pending[i][0], kind if kind is not None else pending[i][1]]
+        if text is not None or kind is not None:
+            if any(j != i and same(p, pair) for j, p in pending.items()) or any(j is not None and j != i and same((t, k), pair) for j, t, k in reviews):
+                rejected.add(i)
+                continue
+        pending[i] = pair
+        for r in reviews:
+            if r[0] == i:
+                r[1], r[2] = text if text is not None else r[1], kind if kind is not None else r[2]
+    return pending, reviews, rejected
+
+
+def test_edits_are_those_of_a_loop(spark):
+    rng = random.Random(12)
+    pick = lambda: rng.choice([*"abcdefgh", None])
+    pending, reviews, edits = [], [], []
+    for block in range(25):  # apart by their texts, so that each is a case of its own
+        base, tag = block * 100, f"{block}-"
+        name = lambda t: None if t is None else tag + t
+        ids = list(range(base, base + 12))
+        pairs = rng.sample([(a, k) for a in "abcdefgh" for k in "xy"], 12)
+        pending += [(i, name(t) if rng.random() > 0.05 else None, k) for i, (t, k) in zip(ids, pairs)]
+        reviews += [(rng.choice([*ids, None]), name(pick()), rng.choice("xy")) for _ in range(rng.randrange(4))]
+        edits += [(i, name(pick()), rng.choice(["x", "y", None])) for i in rng.sample([*ids, base + 50], 9)]
+    pending += [(9000 + i, f"chain {i}", "x") for i in range(8)] + [(9100, "p", "x"), (9101, "q", "x")]
+    edits += [(9000 + i, f"chain {i - 1}", None) for i in range(8)] + [(9100, "q", None), (9101, "p", None)]  # a chain and a cycle
+    p = spark.createDataFrame([(*r, None, "pending") for r in pending], "id int, text string, entity_type string, normalized_text string, status string")
+    r = spark.createDataFrame(reviews, "pending_entity_id int, entity_text string, entity_type string")
+    e = spark.createDataFrame([(*x, None, None) for x in edits], p.schema)
+    want_pending, want_reviews, rejected = one_by_one(pending, reviews, edits)
+    got, got_reviews, conflicts = S.apply_edits(p, r, e)
+    assert {x.id: [x.text, x.entity_type] for x in got.collect()} == want_pending
+    assert sorted(map(tuple, got_reviews.collect()), key=repr) == sorted(map(tuple, want_reviews), key=repr)
+    assert {x.id for x in conflicts.collect()} == rejected and len(rejected) > 20
+
+
+def test_an_approval_keeps_its_link_and_type_together(spark):
+    p = spark.createDataFrame([(1, "a", "disease", None), (2, "b", "disease", None)], "id int, text string, entity_type string, normalized_text string")
+    r = spark.createDataFrame([], "pending_entity_id int")
+    chosen = [(1, "http://x/A", "zMatch"), (1, "http://x/B", "aMatch"), (2, None, "aMatch"), (2, "http://x/C", "exactMatch")]
+    made, left, _ = W.approve_entities(p, r, spark.createDataFrame(chosen, "id int, link_to_uri string, link_type string"), 5)
+    links = {(x.p, x.o) for x in made.filter("o like 'http://x/%'").collect()}
+    name = lambda t: spark.range(1).select(W.link_predicate(F.lit(t))).first()[0]
+    assert links == {(name("zMatch"), "http://x/A"), (name("exactMatch"), "http://x/C")} and not left.count()
 
 
 def test_bulk_review_outcomes(spark):

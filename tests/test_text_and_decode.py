@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +237,15 @@ def test_iob_sample_round_trip(spark):
     back = C.iob_to_entities(spark.createDataFrame([(r.doc_id, r.pos, r.token, r.label) for r in tagged],
                                                    "doc_id bigint, pos int, words string, labels string"), ["doc_id"]).orderBy("entity_no").collect()
     assert [(r.text, r.entity_type) for r in back] == [("diabetes mellitus", "Disease"), ("insulin", "Substance")]
+
+
+def test_deep_and_broken_answers():
+    """Neither nesting nor many broken objects end or slow down the choice."""
+    deep = "{" + '"a":{' * 100_000
+    assert C._choose(deep + "}" * 100_001) == deep + "}" * 100_001
+    broken = "{bad} " * 40_000
+    start = time.perf_counter()
+    assert C._choose(broken + '{"entities": []}') == '{"entities": []}'
+    assert C._choose(broken) == "{bad}" and C._choose("{bad} {open") == "{bad}"
+    assert C._choose('x } {"b": {c} } {"relations": 1}') == '{"relations": 1}'
+    assert time.perf_counter() - start < 20
