@@ -89,6 +89,9 @@ def parse_ntriples(lines: DataFrame, text: str = "value", src: Column | None = N
     literal = F.col("d").startswith('"')
     tail = F.when(literal, F.expr("substring(d, length(d) - position('\"', reverse(d)) + 2)"))
     held = held.withColumns({"body": F.when(literal, F.substring("d", F.lit(2), close - 2)), "tail": tail})
+    # Generated, so that the terms below are built from finished columns and not from the pattern's expression again.
+    held = held.select(F.explode(F.array(F.struct("a", "b", "c", "d", "body", "tail", "ok", "src", "line"))).alias("x")).select("x.*")
+    literal = F.col("d").startswith('"')
     bare = lambda x: F.regexp_replace(x, "^<|>$", "")
     held = held.withColumns({
         "s": _plain(bare(F.col("a"))),
