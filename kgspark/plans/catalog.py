@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kgspark.plans import decode_queries, graph_queries, link_queries, review_queries, scalar_queries, staging_queries, text_queries
+from kgspark.plans import decode_queries, graph_queries, link_queries, link_sql, review_queries, scalar_queries, staging_queries, text_queries
 
 MODULES = [graph_queries, scalar_queries, link_queries, text_queries, decode_queries, staging_queries, review_queries]
 
@@ -18,4 +18,4 @@ def _merged(name: str) -> dict:
 
 
 QUERIES = _merged("QUERIES")
-ORACLES = _merged("ORACLES")
+ORACLES = {**_merged("ORACLES"), **link_sql.ORACLES}
