@@ -42,7 +42,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {"": b""}
 
@@ -59,6 +59,10 @@ class WordIds:
         core = word[: len(word) - len(mark)]
         return core.lower() if core and max(core) < "\u0250" else core, mark
 
+    def _parts(self, word: str) -> tuple[str, str]:
+        """A word that holds a token added to the vocabulary stays whole: the library finds it before any other rule."""
+        return (word, "") if any(token in word for token in self.special) else self._core(word)
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, followed by END_ID."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -69,7 +73,7 @@ class WordIds:
                 self.known = {"": b""}
             if len(self.cores) > REMEMBERED_CORES:
                 self.cores = {"": b""}
-            halves = [self._core(words[i]) for i in missing]
+            halves = [self._parts(words[i]) for i in missing]
             new = list({half for both in halves for half in both if half not in self.cores})
             for half, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.cores[half] = np.array(code.ids, "<u4").tobytes()
