@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -424,7 +426,44 @@ def slice_texts(spans: DataFrame, texts: DataFrame, key: str = "doc_id") -> Data
     return rows.select("r.x.*", F.col("r.t").alias("text"))
 
 
-BUCKET = 64  # characters per bucket of the overlap join
+BLOCK = 1 << 16  # characters that are swept at once; a longer document is several blocks
+
+
+def _sweep(fields: list[str]):
+    """Adds to each token the first span by (start, ord) that it overlaps.
+
+    Rows come by block, spans at their start and tokens at their end; spans at the place where a token ends come
+    after it. Spans wait in a heap; those that end before a token starts are done with, unless a later
+    token starts earlier, which is then compared with all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heap, done, last = None, [], [], None
+        for batch in batches:
+            place = zip(*(batch.column(c).to_pylist() for c in ("_key", "_block", "_token", "_start", "_end", "_ord", "_type")))
+            kept, found = [], []
+            for i, (key, block, is_token, start, end, order, kind) in enumerate(place):
+                if (key, block) != at:
+                    at, heap, done, last = (key, block), [], [], None
+                if not is_token:
+                    heapq.heappush(heap, (start, order, end, kind))
+                    continue
+                kept.append(i)
+                best = None
+                if start is not None and end is not None:
+                    if last is not None and start < last:
+                        best = min((x for x in (*done, *heap) if x[2] > start), default=None)
+                    else:
+                        last = start
+                        while heap and heap[0][2] <= start:
+                            done.append(heapq.heappop(heap))
+                        best = heap[0] if heap else None
+                found.append(best)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            best = [pa.array([None if x is None else x[k] for x in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in fields), *best], names=[*fields, "_es", "_eo", "_ee", "_kind"])
+
+    return run
 
 
 def tag_iob(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -432,21 +471,32 @@ def tag_iob(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> Data
 
     ``tokens(key, pos, sentence_id, start, end, prev_end, token)``, where ``prev_end`` is the end
     of the token before (null at first); ``entities(key, ord, start, end, entity_type)``.
-    Spans meet tokens through position buckets, so a document's tokens and
-    entities are not all paired with each other.
+    Tokens and spans are sorted together by document, block and place and merged in one sweep: one exchange for both.
+    Only tokens that cross a block's end are in two blocks, and only those are reduced again.
     """
-    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / BUCKET), F.floor((F.greatest(a + 1, b) - 1) / BUCKET)))
-    e = entities.filter(F.col("start").isNotNull()).select(
-        key, F.col("start").alias("es"), F.col("end").alias("ee"), "ord", format_iob_type(F.col("entity_type")).alias("type"),
-        buckets(F.col("start"), F.col("end")).alias("bucket"),
-    )
-    t = tokens.select(key, "pos", "start", "end", "prev_end", buckets(F.col("start"), F.col("end")).alias("bucket"))
-    pairs = t.join(e, [key, "bucket"]).filter((F.col("start") < F.col("ee")) & (F.col("end") > F.col("es")))
-    inside = (F.col("start") >= F.col("es")) & (F.col("end") <= F.col("ee"))
-    opens = F.when(inside, F.coalesce(F.col("prev_end") <= F.col("es"), F.lit(True))).otherwise(F.col("start") <= F.col("es"))
-    tag = F.concat(F.when(opens, F.lit("B-")).otherwise(F.lit("I-")), F.col("type"))
-    best = pairs.groupBy(key, "pos").agg(F.min_by(tag, F.struct("es", "ord")).alias("label"))
-    return tokens.join(best, [key, "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    blocks = lambda a, b: F.sequence(F.floor(a / BLOCK), F.floor((F.greatest(a + 1, b) - 1) / BLOCK))
+    fields = tokens.columns
+    none = F.array(F.lit(-1).cast("bigint"))  # a token without a place is in a block without spans
+    t = tokens.withColumns({
+        "_blocks": F.coalesce(blocks(F.col("start"), F.col("end")), none), "_key": F.col(key).cast("string"), "_token": F.lit(True),
+        "_start": F.col("start").cast("bigint"), "_end": F.col("end").cast("bigint")})
+    t = t.withColumns({"_parts": F.size("_blocks"), "_at": F.col("_end"), "_ord": F.lit(None).cast("bigint"), "_type": F.lit(None).cast("string")})
+    e = entities.filter("start IS NOT NULL AND end IS NOT NULL").select(
+        F.col(key).cast("string").alias("_key"), F.col("start").cast("bigint").alias("_start"), F.col("end").cast("bigint").alias("_end"),
+        F.col("ord").cast("bigint").alias("_ord"), format_iob_type(F.col("entity_type")).alias("_type"),
+        blocks(F.col("start"), F.col("end")).alias("_blocks"), F.lit(False).alias("_token"), F.col("start").cast("bigint").alias("_at"))
+    both = t.unionByName(e, allowMissingColumns=True).withColumn("_block", F.explode("_blocks")).drop("_blocks")
+    both = both.repartition("_key", "_block").sortWithinPartitions("_key", "_block", F.asc_nulls_first("_at"), F.desc("_token"))
+    schema = StructType([*tokens.schema.fields, both.schema["_parts"], *[StructField(c, LongType()) for c in ("_es", "_eo", "_ee")], StructField("_kind", StringType())])
+    swept = both.mapInArrow(_sweep([*fields, "_parts"]), schema)
+    crossing = swept.filter("_parts > 1")
+    first = F.min_by(F.struct("_es", "_eo", "_ee", "_kind"), F.struct(F.col("_es").isNull().alias("none"), "_es", "_eo"))
+    again = crossing.groupBy(*fields).agg(first.alias("x")).select(*fields, "x.*")
+    rows = swept.filter("_parts = 1").drop("_parts").unionByName(again)
+    inside = (F.col("start") >= F.col("_es")) & (F.col("end") <= F.col("_ee"))
+    opens = F.when(inside, F.coalesce(F.col("prev_end") <= F.col("_es"), F.lit(True))).otherwise(F.col("start") <= F.col("_es"))
+    tag = F.concat(F.when(opens, F.lit("B-")).otherwise(F.lit("I-")), F.col("_kind"))
+    return rows.withColumn("label", F.coalesce(F.when(F.col("_es").isNotNull(), tag), F.lit("O"))).select(*fields, "label")
 
 
 def iob_to_entities(tokens: DataFrame, keys: list[str]) -> DataFrame:
