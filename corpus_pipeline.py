@@ -3,11 +3,15 @@
 Every stage but the last returns the columns of documents. Toxicity drops documents that score its threshold or more;
 exact dedup keeps the row with the smallest doc_id of equal texts; the n-gram Jaccard join keeps the smallest doc_id
 of each component; the secret scan keeps every document and masks the secrets in its text; packing returns the pieces
-and their places. n_chars of a masked text is its new length.
+and their places. n_chars of a masked text is its new length. Other columns than the ones that a stage reads go through
+it under names of the pipeline's own, so that none can clash with a name inside an operator.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +23,34 @@ from kgspark.llm.common import checkpoint, stored, table
 ORACLE_SQL = None
 
 
+#: The columns that stages read or write; all others only pass through.
+READ = ("doc_id", "text", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def apart(stage: Stage) -> Stage:
+    """A stage that keeps all columns, run with its other columns renamed, and given back under their names."""
+
+    @wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        renamed = docs.toDF(*[c if c in READ else f"__passed_{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, renamed, sf_dir).toDF(*docs.columns)
+
+    return run_apart
+
+
+@apart
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
+@apart
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_rows(docs).select(*docs.columns)
 
 
+@apart
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard.marked_components(docs)
     dropped = checkpoint(classes.where("not doc_id <=> component_id").select("doc_id", "mark").distinct())
@@ -35,6 +58,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return docs.alias("d").join(dropped.alias("x"), same, "left_anti").select(*docs.columns)
 
 
+@apart
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     masked = secrets.redacted(secrets.scan(docs).withColumn("__found", F.size("spans") > 0))
     if "n_chars" in docs.columns:
@@ -43,7 +67,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
