@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -63,6 +64,23 @@ def test_near_copies_go_by_id_and_text(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, third), (1, one), (7, other)])
 
 
+def test_columns_with_names_of_the_operators_pass_through(spark, tmp_path):
+    names = ["digest", "spans", "score", "mark", "kept", "node", "component_id", "__text", "__found", "ids", "size", "first", "key", "lang"]
+    corpus(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").drop("lang", "source")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "best-fit packing":
+            assert out.count() > 0
+            continue
+        out.write.parquet(str(tmp_path / "kept" / name))
+        docs = spark.read.parquet(str(tmp_path / "kept" / name))
+        assert docs.columns == ["doc_id", "text", "n_chars", *names]
+        same = [F.col(f"`{n}`").eqNullSafe(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string"))) for n in names]
+        assert docs.where(~F.forall(F.array(*same), lambda x: x)).count() == 0
+
+
 def test_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
