@@ -249,37 +249,3 @@ def test_deep_and_broken_answers():
     assert C._choose(broken) == "{bad}" and C._choose("{bad} {open") == "{bad}"
     assert C._choose('x } {"b": {c} } {"relations": 1}') == '{"relations": 1}'
     assert time.perf_counter() - start < 20
-
-
-def test_tags_equal_all_pairs_in_any_blocks(spark, monkeypatch):
-    rng = random.Random(21)
-    tokens, spans = [], []
-    for doc in range(4):
-        at = 0
-        for pos in range(60):
-            at += rng.choice([0, 1, 2])
-            size = rng.choice([0, 1, 3, 9, 30])
-            start = max(0, at - rng.choice([0, 0, 0, 5]))  # some tokens overlap or step back
-            tokens.append((doc, pos, start, start + size, None if pos == 0 else at, f"t{pos}"))
-            at += size
-        tokens.append((doc, 60, None, None, None, "lost"))
-        spans += [(doc, i, (s := rng.randrange(300)), s + rng.choice([0, 2, 10, 70]), rng.choice(["disease", "organ", "odd"])) for i in range(25)]
-    spans += [(9, 0, 1, 5, "disease"), (0, 99, None, 4, "disease")]
-    t = spark.createDataFrame(tokens, "doc_id bigint, pos int, start int, end int, prev_end int, token string")
-    e = spark.createDataFrame(spans, "doc_id bigint, ord int, start int, end int, entity_type string")
-    names = {r.entity_type: r.n for r in e.select("entity_type", C.format_iob_type(F.col("entity_type")).alias("n")).distinct().collect()}
-
-    def label(doc, start, end, before):
-        if start is None:
-            return "O"
-        hits = sorted((s, o, x, k) for d, o, s, x, k in spans if d == doc and s is not None and start < x and end > s)
-        if not hits:
-            return "O"
-        s, _, x, k = hits[0]
-        opens = (before is None or before <= s) if start >= s and end <= x else start <= s
-        return ("B-" if opens else "I-") + names[k]
-
-    want = sorted((d, p, label(d, s, x, b)) for d, p, s, x, b, _ in tokens)
-    for block in (C.BLOCK, 16, 3):
-        monkeypatch.setattr(C, "BLOCK", block)
-        assert sorted((r.doc_id, r.pos, r.label) for r in C.tag_iob(t, e).collect()) == want
