@@ -116,17 +116,20 @@ def matching(rows: DataFrame, listing: Listing) -> DataFrame:
     return rows
 
 
+def listing_order(listing: Listing, sortable: list[str]) -> list[Column]:
+    """The sort key of a listing; ties are ordered by id."""
+    if listing.sort_by not in sortable:
+        return [F.col("created_at").desc()]
+    c = F.col(listing.sort_by)
+    return [c.desc_nulls_last() if listing.descending else c.asc_nulls_first()]
+
+
 def list_page(rows: DataFrame, listing: Listing, sortable: list[str]) -> DataFrame:
     """One page; ties are ordered by id. The plan keeps only offset + page rows per task."""
     if not 1 <= listing.page_size <= MAX_PAGE:
         raise ValueError(f"page_size must be 1..{MAX_PAGE}")
-    if listing.sort_by in sortable:
-        c = F.col(listing.sort_by)
-        order = c.desc_nulls_last() if listing.descending else c.asc_nulls_first()
-    else:
-        order = F.col("created_at").desc()
     return (
-        matching(rows, listing).orderBy(order, "id")
+        matching(rows, listing).orderBy(*listing_order(listing, sortable), "id")
         .offset((listing.page - 1) * listing.page_size).limit(listing.page_size)
     )
 

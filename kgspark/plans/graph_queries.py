@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from kgspark.functions import labels as L
 from kgspark.operators import graph as G
-from kgspark.sources import bindings, fixtures as X, triples as T
+from kgspark.sources import bindings, fixtures as X, triples as T, turtle
 from kgspark.vocab import BASE, CANONICAL_KG_TYPES, LABEL_PREDICATES, RDF_TYPE, RDFS_LABEL, RELATIONS, TYPES
 
 LOCATED, TREATS, AFFECTS = RELATIONS + "located_in", RELATIONS + "treats", RELATIONS + "affects"
@@ -27,6 +27,28 @@ def scan_triples(spark, d):
     return good.select("s", "p", "o", "o_kind", "g", "src").dropDuplicates(["s", "p", "o", "g", "src"])
 
 
+def turtle_lines(spark, d):
+    """Triples as Turtle, a file per source in 16 splits: prefixes, then one statement per subject with a line per triple."""
+    t = triples(spark, d).withColumn("start", F.pmod(F.xxhash64("s"), F.lit(16)))
+    short = lambda c: F.when(F.col(c).rlike(f"^{RELATIONS}[a-z_]+$"), F.concat(F.lit("rel:"), F.substring_index(c, "/", -1))).when(
+        F.col(c) == RDF_TYPE, F.lit("a")).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
+    text = F.concat(F.lit('"""'), F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"""'))
+    obj = F.when(F.col("o_kind") == "literal", text).otherwise(short("o"))
+    subject = Window.partitionBy("src", "start", "s").orderBy("p", "o", "g")
+    t = t.withColumns({"first": F.row_number().over(subject) == 1, "last": F.lead("p").over(subject).isNull()})
+    value = F.concat(F.when(F.col("first"), F.concat(F.lit("<"), "s", F.lit("> "))).otherwise("  "), short("p"), F.lit(" "), obj,
+                     F.when(F.col("last"), F.lit(" .")).otherwise(" ;"))
+    row = F.row_number().over(Window.partitionBy("src", "start").orderBy("s", "p", "o", "g"))
+    body = t.select(F.col("src").alias("file"), "start", row.cast("long").alias("row"), value.alias("value"))
+    head = body.select("file").distinct().selectExpr("file", "-1L AS start", "0L AS row", f"'@prefix rel: <{RELATIONS}> .' AS value")
+    return head.unionByName(body)
+
+
+def scan_turtle(spark, d):
+    """Triples go out as Turtle files and are parsed back into a set."""
+    return turtle.parse_turtle(turtle_lines(spark, d))[0].select("s", "p", "o", "o_kind", "src")
+
+
 def skip_disabled(spark, d):
     t = triples(spark, d)
     off = t.filter(F.col("p") == LOCATED).select("src").distinct()
@@ -143,6 +165,7 @@ def values_in(spark, d):
 
 QUERIES = {
     "scan_triples": scan_triples,
+    "scan_turtle": scan_turtle,
     "skip_disabled_files": skip_disabled,
     "toggle_disabled": toggled,
     "append_new_triples": append_new,
@@ -178,6 +201,7 @@ _line = ("'<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'uri' THEN '<' ||
 _csv_o = "CASE WHEN o_kind = 'literal' THEN o || ', \"' || src || '\"' ELSE o END"
 
 ORACLES = {
+    "scan_turtle": CTE("SELECT DISTINCT s, p, o, o_kind, src FROM triples"),
     "scan_triples": CTE("SELECT DISTINCT s, p, o, o_kind, g, src FROM triples"),
     "skip_disabled_files": CTE(
         f"SELECT src, p, count(*) AS n FROM triples WHERE src NOT IN (SELECT src FROM triples WHERE p = '{LOCATED}') GROUP BY src, p"),

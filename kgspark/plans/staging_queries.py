@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from kgspark.operators import growth as W, staging as S
+from kgspark.operators.pages import PageIndex
 from kgspark.plans import sqlkit as Q
 from kgspark.sources import fixtures as X
 from kgspark.vocab import (
@@ -66,6 +69,35 @@ def listing(spark, d):
     return page("newest", NEWEST).unionByName(page("score", BY_SCORE))
 
 
+DEEP = S.Listing(sort_by="similarity_score", descending=True, page_size=50)
+DEEP_REVIEWS = S.Listing(sort_by="overall_score", page_size=50)
+DEEP_TABLES = {"pending_entities": DEEP, "entity_reviews": DEEP_REVIEWS}
+
+
+def deep_pages(spark, d):
+    """The page in the middle and the last one of two whole listings, each by its counted ranges."""
+    out = None
+    for name, q in DEEP_TABLES.items():
+        index = PageIndex(getattr(X, name)(spark, d), q, S.SORTABLE[name])
+        last = max(1, -(-index.total() // q.page_size))
+        for number in {(last + 1) // 2, last}:
+            page = index.page(number).select(F.lit(name).alias("listing"), F.lit(number).cast("long").alias("page"), "id")
+            out = page if out is None else out.unionByName(page)
+    return out
+
+
+def pages_after(spark, d):
+    """The page that follows the third one, found by its last row and not by number."""
+    out = None
+    for name, q in DEEP_TABLES.items():
+        rows, sortable = getattr(X, name)(spark, d), S.SORTABLE[name]
+        seen = S.list_page(rows, replace(q, page=3), sortable).select(q.sort_by, "id").collect()  # one page
+        page = S.list_after(rows, q, sortable, *seen[-1]) if seen else rows.limit(0)
+        page = page.select(F.lit(name).alias("listing"), "id")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 def listing_total(spark, d):
     p = X.pending_entities(spark, d)
     r = staged_relations(spark, d)
@@ -181,6 +213,8 @@ QUERIES = {
     "list_pending": listing,
     "list_pending_relations": relation_listing,
     "list_pending_total": listing_total,
+    "list_deep_pages": deep_pages,
+    "list_after": pages_after,
     "reviewed_only": lambda s, d: S.reviewed_only(X.pending_entities(s, d), X.entity_reviews(s, d), "pending_entity_id").select("id", "text"),
     "not_reviewed": lambda s, d: S.not_reviewed(X.pending_entities(s, d), X.entity_reviews(s, d), "pending_entity_id").select("id", "text"),
     "pending_stats": lambda s, d: S.pending_stats(X.pending_entities(s, d)),
@@ -206,6 +240,8 @@ _relpage = f"SELECT * FROM staged WHERE relation_type = 'treats' AND {_rel('BOLT
 _rev = lambda link, t: f"SELECT {link} AS id, arg_max(review_status, id) AS review_status, arg_max(overall_score, id) AS overall_score FROM {t} WHERE {link} IS NOT NULL GROUP BY {link}"
 _class = f"coalesce({Q.mapping(CLASS_NAMES)}[lower(entity_type)], 'Finding')"
 _mint = lambda x, kind="''": f"'{BASE}' || regexp_replace({x}, '[^a-zA-Z0-9]', '_', 'g') || '_{STAMP}_' || substr(md5({kind} || '|' || {x}), 1, 12)"
+_ordered = " UNION ALL ".join(f"SELECT '{t}' AS listing, id, row_number() OVER (ORDER BY {by}, id) - 1 AS r, count(*) OVER () AS n FROM {t}" for t, by in [
+    ("pending_entities", "similarity_score DESC NULLS LAST"), ("entity_reviews", "overall_score ASC NULLS FIRST")])
 _ids = "SELECT id FROM pending_entities WHERE kind IN ('click', 'error', 'purchase')"
 
 
@@ -245,6 +281,9 @@ SELECT page, id, text, status, review_status, overall_score FROM (SELECT * FROM
 UNION ALL SELECT * FROM (SELECT 'score', id, text, status FROM pending_entities ORDER BY similarity_score DESC NULLS LAST, id LIMIT 100) b) p LEFT JOIN rev USING (id)"""),
     "list_pending_relations": X.with_tables("relations", "relation_reviews", extra={**STAGED, "rev": _rev("pending_relation_id", "relation_reviews")}, body=f"""
 SELECT id, source_entity, target_entity, status, review_status, overall_score FROM (SELECT * FROM ({_relpage}) r ORDER BY target_entity, id LIMIT 60) p LEFT JOIN rev USING (id)"""),
+    "list_deep_pages": X.with_tables("pending_entities", "entity_reviews", body=f"""SELECT listing, r // 50 + 1 AS page, id FROM ({_ordered}) x
+WHERE r // 50 IN ((n - 1) // 50, (n - 1) // 50 // 2)"""),
+    "list_after": X.with_tables("pending_entities", "entity_reviews", body=f"SELECT listing, id FROM ({_ordered}) x WHERE r // 50 = 3"),
     "list_pending_total": X.with_tables("pending_entities", "relations", extra=STAGED, body=f"""SELECT 'newest' AS page, count(*) AS total FROM ({_newest}) n
 UNION ALL SELECT 'score', count(*) FROM pending_entities UNION ALL SELECT 'relations', count(*) FROM ({_relpage}) r"""),
     "reviewed_only": X.with_tables("pending_entities", "entity_reviews", body="SELECT id, text FROM pending_entities WHERE id IN (SELECT pending_entity_id FROM entity_reviews)"),

@@ -27,10 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame) -> DataFrame:
+def written(rows: DataFrame, *partitions: str) -> DataFrame:
     """Rows as a table of their own in the shared folder: work that many rounds build on is not done again."""
     path = shared_folder(rows.sparkSession)
-    rows.write.parquet(path)
+    rows.write.partitionBy(*partitions).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
