@@ -55,7 +55,8 @@ class WordIds:
         end = len(word)
         while end and not word[end - 1].isalnum():
             end -= 1
-        mark = word[end:] if end and word[end:].isascii() else ""
+        # The small form of one letter, \u0130, ends in a combining mark, which would be one token with the marks after it.
+        mark = word[end:] if end and word[end:].isascii() and word[end - 1].lower().isalnum() else ""
         core = word[: len(word) - len(mark)]
         return core.lower() if core and max(core) < "\u0250" else core, mark
 
