@@ -54,7 +54,7 @@ def test_bpe_columns_and_nulls(spark, library):
 
 def test_word_ids_equal_the_library():
     library, made = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
-    special = ["a<|endoftext|>b, <|startoftext|>", "<|endoftext|><|endoftext|>.", "x <|ENDOFTEXT|> <|endoftext |>", "<|startoftext|>\u0301Ab", " <|endoftext|> "]
+    special = ["a<|endoftext|>b, <|startoftext|>", "<|endoftext|><|endoftext|>.", "x <|ENDOFTEXT|> <|endoftext |>", "<|startoftext|>\u0301Ab", " <|endoftext|> ", "\u0130. \u0130\u0130! a\u0130, \u0130"]
     for text in texts(500, 40) + special:
         assert ids(made.ids(text)) == [*library.encode(text, add_special_tokens=False).ids, 0]
 
