@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from kgspark.functions.labels import canonical_kg_type, local_name
 from kgspark.functions.text import strip
+from kgspark.operators.streams import in_pieces
 from kgspark.vocab import BLANK_CHARACTERS, ENTITY_TYPES
 
 # Sizes in characters.
@@ -37,8 +37,9 @@ def clean_text(c: Column) -> Column:
     return strip(F.array_join(lines, "\n"))
 
 
-def _spans(*fields):
-    return ArrayType(StructType([StructField(n, t) for n, t in fields]))
+def _by_document(docs: DataFrame, columns: str) -> StructType:
+    """The document's id and the columns."""
+    return StructType([docs.schema["doc_id"], *StructType.fromDDL(columns).fields])
 
 
 def _cut_points(text: str, size: int, overlap: int):
@@ -58,35 +59,34 @@ def _cut_points(text: str, size: int, overlap: int):
 
 
 def _chunker(size: int, overlap: int):
-    @F.pandas_udf(_spans(("start_char", IntegerType()), ("end_char", IntegerType()), ("text", StringType())))
-    def long_chunks(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            cut = ((a, b, text[a:b].strip()) for a, b in _cut_points(text, size, overlap))
-            return [{"start_char": a, "end_char": b, "text": t} for a, b, t in cut if t]
-
-        return texts.map(one)
-
-    return long_chunks
+    def chunks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, found = [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            n = len(text)
+            cut = [(0, n, text)] if n <= size else [(a, b, text[a:b].strip()) for a, b in _cut_points(text, size, overlap)]
+            kept = [c for c in cut if c[2]]
+            at += [i] * len(kept)
+            found += [(j, *c) for j, c in enumerate(kept)]
+        number, start, end, body = zip(*found) if found else ((),) * 4
+        as_int = lambda x: pa.array(x, type=pa.int32())
+        return pa.record_batch({
+            "doc_id": batch.column("doc_id").take(pa.array(at, type=pa.int32())), "chunk_index": as_int(number),
+            "start_char": as_int(start), "end_char": as_int(end), "text": pa.array(body, type=batch.column("text").type)})
+
+    return in_pieces(chunks)
 
 
 def chunk_text(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, limit: int = CHUNK_LIMIT) -> DataFrame:
     """``doc_id, chunk_index, start_char, end_char, text`` of ``docs(doc_id, text)``.
 
-    Texts that fit in one chunk never leave the JVM. For longer ones the next start depends on
-    the previous end, so a vectorised function walks each text once. Every document is
+    A text that fits in one chunk is that chunk, as it is. For longer ones the next start depends on
+    the previous end, so each text is walked once, a few texts at a time. Every document is
     chunked where it lies: no shuffle. Offsets belong to the slice before it is stripped.
     """
     if not (1 <= size <= limit and 0 <= overlap < size):
         raise ValueError(f"size must be 1..{limit}, overlap smaller than it")
-    n = F.length("text")
-    whole = F.array(F.struct(F.lit(0).alias("start_char"), n.alias("end_char"), F.col("text").alias("text")))
-    parts = F.when(n <= size, whole).otherwise(_chunker(size, overlap)(F.when(n > size, F.col("text"))))
-    return (
-        docs.filter(n > 0).select("doc_id", F.posexplode(parts).alias("chunk_index", "c"))
-        .select("doc_id", "chunk_index", "c.start_char", "c.end_char", "c.text")
-    )
+    return docs.filter(F.length("text") > 0).select("doc_id", "text").mapInArrow(_chunker(size, overlap), _by_document(
+        docs, "chunk_index int, start_char int, end_char int, text string"))
 
 
 def document_info(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -137,21 +137,26 @@ def split_oversize(chunks: DataFrame, limit: int, min_piece: int = MIN_PIECE, ti
     return chunks.select(*keys, F.posexplode(parts).alias("piece", "text"))
 
 
-@F.pandas_udf(_spans(("start", IntegerType()), ("end", IntegerType()), ("text", StringType())))
-def sentence_spans(texts: pd.Series) -> pd.Series:
-    """Sentences without surrounding blanks, with their offsets in the text."""
+def _sentences(text: str | None) -> list[tuple[int, int, int, str]]:
+    """Number, start, end and text of each sentence, without surrounding blanks."""
+    out, at = [], 0
+    for piece in SENTENCE_GAP.split(text or ""):
+        bare = piece.strip()
+        if bare:
+            at = text.index(bare, at)
+            out.append((len(out), at, at + len(bare), bare))
+            at += len(bare)
+    return out
 
-    def one(text):
-        out, at = [], 0
-        for piece in SENTENCE_GAP.split(text or ""):
-            bare = piece.strip()
-            if bare:
-                at = text.index(bare, at)
-                out.append({"start": at, "end": at + len(bare), "text": bare})
-                at += len(bare)
-        return out
 
-    return texts.map(one)
+def _sentence_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = [_sentences(text) for text in batch.column("text").to_pylist()]
+    at = [i for i, rows in enumerate(found) for _ in rows]
+    number, start, end, body = zip(*[r for rows in found for r in rows]) if at else ((),) * 4
+    as_int = lambda x: pa.array(x, type=pa.int32())
+    return pa.record_batch({
+        "doc_id": batch.column("doc_id").take(pa.array(at, type=pa.int32())), "sentence_id": as_int(number),
+        "start": as_int(start), "end": as_int(end), "text": pa.array(body, type=batch.column("text").type)})
 
 
 # The blank characters for Arrow's regular expressions.
@@ -192,19 +197,15 @@ def _token_table(batch: pa.RecordBatch) -> pa.RecordBatch:
         "start": as_int(end - length), "end": as_int(end), "gap": gap, "token": token})
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (_token_table(b) for b in batches if b.num_rows)
-
-
 def split_sentences(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(sentence_spans("text")).alias("sentence_id", "x"))
-    return rows.select("doc_id", "sentence_id", "x.start", "x.end", "x.text")
+    return docs.select("doc_id", "text").mapInArrow(in_pieces(_sentence_rows), _by_document(
+        docs, "sentence_id int, start int, end int, text string"))
 
 
 def tokenize_spans(docs: DataFrame) -> DataFrame:
     """Tokens of ``docs(doc_id, text)`` with sentence number, offsets, and the text between a token
     and the one before. No shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_tokenize, TOKEN_COLUMNS)
+    return docs.select("doc_id", "text").mapInArrow(in_pieces(_token_table), TOKEN_COLUMNS)
 
 
 def truncate_context(c: Column, limit: int = CONTEXT_LIMIT) -> Column:
