@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from kgspark.operators.streams import pieces
+
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; bytes that are not UTF-8 are dropped."""
@@ -17,9 +21,12 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(StringType())
-def _without_bad_bytes(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: None if c is None else bytes(c).decode("utf-8", "ignore"))
+@F.arrow_udf(StringType())
+def _without_bad_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for contents in batches:
+        for start, n in pieces(contents):
+            part = contents.slice(start, n).to_pylist()
+            yield pa.array([None if c is None else c.decode("utf-8", "ignore") for c in part], type=pa.string())
 
 
 def decoded(content: Column) -> Column:
