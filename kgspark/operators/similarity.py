@@ -321,25 +321,34 @@ def _bound_tiles(threshold: float, counted: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come in order of label block; its labels come first and are held while its query blocks pass.
-        at = held = None
+        at = held = asked = None
+        labels, queries = [], []
+
+        def passed() -> Iterator[pd.DataFrame]:
+            """The query block that is read has passed the held label block, if there is one."""
+            nonlocal held, labels, queries
+            if labels and queries:
+                held, labels = _Held(labels), []
+            if held and queries:
+                for asking, found, bound, n in held.reached(queries, at[1], threshold):
+                    if counted:
+                        yield pd.DataFrame({"bounded": [n], "kept": [len(asking)]})
+                    elif len(found):
+                        yield pd.DataFrame({"q": asking, "norm": found, "bound": bound})
+            queries = []
+
         for batch in batches:
-            qs, norms, bounds, tried = [], [], [], 0
-            for place, labels, queries in zip(zip(batch["part"], batch["item"], batch["block"], batch["share"]), batch["labels"], batch["queries"]):
-                if labels is not None:
-                    at, held = place, _Held(list(labels))
-                    continue
-                if place != at:  # a block number that no label has
-                    continue
-                for asking, found, bound, n in held.reached(list(queries), place[1], threshold):
-                    tried += n
-                    if len(found):
-                        qs += asking
-                        norms.append(found)
-                        bounds.append(bound)
-            if counted:
-                yield pd.DataFrame({"bounded": [tried], "kept": [len(qs)]})
-            elif qs:
-                yield pd.DataFrame({"q": qs, "norm": np.concatenate(norms), "bound": np.concatenate(bounds)})
+            for *place, turn, text, pos, head in zip(*[batch[c] for c in ("part", "item", "block", "share", "turn", "text", "pos", "head")]):
+                if place != at or turn != asked:
+                    yield from passed()
+                    if place != at:
+                        at, held, labels = place, None, []
+                    asked = turn
+                if turn < 0:
+                    labels.append({"norm": text, "pos": pos, "head": head})
+                else:
+                    queries.append({"q": text, "head": head})
+        yield from passed()
 
     return run
 
@@ -396,7 +405,7 @@ def ask_texts(queries: DataFrame, ranks: dict, threshold: float) -> DataFrame:
 
 
 def _tiles(filed: DataFrame, asked: DataFrame, threshold: float, tasks: int | None) -> DataFrame:
-    """Label blocks, and behind each the query blocks that share its class of lengths and its item."""
+    """Rows of label blocks, and behind each those of the query blocks that share its class of lengths and its item."""
     spark = filed.sparkSession
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     key = ["part", "item"]
@@ -406,16 +415,12 @@ def _tiles(filed: DataFrame, asked: DataFrame, threshold: float, tasks: int | No
     keys = keys.withColumn("shares", F.ceil(F.col("query_blocks") / BLOCKS_PER_TASK))
     block = lambda rows, text, n: F.pmod(F.xxhash64(text), F.col(n))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    packed = filed.join(keys, key).withColumn("block", block(filed, "norm", "label_blocks")).groupBy(*key, "block", "shares").agg(
-        F.collect_list(F.struct("norm", "pos", "head")).alias("labels"))
-    sent = packed.select(*key, "block", every("shares").alias("share"), F.lit(-1).cast("bigint").alias("turn"), "labels",
-                         F.lit(None).cast("array<struct<q:string,head:array<bigint>>>").alias("queries"))
-    passing = asked.join(keys, key).withColumn("turn", block(asked, "q", "query_blocks")).groupBy(*key, "turn", "label_blocks", "shares").agg(
-        F.collect_list(F.struct("q", "head")).alias("queries"))
-    passing = passing.select(*key, every("label_blocks").alias("block"), F.pmod("turn", "shares").alias("share"), "turn",
-                             F.lit(None).cast("array<struct<norm:string,pos:int,head:array<bigint>>>").alias("labels"), "queries")
+    sent = filed.join(keys, key).withColumn("block", block(filed, "norm", "label_blocks")).select(
+        *key, "block", every("shares").alias("share"), F.lit(-1).cast("bigint").alias("turn"), F.col("norm").alias("text"), "pos", "head")
+    passing = asked.join(keys, key).withColumn("turn", block(asked, "q", "query_blocks")).select(
+        *key, every("label_blocks").alias("block"), F.pmod("turn", "shares").alias("share"), "turn", F.col("q").alias("text"), "pos", "head")
     place = [*key, "block", "share"]
-    return sent.unionByName(passing).repartition(tasks, *place).sortWithinPartitions(*place, "turn").select(*place, "labels", "queries")
+    return sent.unionByName(passing).repartition(tasks, *place).sortWithinPartitions(*place, "turn").select(*place, "turn", "text", "pos", "head")
 
 
 def _indexed(queries: DataFrame, labels: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
