@@ -82,3 +82,11 @@ def test_tiles_hold_a_row_per_text(spark):
     assert "array<struct" not in tiles.schema.simpleString() and "collect_" not in plan(tiles)
     got = tiles.mapInPandas(S._bound_tiles(0.7, False), "q string, norm string, bound double").collect()
     assert {(r["q"], r["norm"]) for r in got} == {("abcd", "abcd"), ("abcd", "abce"), ("xyzz", "xyz")}
+
+
+def test_sides_that_are_dealt_by_the_key_already(spark):
+    texts = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("ab cd").alias("body")).repartition("doc_id")
+    spans = spark.range(2000).select((F.col("id") % 200).alias("doc_id"), (F.col("id") % 3).alias("start")).groupBy("doc_id", "start").count()
+    spans = spans.groupBy("doc_id").agg(F.min("start").cast("int").alias("start")).withColumn("end", F.lit(5))
+    out = C.slice_texts(spans, texts)
+    assert out.count() == 200 and {r["text"] for r in out.collect()} == {"ab cd"}
