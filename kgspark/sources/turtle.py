@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kgspark.sources.triples import KEY, TERM
-from kgspark.sources.versions import written
+from kgspark.sources.versions import dealt, written
 
 #: Statements that are parsed one after another by one task, with the prefixes of their file.
 BLOCK = 5000
+#: Triples that are compared in one task, about; a triple takes some 500 bytes there.
+DEALT = 200_000
 RDF, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
 QUOTES = ["", '"""', "'''"]
 _STOP = r"\s<>\"'()\[\];,#^@"
@@ -377,7 +379,7 @@ def parse_turtle(lines: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataF
     ordered = lambda rows: rows.repartition("file", "start").sortWithinPartitions("file", "start", "row")
     splits = ordered(lines).mapInPandas(_summed, "file string, start long, begin int, end int, ends long")
     begins = splits.groupBy("file").applyInPandas(_joined, "file string, start long, begin int, number long")
-    pieces = ordered(lines.join(begins, ["file", "start"])).mapInPandas(
+    pieces = ordered(lines.join(F.broadcast(begins), ["file", "start"])).mapInPandas(
         _cut, "file string, statement long, start long, row long, piece int, text string, quote string")
     blanks = F.substring(F.md5(F.col("file").cast("binary")), 1, 8)
     pieces = written(pieces.withColumns({"block": F.expr(f"statement div {int(block)}"), "blanks": blanks}))
@@ -394,9 +396,11 @@ def parse_turtle(lines: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataF
         "file", "-1L AS statement", "-1L AS start", "-1L AS row", "-1 AS piece", "'' AS text", "'' AS quote", "block", "'' AS blanks", "known")
     parsed = written(stream(pieces.withColumn("known", F.lit(None).cast(kinds)).unionByName(first), False))
     errors = parsed.filter("error IS NOT NULL").select("src", "statement", "error")
-    good = parsed.filter("error IS NULL").join(errors.select("src").distinct(), "src", "left_anti")
+    # Dealt first: a stored split holds far more rows than its bytes tell, and would be one map of distinct rows.
+    key = [*KEY, *TERM, "src"]
+    good = dealt(parsed, key, DEALT).filter("error IS NULL").join(F.broadcast(errors.select("src").distinct()), "src", "left_anti")
     good = good.select("s", "p", "o", "o_kind", F.lit(None).cast("string").alias("g"), "src", *TERM)
-    return good.dropDuplicates([*KEY, *TERM, "src"]), errors
+    return good.dropDuplicates(key), errors
 
 
 def scan_turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,15 @@ def written(rows: DataFrame, *partitions: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows by key in as many partitions as have about ``most`` rows each, from the number of rows (file footers).
+
+    Adaptive execution joins partitions by their compressed bytes before they are read. Rows that become hundreds of
+    rows behind the shuffle would then meet by the gigabyte in one task; a stated number of partitions stays.
+    """
+    return rows.repartition(max(rows.count() // most + 1, min(rows.sparkSession.sparkContext.defaultParallelism, 8)), *keys)
+
+
 class Versions:
     """Tables of one folder, read and written by version."""
 
