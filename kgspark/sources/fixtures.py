@@ -31,6 +31,8 @@ DOCUMENTS_DEALT, ROWS_DEALT = 2048, 100_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents":
+        return dealt(rows, [FACTS[name]], DOCUMENTS_DEALT)
     return rows.repartition(FACTS[name]) if name in FACTS else rows
 
 

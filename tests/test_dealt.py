@@ -38,6 +38,13 @@ def test_triples_are_dealt_by_the_number_of_rows(spark, tables, monkeypatch):
     assert {r["start"] for r in Q.turtle_lines(spark, tables).select("start").distinct().collect()} == set(range(-1, 36))
 
 
+def test_documents_are_dealt_by_their_number(spark, tables, monkeypatch):
+    monkeypatch.setattr(X, "DOCUMENTS_DEALT", 500)
+    documents = X.table(spark, tables, "documents")
+    assert documents.count() == 20000
+    assert most_in_a_task(documents) < 2000
+
+
 def test_turtle_triples_meet_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(turtle, "DEALT", 100)
     lines = spark.range(3000).selectExpr("'f' AS file", "id div 500 AS start", "id AS row", "concat('<s', id % 1500, '> <p> <o> .') AS value")
