@@ -32,7 +32,7 @@ def turtle_lines(spark, d):
 
     As real files have splits of one size, there are more than 16 of a source where the tables are longer.
     """
-    splits = 16 + max(X.table(spark, d, n).count() for n in ("part", "customer", "lineitem")) // X.ROWS_DEALT
+    splits = 16 + max(spark.read.parquet(f"{d}/{n}.parquet").count() for n in ("part", "customer", "lineitem")) // X.ROWS_DEALT
     t = triples(spark, d).withColumn("start", F.pmod(F.xxhash64("s"), F.lit(splits))).repartition(splits, "src", "start")
     short = lambda c: F.when(F.col(c).rlike(f"^{RELATIONS}[a-z_]+$"), F.concat(F.lit("rel:"), F.substring_index(c, "/", -1))).when(
         F.col(c) == RDF_TYPE, F.lit("a")).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
