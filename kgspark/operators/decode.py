@@ -7,9 +7,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from kgspark.functions.labels import format_iob_type, infer_entity_type
 from kgspark.functions.text import strip
@@ -407,29 +410,104 @@ def slice_texts(spans: DataFrame, texts: DataFrame, key: str = "doc_id") -> Data
     return beside(spans, texts, [key], [], late, _cut, {"text": StringType()})
 
 
-BUCKET = 64  # characters per bucket of the overlap join
+def _runs(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Where runs of rows with equal values (null is a value) begin, and the number of rows."""
+    new = np.zeros(batch.num_rows + 1, dtype=bool)
+    new[[0, -1]] = True
+    for name in names:
+        codes = pc.fill_null(batch.column(name).dictionary_encode().indices, -1).to_numpy()
+        new[1:-1] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that cut no run of equal values; only the last run of a batch is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(n)[-1].as_py() != batch.column(n)[0].as_py() for n in names):
+            yield pa.concat_batches(held)
+            held = []
+        last = int(_runs(batch, names)[-2])
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+class _Spans:
+    """Entity spans of one document in order of (start, ord)."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        both = pa.concat_batches(parts)
+        number = lambda name: both.column(name).cast(pa.int64()).to_numpy()
+        self.start, self.end, self.types = number("start"), number("end"), both.column("_type")
+        self.reach = np.maximum.accumulate(self.end)
+
+    def labels(self, start: pa.Array, end: pa.Array, prev_end: pa.Array, place: np.ndarray) -> pa.Array:
+        """Labels of tokens in order of ``place`` (-1: none); tokens of one place get the label of the one whose span is first."""
+        number = lambda x: pc.fill_null(x, 0).cast(pa.int64()).to_numpy()
+        s, e, p, first = number(start), number(end), number(prev_end), prev_end.is_null().to_numpy(zero_copy_only=False)
+        known = pc.and_(start.is_valid(), end.is_valid()).to_numpy(zero_copy_only=False) & (place >= 0)
+        # The first span that reaches beyond the token's start; if it begins behind the token, so do all after it.
+        i = np.searchsorted(self.reach, s, side="right")
+        i[~known] = len(self.start)
+        i[np.append(self.start, np.iinfo(np.int64).max)[i] >= e] = len(self.start)
+        edges = np.flatnonzero(np.diff(place, prepend=place[:1] - 1))
+        if len(edges) < len(place):
+            group = np.repeat(np.arange(len(edges)), np.diff(edges, append=len(place)))
+            order = np.lexsort((i, group))  # of each place the token with the first span
+            chosen = order[edges][group]
+            s, e, p, first, i = s[chosen], e[chosen], p[chosen], first[chosen], i[chosen]
+        none = i == len(self.start)
+        i = np.where(none, 0, i)
+        es, ee = self.start[i], self.end[i]
+        opens = np.where((s >= es) & (e <= ee), first | (p <= es), s <= es)
+        side = pc.if_else(pa.array(opens), "B-", "I-")
+        return pc.fill_null(pc.binary_join_element_wise(side, self.types.take(pa.array(i, mask=none)), ""), "O")
 
 
 def tag_iob(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
     """Token labels from entity spans: the first entity by start that a token overlaps.
 
-    ``tokens(key, pos, sentence_id, start, end, prev_end, token)``, where ``prev_end`` is the end
+    ``tokens(key, pos, start, end, prev_end)``, where ``prev_end`` is the end
     of the token before (null at first); ``entities(key, ord, start, end, entity_type)``.
-    Spans meet tokens through position buckets, so a document's tokens and
-    entities are not all paired with each other.
+    A document's spans come before its tokens, in one shuffle of both. Sorted spans have a running maximum of
+    their ends, in which the first span that a token overlaps is found by bisection. Only the spans of one document are held.
     """
-    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / BUCKET), F.floor((F.greatest(a + 1, b) - 1) / BUCKET)))
-    e = entities.filter(F.col("start").isNotNull()).select(
-        key, F.col("start").alias("es"), F.col("end").alias("ee"), "ord", format_iob_type(F.col("entity_type")).alias("type"),
-        buckets(F.col("start"), F.col("end")).alias("bucket"),
-    )
-    t = tokens.select(key, "pos", "start", "end", "prev_end", buckets(F.col("start"), F.col("end")).alias("bucket"))
-    pairs = t.join(e, [key, "bucket"]).filter((F.col("start") < F.col("ee")) & (F.col("end") > F.col("es")))
-    inside = (F.col("start") >= F.col("es")) & (F.col("end") <= F.col("ee"))
-    opens = F.when(inside, F.coalesce(F.col("prev_end") <= F.col("es"), F.lit(True))).otherwise(F.col("start") <= F.col("es"))
-    tag = F.concat(F.when(opens, F.lit("B-")).otherwise(F.lit("I-")), F.col("type"))
-    best = pairs.groupBy(key, "pos").agg(F.min_by(tag, F.struct("es", "ord")).alias("label"))
-    return tokens.join(best, [key, "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    wanted = tokens.select(key, "pos", *[c for c in tokens.columns if c not in (key, "pos")])
+    spans = entities.where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select(
+        key, F.col("start").alias("pos"), "start", "end", F.col("ord").alias("_ord"), format_iob_type(F.col("entity_type")).alias("_type"))
+    both = wanted.withColumn("_turn", F.lit(1).cast("byte")).unionByName(spans.withColumn("_turn", F.lit(0).cast("byte")), allowMissingColumns=True)
+    rows = both.repartition(F.xxhash64(key)).sortWithinPartitions(key, "_turn", "pos", "_ord")
+    names = wanted.columns
+    out = StructType([*wanted.schema.fields, StructField("label", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held = None, [], None
+        for batch in _whole_runs(batches, [key, "_turn", "pos"]):
+            turn = batch.column("_turn").to_numpy()
+            place = pc.fill_null(batch.column("pos").dictionary_encode().indices, -1).to_numpy()
+            edges, made = _runs(batch, [key, "_turn"]), []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                some, document = batch.slice(a, b - a), batch.column(key)[a].as_py()
+                if document != at:
+                    at, parts, held = document, [], None
+                if not turn[a]:
+                    parts.append(some.select(["start", "end", "_type"]))
+                    continue
+                if parts:
+                    held, parts = _Spans(parts), []
+                made.append(held.labels(*(some.column(c) for c in ("start", "end", "prev_end")), place[a:b])
+                            if held else pa.array(["O"] * (b - a), type=pa.string()))
+            if made:
+                kept = batch.select(names).filter(pa.array(turn == 1))
+                yield pa.record_batch({**dict(zip(names, kept.columns)), "label": pa.concat_arrays(made)})
+
+    return rows.mapInArrow(run, out)
 
 
 def iob_to_entities(tokens: DataFrame, keys: list[str]) -> DataFrame:

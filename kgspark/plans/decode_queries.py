@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from kgspark.functions.labels import label_id
 from kgspark.operators import decode as C, prepare as P
@@ -101,8 +101,8 @@ def bio_text(spark, d):
 
 
 def tag(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    toks = P.tokenize_spans(X.docs(spark, d)).withColumn("prev_end", F.lag("end").over(w))
+    before = F.when(F.col("pos") > 0, F.col("start") - F.length("gap"))
+    toks = P.tokenize_spans(X.docs(spark, d)).select("doc_id", "pos", "start", "end", before.alias("prev_end"))
     return C.tag_iob(toks, X.token_entities(spark, d)).select("doc_id", "pos", "label")
 
 

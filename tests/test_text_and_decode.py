@@ -249,3 +249,44 @@ def test_deep_and_broken_answers():
     assert C._choose(broken) == "{bad}" and C._choose("{bad} {open") == "{bad}"
     assert C._choose('x } {"b": {c} } {"relations": 1}') == '{"relations": 1}'
     assert time.perf_counter() - start < 20
+
+
+def brute_tags(tokens, spans):
+    """The label of each (key, pos): of the token whose first span by (start, ord) is first."""
+    found = {}
+    for key, pos, start, end, prev_end in tokens:
+        for k, order, es, ee, kind in spans:
+            if None in (key, pos, start, end, es, ee) or k != key or not (start < ee and end > es):
+                continue
+            opens = prev_end is None or prev_end <= es if start >= es and end <= ee else start <= es
+            found[key, pos] = min(found.get((key, pos), (es + 1, 0, "")), (es, order, ("B-" if opens else "I-") + kind.capitalize()))
+    return [(key, pos, found.get((key, pos), (0, 0, "O"))[2]) for key, pos, *_ in tokens]
+
+
+def test_tag_iob_meets_spans_in_one_shuffle(spark):
+    rng = random.Random(11)
+    tokens, spans = [], []
+    for d in range(30):
+        at, before = 0, None
+        for pos in range(rng.choice([1, 5, 60])):
+            start = at + rng.randint(0, 3)
+            at = start + rng.randint(0, 9)
+            tokens.append((d, pos, start, at, before))
+            before = at
+        for order in range(rng.choice([0, 3, 40])):
+            es = rng.randint(0, max(at, 1))
+            spans.append((d, order, es, es + rng.randint(-1, 30), rng.choice(["aa", "bb", "cc"])))
+    d = 40  # several tokens of one place, a missing place, key or end; a span around all, one without end
+    tokens += [(d, 0, 5, 9, None), (d, 0, 1, 4, None), (d, 0, None, 3, None), (d, None, 1, 4, None), (None, 0, 1, 4, None), (d, 1, 9, None, 4)]
+    spans += [(d, 1, 6, 8, "aa"), (d, 0, 2, 3, "bb"), (d, 2, 2, None, "cc"), (None, 0, 0, 9, "aa")]
+    t = spark.createDataFrame(tokens, "doc_id bigint, pos int, start int, end int, prev_end int")
+    e = spark.createDataFrame(spans, "doc_id bigint, ord bigint, start int, end int, entity_type string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # documents and places go over several batches
+    try:
+        tagged = C.tag_iob(t, e)
+        got = sorted(map(tuple, tagged.select("doc_id", "pos", "label").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(brute_tags(tokens, spans), key=str)
+    plan = tagged._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
