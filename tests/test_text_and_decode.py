@@ -290,3 +290,12 @@ def test_tag_iob_meets_spans_in_one_shuffle(spark):
     assert got == sorted(brute_tags(tokens, spans), key=str)
     plan = tagged._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_decode_bio_shuffles_no_text(spark):
+    rows = [(1, 0, 0, 3, "", "abc", "B-x", False), (1, 1, 4, 7, " ", "def", "I-x", False)]
+    preds = spark.createDataFrame(rows, "doc_id bigint, idx int, start int, end int, gap string, token string, label string, is_subword boolean")
+    spans = C.decode_bio(preds)
+    assert [tuple(r) for r in spans.collect()] == [(1, 0, 7, "x", 0.9)]
+    sent = spans._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert not re.search(r"\b(gap|token|label)#", sent)
