@@ -12,7 +12,7 @@ from kgspark.operators.incremental import MatchStore
 from kgspark.plans import sqlkit as Q
 from kgspark.schemas import MATCHES
 from kgspark.sources import fixtures as X
-from kgspark.sources.versions import shared_folder
+from kgspark.sources.versions import shared_folder, written
 from kgspark.vocab import ALLOWED_KG_TYPES, CANONICAL_KG_TYPES, LABEL_PREDICATES, RDF_TYPE, RDFS_LABEL
 
 INTERNAL = ["region", "nation", "part", "classes"]
@@ -78,6 +78,7 @@ def contains_typed(spark, d):
 def _maintained(spark, hays, early, withdrawn):
     """An index of all of hays, after batches: those of one kind, all, some withdrawn, one batch repeated, some back."""
     index = GramIndex(spark, shared_folder(spark))
+    hays = written(hays)  # every batch reads them
     index.apply("early", hays.filter(early).select("hay"))
     index.apply("all", hays.select("hay"))
     index.apply("withdrawn", hays.limit(0).select("hay"), hays.filter(withdrawn).select("hay"))
@@ -104,9 +105,10 @@ def label_search_indexed(spark, d):
 
 
 def search_containment_indexed(spark, d):
-    hays = labels(spark, d).select(F.col("norm").alias("hay"), "type_names").distinct()
+    names = written(labels(spark, d))  # filed, looked up in the queries and joined to the pairs
+    hays = names.select(F.col("norm").alias("hay"), "type_names").distinct()
     index = _maintained(spark, hays, "array_contains(type_names, 'Finding')", "length(hay) % 3 = 0")
-    r = K.search_containment(_queries(spark, d), labels(spark, d), index)
+    r = K.search_containment(_queries(spark, d), names, index)
     return r.select("query", "uri", "kg_label", "type", round_to("score", 6).alias("score"))
 
 

@@ -4,6 +4,7 @@ import random
 
 from kgspark.operators import similarity
 from kgspark.operators.grams import GramIndex
+from kgspark.plans import link_queries
 
 
 def test_index_follows_its_batches(spark, tmp_path, monkeypatch):
@@ -33,3 +34,17 @@ def test_index_follows_its_batches(spark, tmp_path, monkeypatch):
     assert index.store.live("postings") == [5] and index.apply("f", df(one[:3]))
     live |= set(one[:3])
     check()
+
+
+def test_batches_of_an_index_read_stored_texts(spark, monkeypatch):
+    stored, apply = [], GramIndex.apply
+
+    def noted(self, batch, added, removed=None):
+        stored.append(bool((added if removed is None else removed).inputFiles()))
+        return apply(self, batch, added, removed)
+
+    monkeypatch.setattr(GramIndex, "apply", noted)
+    hays = spark.createDataFrame([("ring bolt", 1), ("bolt", 2), ("nut", 2)], "hay string, kind int")
+    index = link_queries._maintained(spark, hays, "kind = 1", "hay like '%bolt%'")
+    assert stored == [True] * 5
+    assert sorted(r.hay for r in index.hays().collect()) == ["bolt", "nut", "ring bolt"]
