@@ -450,7 +450,8 @@ class _Spans:
         self.reach = np.maximum.accumulate(self.end)
 
     def labels(self, start: pa.Array, end: pa.Array, prev_end: pa.Array, place: np.ndarray) -> pa.Array:
-        """Labels of tokens in order of ``place`` (-1: none); tokens of one place get the label of the one whose span is first."""
+        """Labels of tokens in order of ``place`` (-1: none); tokens of one place get the label of the one whose
+        span is first, and of those the one with the largest ``prev_end``."""
         number = lambda x: pc.fill_null(x, 0).cast(pa.int64()).to_numpy()
         s, e, p, first = number(start), number(end), number(prev_end), prev_end.is_null().to_numpy(zero_copy_only=False)
         known = pc.and_(start.is_valid(), end.is_valid()).to_numpy(zero_copy_only=False) & (place >= 0)
@@ -461,7 +462,7 @@ class _Spans:
         edges = np.flatnonzero(np.diff(place, prepend=place[:1] - 1))
         if len(edges) < len(place):
             group = np.repeat(np.arange(len(edges)), np.diff(edges, append=len(place)))
-            order = np.lexsort((i, group))  # of each place the token with the first span
+            order = np.lexsort((np.where(first, np.iinfo(np.int64).max, -p), i, group))  # the first span, then the last token before
             chosen = order[edges][group]
             s, e, p, first, i = s[chosen], e[chosen], p[chosen], first[chosen], i[chosen]
         none = i == len(self.start)
@@ -475,8 +476,8 @@ class _Spans:
 def tag_iob(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
     """Token labels from entity spans: the first entity by start that a token overlaps.
 
-    ``tokens(key, pos, start, end, prev_end)``, where ``prev_end`` is the end
-    of the token before (null at first); ``entities(key, ord, start, end, entity_type)``.
+    ``tokens(key, pos, start, end[, prev_end])``, where ``prev_end`` is the end of the token before (null at first; without
+    the column it is taken from the tokens in order of ``pos``); ``entities(key, ord, start, end, entity_type)``.
     A document's spans come before its tokens, in one shuffle of both. Sorted spans have a running maximum of
     their ends, in which the first span that a token overlaps is found by bisection. Only the spans of one document are held.
     """
@@ -485,11 +486,11 @@ def tag_iob(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> Data
         key, F.col("start").alias("pos"), "start", "end", F.col("ord").alias("_ord"), format_iob_type(F.col("entity_type")).alias("_type"))
     both = wanted.withColumn("_turn", F.lit(1).cast("byte")).unionByName(spans.withColumn("_turn", F.lit(0).cast("byte")), allowMissingColumns=True)
     rows = both.repartition(F.xxhash64(key)).sortWithinPartitions(key, "_turn", "pos", "_ord")
-    names = wanted.columns
+    names, given = wanted.columns, "prev_end" in wanted.columns
     out = StructType([*wanted.schema.fields, StructField("label", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, held = None, [], None
+        at, parts, held, before = None, [], None, None
         for batch in _whole_runs(batches, [key, "_turn", "pos"]):
             turn = batch.column("_turn").to_numpy()
             place = pc.fill_null(batch.column("pos").dictionary_encode().indices, -1).to_numpy()
@@ -497,13 +498,16 @@ def tag_iob(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> Data
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 some, document = batch.slice(a, b - a), batch.column(key)[a].as_py()
                 if document != at:
-                    at, parts, held = document, [], None
+                    at, parts, held, before = document, [], None, None
                 if not turn[a]:
                     parts.append(some.select(["start", "end", "_type"]))
                     continue
                 if parts:
                     held, parts = _Spans(parts), []
-                made.append(held.labels(*(some.column(c) for c in ("start", "end", "prev_end")), place[a:b])
+                ends = some.column("end")
+                prev_end = some.column("prev_end") if given else pa.concat_arrays([pa.array([before], type=ends.type), ends[:-1]])
+                before = ends[-1].as_py()
+                made.append(held.labels(some.column("start"), ends, prev_end, place[a:b])
                             if held else pa.array(["O"] * (b - a), type=pa.string()))
             if made:
                 kept = batch.select(names).filter(pa.array(turn == 1))

@@ -101,8 +101,7 @@ def bio_text(spark, d):
 
 
 def tag(spark, d):
-    before = F.when(F.col("pos") > 0, F.col("start") - F.length("gap"))
-    toks = P.tokenize_spans(X.docs(spark, d)).select("doc_id", "pos", "start", "end", before.alias("prev_end"))
+    toks = P.tokenize_spans(X.docs(spark, d)).select("doc_id", "pos", "start", "end")
     return C.tag_iob(toks, X.token_entities(spark, d)).select("doc_id", "pos", "label")
 
 

@@ -288,6 +288,9 @@ def test_tag_iob_meets_spans_in_one_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted(brute_tags(tokens, spans), key=str)
+    whole = t.where("doc_id < 40")  # without the column, the end of the token before comes from the tokens
+    alone = C.tag_iob(whole.drop("prev_end"), e).select("doc_id", "pos", "label")
+    assert sorted(map(tuple, alone.collect())) == sorted(x for x in map(tuple, got) if x[0] is not None and x[0] < 40)
     plan = tagged._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
 
