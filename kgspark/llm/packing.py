@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,11 @@ CAPACITY = 2048
 END_ID = 0
 #: Parts that the pieces of one length are ranked in.
 SALTS = 256
-#: Words as they stand, and words without marks and case, whose ids a task remembers; emptied when full, which
-#: changes no result.
-REMEMBERED, REMEMBERED_CORES = 100_000, 300_000
+#: Words and their parts whose ids a task remembers; when full, the half that came first stays, which is mostly the
+#: frequent ones, and changes no result.
+REMEMBERED = 500_000
+#: Marks that are cut off from the end of a word.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 class WordIds:
@@ -44,7 +48,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
@@ -52,13 +55,12 @@ class WordIds:
 
         Only plain marks are cut off and only Latin letters lowered, where neither meets Unicode composition.
         """
-        end = len(word)
-        while end and not word[end - 1].isalnum():
-            end -= 1
+        core = word.rstrip(MARKS)
         # The small form of one letter, \u0130, ends in a combining mark, which would be one token with the marks after it.
-        mark = word[end:] if end and word[end:].isascii() and word[end - 1].lower().isalnum() else ""
-        core = word[: len(word) - len(mark)]
-        return core.lower() if core and max(core) < "\u0250" else core, mark
+        if not core[-1:].isalnum() or not core[-1].lower().isalnum():
+            core = word
+        mark = word[len(core) :]
+        return core.lower() if core.isascii() or max(core) < "\u0250" else core, mark
 
     def _parts(self, word: str) -> tuple[str, str]:
         """A word that holds a token added to the vocabulary stays whole: the library finds it before any other rule."""
@@ -67,19 +69,19 @@ class WordIds:
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, followed by END_ID."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        codes = list(map(self.known.get, words))
-        missing = [i for i, code in enumerate(codes) if code is None]
-        if missing:
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            if len(self.cores) > REMEMBERED_CORES:
-                self.cores = {"": b""}
-            halves = [self._parts(words[i]) for i in missing]
-            new = list({half for both in halves for half in both if half not in self.cores})
+        known = self.known
+        codes = list(map(known.get, words))
+        if None in codes:
+            if len(known) > REMEMBERED:
+                known = self.known = dict(islice(known.items(), REMEMBERED // 2))
+            missing = [i for i, code in enumerate(codes) if code is None]
+            cut = self._parts if any(token in text for token in self.special) else self._core
+            halves = [cut(words[i]) for i in missing]
+            new = [half for half in {half for both in halves for half in both} if half not in known]
             for half, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.cores[half] = np.array(code.ids, "<u4").tobytes()
+                known[half] = array("I", code.ids).tobytes()
             for i, (core, mark) in zip(missing, halves, strict=True):
-                codes[i] = self.known[words[i]] = self.cores[core] + self.cores[mark] if mark else self.cores[core]
+                codes[i] = known[words[i]] = known[core] + known[mark] if mark else known[core]
         codes.append(END_ID.to_bytes(4, "little"))
         return b"".join(codes)
 

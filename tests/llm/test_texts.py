@@ -52,6 +52,16 @@ def test_bpe_columns_and_nulls(spark, library):
     assert [(r.doc_id, ids(bytes(r.ids)), bytes(r.decoded)) for r in got] == [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows]
 
 
+def test_a_full_word_memory_keeps_what_came_first(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    library, made = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    texts = ["the Frequent, words"] + [f"{'abcdefghij'[i % 10] * (i + 1)} x{i}." for i in range(60)]
+    for text in texts:
+        assert np.frombuffer(made.ids(text), "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert len(made.known) < 40 + 20
+    assert {"the", "Frequent,", "words"} <= made.known.keys()
+
+
 def test_word_ids_equal_the_library():
     library, made = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
     special = ["a<|endoftext|>b, <|startoftext|>", "<|endoftext|><|endoftext|>.", "x <|ENDOFTEXT|> <|endoftext |>", "<|startoftext|>\u0301Ab", " <|endoftext|> ", "\u0130. \u0130\u0130! a\u0130, \u0130"]
