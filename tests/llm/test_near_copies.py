@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from kgspark.llm import components as components_module
 from kgspark.llm import embeddings, exact_dedup, jaccard
 from kgspark.llm.components import components
 
@@ -90,6 +91,28 @@ def test_a_word_longer_than_two_slices_leaves_the_words_around_it(monkeypatch):
     assert [s.tolist() for s in jaccard.Shingler().sets(pa.array(texts))] == whole
 
 
+def test_component_rounds_have_as_many_partitions_as_their_edges_need(spark, monkeypatch):
+    rounds, keep = [], components_module.checkpoint
+
+    def counted(df):
+        rounds.append(kept := keep(df))
+        return kept
+
+    monkeypatch.setattr(components_module, "checkpoint", counted)
+    monkeypatch.setattr(components_module, "EDGES", 100)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("16", "false"), strict=True):
+            spark.conf.set(k, v)
+        edges = [(k, k + 1) for k in range(0, 300, 2)] + [(k, 500) for k in range(0, 300, 2)]
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {x: 0 for x in [*range(300), 500]}
+    assert len(rounds) > 1 and all(r.rdd.getNumPartitions() <= 3 for r in rounds[1:])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
