@@ -39,7 +39,7 @@ def score_candidates(
     a stored index.
     """
     groups = _label_groups(labels, k)
-    heads = groups.groupBy("norm", "sig").agg(F.xxhash64(F.min("uri")).alias("rep"))
+    heads = groups.groupBy("norm", "sig").agg(F.min("uri").alias("rep"))
     pairs = best_pairs(texts.select("q").distinct(), heads, k, threshold, contain, filed=filed, asked=asked)
     found = pairs.join(groups, ["norm", "sig"])
     best = F.min_by(F.struct("label", "score"), F.struct((-F.col("score")).alias("a"), F.col("label").alias("b")))

@@ -14,7 +14,10 @@
    that hold the item early enough (bit-parallel, one machine word per label).
    ``2 * lcs / (l1 + l2)`` bounds both the ratio and the containment score from above. A pair is taken
    under the first item it shares only;
-4. pairs whose bound reaches the threshold are sorted by text and falling bound and scored until the
+4. a text with many such labels in a block scores some with the highest bounds there; what can't come before the k-th
+   best of them (by score, then representative), in the class signature of the label, stays in the block. Near-equal
+   labels by the thousand would otherwise send their square to the next step;
+5. the other pairs whose bound reaches the threshold are sorted by text and falling bound and scored until the
    bound is below the k-th best score of that text and class signature.
 
 Nothing is sampled or cut: a pair is only skipped when k better ones exist or it cannot reach
@@ -25,6 +28,7 @@ their characters tell little and their beginnings are long.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -37,6 +41,8 @@ from pyspark.sql.types import DoubleType
 LABELS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 256
 BLOCKS_PER_TASK = 64  # query blocks that pass one copy of a label block
+BLOCKS_PER_STRIPE = 16  # label blocks that one task passes with these query blocks, so that it knows their best scores so far
+FEW = 64  # labels that a text takes from a block without scoring some of them first
 CELLS = 1 << 17  # pairs that are bounded at once
 WORD = 64
 LONG_LABEL = 200  # from this length on difflib drops characters that are too common
@@ -224,6 +230,27 @@ class _Best:
                 self.floor = min(self.scores.values())
 
 
+def _nulls_first(value) -> tuple:
+    return value is not None, value
+
+
+class _Ranked:
+    """The first k representatives by falling score and then in their order; ``last`` is (score, representative) of the k-th."""
+
+    def __init__(self, k: int):
+        self.k, self.scores, self.last = k, {}, None
+
+    def add(self, rep, score: float) -> None:
+        if score > self.scores.get(rep, -1.0):
+            self.scores[rep] = score
+            if len(self.scores) >= self.k:
+                behind = lambda r: (-self.scores[r], _nulls_first(r))
+                if len(self.scores) > self.k:
+                    del self.scores[max(self.scores, key=behind)]
+                rep = max(self.scores, key=behind)
+                self.last = self.scores[rep], rep
+
+
 LABEL_ROWS = "part int, item bigint, pos int, norm string, head array<bigint>"
 QUERY_ROWS = "part int, item bigint, pos int, q string, head array<bigint>"
 
@@ -286,15 +313,65 @@ class _Held:
         self.pos = np.array([x["pos"] for x in labels], dtype=np.int64)
         self.block = _Block(list(self.norms))
         self.earlier = _padded([x["head"][:x["pos"]] for x in labels], NO_ITEM)
-
-    def reached(self, queries: list, item: int, threshold: float) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, int]]:
-        """For some queries at a time: query and label of the pairs whose bound reaches the threshold and that share
-        no earlier item, their bounds, and how many pairs were bounded."""
+        if labels and "sigs" in labels[0]:
+            # Class signatures by number: those of label i are sig_of[first[i]:first[i + 1]], with their representatives.
+            self.first = np.cumsum([0, *(len(x["sigs"]) for x in labels)])
+            number: dict = {}
+            self.sig_of = np.array([number.setdefault(s, len(number)) for x in labels for s in x["sigs"]])
+            self.sigs, self.rep_of = list(number), [r for x in labels for r in x["reps"]]
+            # Representatives in their order, and the place of each in it.
+            self.reps = sorted(set(self.rep_of), key=_nulls_first)
+            place = {r: i for i, r in enumerate(self.reps)}
+            self.place_of = np.array([place[r] for r in self.rep_of])
+            self.early = np.minimum.reduceat(self.place_of, self.first[:-1]) / (len(self.reps) + 1)  # of a label, below 1
+
+    def possible(self, query: str, found: np.ndarray, bound: np.ndarray, best: dict, k: int, score) -> np.ndarray:
+        """Which of the found labels can be among the best k of the query in one of their signatures.
+
+        ``best`` holds the best of the query by signature so far. Labels with the highest bounds are scored: some in
+        any case, and more while a signature of those that are left has no k-th best.
+        """
+        limits, places = np.full(len(self.sigs), -1.0), np.zeros(len(self.sigs), dtype=np.int64)
+
+        def limit(i: int) -> None:
+            last = best[self.sigs[i]].last
+            if last:
+                limits[i], places[i] = last[0], bisect_right(self.reps, _nulls_first(last[1]), key=_nulls_first) - 1
+
+        for i, sig in enumerate(self.sigs):
+            if sig in best:
+                limit(i)
+        every = np.full(len(self.norms), -2.0)
+        every[found] = bound
+        every = np.repeat(every, np.diff(self.first))
+        at, scored, turn = np.arange(len(found)), np.zeros(len(found), dtype=bool), 0
+        while True:
+            lowest = limits[self.sig_of]
+            ahead = (every > lowest) | ((every + SLACK >= lowest) & (self.place_of <= places[self.sig_of]))
+            at = at[np.logical_or.reduceat(ahead, self.first[:-1])[found[at]]]
+            open_ = np.minimum.reduceat(lowest, self.first[:-1])[found[at]] < 0
+            todo = at[~scored[at] & (open_ | (turn == 0))]
+            if len(at) <= FEW or not len(todo):
+                return at
+            if len(todo) > 4 * k:  # of equal bounds the first representatives, roughly
+                todo = todo[np.argpartition(1e-6 * self.early[found[todo]] - bound[todo], 4 * k)[:4 * k]]
+            for label in found[todo].tolist():
+                value = score(query, self.norms[label])
+                for j in range(self.first[label], self.first[label + 1]):
+                    best.setdefault(self.sigs[self.sig_of[j]], _Ranked(k)).add(self.rep_of[j], value)
+            for i in set(self.sig_of[j] for label in found[todo].tolist() for j in range(self.first[label], self.first[label + 1])):
+                limit(int(i))
+            scored[todo] = True
+            turn += 1
+
+    def reached(self, queries: list, item: int, threshold: float) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, int]]:
+        """For some queries at a time: these, and by query the numbers of query and label of the pairs whose bound reaches the
+        threshold and that share no earlier item, their bounds, and how many pairs were bounded."""
         if item == NO_ITEM:
             for x in queries:
                 bound = self.block.bounds(x["q"])
                 found = np.flatnonzero(bound >= threshold - SLACK)
-                yield [x["q"]] * len(found), self.norms[found], bound[found], len(bound)
+                yield [x["q"]], np.zeros(len(found), dtype=np.int64), found, bound[found], len(bound)
             return
         longest = int(self.block.lengths.max())
         # The beginning of a label of this length, among texts of n characters, ends here.
@@ -313,16 +390,33 @@ class _Held:
                 heads = _padded([x["head"] for x in some], NO_ITEM + 1)
                 again = (self.earlier[found][:, :, None] == heads[asking][:, None, :]).any(axis=(1, 2))
                 asking, found = asking[~again], found[~again]
-            yield [some[i]["q"] for i in asking], self.norms[found], bound[asking, found], bound.size
+            yield [x["q"] for x in some], asking, found, bound[asking, found], bound.size
+
 
+def _bound_tiles(threshold: float, counted: bool, k: int = 0, score=None):
+    """Pairs (q, norm, bound) of the tiles that pass by; or, counted, how many pairs were bounded and kept.
+
+    With k and a score, only those of labels that can be among the best k of the text and a signature; equal scores rank by
+    representative.
+    """
 
-def _bound_tiles(threshold: float, counted: bool):
-    """Pairs (q, norm, bound) of the tiles that pass by; or, counted, how many pairs were bounded and kept."""
+    def kept(held: _Held, texts: list[str], asking: np.ndarray, found: np.ndarray, bound: np.ndarray, best: dict) -> np.ndarray:
+        """Numbers of the pairs that are kept."""
+        if not k or len(found) <= FEW:
+            return np.arange(len(found))
+        edges = np.searchsorted(asking, np.arange(len(texts) + 1))
+        out = []
+        for text, start, end in zip(texts, edges[:-1].tolist(), edges[1:].tolist()):
+            if end - start > FEW:
+                out.append(start + held.possible(text, found[start:end], bound[start:end], best.setdefault(text, {}), k, score))
+            elif end > start:
+                out.append(np.arange(start, end))
+        return np.concatenate(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come in order of label block; its labels come first and are held while its query blocks pass.
         at = held = asked = None
-        labels, queries = [], []
+        labels, queries, best = [], [], {}
 
         def passed() -> Iterator[pd.DataFrame]:
             """The query block that is read has passed the held label block, if there is one."""
@@ -330,22 +424,27 @@ def _bound_tiles(threshold: float, counted: bool):
             if labels and queries:
                 held, labels = _Held(labels), []
             if held and queries:
-                for asking, found, bound, n in held.reached(queries, at[1], threshold):
+                for texts, asking, found, bound, n in held.reached(queries, at[1], threshold):
                     if counted:
                         yield pd.DataFrame({"bounded": [n], "kept": [len(asking)]})
                     elif len(found):
-                        yield pd.DataFrame({"q": asking, "norm": found, "bound": bound})
+                        some = kept(held, texts, asking, found, bound, best)
+                        yield pd.DataFrame({"q": np.array(texts, dtype=object)[asking[some]], "norm": held.norms[found[some]], "bound": bound[some]})
             queries = []
 
         for batch in batches:
-            for *place, turn, text, pos, head in zip(*[batch[c] for c in ("part", "item", "block", "share", "turn", "text", "pos", "head")]):
+            more = [batch[c] for c in ("sigs", "reps")] if k else [[None] * len(batch)] * 2
+            for *place, turn, text, pos, head, sigs, reps in zip(
+                    *[batch[c] for c in ("part", "item", "stripe", "share", "block", "turn", "text", "pos", "head")], *more):
                 if place != at or turn != asked:
                     yield from passed()
                     if place != at:
+                        if at is None or place[:4] != at[:4]:
+                            best = {}
                         at, held, labels = place, None, []
                     asked = turn
                 if turn < 0:
-                    labels.append({"norm": text, "pos": pos, "head": head})
+                    labels.append({"norm": text, "pos": pos, "head": head} | ({"sigs": sigs, "reps": reps} if k else {}))
                 else:
                     queries.append({"q": text, "head": head})
         yield from passed()
@@ -353,9 +452,13 @@ def _bound_tiles(threshold: float, counted: bool):
     return run
 
 
+def _score_of(contain: bool):
+    return link_score if contain else (lambda a, b: 1.0 if a == b else ratio(a, b))
+
+
 def _score_sorted(k: int, threshold: float, contain: bool):
     """Scores the pairs of a text in falling order of bound, as long as one of its signatures needs them."""
-    score = link_score if contain else (lambda a, b: 1.0 if a == b else ratio(a, b))
+    score = _score_of(contain)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, found = None, {}
@@ -404,8 +507,11 @@ def ask_texts(queries: DataFrame, ranks: dict, threshold: float) -> DataFrame:
     return queries.select("q").mapInPandas(_query_rows(ranks, threshold), QUERY_ROWS)
 
 
-def _tiles(filed: DataFrame, asked: DataFrame, threshold: float, tasks: int | None) -> DataFrame:
-    """Rows of label blocks, and behind each those of the query blocks that share its class of lengths and its item."""
+def _tiles(filed: DataFrame, asked: DataFrame, threshold: float, tasks: int | None, groups: DataFrame | None = None) -> DataFrame:
+    """Rows of label blocks, and behind each those of the query blocks that share its class of lengths and its item.
+
+    Labels carry the signatures and representatives of ``groups(norm, sigs, reps)``, if given.
+    """
     spark = filed.sparkSession
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     key = ["part", "item"]
@@ -415,12 +521,16 @@ def _tiles(filed: DataFrame, asked: DataFrame, threshold: float, tasks: int | No
     keys = keys.withColumn("shares", F.ceil(F.col("query_blocks") / BLOCKS_PER_TASK))
     block = lambda rows, text, n: F.pmod(F.xxhash64(text), F.col(n))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    sent = filed.join(keys, key).withColumn("block", block(filed, "norm", "label_blocks")).select(
-        *key, "block", every("shares").alias("share"), F.lit(-1).cast("bigint").alias("turn"), F.col("norm").alias("text"), "pos", "head")
+    carried = ["sigs", "reps"] if groups else []
+    named = filed.join(groups, "norm") if groups else filed
+    sent = named.join(keys, key).withColumn("block", block(filed, "norm", "label_blocks")).select(
+        *key, "block", every("shares").alias("share"), F.lit(-1).cast("bigint").alias("turn"), F.col("norm").alias("text"), "pos", "head", *carried)
     passing = asked.join(keys, key).withColumn("turn", block(asked, "q", "query_blocks")).select(
         *key, every("label_blocks").alias("block"), F.pmod("turn", "shares").alias("share"), "turn", F.col("q").alias("text"), "pos", "head")
-    place = [*key, "block", "share"]
-    return sent.unionByName(passing).repartition(tasks, *place).sortWithinPartitions(*place, "turn").select(*place, "turn", "text", "pos", "head")
+    both = sent.unionByName(passing, allowMissingColumns=True).withColumn("stripe", F.floor(F.col("block") / BLOCKS_PER_STRIPE))
+    place = [*key, "stripe", "share"]
+    return both.repartition(tasks, *place).sortWithinPartitions(*place, "block", "turn").select(
+        *place, "block", "turn", "text", "pos", "head", *carried)
 
 
 def _indexed(queries: DataFrame, labels: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -437,14 +547,16 @@ def best_pairs(
     """Pairs ``q, norm, sig, score`` that hold the best k of every query and signature.
 
     ``queries(q)`` are distinct normalised texts; ``labels(norm, sig, rep)`` are distinct in
-    (norm, sig), where ``rep`` is a number for one entity with that label. ``filed`` and ``asked`` are
-    entries of a stored index for (at least) these labels and these queries.
+    (norm, sig), where ``rep`` is the first entity with that label, in the order in which equal scores rank. ``filed`` and
+    ``asked`` are entries of a stored index for (at least) these labels and these queries.
     """
     groups = labels.groupBy("norm").agg(F.collect_list(F.struct("sig", "rep")).alias("groups"))
     if filed is None or asked is None:
         filed, asked = _indexed(queries, groups, threshold)
-    tiles = _tiles(filed, asked, threshold, tasks)
-    pairs = tiles.mapInPandas(_bound_tiles(threshold, False), "q string, norm string, bound double").join(groups, "norm")
+    named = groups.select("norm", F.col("groups.sig").alias("sigs"), F.col("groups.rep").alias("reps"))
+    tiles = _tiles(filed, asked, threshold, tasks, named)
+    bounded = tiles.mapInPandas(_bound_tiles(threshold, False, k, _score_of(contain)), "q string, norm string, bound double")
+    pairs = bounded.join(groups, "norm")
     ordered = pairs.repartition("q").sortWithinPartitions("q", F.desc("bound"), "norm").select("q", "norm", "bound", "groups")
     return ordered.mapInPandas(_score_sorted(k, threshold, contain), "q string, norm string, sig string, score double")
 

@@ -41,7 +41,7 @@ def _texts(spark, d):
 def candidate_pairs(spark, d):
     """Best text pairs per class signature, before they are tied to entities."""
     lab = labels(spark, d)
-    groups = K._label_groups(lab, 5).groupBy("norm", "sig").agg(F.xxhash64(F.min("uri")).alias("rep"))
+    groups = K._label_groups(lab, 5).groupBy("norm", "sig").agg(F.min("uri").alias("rep"))
     q = _texts(spark, d).select(normalize_text(F.col("text")).alias("q")).distinct()
     pairs = S.best_pairs(q, groups, 5, 0.7)
     best = pairs.groupBy("q", "sig").agg(F.max("score").alias("score"))

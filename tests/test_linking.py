@@ -5,6 +5,7 @@ import re
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgspark import vocab
 from kgspark.operators import dictionary, linking, similarity
@@ -219,3 +220,33 @@ def test_contained_pairs_with_a_needle_in_every_hay(spark):
     needles = ["r", "t", "xt3", "r29", "zz", "r1 text1", "é"]
     got = similarity.contained_pairs(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(h,) for h in hays], "hay string"))
     assert sorted(tuple(r) for r in got.collect()) == sorted((n, h) for n in needles for h in hays if n in h)
+
+
+def test_near_equal_labels_stay_in_their_block(spark, monkeypatch):
+    """Of hundreds of labels that all reach the threshold only those leave a block that can be among the best."""
+    monkeypatch.setattr(similarity, "LABELS_PER_BLOCK", 900)
+    labels = [f"supplier{i:09d}" for i in range(0, 20000, 10)]
+    kinds = lambda i: ["A", "B"] if i % 7 == 0 else ["C"] if i % 1900 == 0 else ["A"]
+    heads = [(x, s, i // 2) for i, x in enumerate(labels) for s in kinds(i)]
+    texts = labels[::100] + ["supplier00000001", "supplier99"]
+    q = spark.createDataFrame([(t,) for t in texts], "q string")
+    rows = spark.createDataFrame(heads, "norm string, sig string, rep bigint")
+    k, threshold = 3, 0.7
+    pairs = similarity.best_pairs(q, rows, k, threshold)
+    got = {(r.q, r.norm, r.sig, round(r.score, 9)) for r in pairs.collect()}
+    for t in texts:
+        for sig in "ABC":
+            scored = [(similarity.link_score(t, x), rep, x) for x, s, rep in heads if s == sig]
+            best = {}
+            for value, rep, _ in scored:
+                best[rep] = max(value, best.get(rep, 0.0))
+            first = sorted(best, key=lambda rep: (-best[rep], rep))[:k]
+            want = {(t, x, sig, round(value, 9)) for value, rep, x in scored if rep in first and value == best[rep] >= threshold}
+            assert want <= got, (t, sig)
+    assert got <= {(t, x, s, round(similarity.link_score(t, x), 9)) for t in texts for x, s, _ in heads}
+    possible = similarity.pair_report(q, rows, threshold).first().kept
+    assert possible > 0.8 * len(texts) * len(labels)
+    groups = rows.where("sig = 'A'").select("norm", F.array("sig").alias("sigs"), F.array("rep").alias("reps"))
+    tiles = similarity._tiles(*similarity._indexed(q, groups, threshold), threshold, 4, groups)
+    left = tiles.mapInPandas(similarity._bound_tiles(threshold, False, k, similarity.link_score), "q string, norm string, bound double").count()
+    assert left < 0.2 * possible
