@@ -416,19 +416,20 @@ def relation_ends(relations: DataFrame, labels: DataFrame) -> DataFrame:
 
 def relation_scorecard(relations: DataFrame, labels: DataFrame | None = None, cfg: RelationConfig = RelationConfig()) -> DataFrame:
     """All five parts (rounded to 3), total, status and advice. Decisions use the unrounded parts."""
-    if labels is not None:
-        relations = relation_ends(relations, labels)
     c = F.col
     graph = labels is not None
     parts = {
         "congruence": relation_congruence(c("source_type"), c("relation_type"), c("target_type"), cfg, graph),
-        "coverage": relation_coverage(c("n_source") if graph else None, c("n_target") if graph else None, cfg),
         "constraint": relation_constraint(c("source_entity"), c("source_type"), c("relation_type"), c("target_entity"),
                                           c("target_type"), c("confidence"), c("context"), cfg),
         "completeness": relation_completeness({n: c(n) for n in (*RelationConfig().required, "confidence", "context")}, cfg),
         "consistency": relation_consistency(c("source"), c("confidence"), cfg),
     }
+    # Ends are linked behind the parts that need none, so that the joins move the parts and not what they are made of.
     scored = relations.withColumns({f"_{n}": p for n, p in parts.items()})
+    if graph:
+        scored = relation_ends(scored, labels)
+    scored = scored.withColumn("_coverage", relation_coverage(c("n_source") if graph else None, c("n_target") if graph else None, cfg))
     scored = scored.withColumn("overall_score", _total({n: c(f"_{n}") for n in PARTS}, cfg.weights))
     scored = scored.withColumn("_d", relation_decision(c("overall_score"), c("_congruence"), c("_constraint"), cfg))
     return scored.withColumns(

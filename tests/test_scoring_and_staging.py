@@ -1,6 +1,7 @@
 """Scorecard thresholds, batch rules of the staging tables, and the registry."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,24 @@ def test_registry():
 def test_flagship_runs(spark):
     row = entry.entry(spark).collect()[0]
     assert row.total == row.exact_matches + row.similar_matches + row.low_matches + row.not_found > 0
+
+
+def test_relation_scores_move_no_contexts_to_the_linked_ends(spark):
+    """The parts that need no graph are made before the joins with the counts of both ends."""
+    cols = "id bigint, source_entity string, source_type string, relation_type string, target_entity string, target_type string, confidence double, context string, source string"
+    rows = [(1, "acute pain", "disease", "treats", "renal scan", "procedure", 0.9, "some text", "llm"),
+            (2, "nix", "disease", "odd", "zz", "procedure", None, None, "both")]
+    relations = spark.createDataFrame(rows, cols)
+    labels = spark.createDataFrame([("u1", "acute pain", "acute pain", ["Disease"]), ("u2", "acute pains", "acute pains", ["Disease"])],
+                                   "uri string, label string, norm string, type_names array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        scored = C.relation_scorecard(relations, labels)
+        assert {r["id"]: r["coverage_score"] for r in scored.collect()} == {1: 0.8, 2: 0.8}
+        slim = scored.select("id", "coverage_score", "congruence_score", "constraint_score", "overall_score")
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", slim._jdf.queryExecution().explainString(mode))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [m for m in moved if "id#" in m and "source_entity#" in m]
+    assert wide and not any("context#" in m or "relation_type#" in m for m in wide)
