@@ -16,7 +16,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from kgspark.functions.labels import format_iob_type, infer_entity_type
 from kgspark.functions.text import strip
-from kgspark.operators.streams import beside, by_body
+from kgspark.operators.streams import beside, by_body, packed, runs_of, unpacked, whole_runs
 from kgspark.vocab import BLANK, IGNORED_LABEL_ID
 
 # Patterns of code fences and of the outermost object in an answer.
@@ -412,34 +412,6 @@ def slice_texts(spans: DataFrame, texts: DataFrame, key: str = "doc_id") -> Data
     return beside(spans, texts, [key], [], late, _cut, {"text": StringType()})
 
 
-def _runs(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    """Where runs of rows with equal values (null is a value) begin, and the number of rows."""
-    new = np.zeros(batch.num_rows + 1, dtype=bool)
-    new[[0, -1]] = True
-    for name in names:
-        codes = pc.fill_null(batch.column(name).dictionary_encode().indices, -1).to_numpy()
-        new[1:-1] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new)
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches that cut no run of equal values; only the last run of a batch is held."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held and any(held[-1].column(n)[-1].as_py() != batch.column(n)[0].as_py() for n in names):
-            yield pa.concat_batches(held)
-            held = []
-        last = int(_runs(batch, names)[-2])
-        if last:
-            yield pa.concat_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.concat_batches(held)
-
-
 class _Spans:
     """Entity spans of one document in order of (start, ord)."""
 
@@ -478,23 +450,25 @@ def tag_iob(tokens: DataFrame, entities: DataFrame, key: str = "doc_id") -> Data
 
     ``tokens(key, pos, start, end[, prev_end])``, where ``prev_end`` is the end of the token before (null at first; without
     the column it is taken from the tokens in order of ``pos``); ``entities(key, ord, start, end, entity_type)``.
-    A document's spans come before its tokens, in one shuffle of both. Sorted spans have a running maximum of
+    A document's spans come before its tokens, in one shuffle of both, packed into blocks. Sorted spans have a running maximum of
     their ends, in which the first span that a token overlaps is found by bisection. Only the spans of one document are held.
     """
     wanted = tokens.select(key, "pos", *[c for c in tokens.columns if c not in (key, "pos")])
     spans = entities.where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select(
         key, F.col("start").alias("pos"), "start", "end", F.col("ord").alias("_ord"), format_iob_type(F.col("entity_type")).alias("_type"))
     both = wanted.withColumn("_turn", F.lit(1).cast("byte")).unionByName(spans.withColumn("_turn", F.lit(0).cast("byte")), allowMissingColumns=True)
-    rows = both.repartition(F.xxhash64(key)).sortWithinPartitions(key, "_turn", "pos", "_ord")
+    order = ["pos", "_ord"]
+    rows = packed(both, [key, "_turn"], order, []).repartition(F.xxhash64(key)).sortWithinPartitions(key, "_turn", *order)
     names, given = wanted.columns, "prev_end" in wanted.columns
+    content = [n for n in both.columns if n not in (key, "_turn")]
     out = StructType([*wanted.schema.fields, StructField("label", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, held, before = None, [], None, None
-        for batch in _whole_runs(batches, [key, "_turn", "pos"]):
+        for batch in whole_runs(unpacked(batches, [key, "_turn"], order, content), [key, "_turn", "pos"]):
             turn = batch.column("_turn").to_numpy()
             place = pc.fill_null(batch.column("pos").dictionary_encode().indices, -1).to_numpy()
-            edges, made = _runs(batch, [key, "_turn"]), []
+            edges, made = runs_of(batch, [key, "_turn"]), []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 some, document = batch.slice(a, b - a), batch.column(key)[a].as_py()
                 if document != at:
