@@ -538,15 +538,59 @@ def token_accuracy(tokens: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def align_subword_labels(subwords: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """The first piece of each word gets the word's label id, other and special pieces -100."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    word = F.col("word_id")
-    first = word.isNotNull() & ~word.eqNullSafe(F.lag("word_id").over(w))
-    marked = subwords.withColumn("wanted", F.when(first, word))
-    labels = words.select(*keys, F.col("word_id").alias("wanted"), "label_id")
-    return marked.join(labels, [*keys, "wanted"], "left").withColumn(
-        "label_id", F.coalesce("label_id", F.lit(IGNORED_LABEL_ID))
-    ).drop("wanted")
+    """The first piece of each word gets the word's label id, other and special pieces -100.
+
+    The words of a key come before its pieces, in one shuffle of both, packed into blocks. Only the words of one key are held.
+    """
+    given = words.withColumn("label_id", F.coalesce("label_id", F.lit(IGNORED_LABEL_ID)))
+    same = lambda c, like: F.col(c).try_cast(subwords.schema[like].dataType)  # what does not fit equals no piece's word
+    known = given.select(*keys, same("word_id", "pos").alias("pos"), same("word_id", "word_id").alias("word_id"), "label_id").where(
+        " AND ".join(f"`{k}` IS NOT NULL" for k in (*keys, "word_id")))
+    pieces = subwords.select(*keys, *[c for c in subwords.columns if c not in keys])
+    both = pieces.withColumn("_turn", F.lit(1).cast("byte")).unionByName(known.withColumn("_turn", F.lit(0).cast("byte")), allowMissingColumns=True)
+    rows = packed(both, [*keys, "_turn"], ["pos"], []).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "_turn", "pos")
+    names, content = pieces.columns, [n for n in both.columns if n not in (*keys, "_turn")]
+    out = StructType([*pieces.schema.fields, StructField("label_id", given.schema["label_id"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, before = None, [], None
+        for batch in unpacked(batches, [*keys, "_turn"], ["pos"], content):
+            turn, edges = batch.column("_turn").to_numpy(), runs_of(batch, [*keys, "_turn"])
+            places, labels = [], []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                some, now = batch.slice(a, b - a), tuple(batch.column(k)[a].as_py() for k in keys)
+                if now != at:
+                    at, held, before = now, [], None
+                if not turn[a]:
+                    held.append(some.select(["word_id", "label_id"]))
+                    continue
+                if len(held) > 1:
+                    held = [pa.concat_batches(held)]
+                word, code = some.column("word_id"), pc.fill_null(some.column("word_id").dictionary_encode().indices, -1).to_numpy()
+                first = code != np.concatenate([[-1 if word[0].as_py() != before else code[0]], code[:-1]])
+                before = word[-1].as_py()
+                if not held:
+                    places.append(np.arange(a, b))
+                    labels.append(pa.array(np.full(b - a, IGNORED_LABEL_ID), type=batch.schema.field("label_id").type))
+                    continue
+                # Words in order of their number among the distinct ones; a piece takes all words of its number.
+                wanted = held[0].column("word_id").unique()
+                number = pc.index_in(held[0].column("word_id"), value_set=wanted).to_numpy()
+                order, size = np.argsort(number, kind="stable"), np.bincount(number, minlength=len(wanted))
+                mine = pc.fill_null(pc.index_in(word, value_set=wanted), -1).to_numpy()
+                hits = np.where(first & (code >= 0) & (mine >= 0), size[mine], 0)
+                times = np.maximum(hits, 1)
+                row = np.repeat(np.arange(b - a), times)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                none = hits[row] == 0
+                which = order[np.where(none, 0, (np.cumsum(size) - size)[mine[row]] + nth)]
+                places.append(a + row)
+                labels.append(pc.fill_null(held[0].column("label_id").take(pa.array(which, mask=none)), IGNORED_LABEL_ID))
+            if places:
+                kept = batch.select(names).take(pa.array(np.concatenate(places)))
+                yield pa.record_batch({**dict(zip(names, kept.columns)), "label_id": pa.concat_arrays(labels)})
+
+    return rows.mapInArrow(run, out)
 
 
 def corpus_split_sizes(tokens: DataFrame) -> DataFrame:
